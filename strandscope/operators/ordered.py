@@ -122,6 +122,8 @@ def value_neighbourhood(
     home = F.floor(v / F.lit(size))
     spots = F.sequence(F.floor((v - half_width) / F.lit(size)), F.floor((v + half_width) / F.lit(size)))
     placed = (df.withColumn("_value", v).withColumn("_home", home).withColumn("_chunk", F.explode(spots)))
-    window = Window.partitionBy(*keys, "_chunk").orderBy("_value").rangeBetween(-half_width, half_width)
-    out = placed.withColumns(dict(build(window)))
+    by = ", ".join(f"`{k}`" for k in (*keys, "_chunk"))
+    half = f"{float(half_width)!r}D"
+    over = f"OVER (PARTITION BY {by} ORDER BY `_value` RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    out = placed.withColumns({name: F.expr(sql) for name, sql in build(over).items()})
     return out.filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home", "_value")
