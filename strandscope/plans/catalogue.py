@@ -1,6 +1,6 @@
 """All registered queries (importing the modules registers them)."""
 
-from . import decision_queries, layout_queries, mask_queries, pair_queries, signal_queries  # noqa: F401
+from . import decision_queries, layout_queries, mask_queries, pair_queries, signal_queries, trace_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
