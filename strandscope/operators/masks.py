@@ -197,9 +197,9 @@ def foreground_mean(per_case: DataFrame, metrics: Sequence[str] = ("dice", "iou"
 
 def ensemble(members: DataFrame, pixel: Sequence[str], label: str, probability: str) -> DataFrame:
     """Mean probability of the members per (pixel, label) and the label with the highest mean."""
-    means = members.groupBy(*pixel, label).agg(F.avg(probability).alias("p"))
-    best = means.groupBy(*pixel).agg(F.max(F.struct("p", (-F.col(label)).alias("_first"), label)).alias("b"))
-    return best.select(*pixel, F.col(f"b.{label}").alias(label), F.col("b.p").alias("probability"))
+    means = members.groupBy(*pixel, label).agg(F.avg(probability).alias("_p"))
+    best = means.groupBy(*pixel).agg(F.max(F.struct("_p", (-F.col(label)).alias("_first"), label)).alias("_b"))
+    return best.select(*pixel, F.col(f"_b.{label}").alias(label), F.col("_b._p").alias("probability"))
 
 
 def unmatched_members(listing: DataFrame, member: str, name: str) -> DataFrame:

@@ -123,9 +123,9 @@ s AS (SELECT *, CAST(unnest(range(0, CASE WHEN lead = 'II' THEN 80 ELSE 20 END))
 x AS (SELECT *, 4.0::DOUBLE + (c + t / 20.0::DOUBLE) * 178.0 - 0.5 AS x FROM s),
 v AS (SELECT x.record, x.lead, t, CASE WHEN x <= lo THEN ylo WHEN x >= hi THEN yhi ELSE y0 + (x - m0) * (y1 - y0) / (m1 - m0) END AS y
       FROM x LEFT JOIN k ON k.record = x.record AND k.lead = x.lead AND x.x >= k.m0 AND x.x < k.m1)
-SELECT record, lead, t, round(((1 - CASE WHEN lead = 'II' THEN 1 / 12.0::DOUBLE + 0.3 / 21.59::DOUBLE ELSE 3.5 / 6::DOUBLE END) * 600.0 - (y + 0.5)) * (6.25 / 178.0::DOUBLE), 7) AS mv FROM v""")
+SELECT record, lead, t, round(CAST(((1 - CASE WHEN lead = 'II' THEN 1 / 12.0::DOUBLE + 0.3 / 21.59::DOUBLE ELSE 3.5 / 6::DOUBLE END) * 600.0 - (y + 0.5)) * (6.25 / 178.0::DOUBLE) AS FLOAT)::DOUBLE, 5) AS mv FROM v""")
 def sample_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.vectorise(*_profile(spark, sf_dir), sharpened=False, rate=8), 7, "mv")
+    return rounded(signals.vectorise(*_profile(spark, sf_dir), sharpened=False, rate=8), 5, "mv")
 
 
 @query("sharpened_traces")
