@@ -118,15 +118,15 @@ def running_median(df: DataFrame, keys: Sequence[str], m: str, value: str, width
     rows = df.select(*keys, F.col(m).cast("double").alias(m), F.col(value).cast("double").alias(value))
     counted = numbered(rows, keys, [m])
     steps = neighbourhood(counted, keys, "rn", 1, lambda w: {"_d": F.col(m) - F.lag(m).over(w)})
-    spacing = exact_quantiles(steps, keys, {"d": "_d"})
+    spacing = exact_quantiles(steps, keys, {"_spacing": "_d"})
     ends = rows.groupBy(*keys).agg(
-        F.min(m).alias("m0"), F.max(m).alias("m1"),
-        F.min_by(value, m).alias("v0"), F.max_by(value, m).alias("v1")).join(spacing, list(keys), "left")
-    gap = F.coalesce("d_median", F.lit(half))
-    pads = ends.select(*keys, "m0", "m1", "v0", "v1", gap.alias("gap"),
-                       F.explode(F.sequence(F.lit(1), (F.ceil(half / gap) + 1).cast("int"))).alias("k"))
-    before = pads.select(*keys, (F.col("m0") - F.col("gap") * F.col("k")).alias(m), F.col("v0").alias(value))
-    after = pads.select(*keys, (F.col("m1") + F.col("gap") * F.col("k")).alias(m), F.col("v1").alias(value))
+        F.min(m).alias("_m0"), F.max(m).alias("_m1"),
+        F.min_by(value, m).alias("_v0"), F.max_by(value, m).alias("_v1")).join(spacing, list(keys), "left")
+    gap = F.coalesce("_spacing_median", F.lit(half))
+    pads = ends.select(*keys, "_m0", "_m1", "_v0", "_v1", gap.alias("_gap"),
+                       F.explode(F.sequence(F.lit(1), (F.ceil(half / gap) + 1).cast("int"))).alias("_i"))
+    before = pads.select(*keys, (F.col("_m0") - F.col("_gap") * F.col("_i")).alias(m), F.col("_v0").alias(value))
+    after = pads.select(*keys, (F.col("_m1") + F.col("_gap") * F.col("_i")).alias(m), F.col("_v1").alias(value))
     every = (rows.withColumn("_pad", F.lit(False))
              .unionByName(before.unionByName(after).withColumn("_pad", F.lit(True))))
     out = value_neighbourhood(every, keys, m, half, lambda over: {name: f"percentile(`{value}`, 0.5D) {over}"})
