@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from math import gcd
 
 import numpy as np
 
 BLOCK = 64
+_FORMS: dict = {}  # block matrices of the sections met by this worker
 
 
 def rate_ratio(fs_in: float, fs_out: float) -> tuple[int, int]:
@@ -19,7 +19,6 @@ def rate_ratio(fs_in: float, fs_out: float) -> tuple[int, int]:
     return b // g, a // g
 
 
-@lru_cache(maxsize=16)
 def resampling_taps(up: int, down: int) -> np.ndarray:
     """Anti-alias low-pass of a rational resampler: Kaiser-windowed (beta 5) sinc, ten zero crossings a side."""
     widest = max(up, down)
@@ -29,7 +28,6 @@ def resampling_taps(up: int, down: int) -> np.ndarray:
     return taps / taps.sum() * up
 
 
-@lru_cache(maxsize=16)
 def butterworth(order: int, low: float | None, high: float, fs: float) -> np.ndarray:
     """Second-order sections (b0 b1 b2 a1 a2) of a low-pass, or of a band-pass when `low` is given."""
     k = np.arange(order)
@@ -60,7 +58,6 @@ def butterworth(order: int, low: float | None, high: float, fs: float) -> np.nda
     return sos
 
 
-@lru_cache(maxsize=64)
 def _block_form(b0: float, b1: float, b2: float, a1: float, a2: float):
     step = np.array([[-a1, 1.0], [-a2, 0.0]])
     drive = np.array([b1 - a1 * b0, b2 - a2 * b0])
@@ -83,7 +80,10 @@ def _run_sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     level = x[0].copy()
     y = np.concatenate([x, np.repeat(x[-1:], pad, axis=0)])
     for s in sos:
-        observe, spread, jump, carry, rest = _block_form(*s)
+        key = tuple(s)
+        if key not in _FORMS:
+            _FORMS[key] = _block_form(*s)
+        observe, spread, jump, carry, rest = _FORMS[key]
         state = rest[:, None] * level[None, :]
         out = np.empty_like(y)
         for at in range(0, y.shape[0], BLOCK):

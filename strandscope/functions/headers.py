@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import ColumnLike, col, is_integer, is_number
+from .numbers import ColumnLike, col
 
 LABELS, IMAGES = "# Labels:", "# Image:"  # fixed values: comment prefixes
 
@@ -49,7 +49,7 @@ def header_file(record: ColumnLike) -> Column:
 
 
 def _first(text: ColumnLike, k: int) -> Column:
-    return strip(F.get(F.split(F.get(lines(text), F.lit(0)), " ", -1), F.lit(k)))
+    return strip(F.get(F.split(F.substring_index(col(text), "\n", 1), " ", -1), F.lit(k)))
 
 
 def record_name(text: ColumnLike) -> Column:
@@ -57,23 +57,20 @@ def record_name(text: ColumnLike) -> Column:
 
 
 def n_signals(text: ColumnLike) -> Column:
-    v = _first(text, 1)
-    return F.when(is_integer(v), v.try_cast("double").cast("int"))
+    return _first(text, 1).try_cast("int")
 
 
 def sampling_frequency(text: ColumnLike) -> Column:
-    v = strip(F.get(F.split(_first(text, 2), "/", -1), F.lit(0)))
-    return F.when(is_number(v), v.try_cast("double"))
+    return strip(F.get(F.split(_first(text, 2), "/", -1), F.lit(0))).try_cast("double")
 
 
 def n_samples(text: ColumnLike) -> Column:
-    v = _first(text, 3)
-    return F.when(is_integer(v), v.try_cast("double").cast("bigint"))
+    return _first(text, 3).try_cast("bigint")
 
 
 def signal_lines(text: ColumnLike) -> Column:
     """The tokens of each signal line."""
-    return F.transform(F.slice(lines(text), 2, F.greatest(F.coalesce(n_signals(text), F.lit(0)), F.lit(0))),
+    return F.transform(F.slice(lines(text), F.lit(2), F.coalesce(n_signals(text), F.lit(0))),
                        lambda l: F.split(l, " ", -1))
 
 

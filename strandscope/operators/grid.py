@@ -30,11 +30,8 @@ OFF_GRID = "column edges are off the grid"
 LOST_COLUMN = "a column has all its edges off the grid"
 
 
-def _page_grid(boxes, height: float, tolerance: float, page_pitch: bool) -> dict:
-    """Column grid of one page from its lead boxes (name, x1, width), twelve at most."""
-    names = np.array([b["lead"] for b in boxes], dtype=object)
-    left = np.array([b["x1"] for b in boxes], dtype=float)
-    width = np.array([b["width"] for b in boxes], dtype=float)
+def _page_grid(names, left, width, height: float, tolerance: float, page_pitch: bool) -> dict:
+    """Column grid of one page from its lead boxes, twelve at most."""
     out = dict.fromkeys(("g0", "pitch", "residual"), None) | {"long_leads": [], "reason": None}
     if names.size == 0:
         return out | {"reason": "no leads found"}
@@ -92,11 +89,12 @@ def fit_column_grid(leads: DataFrame, heights: DataFrame, tolerance: float = GRI
     pages = heights.join(known, "record", "left").withColumn("boxes", F.coalesce("boxes", empty))
 
     @F.pandas_udf(GRID_SCHEMA)
-    def fit(found: pd.Series, height: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_page_grid(b, h, tolerance, page_pitch) for b, h in zip(found, height)],
+    def fit(names: pd.Series, left: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_page_grid(*page, tolerance, page_pitch) for page in zip(names, left, width, height)],
                             columns=["g0", "pitch", "residual", "long_leads", "reason"])
 
-    return pages.select("record", fit("boxes", F.col("height").cast("double")).alias("g")).select("record", "g.*")
+    found = fit(F.col("boxes.lead"), F.col("boxes.x1"), F.col("boxes.width"), F.col("height").cast("double"))
+    return pages.select("record", found.alias("g")).select("record", "g.*")
 
 
 def rescued_grid(leads: DataFrame, heights: DataFrame, page_pitch: bool = True) -> DataFrame:

@@ -154,20 +154,23 @@ def aligned_snr(pairs: DataFrame, keys: Sequence[str], t: str = "t", max_shift:
 def _aligned_in_tasks(pairs: DataFrame, keys: list[str], t: str, max_shift: int) -> DataFrame:
     fields = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        at = group[t].to_numpy(dtype=np.int64)
-        n = int(at.max()) + 1
-        ref, est = np.full(n, np.nan), np.full(n, np.nan)
-        ref[at] = group["ref"].to_numpy(dtype=float)
-        est[at] = group["est"].to_numpy(dtype=float)
-        snr, shift, offset = _best_shift(ref, est, max_shift)
-        row = {k: [group[k].iloc[0]] for k in keys}
-        found = np.isfinite(snr) or snr == np.inf
-        return pd.DataFrame({**row, "snr_aligned": [snr if found else None],
-                             "shift": [shift], "offset": [offset if found else None]})
-
-    slim = pairs.select(*keys, t, "ref", "est")
-    return slim.groupBy(*keys).applyInPandas(kernel, f"{fields}, snr_aligned double, shift int, offset double")
+    def kernel(batches):
+        for batch in batches:
+            rows = []
+            for at, ref, est in zip(batch["_t"], batch["_r"], batch["_e"]):
+                n = int(at.max()) + 1
+                x, y = np.full(n, np.nan), np.full(n, np.nan)
+                x[at], y[at] = ref, est
+                snr, shift, offset = _best_shift(x, y, max_shift)
+                found = snr > -np.inf
+                rows.append((snr if found else None, shift, offset if found else None))
+            yield batch[keys].assign(**dict(zip(("snr_aligned", "shift", "offset"), zip(*rows))))
+
+    nan = F.lit(float("nan"))
+    arrays = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(t).cast("bigint").alias("t"), F.coalesce("ref", nan).alias("r"), F.coalesce("est", nan).alias("e")))).alias("_a"))
+    arrays = arrays.select(*keys, *[F.col(f"_a.{n}").alias(f"_{n}") for n in ("t", "r", "e")])
+    return arrays.mapInPandas(kernel, f"{fields}, snr_aligned double, shift int, offset double")
 
 
 def _aligned_by_joins(pairs: DataFrame, keys: list[str], t: str, max_shift: int) -> DataFrame:

@@ -67,33 +67,38 @@ def resample(samples: DataFrame, keys: Sequence[str], fs_in: float, fs_out: floa
     placed = rows.withColumn("_c", F.explode(spots)).filter("_c >= 0").join(ends, keys)
     placed = placed.filter(F.col("_c") <= F.floor(F.col("_last") / stride))
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        c, last = int(group["_c"].iloc[0]), int(group["_last"].iloc[0])
-        x0, x1 = float(group["_x0"].iloc[0]), float(group["_x1"].iloc[0])
+    arrays = placed.groupBy(*keys, "_c", "_last", "_x0", "_x1").agg(F.array_sort(F.collect_list(F.struct("t", "x", "s"))).alias("_a"))
+    arrays = arrays.select(*keys, "_c", "_last", "_x0", "_x1", *[F.col(f"_a.{name}").alias(f"_{name}") for name in ("t", "x", "s")])
+
+    def one(c, last, x0, x1, t, value, known):
         slope = (x1 - x0) / last if last > 0 else 0.0
         n_out = -(-(last + 1) * up // down)
         k = np.arange(c * per, min((c + 1) * per, n_out))
         if k.size == 0:
-            return pd.DataFrame({**{n: [] for n in keys}, "t": [], "y": [], "in_span": []})
+            return k, k.astype(float), k.astype(bool)
         low, high = (k[0] * down - half) // up - 1, (k[-1] * down + half) // up + 2
         at = np.arange(low, high + 1)
         x = np.where(at < 0, x0 + at * slope, x1 + (at - last) * slope)
         s = np.zeros(at.size, dtype=bool)
-        mine = group[(group["t"] >= low) & (group["t"] <= high)]
-        where = mine["t"].to_numpy() - low
-        x[where], s[where] = mine["x"].to_numpy(), mine["s"].to_numpy()
+        mine = (t >= low) & (t <= high)
+        x[t[mine] - low], s[t[mine] - low] = value[mine], known[mine]
         first = -((half - k * down) // up)  # first input sample the filter sees
         m = first[:, None] + np.arange(2 * half // up + 1)[None, :]
         j = half + k[:, None] * down - m * up
         weight = np.where((j >= 0) & (j < taps.size), taps[np.clip(j, 0, taps.size - 1)], 0.0)
-        y = (x[m - low] * weight).sum(axis=1)
-        source = np.minimum(k * down // up, last)
-        keep = s[source - low]
-        head = {n: group[n].iloc[0] for n in keys}
-        return pd.DataFrame({**head, "t": k, "y": np.where(keep, y, 0.0), "in_span": keep})
+        keep = s[np.minimum(k * down // up, last) - low]
+        return k, np.where(keep, (x[m - low] * weight).sum(axis=1), 0.0), keep
 
-    return placed.groupBy(*keys, "_c").applyInPandas(
-        kernel, f"{_fields(samples, keys)}, t bigint, y double, in_span boolean")
+    def kernel(batches):
+        for batch in batches:
+            parts = [one(*row) for row in zip(batch["_c"], batch["_last"], batch["_x0"], batch["_x1"],
+                                              batch["_t"], batch["_x"], batch["_s"])]
+            times = [len(p[0]) for p in parts]
+            head = batch[keys].loc[batch.index.repeat(times)].reset_index(drop=True)
+            yield head.assign(t=np.concatenate([p[0] for p in parts]), y=np.concatenate([p[1] for p in parts]),
+                              in_span=np.concatenate([p[2] for p in parts]))
+
+    return arrays.mapInPandas(kernel, f"{_fields(samples, keys)}, t bigint, y double, in_span boolean")
 
 
 def prepare(samples: DataFrame, keys: Sequence[str], fs_in: float, fs_out: float = 100, n_out: int = 1000) -> DataFrame:
@@ -114,15 +119,21 @@ def in_layout(lead: Column, t: Column, fs: float) -> Column:
 
 def _per_signal(samples: DataFrame, keys: list[str], t: str, value: str, extra: list[str], change, schema: str) -> DataFrame:
     """Run `change(array, first row)` on each signal laid out on its sample grid."""
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        at = group[t].to_numpy(dtype=np.int64)
-        x = np.full(int(at.max()) + 1, np.nan)
-        x[at] = group[value].to_numpy(dtype=float)
-        head = group.iloc[0]
-        return pd.DataFrame({**{k: head[k] for k in keys}, **change(x, head)})
-
-    slim = samples.select(*keys, t, value, *extra)
-    return slim.groupBy(*keys).applyInPandas(kernel, f"{_fields(samples, keys)}, {schema}")
+    def kernel(batches):
+        for batch in batches:
+            parts = []
+            for row in batch.to_dict("records"):
+                at = np.asarray(row["_t"], dtype=np.int64)
+                x = np.full(int(at.max()) + 1, np.nan)
+                x[at] = np.asarray(row["_x"], dtype=float)
+                parts.append(pd.DataFrame({**{k: row[k] for k in keys}, **change(x, row)}))
+            yield pd.concat(parts, ignore_index=True)
+
+    head = list(dict.fromkeys([*keys, *extra]))
+    arrays = samples.groupBy(*head).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(t).alias("t"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("x")))).alias("_a"))
+    arrays = arrays.select(*head, F.col("_a.t").alias("_t"), F.col("_a.x").alias("_x"))
+    return arrays.mapInPandas(kernel, f"{_fields(samples, keys)}, {schema}")
 
 
 def add_band_noise(samples: DataFrame, record: str, lead_index: str, levels: Sequence[float], seed: int = 0,
