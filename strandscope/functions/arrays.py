@@ -31,3 +31,30 @@ def rotate(x: Column, y: Column, cx: Column, cy: Column, degrees: Column) -> tup
     a = F.radians(degrees)
     dx, dy = x - cx, y - cy
     return cx + dx * F.cos(a) - dy * F.sin(a), cy + dx * F.sin(a) + dy * F.cos(a)
+
+
+def mm_to_volts(mm: Column) -> Column:
+    return mm / 10.0
+
+
+def mm_to_seconds(mm: Column) -> Column:
+    return mm * 0.04
+
+
+def inches_to_volts(inches: Column) -> Column:
+    return inches * 2.54
+
+
+def inches_to_seconds(inches: Column) -> Column:
+    return inches * 1.016
+
+
+def resampled_shape(shape: Column, spacing: Column, new_spacing: Column) -> Column:
+    """Size of an image after a change of pixel spacing, halves to even."""
+    return F.transform(F.arrays_zip(shape.alias("n"), spacing.alias("a"), new_spacing.alias("b")),
+                       lambda s: F.bround(s["n"] * s["a"] / s["b"], 0).cast("int"))
+
+
+def polynomial_rate(step: Column, initial: float, steps: int, exponent: float = 0.9) -> Column:
+    """Learning rate that falls to zero as a power of the share of steps left."""
+    return F.lit(initial) * F.pow(F.greatest(1.0 - step / float(steps), F.lit(0.0)), exponent)

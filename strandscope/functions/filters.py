@@ -223,3 +223,30 @@ def _blur(a: np.ndarray, sigma: float) -> np.ndarray:
         longer = np.pad(a, wide, mode="symmetric")
         a = sum(w[i] * np.take(longer, range(i, i + a.shape[axis]), axis=axis) for i in range(2 * radius + 1))
     return a
+
+
+def _moving_average(x: np.ndarray, m: int) -> np.ndarray:
+    """Causal mean of the last m samples along axis 0, zeros in front."""
+    total = np.cumsum(x, axis=0, dtype=float)
+    total[m:] -= total[:-m].copy()
+    return total / m
+
+
+def two_way_average(x: np.ndarray, m: int) -> np.ndarray:
+    """Moving average forward and backward, with end states that make both orders agree best.
+
+    The states in front of and behind the signal enter linearly, so they are the
+    least-squares solution of "forward then backward = backward then forward".
+    """
+    n, order = x.size, min(m - 1, x.size)
+    if order < 1:
+        return np.asarray(x, dtype=float)
+    front = np.zeros((n, order))
+    front[np.arange(order), np.arange(order)] = 1.0  # state j shows up at sample j of an FIR filter
+    behind = front[::-1]
+    through = _moving_average(behind, m)
+    matrix = np.hstack([through[::-1] - front, behind - through])
+    there_back = _moving_average(_moving_average(x, m)[::-1], m)[::-1]
+    back_there = _moving_average(_moving_average(x[::-1], m)[::-1], m)
+    states = np.linalg.lstsq(matrix, back_there - there_back, rcond=None)[0]
+    return there_back + np.hstack([through[::-1], behind]) @ states

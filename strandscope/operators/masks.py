@@ -317,3 +317,17 @@ def normalise(values: DataFrame, keys: Sequence[str], value: str, scheme: str,
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
     return joined.withColumn("normalised", out).drop("_mean", "_std", "_min", "_max")
+
+
+def merge_tiles(tiles: DataFrame, place: Sequence[str], label: str, score: str, weight: str) -> DataFrame:
+    """Weighted mean of overlapping predictions per (place, label)."""
+    w = F.col(weight)
+    return tiles.groupBy(*place, label).agg(ratio(F.sum(F.col(score) * w), F.sum(w)).alias(score))
+
+
+def soft_confusion(cells: DataFrame, keys: Sequence[str], probability: str, truth: str) -> DataFrame:
+    """TP / FP / FN / TN as sums of probabilities, and the Dice they give."""
+    p, y = F.col(probability), F.col(truth).cast("double")
+    out = cells.groupBy(*keys).agg(F.sum(p * y).alias("tp"), F.sum(p * (1 - y)).alias("fp"),
+                                   F.sum((1 - p) * y).alias("fn"), F.sum((1 - p) * (1 - y)).alias("tn"))
+    return out.withColumn("dice", ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))

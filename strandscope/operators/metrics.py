@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.filters import two_way_average
 from ..functions.numbers import decibel, finite, finite_or_null, ratio
 from .ordered import by_grid, running_totals
 from .quantiles import exact_quantiles
@@ -268,3 +269,28 @@ def snr_check(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         F.max(F.when(a & b, F.abs(F.col("ours") - F.col("theirs")))).alias("snr_check_max_absdiff"),
         F.coalesce(F.sum((a & b).cast("int")), F.lit(0)).alias("snr_check_n_leads"),
         F.coalesce(F.sum((a != b).cast("int")), F.lit(0)).alias("snr_check_n_mismatch"))
+
+
+def weighted_difference(pairs: DataFrame, keys: Sequence[str], fs: float, t: str = "t",
+                        keep_gaps: bool = True) -> DataFrame:
+    """Mean absolute difference, weighted less where the smoothed reference is high.
+
+    Weights are 1 - w / (2 max w) with w the reference averaged over a tenth of a second
+    in both directions.
+    """
+    keys = list(keys)
+    m = round(0.1 * fs)
+    used = pairs.filter(F.col("ref").isNotNull())
+    used = used.filter(F.col("est").isNotNull()) if keep_gaps else used
+    arrays = used.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(t).alias("t"), F.col("ref").alias("r"), F.coalesce("est", F.lit(0.0)).alias("e")))).alias("_a"))
+
+    @F.pandas_udf("double")
+    def score(ref: pd.Series, est: pd.Series) -> pd.Series:
+        def one(x, y):
+            w = two_way_average(np.asarray(x, float), m)
+            w = 1 - 0.5 / w.max() * w if w.max() != 0 else np.ones_like(w)
+            return float(np.sum(np.abs(x - y) * w) / w.sum())
+        return pd.Series([one(a, b) for a, b in zip(ref, est)])
+
+    return arrays.select(*keys, score(F.col("_a.r"), F.col("_a.e")).alias("weighted_difference"))

@@ -180,3 +180,12 @@ def test_period_and_tilt_of_drawn_lines(spark):
     got = lines.line_tilt(profiles, 10).first()
     assert got["period"] == pytest.approx(8.0, abs=0.02) and got["reason"] is None
     assert got["angle"] == pytest.approx(-angle, abs=0.05)
+
+
+def test_two_way_average_makes_both_orders_agree():
+    x = np.random.default_rng(2).normal(size=80)
+    assert np.allclose(filters.two_way_average(np.full(60, 2.5), 7), 2.5)
+    y = filters.two_way_average(x, 7)
+    assert np.allclose(y, filters.two_way_average(x[::-1], 7)[::-1])
+    triangle = np.convolve(np.ones(7), np.ones(7)) / 49
+    assert np.allclose(y[12:-12], np.convolve(x, triangle, mode="same")[12:-12])
