@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, count_where, finite, logistic, ratio
-from .ordered import running_totals
+from .ordered import beside, running_totals
 from .quantiles import exact_quantiles
 
 CUTS = (0.25, 0.5, 1.0)  # fixed values: margin cuts that are reported
@@ -57,17 +57,17 @@ def decision_summary(decided: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         (_ones("flip") / n).alias("flip_rate"),
         F.avg("abs_dp").alias("mean_abs_dp"), F.max("abs_dp").alias("max_abs_dp"))
     mid = exact_quantiles(decided, keys, {"abs_dp": "abs_dp"}).withColumnRenamed("abs_dp_median", "median_abs_dp")
-    return out.join(mid, list(keys), "left") if keys else out.join(mid, how="cross")
+    return out.join(mid, list(keys), "left") if keys else beside(out, mid)
 
 
 def record_flips(decided: DataFrame) -> DataFrame:
     """Per record: flipped classes in class order, size of the changes, smallest margin.
 
-    A record has one row per class, so the collected list is as short as the class list.
+    The classes are collected as a set, so the list is as short as the class list.
     """
     margin = F.abs(F.col("z_ref") - F.col("thr"))
     names = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("flip"), F.struct("class_order", "class")))),
+        F.array_sort(F.collect_set(F.when(F.col("flip"), F.struct("class_order", "class")))),
         lambda s: s["class"]), ";")
     return decided.groupBy("record").agg(
         count_where(F.col("flip")).alias("n_class_flips"),
@@ -174,7 +174,7 @@ def margin_summary(per_record: DataFrame, margin: str = "min_margin_ref",
     plain = kept.agg(F.count(F.lit(1)).alias("n"), *[
         F.avg((F.col(margin) < cut).cast("double")).alias(f"frac_lt_{cut:g}".replace(".", "_")) for cut in cuts])
     q = exact_quantiles(kept, [], {"m": margin}, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return plain.join(q, how="cross").withColumnsRenamed({
+    return beside(plain, q).withColumnsRenamed({
         "m_q25": "q25_min_margin", "m_median": "median_min_margin", "m_q75": "q75_min_margin"})
 
 
@@ -187,7 +187,8 @@ def class_confusion(labels: DataFrame, outputs: DataFrame, instances: DataFrame,
     lab, out = F.col("_l").isNotNull(), F.col("_o").isNotNull()
     counts = a.join(b, [instance, name], "full_outer").groupBy(name).agg(
         count_where(lab & out).alias("tp"), count_where(~lab & out).alias("fp"), count_where(lab & ~out).alias("fn"))
-    counts = counts.filter(F.col("tp") + F.col("fn") > 0).join(total, how="cross")
+    counts = counts.filter(F.col("tp") + F.col("fn") > 0)
+    counts = beside(counts, total)
     tp2 = 2 * F.col("tp")
     return counts.select(
         name, "tp", "fp", "fn", (F.col("_n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"),
@@ -221,7 +222,7 @@ def equal_weights(df: DataFrame, group: str) -> DataFrame:
     """Row weights under which every group weighs the same, with mean 1."""
     per_group = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
     totals = per_group.agg(F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_groups"))
-    factor = per_group.join(totals, how="cross").select(
+    factor = beside(per_group, totals).select(
         group, (F.col("_all") / (F.col("_rows") * F.col("_groups").cast("double"))).alias("weight"))
     return df.join(factor, group)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where, finite, ratio
 from ..session import pinned
-from .ordered import neighbourhood
+from .ordered import beside, for_each, neighbourhood
 from .quantiles import exact_quantiles
 
 PIXEL = ("row", "col")
@@ -122,7 +122,7 @@ def dice_per_label(gt: DataFrame, pred: DataFrame, labels: DataFrame, tolerance:
         count_where(is_a & F.col("_nb").isNotNull()).alias("_near_pred"))
     records = gt.select("record").union(pred.select("record")).distinct()
     zero = F.lit(0).cast("bigint")
-    full = records.join(F.broadcast(labels.select("label")), how="cross").join(counts, by, "left")
+    full = for_each(records, labels.select("label")).join(counts, by, "left")
     full = full.select(*by, *[F.coalesce(c, zero).alias(c) for c in ("gt_pixels", "pred_pixels")],
                        "_hit", "_near_gt", "_near_pred")
     out = full.withColumns({
@@ -150,7 +150,7 @@ def bounding_boxes(mask: DataFrame, labels: DataFrame) -> DataFrame:
     """First and last row and column per label; labels that are absent keep NULLs."""
     boxes = mask.groupBy("record", "label").agg(
         F.min("col").alias("x1"), F.min("row").alias("y1"), F.max("col").alias("x2"), F.max("row").alias("y2"))
-    every = mask.select("record").distinct().join(F.broadcast(labels.select("label")), how="cross")
+    every = for_each(mask.select("record").distinct(), labels.select("label"))
     return every.join(boxes, ["record", "label"], "left")
 
 
@@ -179,7 +179,7 @@ def confusion_per_label(ref: DataFrame, pred: DataFrame, sizes: DataFrame, label
         count_where(is_a & is_b).alias("tp"), count_where(~is_a & is_b).alias("fp"),
         count_where(is_a & ~is_b).alias("fn"))
     zero = F.lit(0).cast("bigint")
-    full = sizes.join(F.broadcast(labels.select("label")), how="cross").join(counts, ["record", "label"], "left")
+    full = for_each(sizes, labels.select("label")).join(counts, ["record", "label"], "left")
     full = full.select("record", "label", "n_pixels", *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "fn")])
     union = F.col("tp") + F.col("fp") + F.col("fn")
     return full.select(
@@ -206,7 +206,7 @@ def unmatched_members(listing: DataFrame, member: str, name: str) -> DataFrame:
     """Files that some members of an ensemble lack (an empty result is required to go on)."""
     members = listing.agg(F.countDistinct(member).alias("_m"))
     held = listing.groupBy(name).agg(F.countDistinct(member).alias("n_members"))
-    return held.join(members, how="cross").filter(F.col("n_members") < F.col("_m")).drop("_m")
+    return beside(held, members).filter(F.col("n_members") < F.col("_m")).drop("_m")
 
 
 def label_problems(mask: DataFrame, expected: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def aligned_snr(pairs: DataFrame, keys: Sequence[str], t: str = "t", max_shift:
     ones go through joins and exact medians, so no signal is too long for a task.
     """
     keys = list(keys)
-    sizes = pairs.groupBy(*keys).agg((F.max(t) + 1).alias("_n"))
+    sizes = pairs.groupBy(*keys).agg(F.greatest(F.max(t) + 1, F.count(F.lit(1))).alias("_n"))
     longest = sizes.agg(F.max("_n")).first()[0] or 0
     if longest <= kernel_samples:
         return _aligned_in_tasks(pairs, keys, t, max_shift)

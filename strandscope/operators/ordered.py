@@ -22,6 +22,18 @@ from ..session import pinned
 SEGMENT = "_segment"
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """The columns of a one-row frame (a total, a count) next to every row."""
+    key = "_one"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one_row.withColumn(key, F.lit(1))), key).drop(key)
+
+
+def for_each(df: DataFrame, short: DataFrame) -> DataFrame:
+    """Every row once per entry of a short domain list (the leads, the labels of a model)."""
+    entries = short.agg(F.collect_set(F.struct(*short.columns)).alias("_entries"))
+    return beside(df, entries).select(*df.columns, F.inline("_entries"))
+
+
 def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """`df` with a segment number from a range partitioning on (keys, order).
 

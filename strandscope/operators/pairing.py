@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where, finite, present, share, to_number
+from .ordered import beside
 from .quantiles import exact_quantiles
 
 KEYS = ("record", "lead")
@@ -44,7 +45,7 @@ def pair_summary(paired: DataFrame, worse_at: float = -1.0) -> DataFrame:
         F.coalesce(count_where(F.col("delta") <= worse_at), F.lit(0)).alias("n_worse"),
     )
     medians = exact_quantiles(paired, [], {"a": "a", "b": "b"})
-    return plain.join(medians, how="cross").select(
+    return beside(plain, medians).select(
         "n_records", "n_leads", "a_median", "a_mean", "a_min", "b_median", "b_mean", "b_min",
         "frac_improved", "n_worse",
     )

@@ -14,7 +14,7 @@ from ..functions.numbers import finite, inverse_logistic_at
 from ..functions.statistics import draw_rows
 from ..session import pinned
 from .agreement import equal_weights
-from .ordered import numbered
+from .ordered import beside, numbered
 from .quantiles import exact_quantiles
 
 STREAM_LIMIT = 50_000_000  # picks up to which every task can afford to replay the one seeded stream
@@ -82,14 +82,14 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, n_boot: int = 2000
     rows, n_clusters = _indexed(df.select(cluster, F.col(value).alias("v")), cluster)
     if n_clusters == 0 or n_boot <= 0:
         empty = F.lit(None).cast("double")
-        return sizes.join(point, how="cross").withColumns({"lo": empty, "hi": empty})
+        return beside(sizes, point).withColumns({"lo": empty, "hi": empty})
     counts = rows.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("c"))
     draws = _draw_rows(counts, cluster_picks(df.sparkSession, n_clusters, n_boot, seed))
     medians = exact_quantiles(draws.withColumn("w", F.col("c") * F.col("times")), ["draw"], {"v": "v"}, weight="w")
     tail = (1 - level) / 2
     ends = medians.agg(F.percentile("v_median", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     ends = ends.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    return sizes.join(point, how="cross").join(ends, how="cross")
+    return beside(beside(sizes, point), ends)
 
 
 def _draw_rows(counts: DataFrame, picks: DataFrame) -> DataFrame:

@@ -239,3 +239,15 @@ def streamed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = arrivals.arriving_rows(spark, f"{work}/in", "user_id bigint, n bigint, total double, part int", 2)
     arrivals.append_once(stream, "user_id", f"{work}/out", f"{work}/state", lambda batch: batch.select("user_id", "n", "total"))
     return spark.read.parquet(f"{work}/out").select("user_id", "n", "total")
+
+
+@query("column_map")
+def column_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import columns
+
+    profiles = lines.band_profiles(_pixels(spark, sf_dir), 3)
+    pages = profiles.select("record").distinct().select("record", F.lit(0.5).alias("g0"), F.lit(178.0).alias("pitch"))
+    edges = pages.select("record", F.explode(F.array(*[F.struct((F.lit(0.0) + 8.0 * k).alias("x"), F.lit(float(k)).alias("mm"))
+                                                        for k in (0, 22, 45, 67)])).alias("e")).select("record", "e.x", "e.mm")
+    verdict, _ = columns.column_map(profiles, pages, edges, lines=22.25)
+    return rounded(verdict, 6, "agreement", "coverage", "gap", "jump", "shift")

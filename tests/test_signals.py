@@ -189,3 +189,23 @@ def test_two_way_average_makes_both_orders_agree():
     assert np.allclose(y, filters.two_way_average(x[::-1], 7)[::-1])
     triangle = np.convolve(np.ones(7), np.ones(7)) / 49
     assert np.allclose(y[12:-12], np.convolve(x, triangle, mode="same")[12:-12])
+
+
+def test_column_map_follows_uneven_lines(spark):
+    from strandscope.operators import columns
+
+    period, g0, n_lines = 8.0, 60.5, 250
+    x_of = lambda m: g0 + m * period + 2.5 * np.sin(2 * np.pi * m / 180)
+    cols = np.arange(2160)
+    dark = np.zeros(cols.size)
+    for k in range(-7, n_lines + 12):
+        dark += (2.0 if k % 5 == 0 else 1.0) * 40 * np.exp(-0.5 * ((cols + 0.5 - x_of(k) - 0.5) / 1.0) ** 2)
+    profiles = spark.createDataFrame(pd.DataFrame({"record": "p", "band": np.repeat([0, 1, 2], cols.size), "col": np.tile(cols, 3), "v": np.tile(dark, 3)}))
+    pages = spark.createDataFrame([("p", g0, 62.5 * period)], "record string, g0 double, pitch double")
+    edges = spark.createDataFrame([("p", float(x_of(m)), float(m)) for m in (0, 62.5, 125, 187.5, 250)], "record string, x double, mm double")
+    verdict, knots = columns.column_map(profiles, pages, edges)
+    v = verdict.first()
+    assert v["reason"] is None and not v["dead_band"] and v["coverage"] > 0.95
+    got = knots.toPandas().sort_values("m")
+    inside = got[(got.m > 10) & (got.m < 240)]
+    assert len(inside) > 400 and np.abs(inside["x"] - x_of(inside["m"])).max() < 0.4
