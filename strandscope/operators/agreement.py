@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import col, count_where, finite, logistic, ratio
-from .ordered import beside, running_totals
+from .ordered import attach, beside, running_totals
 from .quantiles import exact_quantiles
 
 CUTS = (0.25, 0.5, 1.0)  # fixed values: margin cuts that are reported
@@ -223,8 +223,8 @@ def equal_weights(df: DataFrame, group: str) -> DataFrame:
     per_group = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
     totals = per_group.agg(F.sum("_rows").alias("_all"), F.count(F.lit(1)).alias("_groups"))
     factor = beside(per_group, totals).select(
-        group, (F.col("_all") / (F.col("_rows") * F.col("_groups").cast("double"))).alias("weight"))
-    return df.join(factor, group)
+        group, (F.col("_all") / (F.col("_rows") * F.col("_groups").cast("double"))).alias("weight"), "_rows")
+    return attach(df, factor, [group])
 
 
 def auroc_pair_p(df: DataFrame, score: str, positive: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.numbers import finite, ratio
-from .ordered import neighbourhood, numbered
+from .ordered import attach, neighbourhood, numbered
 from .quantiles import exact_quantiles
 
 GRID_TOLERANCE, RESCUE_TOLERANCE = 0.02, 0.04  # share of the pitch
@@ -266,7 +266,7 @@ def line_fit(points: DataFrame, keys: Sequence[str], x: str, y: str, tolerance:
     fit = points.groupBy(*keys).agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count(F.lit(1)).alias("n"),
         F.countDistinct(x).alias("_d"))
-    off = points.join(fit, list(keys)).groupBy(*keys).agg(
+    off = attach(points, fit.select(*keys, "slope", "intercept", "n"), keys, "n").groupBy(*keys).agg(
         F.max(F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))).alias("residual"))
     rows = fit.join(off, list(keys))
     return rows.withColumn("reason", F.when(F.col("_d") < 2, "one position only")

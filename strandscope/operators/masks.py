@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import count_where, finite, ratio
 from ..session import pinned
-from .ordered import beside, for_each, neighbourhood
+from .ordered import attach, beside, for_each, neighbourhood
 from .quantiles import exact_quantiles
 
 PIXEL = ("row", "col")
@@ -308,8 +308,9 @@ def normalise(values: DataFrame, keys: Sequence[str], value: str, scheme: str,
         cut = F.least(F.greatest(v, F.col("percentile_00_5")), F.col("percentile_99_5"))
         return joined.withColumn("normalised", (cut - F.col("mean")) / F.greatest("std", floor)).drop(*f.columns[1:])
     stats = values.groupBy(*keys).agg(
-        F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-    joined = values.join(stats, list(keys))
+        F.avg(v).alias("_mean"), F.stddev_pop(v).alias("_std"), F.min(v).alias("_min"), F.max(v).alias("_max"),
+        F.count(F.lit(1)).alias("_rows"))
+    joined = attach(values, stats, keys)
     if scheme == "zscore":
         out = (v - F.col("_mean")) / F.greatest("_std", floor)
     elif scheme == "range":

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import two_way_average
 from ..functions.numbers import decibel, finite, finite_or_null, ratio
-from .ordered import by_grid, running_totals
+from .ordered import attach, by_grid, running_totals
 from .quantiles import exact_quantiles
 
 INF = float("inf")
@@ -101,8 +101,8 @@ def signed_correlation_index(pairs: DataFrame, keys: Sequence[str], beta: float
     used = pairs.filter(F.col("ref").isNotNull())
     used = used.filter(F.col("est").isNotNull()) if keep_gaps else used
     work = used.select(*keys, "ref", F.abs(F.col("ref") - F.coalesce("est", F.lit(0.0))).alias("err"))
-    limit = work.groupBy(*keys).agg((F.lit(beta) * F.stddev_pop("ref")).alias("limit"))
-    return work.join(limit, list(keys)).groupBy(*keys).agg(
+    limit = work.groupBy(*keys).agg((F.lit(beta) * F.stddev_pop("ref")).alias("limit"), F.count(F.lit(1)).alias("_rows"))
+    return attach(work, limit, keys).groupBy(*keys).agg(
         F.avg(F.when(F.col("err") <= F.col("limit"), 1.0).otherwise(-1.0)).alias("asci"))
 
 

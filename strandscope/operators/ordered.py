@@ -34,6 +34,29 @@ def for_each(df: DataFrame, short: DataFrame) -> DataFrame:
     return beside(df, entries).select(*df.columns, F.inline("_entries"))
 
 
+HOT_ROWS = 4_000_000  # rows of one key that a task may be given
+HOT_KEYS = 512
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], n_rows: str = "_rows") -> DataFrame:
+    """Inner join of rows with one row of facts per key, however many rows a key has.
+
+    A join followed by a grouping on the same keys is not split by AQE, so keys that
+    hold more than 1 / HOT_KEYS of all rows (and more than HOT_ROWS) get their facts by
+    broadcast. There can be no more than HOT_KEYS of them. `n_rows` names the number of
+    rows per key in `facts`; it is dropped.
+    """
+    keys = list(keys)
+    total = facts.agg(F.sum(n_rows).alias("_total"))
+    limit = F.greatest(F.lit(HOT_ROWS), F.col("_total") / F.lit(HOT_KEYS))
+    hot = beside(facts, total).filter(F.col(n_rows) > limit).drop("_total", n_rows)
+    if hot.isEmpty():
+        return rows.join(facts.drop(n_rows), keys)
+    hot = pinned(hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.drop(n_rows), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """`df` with a segment number from a range partitioning on (keys, order).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .ordered import attach
 from .quantiles import exact_quantiles
 from .windows import column_runs
 
@@ -18,7 +19,8 @@ BY = ["record", "label"]
 def ink_level(mask: DataFrame, ink: DataFrame) -> DataFrame:
     """95th percentile of the ink under each lead's mask (no ink counts as 0)."""
     px = mask.join(ink, ["record", "row", "col"], "left").withColumn("ink", F.coalesce("ink", F.lit(0.0)))
-    return exact_quantiles(px, BY, {"ink": "ink"}, {"p95": 0.95})
+    counts = px.groupBy(*BY).agg(F.count(F.lit(1)).alias("_rows"))
+    return exact_quantiles(px, BY, {"ink": "ink"}, {"p95": 0.95}).join(counts, BY)
 
 
 def column_centres(mask: DataFrame, ink: DataFrame | None = None) -> DataFrame:
@@ -31,7 +33,7 @@ def column_centres(mask: DataFrame, ink: DataFrame | None = None) -> DataFrame:
     if ink is None:
         return plain.withColumn("y", F.col("y_mask"))
     level = ink_level(mask, ink)
-    px = mask.join(ink, ["record", "row", "col"], "left").join(level, BY)
+    px = attach(mask.join(ink, ["record", "row", "col"], "left"), level, BY)
     weight = F.pow(F.coalesce("ink", F.lit(0.0)) / F.when(F.col("ink_p95") > 0, F.col("ink_p95")), POWER)
     heavy = px.withColumn("_w", weight).groupBy(*BY, "col").agg(
         F.avg("row").alias("y_mask"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("row")).alias("_wr"),
@@ -61,8 +63,8 @@ def trace_shift(mask: DataFrame, ink: DataFrame, width: int) -> DataFrame:
     window = kept.withColumn("col", F.explode(F.sequence(
         F.col("run_start") - SHIFT_PAD, F.col("run_end") - 1 + SHIFT_PAD)))
     any_mask = mask.select("record", "row", "col").distinct().withColumn("_m", F.lit(1))
-    seen = (window.join(any_mask, ["record", "row", "col"], "left").join(ink, ["record", "row", "col"], "left")
-            .join(level, BY).withColumn("ink", F.coalesce("ink", F.lit(0.0))))
+    inked = window.join(any_mask, ["record", "row", "col"], "left").join(ink, ["record", "row", "col"], "left")
+    seen = attach(inked, level, BY).withColumn("ink", F.coalesce("ink", F.lit(0.0)))
     w = F.pow(F.col("ink") / F.when(F.col("ink_p95") > 0, F.col("ink_p95")), SHIFT_POWER)
     rows = seen.withColumn("_w", w).groupBy(*BY, "row", "run_start", "run_end").agg(
         F.count("_m").alias("_masked"), F.max("ink").alias("_peak"), F.first("ink_p95").alias("_p95"),

@@ -102,3 +102,17 @@ def test_spikes_need_five_rows(spark):
                                "k int, x int, v double")
     got = windows.neighbour_spikes(df, ["k"], "x", "v", 1.0).filter("spike").select("k", "x").collect()
     assert [tuple(r) for r in got] == [(1, 2)]
+
+
+def test_hot_keys_get_their_facts_by_broadcast(spread, monkeypatch):
+    from strandscope.operators import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    monkeypatch.setattr(ordered, "HOT_KEYS", 2)
+    pdf = hot_frame()
+    df = spread.createDataFrame(pdf)
+    facts = df.groupBy("k").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("_rows"))
+    got = ordered.attach(df, facts, ["k"])
+    assert got.columns == ["k", "t", "v", "w", "mean"] and "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    got = got.toPandas().sort_values("t")
+    assert np.allclose(got["mean"], pdf.groupby("k")["v"].transform("mean").loc[pdf["t"].sort_values().index])
