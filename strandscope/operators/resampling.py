@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import finite, inverse_logistic_at
-from ..functions.statistics import draw_rows
+from ..functions.numbers import finite, inverse_logistic_at, ratio
+from ..functions.statistics import draw_rows, exact_interval_column
 from ..session import pinned
-from .agreement import equal_weights
-from .ordered import beside, numbered
+from .agreement import equal_weights, kappa
+from .ordered import beside, numbered, running_totals
 from .quantiles import exact_quantiles
 
 STREAM_LIMIT = 50_000_000  # picks up to which every task can afford to replay the one seeded stream
@@ -114,6 +114,65 @@ def bootstrap_sums(df: DataFrame, cluster: str, sums: Sequence[str], n_boot: int
         *[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
 
 
+def bootstrap_auroc(df: DataFrame, cluster: str, keys: Sequence[str], score: str, positive: str, n_boot: int = 1000,
+                    seed: int = 0) -> DataFrame:
+    """AUROC per (draw, key) over resampled clusters, ties averaged; NULL where a class is missing.
+
+    Equal scores of a draw are counted before they are put in order.
+    """
+    keys = list(keys)
+    pos = (F.col(positive).cast("int") == 1).cast("bigint")
+    each = df.groupBy(F.col(cluster).alias("_cluster"), *keys, F.col(score).alias("v")).agg(
+        F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
+    rows, n_clusters = _indexed(each, "_cluster")
+    drawn = _draw_rows(rows.drop("_cluster"), cluster_picks(df.sparkSession, n_clusters, n_boot, seed))
+    rungs = drawn.groupBy("draw", *keys, "v").agg(F.sum(F.col("p") * F.col("times")).alias("p"),
+                                                  F.sum(F.col("q") * F.col("times")).alias("q"))
+    ladder = running_totals(rungs, ["draw", *keys], ["v"], {"_q": "q", "_p": "p"})
+    below = F.col("_q") - F.col("q") + F.col("q") / F.lit(2.0)
+    out = ladder.groupBy("draw", *keys).agg(F.sum(F.col("p") * below).alias("_won"), F.max("_p_total").alias("_np"),
+                                            F.max("_q_total").alias("_nq"))
+    return out.select("draw", *keys, ratio("_won", F.col("_np").cast("double") * F.col("_nq")).alias("auroc"))
+
+
+def decision_intervals(decided: DataFrame, n_boot: int = 2000, seed: int = 0, level: float = 0.95,
+                       cluster: str = "record") -> DataFrame:
+    """Kappa, flip rate, record flip rate and mean probability change with their intervals.
+
+    Whole clusters (records, or the patients they belong to) are drawn, the same draws
+    for every statistic. Without a single flip the intervals of kappa and the flip rates
+    say nothing and are NULL; the exact interval of the record flip rate remains.
+    """
+    flag = lambda c: F.col(c).cast("double")
+    names = list(dict.fromkeys(["record", cluster]))
+    per_record = decided.groupBy(*names).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(flag("dec_ref")).alias("a"), F.sum(flag("dec_test")).alias("b"),
+        F.sum(flag("flip")).alias("flips"), F.sum("abs_dp").alias("dp"), F.max(flag("flip")).alias("any"), F.lit(1.0).alias("one"))
+    sums = ["n", "a", "b", "flips", "dp", "any", "one"]
+
+    def statistics(totals: DataFrame) -> DataFrame:
+        c = F.col
+        return totals.withColumns({
+            "kappa": kappa(c("n"), c("a"), c("b"), c("n") - c("flips")), "flip_rate": ratio("flips", "n"),
+            "record_flip_rate": ratio("any", "one"), "mean_abs_dp": ratio("dp", "n")})
+
+    point = statistics(per_record.agg(*[F.sum(s).alias(s) for s in sums]))
+    draws = pinned(statistics(bootstrap_sums(per_record, cluster, sums, n_boot, seed)))
+    wanted = ("kappa", "flip_rate", "record_flip_rate", "mean_abs_dp")
+    out = point
+    for name in wanted:
+        ends = percentile_interval(draws, name, level).withColumnsRenamed(
+            {"lo": f"{name}_lo", "hi": f"{name}_hi", "n_valid": f"{name}_valid"})
+        out = beside(out, ends)
+    moved = F.col("flips") > 0
+    out = out.withColumns({f"{n}_{e}": F.when(moved, F.col(f"{n}_{e}")) for n in wanted[:3] for e in ("lo", "hi")})
+    exact = exact_interval_column(F.col("any").cast("bigint"), F.col("one").cast("bigint"), level)
+    return out.withColumn("_ci", exact).select(
+        F.col("one").cast("bigint").alias("n_records"), F.col("flips").cast("bigint").alias("n_flips"), (~moved).alias("degenerate"),
+        *[f"{n}{e}" for n in wanted for e in ("", "_lo", "_hi")], F.col("_ci.lo").alias("record_flip_exact_lo"),
+        F.col("_ci.hi").alias("record_flip_exact_hi"))
+
+
 def percentile_interval(draws: DataFrame, statistic: str, level: float = 0.95) -> DataFrame:
     """Percentile interval over the finite draws and how many they are (one row per draw comes in)."""
     tail = (1 - level) / 2

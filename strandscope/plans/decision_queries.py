@@ -300,6 +300,22 @@ def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.percentile_interval(draws, "kappa"), 6, "lo", "hi")
 
 
+@query("decision_intervals")
+def decision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.decision_intervals(decided(spark, sf_dir), n_boot=500, seed=0, cluster="label")
+    return rounded(out, 6, *[c for c in out.columns if c not in ("n_records", "n_flips", "degenerate")])
+
+
+@query("bootstrap_auroc_interval")
+def bootstrap_auroc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = table(spark, sf_dir, "labels").join(
+        table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    draws = resampling.bootstrap_auroc(scored, "doc_id", ["lang"], "n_chars", "quality", n_boot=100, seed=0)
+    return draws.groupBy("lang").agg(
+        F.round(F.percentile("auroc", 0.025), 6).alias("lo"), F.round(F.percentile("auroc", 0.975), 6).alias("hi"),
+        F.count("auroc").alias("n_valid"))
+
+
 @query("flip_logistic")
 def flip_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(

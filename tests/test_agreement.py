@@ -124,3 +124,37 @@ def test_duplicate_case_across_folds_is_an_error(spark):
     a = spark.createDataFrame([("x",)], "case string")
     with pytest.raises(ValueError):
         labels.accumulated([a, a], "case")
+
+
+def test_interval_of_decisions_equals_numpy(spread):
+    rng = np.random.default_rng(6)
+    n = 40
+    rows = [(f"r{i:02d}", i // 2, c, float(a), float(a + rng.normal(0, 0.5)), 0.0, o) for i in range(n)
+            for o, c in enumerate("xyz") for a in [rng.normal()]]
+    df = spread.createDataFrame(rows, "record string, patient int, class string, z_ref double, z_test double, thr double, class_order int")
+    got = resampling.decision_intervals(agreement.with_decisions(df), n_boot=100, seed=3, cluster="patient").first()
+    ref = np.array([r[3] > 0 for r in rows]).reshape(n, 3)
+    test = np.array([r[4] > 0 for r in rows]).reshape(n, 3)
+    picks = np.random.default_rng(3).integers(0, n // 2, (100, n // 2))
+
+    def stats(idx):
+        a, b = ref[idx], test[idx]
+        pe = a.mean() * b.mean() + (1 - a.mean()) * (1 - b.mean())
+        return (np.mean(a == b) - pe) / (1 - pe), np.mean((a != b).any(axis=1))
+
+    draws = np.array([stats(np.concatenate([[2 * p, 2 * p + 1] for p in row])) for row in picks])
+    assert got["kappa"] == pytest.approx(stats(np.arange(n))[0]) and got["n_records"] == n
+    assert (got["kappa_lo"], got["kappa_hi"]) == tuple(pytest.approx(v) for v in np.percentile(draws[:, 0], [2.5, 97.5]))
+    assert (got["record_flip_rate_lo"], got["record_flip_rate_hi"]) == tuple(pytest.approx(v) for v in np.percentile(draws[:, 1], [2.5, 97.5]))
+    same = agreement.with_decisions(df.withColumn("z_test", F.col("z_ref")))
+    none = resampling.decision_intervals(same, n_boot=20).first()
+    assert none["degenerate"] and none["kappa"] == 1.0 and none["kappa_lo"] is None and none["record_flip_exact_hi"] > 0
+
+
+def test_resampled_auroc_equals_numpy(spread):
+    rng = np.random.default_rng(8)
+    y, s = rng.integers(0, 2, 40), np.round(rng.normal(size=40), 1)
+    df = spread.createDataFrame(pd.DataFrame({"record": np.arange(40), "c": "a", "y": y, "s": s}))
+    got = resampling.bootstrap_auroc(df, "record", ["c"], "s", "y", n_boot=15, seed=9).orderBy("draw").toPandas()["auroc"]
+    picks = np.random.default_rng(9).integers(0, 40, (15, 40))
+    assert np.allclose(got, [brute_auroc(y[i], s[i]) for i in picks])
