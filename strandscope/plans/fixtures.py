@@ -32,6 +32,17 @@ def day_index(ts="ts"):
     return (F.unix_date(F.to_date(ts)) - FIRST_DAY).cast("int")
 
 
+def hour_index(ts="ts"):
+    """Whole hours since 2024-01-01; no time zone is involved."""
+    return (F.unix_date(F.to_date(ts)).cast("bigint") - FIRST_DAY) * 24 + F.hour(ts)
+
+
+def day_fraction(ts="ts"):
+    """Days since 2024-01-01 with their fraction."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), F.col(ts)).cast("double")
+    return ((F.unix_date(F.to_date(ts)) - FIRST_DAY) * 86400 + seconds) / 86400.0
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (table(spark, sf_dir, "events")
             .groupBy(F.col("user_id").alias("record"), day_index().alias("t"))

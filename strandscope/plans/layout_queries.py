@@ -9,7 +9,7 @@ from .. import dims
 from ..functions import headers
 from ..functions.numbers import number_text
 from ..operators import grid, labels, metrics
-from .fixtures import DAILY_SQL, FIRST_DAY, READ_SQL, daily, day_index, reading, rounded
+from .fixtures import DAILY_SQL, READ_SQL, daily, day_fraction, day_index, reading, rounded
 from .registry import query, table
 
 # One page per customer: boxes of the twelve leads with small errors that depend on the
@@ -205,9 +205,8 @@ SELECT pr.record, event_id, pr.t, round(CASE WHEN pr.t < lo THEN xlo + (pr.t - l
        WHEN pr.t = hi THEN xhi ELSE x0 + (pr.t - m0) * ((x1 - x0) / (m1 - m0)) END, 9) AS mapped
 FROM pr LEFT JOIN en USING (record) LEFT JOIN kn ON kn.record = pr.record AND pr.t >= m0 AND pr.t < m1""")
 def interpolated_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) - FIRST_DAY * 86_400_000_000) / 1e6
     probes = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("record"), "event_id", F.round(seconds / 86400.0, 6).alias("t"))
+        F.col("user_id").alias("record"), "event_id", F.round(day_fraction(), 6).alias("t"))
     knots = daily(spark, sf_dir).filter("t % 3 <> 1 AND t > 2").withColumn("t", F.col("t").cast("double"))
     return rounded(grid.interpolate(probes, knots, ["record"], "t", "mv", 4.0, slope=1.5), 9, "mapped")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masks
-from .fixtures import rounded
+from .fixtures import hour_index, rounded
 from .registry import query, table
 
 TYPES = ("view", "click", "purchase", "signup", "error")
@@ -29,7 +29,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = F.array(*[F.lit(t) for t in TYPES])
     ev = table(spark, sf_dir, "events").select(
         (F.col("user_id") % 10).alias("record"), F.floor(F.col("user_id") / 10).alias("row"),
-        (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473352).alias("col"),
+        hour_index().alias("col"),
         F.array_position(names, F.col("event_type")).cast("int").alias("label"), "event_id")
     gt = ev.filter("event_id % 3 <> 0").groupBy("record", "row", "col").agg(F.max("label").alias("label"))
     moved = ev.filter("event_id % 4 <> 0 AND label <> 2").withColumn("col", F.col("col") + F.col("event_id") % 2)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, windows
-from .fixtures import DAILY_SQL, READ_SQL, daily, day_index, reading, rounded
+from .fixtures import DAILY_SQL, READ_SQL, daily, reading, rounded
 from .registry import query, table
 
 

@@ -11,7 +11,7 @@ from ..functions.filters import resampling_taps
 from ..operators import grid, lines, metrics, signals, strokes
 from ..session import ensure_checkpoint_dir
 from ..streaming import arrivals
-from .fixtures import READ_SQL, daily, reading, rounded
+from .fixtures import READ_SQL, daily, hour_index, reading, rounded
 from .registry import query, table
 
 FULL_SQL = f"""{READ_SQL},
@@ -58,10 +58,21 @@ def resample_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signals.resample(filled, ["record"], 5, 2, chunk=10), 6, "y")
 
 
-@query("prepare_for_classifier")
+TAPS_5 = ", ".join(f"({i}, {v!r}::DOUBLE)" for i, v in enumerate(resampling_taps(1, 5).tolist()))
+
+
+@query("prepare_for_classifier", f"""WITH {FULL_SQL}, taps(j, h) AS (VALUES {TAPS_5}),
+en AS (SELECT record, min_by(filled, t) AS x0, max_by(filled, t) AS x1 FROM fill GROUP BY record),
+m AS (SELECT CAST(unnest(range(-60, 90)) AS INTEGER) AS m),
+ex AS (SELECT en.record, m.m, CASE WHEN m.m < 0 THEN x0 + m.m * (x1 - x0) / 29 WHEN m.m > 29 THEN x1 + (m.m - 29) * (x1 - x0) / 29
+              ELSE f.filled END AS x FROM en CROSS JOIN m LEFT JOIN fill f ON f.record = en.record AND f.t = m.m),
+k AS (SELECT CAST(unnest(range(0, 6)) AS BIGINT) AS t),
+y AS (SELECT ex.record, k.t, sum(x * h) AS y FROM ex CROSS JOIN k JOIN taps ON j = 50 + k.t * 5 - m GROUP BY 1, 2)
+SELECT y.record, y.t, round(CAST(CASE WHEN f.in_span THEN y ELSE 0.0 END AS FLOAT)::DOUBLE, 3) AS y, f.in_span
+FROM y JOIN fill f ON f.record = y.record AND f.t = y.t * 5""")
 def prepare_for_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signals.prepare(_full(spark, sf_dir), ["record"], 500, 100, 1000)
-    return out.withColumn("y", F.round(F.col("y").cast("double"), 4))
+    return out.withColumn("y", F.round(F.col("y").cast("double"), 3))
 
 
 @query("band_noise_levels")
@@ -106,7 +117,7 @@ pf AS (SELECT user_id AS record, lead, c, CAST(floor(epoch(ts) / 3600) AS BIGINT
 def _profile(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     names = {"view": "I", "click": "aVR", "purchase": "V1", "signup": "V4", "error": "II"}
     lead = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    col = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473352
+    col = hour_index()
     profile = table(spark, sf_dir, "events").groupBy(
         F.col("user_id").alias("record"), lead[F.col("event_type")].alias("lead"), col.alias("col")).agg(
         F.round(F.avg("value"), 6).alias("y"))
@@ -133,23 +144,22 @@ def sharpened_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signals.vectorise(*_profile(spark, sf_dir), sharpened=True, rate=80), 4, "mv")
 
 
-# Pages with a line every eight columns and some noise from the events.
+# Pages with a line every eight columns, every fifth one bold, and some noise from the events.
 PIXEL_SQL = """
 us AS (SELECT DISTINCT user_id % 10 AS record, user_id // 10 AS row, user_id FROM events),
 cl AS (SELECT CAST(unnest(range(0, 720)) AS INTEGER) AS col),
 ev AS (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473352 AS col, round(sum(value), 4) AS v FROM events GROUP BY 1, 2),
-px AS (SELECT record, row, cl.col, (CASE WHEN cl.col % 8 = 0 THEN 100.0 ELSE 0.0 END)::DOUBLE + least(coalesce(v, 0.0), 60.0) AS darkness
+px AS (SELECT record, row, cl.col, (CASE WHEN cl.col % 40 = 0 THEN 160.0 WHEN cl.col % 8 = 0 THEN 100.0 ELSE 0.0 END)::DOUBLE + least(coalesce(v, 0.0), 60.0) AS darkness
        FROM us CROSS JOIN cl LEFT JOIN ev ON ev.user_id = us.user_id AND ev.col = cl.col),
 h AS (SELECT record, max(row) + 1 AS h FROM px GROUP BY record),
 bp AS (SELECT record, CAST(row // 3 AS INTEGER) AS band, col, median(darkness) AS v FROM px JOIN h USING (record) WHERE (row // 3 + 1) * 3 <= h GROUP BY 1, 2, 3)"""
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").groupBy("user_id", (
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) - 473352).cast("int").alias("col")).agg(
+    ev = table(spark, sf_dir, "events").groupBy("user_id", hour_index().cast("int").alias("col")).agg(
         F.round(F.sum("value"), 4).alias("v"))
     users = ev.select("user_id").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(719))))
-    dark = F.when(F.col("col") % 8 == 0, 100.0).otherwise(0.0) + F.least(F.coalesce("v", F.lit(0.0)), F.lit(60.0))
+    dark = F.when(F.col("col") % 40 == 0, 160.0).when(F.col("col") % 8 == 0, 100.0).otherwise(0.0) + F.least(F.coalesce("v", F.lit(0.0)), F.lit(60.0))
     return users.join(ev, ["user_id", "col"], "left").select(
         (F.col("user_id") % 10).alias("record"), F.floor(F.col("user_id") / 10).alias("row"), "col", dark.alias("darkness"))
 
@@ -176,7 +186,19 @@ def grid_line_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "period", "contrast", "residual", "angle")
 
 
-@query("page_scale")
+@query("page_scale", f"""WITH {PIXEL_SQL},
+b AS (SELECT record, band, avg(v) AS m FROM bp GROUP BY 1, 2),
+x AS (SELECT record, band, col, (v - m) * (0.5 - 0.5 * cos(2 * pi() * col / 719)) AS x FROM bp JOIN b USING (record, band)),
+bn AS (SELECT CAST(unnest(range(336, 1649)) AS INTEGER) AS bin),
+f AS (SELECT record, band, bin, sum(x * cos(2 * pi() * bin * col / 5760)) AS re, sum(x * sin(2 * pi() * bin * col / 5760)) AS im
+      FROM x CROSS JOIN bn GROUP BY 1, 2, 3),
+p AS (SELECT record, bin, sum(re * re + im * im) AS power FROM f GROUP BY 1, 2),
+q AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS r FROM p WINDOW w AS (PARTITION BY record ORDER BY bin)),
+t AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY power DESC, bin) AS rn FROM q WHERE bin / 5760 >= 1 / 17.0::DOUBLE AND bin / 5760 <= 1 / 3.5::DOUBLE),
+u AS (SELECT record, 5760 / (bin + CASE WHEN l - 2 * power + r < 0 THEN 0.5 * (l - r) / (l - 2 * power + r) ELSE 0 END) AS period FROM t WHERE rn = 1),
+s AS (SELECT *, (200 / 25.4::DOUBLE) / period AS s FROM u)
+SELECT record, round(period, 6) AS period, round(CASE WHEN s >= 0.2 AND s <= 3 AND abs(s - 1) > 0.12 THEN s ELSE 1.0 END, 6)::DOUBLE AS scale,
+       CASE WHEN NOT (s >= 0.2 AND s <= 3) THEN 'implausible scale' END AS reason FROM s""")
 def page_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lines.page_scale(lines.grid_period(lines.band_profiles(_pixels(spark, sf_dir), 3))), 6, "period", "scale")
 
@@ -190,7 +212,7 @@ def refined_column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STROKE_SQL = f"""{PIXEL_SQL},
 mk AS (SELECT record, row, col, 1 + col // 60 AS label FROM px WHERE darkness > 95 OR (darkness > 10 AND row % 2 = 0)),
-ik AS (SELECT record, row, col, least(255.0, darkness * 2.2) AS ink FROM px WHERE darkness > 0),
+ik AS (SELECT record, row, col, least(255.0, darkness * 2.2 + CASE WHEN col % 8 = 1 THEN 90.0 ELSE 0.0 END) AS ink FROM px WHERE darkness > 0 OR col % 8 = 1),
 p95 AS (SELECT mk.record, label, quantile_cont(coalesce(ink, 0.0), 0.95) AS p95 FROM mk LEFT JOIN ik USING (record, row, col) GROUP BY 1, 2)"""
 
 
@@ -198,7 +220,9 @@ def _strokes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     px = _pixels(spark, sf_dir)
     mask = px.filter((F.col("darkness") > 95) | ((F.col("darkness") > 10) & (F.col("row") % 2 == 0))).select(
         "record", "row", "col", (1 + F.floor(F.col("col") / 60)).cast("int").alias("label"))
-    ink = px.filter("darkness > 0").select("record", "row", "col", F.least(F.lit(255.0), F.col("darkness") * 2.2).alias("ink"))
+    smear = F.when(F.col("col") % 8 == 1, 90.0).otherwise(0.0)
+    ink = px.filter("darkness > 0 OR col % 8 = 1").select(
+        "record", "row", "col", F.least(F.lit(255.0), F.col("darkness") * 2.2 + smear).alias("ink"))
     return mask, ink
 
 
@@ -211,7 +235,23 @@ def ink_weighted_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "y_mask", "y").withColumn("label", F.col("label").cast("bigint"))
 
 
-@query("trace_shift")
+@query("trace_shift", f"""WITH {STROKE_SQL},
+cs AS (SELECT record, label, col, count(*) AS n, min(row) AS top, max(row) AS bot FROM mk GROUP BY 1, 2, 3),
+mr AS (SELECT mk.*, n >= 6 AND row >= top + 2 AND row <= bot - 2 AS steep,
+              mk.col - row_number() OVER (PARTITION BY record, label, row ORDER BY mk.col) AS isl FROM mk JOIN cs USING (record, label, col)),
+rn AS (SELECT record, label, row, min(col) AS s, max(col) AS e, bool_or(steep) AS st FROM mr GROUP BY record, label, row, isl),
+wd AS (SELECT record, label, row, s, e, unnest(range(s - 2, e + 3)) AS col FROM rn WHERE st AND s - 2 >= 0 AND e + 2 < 720),
+am AS (SELECT DISTINCT record, row, col, 1 AS one FROM mk),
+sm AS (SELECT wd.record, wd.label, wd.row, s, e, count(one) AS masked, max(coalesce(ink, 0.0)) AS pk, any_value(p95) AS p95,
+              sum(pow(coalesce(ink, 0.0) / p95, 2)) AS w, sum(pow(coalesce(ink, 0.0) / p95, 2) * wd.col) AS wc
+       FROM wd JOIN p95 USING (record, label) LEFT JOIN am ON am.record = wd.record AND am.row = wd.row AND am.col = wd.col
+       LEFT JOIN ik ON ik.record = wd.record AND ik.row = wd.row AND ik.col = wd.col GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT record, wc / w - 0.5 * (s + e) AS d FROM sm WHERE masked = e - s + 1 AND p95 > 0 AND pk >= 0.5 * p95 AND w > 0),
+a AS (SELECT record, count(*) AS n, median(d) AS m FROM d GROUP BY record),
+o AS (SELECT i.record, coalesce(n, 0) AS n_rows, m, (CASE WHEN n >= 30 THEN m ELSE 0.0 END)::DOUBLE AS dx
+      FROM (SELECT DISTINCT record FROM mk) i LEFT JOIN a ON a.record = i.record)
+SELECT record, n_rows, round(m, 6) AS median, round(dx, 6) AS dx,
+       round(CASE WHEN abs(dx * 0.67) < 0.05 THEN 0.0 ELSE dx * 0.67 END, 6)::DOUBLE AS applied FROM o""")
 def trace_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = strokes.applied_shift(strokes.trace_shift(*_strokes(spark, sf_dir), 720))
     return rounded(out, 6, "median", "dx", "applied")
