@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import two_way_average
 from ..functions.numbers import decibel, finite, finite_or_null, ratio
+from ..session import pinned
 from .ordered import attach, by_grid, running_totals
 from .quantiles import exact_quantiles
 
@@ -226,7 +227,7 @@ def evaluate_signals(ref: DataFrame, est: DataFrame, keys: Sequence[str] = ("rec
                       .select(*keys, (F.col("t") - F.col("window_start")).alias("t"), "mv",
                               F.lit("window").alias("placement")))
     est_all = placed[0] if len(placed) == 1 else placed[0].unionByName(placed[1])
-    pairs = sample_pairs(ref_rows, est_all, [*keys, "placement"])
+    pairs = pinned(sample_pairs(ref_rows, est_all, [*keys, "placement"]))  # read by every metric below
     scored = signal_snr(pairs, [*keys, "placement"])
     order = F.lit(0)
     for i, mode in enumerate(PLACEMENTS):
