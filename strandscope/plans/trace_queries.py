@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -272,7 +272,7 @@ def streamed_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user results appended by a stream equal those of one pass over the table."""
     ensure_checkpoint_dir(spark)
     root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    work = f"{root}/append-{next(tempfile._get_candidate_names())}"
+    work = f"{root}/append-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     per_user = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     per_user.withColumn("part", F.pmod("user_id", F.lit(4))).write.partitionBy("part").parquet(f"{work}/in")
