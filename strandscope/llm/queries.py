@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, sharding
+from . import bpe, chat, exact_dedup, sharding, token_files
 from .tables import documents, table
 
+
+def tokenizer_file(name: str) -> str:
+    """Path of a vocabulary file of the installed package (a parameter of the operators)."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 QUERIES = {
+    "op3_bpe": lambda spark, sf: bpe.bpe_documents(documents(spark, sf), tokenizer_file("byte_bpe_50k.json")),
     "op4_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(documents(spark, sf)),
     "op5_sharding": lambda spark, sf: sharding.shard_rows(documents(spark, sf)),
     "op9_chat_formatting": lambda spark, sf: chat.chat_digests(chat.with_probe(table(spark, sf, "conversations"))),
+    "op10_token_files": lambda spark, sf: token_files.token_files_query(documents(spark, sf), tokenizer_file("word_bpe_49k.json")),
 }
 
 ORACLES = {

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import pinned
+from ..session import ensure_checkpoint_dir, pinned
+
+__all__ = ["documents", "pinned", "shared_folder", "table", "work_columns"]
+
 
-__all__ = ["documents", "pinned", "table", "work_columns"]
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which every executor and the driver can reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
