@@ -2,9 +2,9 @@
 
 Normalised texts are range-partitioned over sampled splitters and sorted, so that equal texts are
 neighbours; a window compares each row with its neighbour byte for byte and keeps the smallest
-identifier of a run. The sort key carries a slice number after the text: a text that a third of all
-rows share then falls into many ranges instead of one. One short row per slice, not per document,
-ties the slices of a text together.
+identifier of a run. Splitters hold just the first HEAD characters, so that no whole text reaches the
+driver, and a slice number: a text that a third of all rows share then falls into many ranges instead
+of one. One short row per slice, not per document, ties the slices of a text together.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from .tables import pinned, work_columns
 
 #: How many slices the copies of one text are dealt to.
 SLICES = 256
+#: Characters of a text that a splitter may hold.
+HEAD = 48
 
 
 def normalised(text):
@@ -32,18 +34,20 @@ def exact_groups(docs: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     rows = work_columns(docs).select(
         "doc_id", normalised(F.col("text")).alias("content"), F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"))
-    run = Window.partitionBy("content", "slice")
+    rows = rows.withColumn("head", F.substring("content", 1, HEAD))
+    run = Window.partitionBy("head", "slice", "content")
     in_order = run.orderBy(F.col("doc_id").asc_nulls_last())
-    compared = rows.repartitionByRange("content", "slice").select(
-        "doc_id",
+    compared = rows.repartitionByRange("head", "slice").select(
+        "doc_id", "slice",
         F.row_number().over(in_order).alias("place"),
         F.count(F.lit(1)).over(run).alias("in_slice"),
         F.sha2(F.col("content").cast("binary"), 256).alias("text_sha256"),
     )
     runs = pinned(compared)
-    heads = runs.where("place = 1").groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("in_slice").alias("group_size"))
-    # the null-id slice keeps a row only where no row of the group has an id
-    return runs.join(heads, "text_sha256").select(
+    firsts = runs.where("place = 1").select("text_sha256", "slice", "doc_id", "in_slice")
+    groups = firsts.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("in_slice").alias("group_size"))
+    spread = firsts.select("text_sha256", "slice").join(groups, "text_sha256")
+    return runs.join(spread, ["text_sha256", "slice"]).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("place") == 1)).alias("kept"),
         "text_sha256")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, sharding, token_files
+from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, sharding, token_files
 from .tables import documents, table
 
 
@@ -14,14 +14,18 @@ def tokenizer_file(name: str) -> str:
 
 
 QUERIES = {
+    "op1_language_id": lambda spark, sf: language.language_query(documents(spark, sf)),
     "op3_bpe": lambda spark, sf: bpe.bpe_documents(documents(spark, sf), tokenizer_file("byte_bpe_50k.json")),
     "op4_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(documents(spark, sf)),
     "op5_sharding": lambda spark, sf: sharding.shard_rows(documents(spark, sf)),
+    "op6_decontamination": lambda spark, sf: decontaminate.decontamination_query(documents(spark, sf), table(spark, sf, "benchmark")),
+    "op7_near_dedup": lambda spark, sf: near_dedup.near_components(documents(spark, sf)),
     "op9_chat_formatting": lambda spark, sf: chat.chat_digests(chat.with_probe(table(spark, sf, "conversations"))),
     "op10_token_files": lambda spark, sf: token_files.token_files_query(documents(spark, sf), tokenizer_file("word_bpe_49k.json")),
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL.format(documents="documents"),
+    "op7_near_dedup": near_dedup.SQL,
     "op9_chat_formatting": chat.SQL,
 }

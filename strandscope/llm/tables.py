@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, pinned
 
-__all__ = ["documents", "pinned", "shared_folder", "table", "work_columns"]
+__all__ = ["documents", "pinned", "shared_folder", "table", "tied", "work_columns"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -29,3 +29,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_columns(docs: DataFrame) -> DataFrame:
     """Just (doc_id, text): whatever other columns a table has cannot clash with an operator's own."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def tied(rows: DataFrame, keys: list[str], member: str, slices: int = 256) -> DataFrame:
+    """`rows` plus (`first`, `members`): the smallest `member` and the row count of each group of equal keys.
+
+    Rows meet their group's summary on (keys, slice of the member), so a group that holds a third of
+    all rows is spread over `slices` tasks; per key only its slices meet. `rows` is read twice.
+    """
+    cut = F.pmod(F.xxhash64(member), F.lit(slices)).alias("_slice")
+    parts = rows.groupBy(*keys, cut).agg(F.min(member).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    totals = parts.groupBy(*keys).agg(F.min("_first").alias("first"), F.sum("_n").alias("members"))
+    spread = parts.drop("_first", "_n").join(totals, keys)
+    return rows.withColumn("_slice", cut).join(spread, [*keys, "_slice"]).drop("_slice")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2_000_000
+BLOCK_ROWS = 2048
 U64 = np.uint64
 
 
@@ -45,7 +46,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
         missing = np.asarray(batch.column(text).is_null())
         low, n = 0, batch.num_rows
         while low < n:
-            high = max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1)
+            high = min(max(low + 1, int(np.searchsorted(at, at[low] + size, "right")) - 1), low + BLOCK_ROWS, n)
             rows = batch.slice(low, high - low)
             ids = rows.column("doc_id") if "doc_id" in batch.schema.names else None
             yield Block(ids if ids is not None else np.arange(low, high), raw[at[low]:at[high]], at[low:high + 1] - at[low], missing[low:high]), rows
@@ -163,16 +164,5 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sequence(hashes: np.ndarray, weight: list) -> np.uint64:
-    total = np.zeros(1, U64)
-    for h, w in zip(hashes, weight, strict=False):
-        total += h * w
-    return mixed(total + U64(len(hashes) * 0x51ED27))[0]
-
-
-def distinct_pairs(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's different hashes, ordered by document and hash."""
-    order = np.lexsort((hashes, docs))
-    hashes, docs = hashes[order], docs[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])
-    return hashes[new], docs[new]
+    total = (hashes * np.array(weight[:len(hashes)], U64)).sum(dtype=U64)
+    return mixed(np.array([total], U64) + U64(len(hashes) * 0x51ED27))[0]
