@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, near_dedup, sharding, token_files
+from . import bpe, chat, decontaminate, exact_dedup, language, lm, near_dedup, sharding, token_files
 from .tables import documents, table
 
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op5_sharding": lambda spark, sf: sharding.shard_rows(documents(spark, sf)),
     "op6_decontamination": lambda spark, sf: decontaminate.decontamination_query(documents(spark, sf), table(spark, sf, "benchmark")),
     "op7_near_dedup": lambda spark, sf: near_dedup.near_components(documents(spark, sf)),
+    "op8_lm_scoring": lambda spark, sf: lm.scoring_query(documents(spark, sf)),
     "op9_chat_formatting": lambda spark, sf: chat.chat_digests(chat.with_probe(table(spark, sf, "conversations"))),
     "op10_token_files": lambda spark, sf: token_files.token_files_query(documents(spark, sf), tokenizer_file("word_bpe_49k.json")),
 }

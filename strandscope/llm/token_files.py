@@ -19,9 +19,11 @@ The files are Parquet, so any store that Spark writes will do:
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,22 @@ from .tables import shared_folder, work_columns
 from .text import blocks
 
 BLOCK_IDS = 500_000
-KEPT_WORDS = 400_000
-#: Fixed value: the word pattern of this vocabulary (text in lower case).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters alone are in composed form and go to lower case one by one.
-PLAIN = regex.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
+KEPT_WORDS = 250_000
+WORDS_A_CALL = 100
+#: Texts of other characters go to the library whole; these are in composed form and go to lower case one by one.
+ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
+
+
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """The word pattern of this vocabulary, its classes written out for the characters that ODD lets through."""
+    usual = [chr(c) for c in range(0x20, 0x180)]
+    letters = "".join(c for c in usual if regex.match(r"\p{L}", c))
+    numbers = "".join(c for c in usual if regex.match(r"\p{N}", c))
+    # Fixed value: the order of the alternatives.
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+
+
 SCHEMA = "part int, block int, n_ids long, doc_ids binary, null_ids binary, counts binary, ranked binary, control binary, data binary"
 
 
@@ -80,7 +93,10 @@ def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokenizer:
-    """The library's encode(text, add_special_tokens=False), remembering the ids of words."""
+    """The library's encode(text, add_special_tokens=False), remembering the ids of words.
+
+    Words of the last two generations, KEPT_WORDS each, are remembered; a word's ids never depend on that.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -89,23 +105,38 @@ class Tokenizer:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.pattern = word_pattern()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        cuts = [PATTERN.findall(t.lower()) if PLAIN.search(t) is None and "<|" not in t else None for t in texts]
-        fresh: set[str] = set()
+            self.known, self.older = {}, self.known
+        find = self.pattern.findall
+        cuts = [find(t.lower()) if ODD.search(t) is None and "<|" not in t else None for t in texts]
+        seen: set[str] = set()
         for cut in cuts:
-            fresh.update(cut or ())
-        fresh = [w for w in fresh if w not in self.known]
-        if fresh:
-            self.known.update(zip(fresh, self._words(fresh), strict=True))
-        known = self.known
-        return [self._whole(t) if cut is None else b"".join([known[w] for w in cut]) for t, cut in zip(texts, cuts, strict=True)]
+            seen.update(cut or ())
+        fresh = []
+        for word in seen.difference(self.known):
+            ids = self.older.pop(word, None)
+            if ids is None:
+                fresh.append(word)
+            else:
+                self.known[word] = ids
+        for at in range(0, len(fresh), WORDS_A_CALL):
+            part = fresh[at:at + WORDS_A_CALL]
+            self.known.update(zip(part, self._words(part), strict=True))
+        return [self._whole(t) if cut is None else self._joined(cut) for t, cut in zip(texts, cuts, strict=True)]
+
+    def _joined(self, cut: list[str]) -> bytes:
+        if len(cut) > 1:
+            return b"".join(itemgetter(*cut)(self.known))
+        return self.known[cut[0]] if cut else b""
 
     def _words(self, words: list[str]) -> list[bytes]:
-        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        """Words are cut the same way with spaces between them."""
+        found = self.library.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
         ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words))) * 4
         at = [0, *ends.tolist()]
