@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .tables import pinned
 from .text import Block, Words, blocks
 
-DEPTH = 4
+DEPTH = 5
 END, OTHER = 0xFF, 0xC0
-MAX_GRAMS = 2_000_000
+MAX_GRAMS = 1_000_000
 MAX_WORDS = 1 << 17
 END_WORD = np.array([0x0E4D], np.uint64)
 

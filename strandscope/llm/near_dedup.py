@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pinned, tied, work_columns
+from .tables import pinned, released, tied, work_columns, written
 from .text import BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 
 BANDS, ROWS = 48, 6
@@ -133,14 +133,14 @@ def contracted(links: DataFrame) -> DataFrame:
     Each round every node turns to its smallest neighbour, chains of such turns are shortened by
     halves, and the links that still cross are renamed; the number of rounds is logarithmic.
     """
-    crossing = pinned(links.select("a", "b").where("a <> b").distinct())
+    crossing = written(links.select("a", "b").where("a <> b").distinct())
     labels = None
     while not crossing.isEmpty():
         both = crossing.union(crossing.select("b", "a"))
-        turns = pinned(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+        turns = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
         while True:
             up = turns.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            step = pinned(turns.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
+            step = written(turns.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
             turns = step.select("node", "label")
             if step.where("moved").isEmpty():
                 break
@@ -148,11 +148,11 @@ def contracted(links: DataFrame) -> DataFrame:
             labels = turns
         else:
             up = turns.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            labels = pinned(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(
+            labels = written(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(
                 turns.join(labels.select("node"), "node", "left_anti")))
         for side in ("a", "b"):
             crossing = crossing.join(turns.select(F.col("node").alias(side), F.col("label").alias("_to")), side).drop(side).withColumnRenamed("_to", side)
-        crossing = pinned(crossing.select("a", "b").where("a <> b").distinct())
+        crossing = written(crossing.select("a", "b").where("a <> b").distinct())
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
 
 
@@ -162,7 +162,7 @@ def _relabelled(state: DataFrame, links: DataFrame) -> DataFrame:
     others = state.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     merged = contracted(links.join(names, "a").join(others, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
     up = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
-    return pinned(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+    return written(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
 
 
 def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -185,7 +185,7 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         "node", F.posexplode("bands").alias("band", "bucket"))
     shared = pinned(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"))
     members = pinned(entries.join(shared, "bucket").select("bucket", "node", "band"))
-    state = pinned(members.select("node").distinct().select("node", F.col("node").alias("label")))
+    state = written(members.select("node").distinct().select("node", F.col("node").alias("label")))
     packed = pinned(texts.where("doc_id is not null").mapInArrow(_shrunk, "doc_id long, blob binary").join(
         state.select(F.col("node").alias("doc_id")), "doc_id"))
 
@@ -193,30 +193,31 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     while True:
         spots = members if turn else members.where(F.col("band") < FIRST_BANDS)
         sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) if turn else state.select("label", F.lit(1).cast("long").alias("n_label"))
-        placed = pinned(spots.join(state, "node").join(sizes, "label").select("bucket", "band", "node", "label", "n_label"))
-        mixed_up = pinned(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"))
+        placed = written(spots.join(state, "node").join(sizes, "label").select("bucket", "band", "node", "label", "n_label"))
+        mixed_up = written(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"))
         if turn and mixed_up.isEmpty():
             break
-        placed = pinned(placed.join(mixed_up, "bucket"))
+        placed = written(placed.join(mixed_up, "bucket"))
         slot = F.pmod(F.xxhash64("node"), F.lit(HUBS)) if turn else F.lit(0)
         best = F.struct("n_label", "node", "label")
-        hubs = pinned(placed.groupBy("bucket", slot.alias("slot")).agg(F.min(best).alias("hub")).select(
+        hubs = written(placed.groupBy("bucket", slot.alias("slot")).agg(F.min(best).alias("hub")).select(
             "bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
         pairs = placed.join(hubs, "bucket").where("label <> hub_label").select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = pinned(pairs)
+        pairs = written(pairs)
         if not pairs.isEmpty():
             with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
             with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-            tested = pinned(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"))
+            tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"))
             state = _relabelled(state, tested.where("linked").select("a", "b"))
             done = tested.where("not linked").select("a", "b")
             checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            members = pinned(placed.select("bucket", "band", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"))
+            members = written(placed.select("bucket", "band", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"))
         turn += 1
+        released(docs.sparkSession)
 
     known = classes.join(state, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     blank = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

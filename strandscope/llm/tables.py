@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, pinned
 
-__all__ = ["documents", "pinned", "shared_folder", "table", "tied", "work_columns"]
+__all__ = ["documents", "pinned", "released", "shared_folder", "table", "tied", "work_columns", "written"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,6 +19,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder. Unlike a checkpoint it does not carry the constraints that
+    the optimiser has inferred, whose number would double in every round of a loop."""
+    folder = shared_folder(df.sparkSession, "round")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def released(spark: SparkSession) -> None:
+    """Between the rounds of a loop: lets Spark's cleaner remove shuffle files, broadcasts and checkpoints
+    of rounds that nothing refers to any more (it acts when the driver collects its garbage)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -95,10 +95,10 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Ranges:
     """Hashes of arbitrary byte ranges of a block in constant time each."""
 
-    def __init__(self, data: np.ndarray, seed: int):
+    def __init__(self, data: np.ndarray, seed: int, table: np.ndarray | None = None):
         n = len(data)
         up, self.down = powers(seed, n + 1)
-        codes = byte_codes(seed)[data]
+        codes = (byte_codes(seed) if table is None else table)[data]
         codes *= up[:n]
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(codes, out=self.sums[1:])

@@ -23,7 +23,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import shared_folder, work_columns
-from .text import blocks
+from .text import Ranges, blocks, mixed
 
 BLOCK_IDS = 500_000
 KEPT_WORDS = 250_000
@@ -42,14 +41,39 @@ WORDS_A_CALL = 100
 ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
 
 
+# Character classes of this vocabulary's words, and the endings it cuts off.
+GAP, LETTER, NUMBER, SIGN = range(4)
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
 @lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """The word pattern of this vocabulary, its classes written out for the characters that ODD lets through."""
-    usual = [chr(c) for c in range(0x20, 0x180)]
-    letters = "".join(c for c in usual if regex.match(r"\p{L}", c))
-    numbers = "".join(c for c in usual if regex.match(r"\p{N}", c))
-    # Fixed value: the order of the alternatives.
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
+def character_classes() -> np.ndarray:
+    """Class of every character that ODD lets through (and of the separator 0)."""
+    return np.array([GAP if not c or chr(c).isspace() else LETTER if regex.match(r"\p{L}", chr(c)) else NUMBER if regex.match(r"\p{N}", chr(c)) else SIGN
+                     for c in range(0x180)], np.uint8)
+
+
+def word_spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words of a row of characters: runs of letters or of signs, single numbers;
+    a lone apostrophe takes an ending of ENDINGS that follows it."""
+    kind = character_classes()[points]
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    lone = np.flatnonzero(points == ord("'"))
+    lone = lone[new[lone] & (lone + 1 < len(points))]
+    lone = lone[kind[lone + 1] == LETTER]
+    for ending in ENDINGS:
+        at = lone[lone + len(ending) < len(points)]
+        for k, c in enumerate(ending):
+            at = at[points[at + 1 + k] == ord(c)]
+        new[at + 1] = False
+        after = at + 1 + len(ending)
+        after = after[after < len(points)]
+        new[after] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(points))
+    held = kind[start] != GAP
+    return start[held], end[held]
 
 
 SCHEMA = "part int, block int, n_ids long, doc_ids binary, null_ids binary, counts binary, ranked binary, control binary, data binary"
@@ -93,7 +117,7 @@ def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokenizer:
-    """The library's encode(text, add_special_tokens=False), remembering the ids of words.
+    """The library's encode(text, add_special_tokens=False), asked once for each different word of a block.
 
     Words of the last two generations, KEPT_WORDS each, are remembered; a word's ids never depend on that.
     """
@@ -105,36 +129,52 @@ class Tokenizer:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.pattern = word_pattern()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [i for i, t in enumerate(texts) if ODD.search(t) is None and "<|" not in t]
+        out = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i].lower() for i in plain]), strict=True):
+                out[i] = ids
+        return out
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        row = "\0".join(texts) + "\0"
+        points = np.frombuffer(row.encode("utf-16-le"), np.uint16)
+        start, end = word_spans(points)
+        names, where, which = np.unique(Ranges(points, 1, point_codes()).hash(start, end), return_index=True, return_inverse=True)
+        coded = self._ids([row[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+        sizes = np.array([len(c) for c in coded], np.int64) // 4
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        taken = sizes[which]
+        ends = np.cumsum(taken)
+        origin = (np.cumsum(sizes) - sizes)[which] if len(sizes) else sizes
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(origin - (ends - taken), taken)].tobytes()
+        edges = np.cumsum([len(t) + 1 for t in texts])
+        at = [0, *(4 * np.concatenate([[0], ends])[np.searchsorted(start, edges)]).tolist()]
+        return [ids[at[i]:at[i + 1]] for i in range(len(texts))]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
         if len(self.known) > KEPT_WORDS:
             self.known, self.older = {}, self.known
-        find = self.pattern.findall
-        cuts = [find(t.lower()) if ODD.search(t) is None and "<|" not in t else None for t in texts]
-        seen: set[str] = set()
-        for cut in cuts:
-            seen.update(cut or ())
         fresh = []
-        for word in seen.difference(self.known):
-            ids = self.older.pop(word, None)
-            if ids is None:
-                fresh.append(word)
-            else:
-                self.known[word] = ids
+        for word in words:
+            if word not in self.known:
+                ids = self.older.pop(word, None)
+                if ids is None:
+                    fresh.append(word)
+                else:
+                    self.known[word] = ids
         for at in range(0, len(fresh), WORDS_A_CALL):
             part = fresh[at:at + WORDS_A_CALL]
-            self.known.update(zip(part, self._words(part), strict=True))
-        return [self._whole(t) if cut is None else self._joined(cut) for t, cut in zip(texts, cuts, strict=True)]
-
-    def _joined(self, cut: list[str]) -> bytes:
-        if len(cut) > 1:
-            return b"".join(itemgetter(*cut)(self.known))
-        return self.known[cut[0]] if cut else b""
+            self.known.update(zip(part, self._asked(part), strict=True))
+        return [self.known[w] for w in words]
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _asked(self, words: list[str]) -> list[bytes]:
         """Words are cut the same way with spaces between them."""
         found = self.library.encode(" ".join(words), add_special_tokens=False)
         ids = np.array(found.ids, "<u4").tobytes()
@@ -142,8 +182,10 @@ class Tokenizer:
         at = [0, *ends.tolist()]
         return [ids[at[i]:at[i + 1]] for i in range(len(words))]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+@lru_cache(maxsize=1)
+def point_codes() -> np.ndarray:
+    return mixed(np.arange(1, 0x181, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 @lru_cache(maxsize=1)
