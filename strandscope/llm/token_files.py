@@ -35,7 +35,7 @@ from .tables import shared_folder, work_columns
 from .text import Ranges, blocks, mixed
 
 BLOCK_IDS = 500_000
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 WORDS_A_CALL = 100
 #: Texts of other characters go to the library whole; these are in composed form and go to lower case one by one.
 ODD = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
