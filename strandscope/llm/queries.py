@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, lm, near_dedup, sharding, token_files
+from . import bpe, chat, decontaminate, exact_dedup, language, lm, near_dedup, sharding, substrings, token_files
 from .tables import documents, table
 
 
@@ -15,6 +15,7 @@ def tokenizer_file(name: str) -> str:
 
 QUERIES = {
     "op1_language_id": lambda spark, sf: language.language_query(documents(spark, sf)),
+    "op2_repeated_substrings": lambda spark, sf: substrings.remove_repeats(documents(spark, sf)),
     "op3_bpe": lambda spark, sf: bpe.bpe_documents(documents(spark, sf), tokenizer_file("byte_bpe_50k.json")),
     "op4_exact_dedup": lambda spark, sf: exact_dedup.exact_groups(documents(spark, sf)),
     "op5_sharding": lambda spark, sf: sharding.shard_rows(documents(spark, sf)),
