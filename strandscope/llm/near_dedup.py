@@ -30,7 +30,7 @@ from .text import BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 FIRST_BANDS = 8
-HUBS = 4
+HUBS, MOST_HUBS = 4, 256
 ATTEMPTS = 4096
 #: A block has at most 2 ** 11 documents, which leaves so many bits of a hash beside the document's number.
 HASH_BITS = 53
@@ -190,32 +190,33 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         state.select(F.col("node").alias("doc_id")), "doc_id"))
 
     checked, turn = None, 0
+    members = members.withColumn("skip", F.col("band") >= FIRST_BANDS).drop("band")
     while True:
-        spots = members if turn else members.where(F.col("band") < FIRST_BANDS)
         sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) if turn else state.select("label", F.lit(1).cast("long").alias("n_label"))
-        placed = written(spots.join(state, "node").join(sizes, "label").select("bucket", "band", "node", "label", "n_label"))
-        mixed_up = written(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"))
-        if turn and mixed_up.isEmpty():
+        placed = written(members.join(state, "node").join(sizes, "label").select("bucket", "node", "label", "n_label", "skip"))
+        now = placed if turn else placed.where("not skip")
+        slots = min(MOST_HUBS, HUBS << turn - 1) if turn else 1
+        hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
+            F.min(F.struct("n_label", "node", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+        stars = written(hubs.groupBy("bucket").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"))
+        if turn and stars.isEmpty():
             break
-        placed = written(placed.join(mixed_up, "bucket"))
-        slot = F.pmod(F.xxhash64("node"), F.lit(HUBS)) if turn else F.lit(0)
-        best = F.struct("n_label", "node", "label")
-        hubs = written(placed.groupBy("bucket", slot.alias("slot")).agg(F.min(best).alias("hub")).select(
-            "bucket", F.col("hub.node").alias("hub"), F.col("hub.label").alias("hub_label")))
-        pairs = placed.join(hubs, "bucket").where("label <> hub_label").select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        around = now.join(stars, "bucket")
+        hub = F.explode(F.filter("hubs", lambda h: h["label"] != F.col("label"))).alias("hub")
+        pairs = around.select("node", hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if not pairs.isEmpty():
-            with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
-            with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-            tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"))
-            state = _relabelled(state, tested.where("linked").select("a", "b"))
-            done = tested.where("not linked").select("a", "b")
-            checked = done if checked is None else checked.unionByName(done)
+        with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
+        with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
+        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"))
+        links = tested.where("linked").select("a", "b")
+        if not links.isEmpty():
+            state = _relabelled(state, links)
+        done = tested.where("not linked").select("a", "b")
+        checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            members = written(placed.select("bucket", "band", "node").join(hubs.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti"))
+            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "skip")
         turn += 1
         released(docs.sparkSession)
 
