@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import work_columns
+from .tables import dropped, work_columns
 from .text import Block, Words, blocks, mixed
 
 BITS, BLOCKS = 64, 8
@@ -201,5 +201,4 @@ def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a leaked item, with all their columns."""
-    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return dropped(docs, leaks(docs, benchmark).select("doc_id").distinct())

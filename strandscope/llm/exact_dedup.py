@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import pinned, work_columns
+from .tables import dropped, pinned, work_columns
 
 #: How many slices the copies of one text are dealt to.
 SLICES = 256
@@ -54,9 +54,8 @@ def exact_groups(docs: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, slices: int = SLICES) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns (ids must be unique and not null)."""
-    gone = exact_groups(docs, slices).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """The rows of `docs` that stay, with all their columns; rows that repeat a doc_id that stays all do."""
+    return dropped(docs, exact_groups(docs, slices).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays"))
 
 
 SQL = """

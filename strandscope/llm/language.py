@@ -4,9 +4,9 @@ A text in lower case is cut into letter n-grams (a word's edge counts as a chara
 BUCKETS rows of an embedding table whose average goes through a linear softmax. The table is trained
 with stochastic gradient descent in numpy on a bounded sample, MAX_SAMPLE labelled rows, drawn evenly
 over the languages by a hash of the id; each row of it brings at most BUCKETS counts to the driver. A
-quarter of the sample is set aside: a temperature that depends on the length is fitted there, and
-the confidence below which a text is rejected. A text in an unseen script meets buckets that
-training never moved from zero, so its confidence is near that of guessing.
+quarter of the sample is set aside: a temperature that depends on the length is fitted there, and the
+confidence and the share of n-grams known from training below which a text is rejected: of the texts set
+aside about one in a thousand would be.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SLICE = 500_000
 UNKNOWN = "und"
 #: No text this many times surer than guessing is rejected, however sure the calibration texts are.
 ABOVE_GUESSING = 1.2
+#: Nor is one of which this share of n-grams is known from training.
+KNOWN_SHARE = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -85,26 +87,29 @@ def counted(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model:
-    """Logits per bucket, a bias, the temperature curve, the rejection threshold."""
+    """Logits per bucket, which buckets training met, a bias, the temperature curve, the rejection thresholds."""
 
-    def __init__(self, languages, table, bias, heat, threshold):
-        self.languages, self.table, self.bias, self.heat, self.threshold = languages, table, bias, heat, threshold
+    def __init__(self, languages, table, seen, bias, heat, threshold, least_known):
+        self.languages, self.table, self.seen, self.bias, self.heat = languages, table, seen, bias, heat
+        self.threshold, self.least_known = threshold, least_known
 
     def probabilities(self, logits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return _softmax(logits / temperature(self.heat, sizes)[:, None])
 
-    def logits(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, number of n-grams and the share of known ones of each document."""
         n, size = len(block), len(self.languages)
-        sums, grams = np.zeros((n, size)), np.zeros(n)
+        sums, grams, known = np.zeros((n, size)), np.zeros(n), np.zeros(n)
         for docs, buckets in subwords(block):
             if not len(docs):
                 continue
             new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
             owner = np.clip(docs[new], 0, n - 1)
             grams[owner] += np.diff(np.concatenate([new, [len(docs)]]))
+            known[owner] += np.add.reduceat(self.seen[buckets], new, dtype=np.int64)
             for k in range(size):
                 sums[owner, k] += np.add.reduceat(self.table[k][buckets], new)
-        return sums / np.maximum(grams, 1)[:, None] + self.bias, grams
+        return sums / np.maximum(grams, 1)[:, None] + self.bias, grams, known / np.maximum(grams, 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -162,7 +167,10 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> M
     right = sure.argmax(1) == y[aside]
     held = sure.max(1)[right]
     threshold = min(ABOVE_GUESSING / len(languages), float(np.quantile(held, 0.001))) if len(held) else 0.0
-    return Model(languages, scores, bias.astype(np.float64), heat, threshold)
+    met = np.zeros(BUCKETS, bool)
+    met[seen] = True
+    least_known = min(KNOWN_SHARE, float(np.quantile([samples[i][2][met[samples[i][1]]].sum() / samples[i][2].sum() for i in aside], 0.001)))
+    return Model(languages, scores, met, bias.astype(np.float64), heat, threshold, least_known)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +203,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected), one row per row of `docs`, from the text alone.
 
     A text that is null or has no letter is `und` with score 0 and rejected; so is every text if there
-    was nothing to learn from. Texts below the model's threshold keep their best language and are
+    was nothing to learn from. Texts below one of the model's thresholds keep their best language and are
     marked rejected. More columns are ignored; repeated rows and ids repeat.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x MAX_LANGUAGES numbers
@@ -206,12 +214,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             if held is None:
                 names, score, out = [UNKNOWN] * len(block), np.zeros(len(block)), np.ones(len(block), bool)
             else:
-                logits, grams = held.logits(block)
+                logits, grams, known = held.logits(block)
                 sure = held.probabilities(logits, grams)
                 empty = grams == 0
                 score = np.where(empty, 0.0, sure.max(1))
                 names = [UNKNOWN if e else held.languages[k] for k, e in zip(sure.argmax(1), empty, strict=True)]
-                out = empty | (score < held.threshold)
+                out = empty | (score < held.threshold) | (known < held.least_known)
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "lang_pred": pa.array(names, pa.string()),
                                               "score": pa.array(score, pa.float64()), "rejected": pa.array(out, pa.bool_())})
 

@@ -171,6 +171,8 @@ class ContextTrees:
 
     def _walk(self, codes: np.ndarray) -> np.ndarray:
         """Decision by decision; a node without counts says one half."""
+        if not len(self.keys):
+            return np.full(len(codes), -8 * math.log10(2))
         context, symbol = codes >> np.uint64(8), codes & np.uint64(255)
         total = np.zeros(len(codes))
         for bit in range(8):
@@ -179,8 +181,8 @@ class ContextTrees:
             p = np.full(len(codes), 0.5)
             for d in range(self.depth, -1, -1):
                 key = self._key(d, context, node)
-                at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-                known = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                known = self.keys[at] == key
                 beta, p1 = self.share[at].astype(np.float64), self.ones[at].astype(np.float64)
                 estimate = np.where(one, p1, 1 - p1)
                 with np.errstate(invalid="ignore"):
@@ -249,7 +251,7 @@ def _scored(batches: Iterator[pa.RecordBatch], trees: ContextTrees, words_known:
         different, where = np.unique(words.hash, return_inverse=True)
         at = np.minimum(np.searchsorted(words_known, different), max(0, len(words_known) - 1))
         common = words_known[at] == different if len(words_known) else np.zeros(len(different), bool)
-        count = np.where(common, words_count[at] if len(words_count) else 0, 0)
+        count = np.where(common, words_count[at], 0) if len(words_count) else np.zeros(len(different), np.int64)
         base = np.bincount(doc, np.log10(count + 1.0)[where], n) + math.log10(end_count + 1)
         known = np.bincount(doc, (count > 0)[where], n).astype(np.int64) + (end_count > 0)
         rare = ~common[where]

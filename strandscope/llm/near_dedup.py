@@ -127,20 +127,20 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
 
-def contracted(links: DataFrame) -> DataFrame:
+def contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, label) for links (a, b): label is the smallest node that can be reached.
 
     Each round every node turns to its smallest neighbour, chains of such turns are shortened by
-    halves, and the links that still cross are renamed; the number of rounds is logarithmic.
+    halves, and the links that still cross are renamed; the number of rounds is logarithmic. `rows`: how many links there are.
     """
-    crossing = written(links.select("a", "b").where("a <> b").distinct())
-    labels = None
+    crossing = written(links.select("a", "b").where("a <> b").distinct(), rows)
+    labels, nodes = None, None if rows is None else 2 * rows
     while not crossing.isEmpty():
         both = crossing.union(crossing.select("b", "a"))
-        turns = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+        turns = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), nodes)
         while True:
             up = turns.select(F.col("node").alias("label"), F.col("label").alias("up"))
-            step = written(turns.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
+            step = written(turns.join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")), nodes)
             turns = step.select("node", "label")
             if step.where("moved").isEmpty():
                 break
@@ -149,20 +149,20 @@ def contracted(links: DataFrame) -> DataFrame:
         else:
             up = turns.select(F.col("node").alias("label"), F.col("label").alias("up"))
             labels = written(labels.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")).unionByName(
-                turns.join(labels.select("node"), "node", "left_anti")))
+                turns.join(labels.select("node"), "node", "left_anti")), nodes)
         for side in ("a", "b"):
             crossing = crossing.join(turns.select(F.col("node").alias(side), F.col("label").alias("_to")), side).drop(side).withColumnRenamed("_to", side)
-        crossing = written(crossing.select("a", "b").where("a <> b").distinct())
+        crossing = written(crossing.select("a", "b").where("a <> b").distinct(), rows)
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
 
 
-def _relabelled(state: DataFrame, links: DataFrame) -> DataFrame:
+def _relabelled(state: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """state (node, label) after the components along links (nodes a, b) have met."""
     names = state.select(F.col("node").alias("a"), F.col("label").alias("la"))
     others = state.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    merged = contracted(links.join(names, "a").join(others, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    merged = contracted(links.join(names, "a").join(others, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")), links.count())
     up = merged.select(F.col("node").alias("label"), F.col("label").alias("up"))
-    return written(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+    return written(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), rows)
 
 
 def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -181,11 +181,13 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     classes = pinned(tied(full.select("doc_id", *keys), keys, "doc_id").select("doc_id", "n_shingles", F.col("first").alias("node")))
 
     heads = classes.where("doc_id = node").select("node")
-    entries = full.select(F.col("doc_id").alias("node"), "bands").join(heads, "node").select(
-        "node", F.posexplode("bands").alias("band", "bucket"))
+    entries = full.select(F.col("doc_id").alias("node"), "n_shingles", "bands").join(heads, "node").select(
+        "node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
     shared = pinned(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"))
-    members = pinned(entries.join(shared, "bucket").select("bucket", "node", "band"))
-    state = written(members.select("node").distinct().select("node", F.col("node").alias("label")))
+    members = pinned(entries.join(shared, "bucket").select("bucket", "node", "n", "band"))
+    rows = members.count()
+    state = written(members.select("node").distinct().select("node", F.col("node").alias("label")), rows // FIRST_BANDS)
+    n_nodes = state.count()
     packed = pinned(texts.where("doc_id is not null").mapInArrow(_shrunk, "doc_id long, blob binary").join(
         state.select(F.col("node").alias("doc_id")), "doc_id"))
 
@@ -193,30 +195,33 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     members = members.withColumn("skip", F.col("band") >= FIRST_BANDS).drop("band")
     while True:
         sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) if turn else state.select("label", F.lit(1).cast("long").alias("n_label"))
-        placed = written(members.join(state, "node").join(sizes, "label").select("bucket", "node", "label", "n_label", "skip"))
+        placed = written(members.join(state, "node").join(sizes, "label").select("bucket", "node", "n", "label", "n_label", "skip"), rows)
+        rows = placed.count()
         now = placed if turn else placed.where("not skip")
         slots = min(MOST_HUBS, HUBS << turn - 1) if turn else 1
         hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.min(F.struct("n_label", "node", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+            F.min(F.struct("n_label", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         stars = written(hubs.groupBy("bucket").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"))
+            F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"), rows)
         if turn and stars.isEmpty():
             break
         around = now.join(stars, "bucket")
-        hub = F.explode(F.filter("hubs", lambda h: h["label"] != F.col("label"))).alias("hub")
+        # sets whose sizes are too far apart cannot be similar
+        apart = lambda h: (h["label"] != F.col("label")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))
+        hub = F.explode(F.filter("hubs", apart)).alias("hub")
         pairs = around.select("node", hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
         with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"))
+        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"), rows)
         links = tested.where("linked").select("a", "b")
         if not links.isEmpty():
-            state = _relabelled(state, links)
+            state = _relabelled(state, links, n_nodes)
         done = tested.where("not linked").select("a", "b")
         checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "skip")
+            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "skip")
         turn += 1
         released(docs.sparkSession)
 

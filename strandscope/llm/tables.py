@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, pinned
 
-__all__ = ["documents", "pinned", "released", "shared_folder", "table", "tied", "work_columns", "written"]
+__all__ = ["documents", "dropped", "pinned", "released", "shared_folder", "table", "tied", "work_columns", "written"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -18,12 +18,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
+FILE_ROWS = 20_000
 
-def written(df: DataFrame) -> DataFrame:
+
+def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose doc_id is not among the ids of `gone`."""
+    ids = gone.select(F.col("doc_id").alias("gone_id"))
+    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """`df` as a table in the shared folder. Unlike a checkpoint it does not carry the constraints that
-    the optimiser has inferred, whose number would double in every round of a loop."""
+    the optimiser has inferred, whose number would double in every round of a loop. `rows`, a bound on
+    its size where one is known, keeps a small table from being cut into many files."""
     folder = shared_folder(df.sparkSession, "round")
-    df.write.parquet(folder)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
