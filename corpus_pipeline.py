@@ -8,18 +8,16 @@ run() does so in the shared folder.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandscope.llm import bpe, decontaminate, exact_dedup, language, near_dedup
 from strandscope.llm.queries import tokenizer_file
-from strandscope.llm.tables import shared_folder, table
+from strandscope.llm.tables import dropped, shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model, learnt from the labelled ones, does not reject."""
     model = language.fit_language_model(docs)
-    gone = language.identify(docs, model).where("rejected").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return dropped(docs, language.identify(docs, model).where("rejected"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +27,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similarity 0.8 of five-word shingles."""
-    gone = near_dedup.near_components(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return dropped(docs, near_dedup.near_components(docs, size=5, percent=80).where("not kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
