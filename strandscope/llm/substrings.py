@@ -305,7 +305,8 @@ def repeated_ranges(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]
     """((doc_id, start, n) byte ranges covered by strings that also start earlier, (doc_id, blob) texts)."""
     texts = work_columns(docs)
     packed = texts.mapInArrow(_shrunk, "doc_id long, blob binary")
-    rows = texts.where("text is not null").mapInArrow(lambda it: _first_pass(it, length), FIRST)
+    # dealt by gram, which serves both windows
+    rows = texts.where("text is not null").mapInArrow(lambda it: _first_pass(it, length), FIRST).repartition("gram")
     in_gram = Window.partitionBy("gram")
     in_stretch = Window.partitionBy("gram", "whole").orderBy("doc_id", "start")
     ordered = rows.withColumn("head", F.first(F.struct("doc_id", "start")).over(in_stretch)).withColumn("turn", F.row_number().over(in_stretch))
