@@ -10,8 +10,8 @@ The model that is sent to the tasks is bounded: contexts of two or more bytes se
 share, per parent, one child OTHER (byte 192, never part of UTF-8 either), and T is the smallest power
 of two for which at most MAX_GRAMS strings lie under the deepest contexts. Every string is still counted.
 
-The word base (add one over words and one end per text) takes the counts of the MAX_WORDS most frequent
-words from a broadcast table and those of all other words by a join.
+The word base (add one over words and one end per text) takes the counts of the most frequent words, at
+most MAX_WORDS, from a broadcast table and those of all other words by a join.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .text import Block, Words, blocks
 
 DEPTH = 5
 END, OTHER = 0xFF, 0xC0
-MAX_GRAMS = 1_000_000
-MAX_WORDS = 1 << 17
+MAX_GRAMS = 500_000
+MAX_WORDS = 1 << 18
 END_WORD = np.array([0x0E4D], np.uint64)
 
 
@@ -118,6 +118,7 @@ class ContextTrees:
             for d in range(depth, -1, -1):
                 key = self._key(d, context, node)
                 names, where = np.unique(key, return_inverse=True)
+                where = where.astype(np.int32)
                 n1 = np.bincount(where, counts * one, len(names))
                 n0 = np.bincount(where, counts, len(names)) - n1
                 own = log_kt(n0, n1)
@@ -125,7 +126,7 @@ class ContextTrees:
                     weighted, beta = own, np.full(len(names), np.inf)
                 else:
                     child_where, child_weighted = below
-                    parent = np.empty(len(child_weighted), np.int64)
+                    parent = np.empty(len(child_weighted), np.int32)
                     parent[child_where] = where
                     split = np.bincount(parent, child_weighted, len(names))
                     beta = np.exp(np.clip(own - split, -60, 60))
@@ -210,16 +211,21 @@ def _byte_context(d: int):
     return F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
 
 
+def _least_power(counts: DataFrame, size: str, weight: str, most: int) -> int:
+    """The smallest p for which rows with `size` >= 2 ** p have a total `weight` of at most `most`."""
+    by_power = counts.groupBy(F.floor(F.log2(size)).cast("int").alias("power")).agg(F.sum(weight).alias("w")).orderBy(F.desc("power")).collect()
+    held = 0
+    for row in by_power:  # at most 64 rows
+        held += row["w"]
+        if held > most:
+            return row["power"] + 1
+    return 0
+
+
 def fit_trees(strings: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> ContextTrees:
     """From (key, n): all strings of the training texts and their counts."""
     deepest = strings.groupBy(_byte_context(depth).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams"))
-    by_size = deepest.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum("grams").alias("grams")).orderBy(F.desc("power")).collect()
-    power, held = 0, 0
-    for row in by_size:  # at most 64 rows
-        held += row["grams"]
-        if held > max_grams:
-            power = row["power"] + 1
-            break
+    power = _least_power(deepest, "n", "grams", max_grams)
     kept = {}
     for d in range(2, depth + 1):
         names = strings.groupBy(_byte_context(d).alias("c")).agg(F.sum("n").alias("n")).where(F.col("n") >= (1 << power)).select("c")
@@ -279,7 +285,8 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH, max_words: int =
                     .groupBy("kind", "key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
     words = counts.where("kind = 0")
     totals = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
-    top = words.orderBy(F.desc("n_all"), "key").limit(max_words).select("key", "n_train").toArrow()
+    power = _least_power(words.withColumn("one", F.lit(1)), "n_all", "one", max_words)
+    top = words.where(F.col("n_all") >= (1 << power)).select("key", "n_train").toArrow()
     key, n = np.asarray(top["key"]).astype(np.int64).view(np.uint64), np.asarray(top["n_train"]).astype(np.int64)
     order = np.argsort(key)
     key, n = key[order], n[order]
