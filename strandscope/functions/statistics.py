@@ -72,17 +72,3 @@ def exact_interval_column(k, n, level: float = 0.95):
         return pd.DataFrame(pairs, columns=["lo", "hi"])
 
     return interval(k, n)
-
-
-def draw_rows(seed: int, n: int, first: int, last: int):
-    """Rows first..last-1 of the (draws x n) matrix of cluster picks of one seeded stream."""
-    rng = np.random.default_rng(seed)
-    step = max(1, 4_000_000 // max(n, 1))
-    at = 0
-    while at < last:
-        take = min(step, last - at)
-        block = rng.integers(0, n, size=(take, n))
-        for i in range(take):
-            if at + i >= first:
-                yield at + i, block[i]
-        at += take

@@ -15,7 +15,6 @@ from .ordered import numbered
 # Acute infarction statement numbers.
 ACUTE_STATEMENTS = (821, 822, 823, 827, 829, 902, 903, 904, 963, 964, 965, 966, 967, 968)
 TRAIN_FOLDS, VALIDATION_FOLD, TEST_FOLD = (1, 2, 3, 4, 5, 6, 7, 8), 9, 10  # fixed values
-PERMUTATION_LIMIT = 20_000_000
 
 
 def superclasses(codes: DataFrame, statements: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -120,29 +119,11 @@ def replaced(table: DataFrame, new_rows: DataFrame, keys: Sequence[str]) -> Data
 
 
 def crossval_folds(ids: DataFrame, key: str, seed: int = 12345, n_splits: int = 5) -> DataFrame:
-    """Validation fold of each id: ids in order, shuffled once by a seeded generator, cut in equal parts.
-
-    The shuffle of the positions is drawn by one task up to PERMUTATION_LIMIT ids; beyond
-    that the ids are put in order of a seeded hash instead, which is as even but another draw.
-    """
-    rows = pinned(numbered(ids.select(key).distinct(), [], [key]))
-    head = rows.select("rn_total").first()
+    """Validation fold of each id: ids in the order of MD5(seed:id), cut in equal parts."""
+    mixed = ids.select(key).distinct().withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    placed = pinned(numbered(mixed, [], ["_h", key]).withColumn("place", F.col("rn") - 1))
+    head = placed.select("rn_total").first()
     n = int(head[0]) if head else 0
-    if n <= PERMUTATION_LIMIT:
-        def shuffle(batches):
-            for batch in batches:
-                for _ in range(len(batch)):
-                    order = np.arange(n)
-                    np.random.RandomState(seed).shuffle(order)
-                    for at in range(0, n, 100_000):
-                        part = order[at:at + 100_000]
-                        yield pd.DataFrame({"rn": part + 1, "place": np.arange(at, at + part.size)})
-
-        places = ids.sparkSession.range(0, 1, 1, 1).mapInPandas(shuffle, "rn bigint, place bigint")
-        placed = rows.join(places, "rn")
-    else:
-        mixed = rows.select(key, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"))
-        placed = numbered(mixed, [], ["_h", key]).withColumn("place", F.col("rn") - 1)
     base, longer = divmod(n, n_splits)
     cut = longer * (base + 1)
     fold = F.when(F.col("place") < cut, F.floor(F.col("place") / (base + 1))).otherwise(

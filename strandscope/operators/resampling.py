@@ -2,64 +2,39 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, inverse_logistic_at, ratio
-from ..functions.statistics import draw_rows, exact_interval_column
+from ..functions.statistics import exact_interval_column
 from ..session import pinned
 from .agreement import equal_weights, kappa
 from .ordered import beside, numbered, running_totals
 from .quantiles import exact_quantiles
 
-STREAM_LIMIT = 50_000_000  # picks up to which every task can afford to replay the one seeded stream
-BLOCK = 1_000_000  # clusters per block beyond it
 ROWS_PER_SALT = 200_000
+PICKS_PER_TASK = 5_000_000
+
+
+def seeded_pick(n, seed: int, *place):
+    """A number from 0 to n - 1 that the seed and a place (columns) fix: 48 bits of their MD5 as a share of n."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(p).cast("string") for p in place]).cast("binary"))
+    return F.floor(F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48)) * n).cast("bigint")
 
 
 def cluster_picks(spark: SparkSession, n_clusters: int, n_boot: int, seed: int) -> DataFrame:
     """(draw, cluster, times): how often each cluster is drawn, with replacement.
 
-    Up to STREAM_LIMIT picks the draws are those of one seeded generator, pick for pick.
-    Beyond that each (draw, block of clusters) has its own generator: the same
-    distribution, made without any task holding a whole draw.
+    Slot s of draw d has the cluster that MD5 of (seed, d, s) points at, whatever the number of either.
     """
-    schema = "draw int, cluster bigint, times int"
-    if n_clusters * n_boot <= STREAM_LIMIT:
-        width = max(1, math.ceil(n_boot / 16))
-
-        def replay(batches):
-            for batch in batches:
-                for block in batch["id"]:
-                    first, last = int(block) * width, min((int(block) + 1) * width, n_boot)
-                    for draw, picks in draw_rows(seed, n_clusters, first, last):
-                        times = np.bincount(picks, minlength=n_clusters)
-                        kept = np.flatnonzero(times)
-                        yield pd.DataFrame({"draw": draw, "cluster": kept, "times": times[kept]})
-
-        blocks = math.ceil(n_boot / width)
-        return spark.range(0, blocks, 1, blocks).mapInPandas(replay, schema)
-
-    n_blocks = math.ceil(n_clusters / BLOCK)
-
-    def spread(batches):
-        sizes = np.full(n_blocks, BLOCK)
-        sizes[-1] = n_clusters - BLOCK * (n_blocks - 1)
-        for batch in batches:
-            for item in batch["id"]:
-                draw, block = divmod(int(item), n_blocks)
-                share = np.random.default_rng([seed, draw]).multinomial(n_clusters, sizes / n_clusters)
-                picks = np.random.default_rng([seed, draw, block + 1]).integers(0, sizes[block], share[block])
-                times = np.bincount(picks, minlength=int(sizes[block]))
-                kept = np.flatnonzero(times)
-                yield pd.DataFrame({"draw": draw, "cluster": kept + block * BLOCK, "times": times[kept]})
-
-    return spark.range(0, n_boot * n_blocks).mapInPandas(spread, schema)
+    picks = n_clusters * n_boot
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, picks // 10_000), -(-picks // PICKS_PER_TASK))
+    slots = spark.range(0, picks, 1, tasks).select(
+        F.floor(F.col("id") / F.lit(max(n_clusters, 1))).cast("int").alias("draw"), (F.col("id") % max(n_clusters, 1)).alias("slot"))
+    return slots.groupBy("draw", seeded_pick(F.lit(float(n_clusters)), seed, "draw", "slot").alias("cluster")).agg(
+        F.count(F.lit(1)).cast("int").alias("times"))
 
 
 def _indexed(df: DataFrame, cluster: str) -> tuple[DataFrame, int]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.statistics import exact_interval_column
 from ..operators import agreement, pairing, resampling
-from .fixtures import rounded
-from .pair_queries import _runs
+from .fixtures import READ_SQL, rounded
+from .pair_queries import RUNS_SQL, _runs
 from .registry import query, table
 
 CLASSES = ("CD", "HYP", "MI", "NORM", "STTC")  # fixed values, in class order
@@ -279,7 +279,23 @@ def rank_sum_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(agreement.auroc_pair_p(per_record, "min_margin_ref", "g"), 6, "u", "z")
 
 
-@query("bootstrap_median_delta")
+# Slot s of draw d: a number below m from MD5 of seed, draw and slot.
+PICK_SQL = """floor(('0x' || substr(md5('0:' || d || ':' || s), 1, 12))::BIGINT::DOUBLE / 281474976710656::DOUBLE * m::DOUBLE)::BIGINT"""
+
+
+def _median_sql(n_boot: int, digits: int) -> str:
+    """Over v(record, delta): its median and the interval of the medians of n_boot cluster draws."""
+    return f"""idx AS (SELECT record, row_number() OVER (ORDER BY record) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT record FROM v)),
+picks AS (SELECT d, {PICK_SQL} AS k FROM (SELECT r.d, i.k AS s, i.m FROM range({n_boot}) r(d) CROSS JOIN idx i)),
+meds AS (SELECT d, median(delta) AS med FROM picks JOIN idx USING (k) JOIN v USING (record) GROUP BY d)
+SELECT (SELECT count(DISTINCT record) FROM v) AS n_clusters, (SELECT count(delta) FROM v) AS n_rows,
+       round((SELECT median(delta) FROM v), {digits}) AS median, round(quantile_cont(med, 0.025), {digits}) AS lo,
+       round(quantile_cont(med, 0.975), {digits}) AS hi FROM meds"""
+
+
+@query("bootstrap_median_delta", f"""WITH {READ_SQL},
+v AS (SELECT record, est - ref AS delta FROM pairs WHERE ref IS NOT NULL AND est IS NOT NULL),
+{_median_sql(200, 6)}""")
 def bootstrap_median_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fixtures import daily, reading
 
@@ -290,7 +306,18 @@ def bootstrap_median_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.bootstrap_median(paired, "record", "delta", n_boot=200, seed=0), 6, "median", "lo", "hi")
 
 
-@query("bootstrap_kappa")
+DRAWN_SQL = f"""idx AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS k, count(*) OVER () AS m FROM each),
+picks AS (SELECT d, {PICK_SQL} AS k FROM (SELECT r.d, i.k AS s, i.m FROM range(500) r(d) CROSS JOIN idx i)),
+tot AS (SELECT d, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(flips) AS flips, sum(dp) AS dp, sum(anyf) AS anyf, sum(one) AS one
+        FROM picks JOIN idx USING (k) GROUP BY d),
+stat AS (SELECT *, CASE WHEN pe >= 1 - 1e-12 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM (
+  SELECT *, a / n * (b / n) + (1 - a / n) * (1 - b / n) AS pe, (n - flips) / n AS po FROM tot))"""
+
+
+@query("bootstrap_kappa", f"""WITH {LOGITS_SQL},
+each AS (SELECT record AS cluster, count(*)::DOUBLE AS n, sum(dec_ref::INT) AS a, sum(dec_test::INT) AS b, sum(flip::INT) AS flips,
+                0.0 AS dp, 0.0 AS anyf, 1.0 AS one FROM dec GROUP BY 1), {DRAWN_SQL}
+SELECT round(quantile_cont(kappa, 0.025), 6) AS lo, round(quantile_cont(kappa, 0.975), 6) AS hi, count(*) AS n_valid FROM stat""")
 def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decided(spark, sf_dir).select(
         "record", F.lit(1.0).alias("n"), F.col("dec_ref").cast("double").alias("a"),
@@ -300,13 +327,33 @@ def bootstrap_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(resampling.percentile_interval(draws, "kappa"), 6, "lo", "hi")
 
 
-@query("decision_intervals")
+@query("decision_intervals", f"""WITH {LOGITS_SQL},
+rec AS (SELECT record, label AS cluster, count(*)::DOUBLE AS n, sum(dec_ref::INT)::DOUBLE AS a, sum(dec_test::INT)::DOUBLE AS b,
+               sum(flip::INT)::DOUBLE AS flips, sum(abs_dp) AS dp, max(flip::INT)::DOUBLE AS anyf, 1.0::DOUBLE AS one FROM dec GROUP BY 1, 2),
+each AS (SELECT cluster, sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(flips) AS flips, sum(dp) AS dp, sum(anyf) AS anyf, sum(one) AS one FROM rec GROUP BY 1),
+{DRAWN_SQL},
+pt AS (SELECT *, CASE WHEN pe >= 1 - 1e-12 THEN 1.0 ELSE (po - pe) / (1 - pe) END AS kappa FROM (
+  SELECT *, a / n * (b / n) + (1 - a / n) * (1 - b / n) AS pe, (n - flips) / n AS po FROM (
+    SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(flips) AS flips, sum(dp) AS dp, sum(anyf) AS anyf, sum(one) AS one FROM each)))
+SELECT pt.one::BIGINT AS n_records, pt.flips::BIGINT AS n_flips, NOT pt.flips > 0 AS degenerate, round(pt.kappa, 6) AS kappa,
+       {", ".join(f"CASE WHEN pt.flips > 0 OR '{c}' = 'mean_abs_dp' THEN round(q.{c}_{e}, 6) END AS {c}_{e}" for c in ("kappa", "flip_rate", "record_flip_rate", "mean_abs_dp") for e in ("lo", "hi"))},
+       round(pt.flips / pt.n, 6) AS flip_rate, round(pt.anyf / pt.one, 6) AS record_flip_rate, round(pt.dp / pt.n, 6) AS mean_abs_dp
+FROM pt, (SELECT {", ".join(f"quantile_cont({x}, {p}) AS {c}_{e}" for c, x in (("kappa", "kappa"), ("flip_rate", "flips / n"), ("record_flip_rate", "anyf / one"), ("mean_abs_dp", "dp / n")) for e, p in (("lo", 0.025), ("hi", 0.975)))} FROM stat) q""")
 def decision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.decision_intervals(decided(spark, sf_dir), n_boot=500, seed=0, cluster="label")
+    out = out.drop("record_flip_exact_lo", "record_flip_exact_hi")  # query exact_binomial_interval has these
     return rounded(out, 6, *[c for c in out.columns if c not in ("n_records", "n_flips", "degenerate")])
 
 
-@query("bootstrap_auroc_interval")
+@query("bootstrap_auroc_interval", f"""WITH sc AS (
+  SELECT l.doc_id, d.lang, d.n_chars AS v, (l.quality = 1)::INT AS p FROM labels l JOIN documents d USING (doc_id)),
+idx AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS m FROM (SELECT DISTINCT doc_id FROM sc)),
+picks AS (SELECT d, {PICK_SQL} AS k FROM (SELECT r.d, i.k AS s, i.m FROM range(100) r(d) CROSS JOIN idx i)),
+rung AS (SELECT d, lang, v, sum(p) AS p, sum(1 - p) AS q FROM picks JOIN idx USING (k) JOIN sc USING (doc_id) GROUP BY ALL),
+lad AS (SELECT *, sum(q) OVER (PARTITION BY d, lang ORDER BY v) - q + q / 2.0 AS below FROM rung),
+au AS (SELECT d, lang, sum(p * below) / nullif(sum(p) * sum(q), 0)::DOUBLE AS auroc FROM lad GROUP BY d, lang)
+SELECT lang, round(quantile_cont(auroc, 0.025), 6) AS lo, round(quantile_cont(auroc, 0.975), 6) AS hi, count(auroc) AS n_valid
+FROM au GROUP BY lang""")
 def bootstrap_auroc_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "labels").join(
         table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
@@ -325,7 +372,7 @@ def flip_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "x_min", "x_max", "intercept", "slope", "x_at_p0_05", "x_at_p0_1")
 
 
-@query("bootstrap_price_delta")
+@query("bootstrap_price_delta", f"""WITH {RUNS_SQL}, v AS (SELECT record, delta FROM p), {_median_sql(20, 4)}""")
 def bootstrap_price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster bootstrap of the price deltas with the order as the cluster."""
     paired = pairing.pair_runs(*_runs(spark, sf_dir))

@@ -419,7 +419,12 @@ def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labels.best_configuration(scores, "name", "score", "ord"), 6, "score")
 
 
-@query("crossval_folds")
+@query("crossval_folds", """
+WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('12345:' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n
+           FROM (SELECT DISTINCT doc_id FROM documents)),
+c AS (SELECT *, n // 5 AS base, n % 5 AS longer FROM o)
+SELECT doc_id, CAST(CASE WHEN place < longer * (base + 1) THEN place // (base + 1)
+                         ELSE longer + (place - longer * (base + 1)) // greatest(base, 1) END AS INTEGER) AS fold FROM c""")
 def crossval_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.crossval_folds(table(spark, sf_dir, "documents"), "doc_id")
 
