@@ -31,6 +31,7 @@ DEPTH = 5
 END, OTHER = 0xFF, 0xC0
 MAX_GRAMS = 500_000
 MAX_WORDS = 1 << 18
+WALK = 100_000
 END_WORD = np.array([0x0E4D], np.uint64)
 
 
@@ -158,18 +159,25 @@ class ContextTrees:
 
     def log10_of(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each string in its context."""
-        out = np.zeros(len(codes))
-        if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
-            seen = self.grams[at] == codes
-            out[seen] = self.log10[at[seen]]
-        else:
-            seen = np.zeros(len(codes), bool)
-        if not seen.all():
-            rest = self.canonical(codes[~seen])
-            out[~seen] = self._walk(rest)
+        out, open_ = self._seen(codes)
+        if len(open_):
+            names, where = np.unique(self.canonical(codes[open_]), return_inverse=True)
+            values, rest = self._seen(names)
+            for low in range(0, len(rest), WALK):
+                values[rest[low:low + WALK]] = self._walk(names[rest[low:low + WALK]])
+            out[open_] = values[where]
         return out
 
+    def _seen(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the strings that the model holds, places of the others."""
+        out = np.zeros(len(codes))
+        if not len(self.grams):
+            return out, np.arange(len(codes))
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        seen = self.grams[at] == codes
+        out[seen] = self.log10[at[seen]]
+        return out, np.flatnonzero(~seen)
+
     def _walk(self, codes: np.ndarray) -> np.ndarray:
         """Decision by decision; a node without counts says one half."""
         if not len(self.keys):

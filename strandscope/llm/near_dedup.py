@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import pinned, released, tied, work_columns, written
-from .text import BLOCK_ROWS, Block, Words, blocks, mixed, shingles
+from .text import BLOCK_BYTES, BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
@@ -81,7 +81,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for block, rows in blocks(batches):
+    for block, rows in blocks(batches, size=BLOCK_BYTES // 2):
         docs, hashes = shingle_sets(block, size)
         n = np.bincount(docs, minlength=len(block)).astype(np.int64)
         wide = mixed(hashes + np.uint64(1))
@@ -111,7 +111,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
         linked = []
         while low < len(left):
             high, held, texts = low, 0, []
-            while high < len(left) and (high == low or held < 2_000_000) and 2 * (high - low) < BLOCK_ROWS:
+            while high < len(left) and (high == low or held < BLOCK_BYTES // 2) and 2 * (high - low) < BLOCK_ROWS:
                 texts += [unpack.decompress(left[high]), unpack.decompress(right[high])]
                 held += len(texts[-1]) + len(texts[-2])
                 high += 1
