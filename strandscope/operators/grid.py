@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -25,76 +23,56 @@ def _first_column(lead: Column) -> Column:
     return F.try_element_at(table, lead)
 
 
-GRID_SCHEMA = "g0 double, pitch double, residual double, long_leads array<string>, reason string"
-OFF_GRID = "column edges are off the grid"
-LOST_COLUMN = "a column has all its edges off the grid"
-
-
-def _page_grid(names, left, width, height: float, tolerance: float, page_pitch: bool) -> dict:
-    """Column grid of one page from its lead boxes, twelve at most."""
-    out = dict.fromkeys(("g0", "pitch", "residual"), None) | {"long_leads": [], "reason": None}
-    if names.size == 0:
-        return out | {"reason": "no leads found"}
-    typical = np.median(width)
-    strip = width >= 2 * typical
-    out["long_leads"] = sorted(names[strip])
-    if not strip.any():
-        return out | {"reason": "no rhythm strip found"}
-    if width[strip].min() < (dims.N_COLUMNS - 0.5) * typical:
-        return out | {"reason": "rhythm strip does not span all columns"}
-    column = np.array([dims.COLUMN.get(n, -1) for n in names])
-    if (column[~strip] < 0).any():
-        return out | {"reason": "unknown lead"}
-    if np.unique(column[~strip]).size < dims.N_COLUMNS:
-        return out | {"reason": "not every column has a short lead"}
-    begin = np.where(strip, 0, column)
-    end = np.where(strip, dims.N_COLUMNS, column + 1)
-    place, edge = np.r_[begin, end].astype(float), np.r_[left, left + width]
-    opening = np.arange(place.size) < names.size
-    apart = place[:, None] < place[None, :]
-    robust = np.median(((edge[None, :] - edge[:, None])[apart]) / (place[None, :] - place[:, None])[apart])
-    rest = edge - place * robust
-    inlier = np.abs(rest - np.median(rest)) <= tolerance * robust
-    points = []
-    for side, places, pick in ((opening, range(dims.N_COLUMNS), np.min), (~opening, range(1, dims.N_COLUMNS + 1), np.max)):
-        for p in places:
-            found = edge[inlier & side & (place == p)]
-            if found.size == 0:
-                return out | {"reason": LOST_COLUMN}
-            points.append((p, pick(found)))
-    b, x = np.array(points, dtype=float).T
-    pitch = float(((b - b.mean()) * (x - x.mean())).sum() / ((b - b.mean()) ** 2).sum())
-    printed = height * dims.MM_PER_COLUMN / dims.PAGE_HEIGHT_MM
-    if page_pitch and abs(pitch - printed) <= PAGE_PITCH_TOLERANCE * printed:
-        pitch = printed
-    g0 = float(np.mean(x - b * pitch))
-    out["residual"] = float(np.abs(x - g0 - b * pitch).max())
-    if out["residual"] > tolerance * pitch:
-        return out | {"reason": OFF_GRID}
-    return out | {"g0": g0, "pitch": pitch}
+# Why a page has no grid.
+NO_BOXES, NO_STRIP, SHORT_STRIP, FOREIGN_LEAD = "no_boxes", "no_strip", "short_strip", "foreign_lead"
+BARE_COLUMN, EDGES_LOST, EDGES_OFF = "bare_column", "edges_lost", "edges_off"
 
 
 def fit_column_grid(leads: DataFrame, heights: DataFrame, tolerance: float = GRID_TOLERANCE,
                     page_pitch: bool = True) -> DataFrame:
     """Left edge `g0` and column width `pitch` of each page from the boxes of its leads.
 
-    `leads` has boxes (record, lead, x1, width); `heights` the page height. One box per
-    lead is kept, so a page is one row with a short array and the robust fit runs Arrow
-    batch by Arrow batch without another shuffle. Where it fails, `reason` says why.
+    `leads` has boxes (record, lead, x1, width); `heights` the page height. The pitch is the median
+    slope between edges of different columns, edges within the tolerance of it count, the outermost
+    of each column side give a least-squares line. `reason` says why not. A page has twelve boxes at
+    most, so its medians are plain aggregates; every step groups by the record, which is dealt once.
     """
-    boxes = leads.groupBy("record", "lead").agg(
-        F.min("x1").cast("double").alias("x1"), F.max("width").cast("double").alias("width"))
-    known = boxes.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("lead", "x1", "width"))).alias("boxes"))
-    empty = F.array().cast("array<struct<lead:string,x1:double,width:double>>")
-    pages = heights.join(known, "record", "left").withColumn("boxes", F.coalesce("boxes", empty))
-
-    @F.pandas_udf(GRID_SCHEMA)
-    def fit(names: pd.Series, left: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_page_grid(*page, tolerance, page_pitch) for page in zip(names, left, width, height)],
-                            columns=["g0", "pitch", "residual", "long_leads", "reason"])
-
-    found = fit(F.col("boxes.lead"), F.col("boxes.x1"), F.col("boxes.width"), F.col("height").cast("double"))
-    return pages.select("record", found.alias("g")).select("record", "g.*")
+    last, page = dims.N_COLUMNS, Window.partitionBy("record")
+    boxes = leads.groupBy("record", "lead").agg(F.min("x1").cast("double").alias("x1"), F.max("width").cast("double").alias("width"))
+    boxes = boxes.withColumn("column", F.coalesce(_first_column(F.col("lead")), F.lit(-1)).cast("double"))
+    boxes = boxes.withColumn("typical", F.percentile("width", 0.5).over(page)).withColumn("strip", F.col("width") >= 2 * F.col("typical"))
+    layout = boxes.groupBy("record").agg(
+        F.count_if("strip").alias("strips"), F.count_if(F.col("strip") & (F.col("width") < (last - 0.5) * F.col("typical"))).alias("partial"),
+        F.count_if(~F.col("strip") & (F.col("column") < 0)).alias("foreign"), F.countDistinct(F.when(~F.col("strip"), F.col("column"))).alias("columns"),
+        F.sort_array(F.collect_list(F.when(F.col("strip"), F.col("lead")))).alias("long_leads"))
+    sides = F.array(F.struct(F.when(F.col("strip"), 0.0).otherwise(F.col("column")).alias("place"), F.col("x1").alias("x"), F.lit(0).alias("side")),
+                    F.struct(F.when(F.col("strip"), float(last)).otherwise(F.col("column") + 1).alias("place"),
+                             (F.col("x1") + F.col("width")).alias("x"), F.lit(1).alias("side")))
+    edges = boxes.select("record", F.inline(sides))
+    later = edges.withColumn("all", F.collect_list(F.struct("place", "x")).over(page)).select(
+        "record", "place", "x", F.explode("all").alias("to")).where("to.place > place")
+    slopes = later.groupBy("record").agg(F.percentile((F.col("to.x") - F.col("x")) / (F.col("to.place") - F.col("place")), 0.5).alias("slope"))
+    edges = edges.join(slopes, "record").withColumn("rest", F.col("x") - F.col("place") * F.col("slope"))
+    near = edges.withColumn("start", F.percentile("rest", 0.5).over(page)).where(F.abs(F.col("rest") - F.col("start")) <= tolerance * F.col("slope"))
+    points = near.groupBy("record", "side", "place").agg(F.when(F.col("side") == 0, F.min("x")).otherwise(F.max("x")).alias("x"))
+    line = points.groupBy("record").agg(F.regr_slope("x", "place").alias("steep"), F.avg("x").alias("mean_x"), F.avg("place").alias("mean_place"),
+                                        F.count(F.lit(1)).alias("points"))
+    printed = F.col("height").cast("double") * dims.MM_PER_COLUMN / dims.PAGE_HEIGHT_MM
+    as_printed = F.lit(page_pitch) & (F.abs(F.col("steep") - printed) <= PAGE_PITCH_TOLERANCE * printed)
+    line = heights.join(line, "record").withColumn("pitch", F.when(as_printed, printed).otherwise(F.col("steep")))
+    line = line.withColumn("g0", F.col("mean_x") - F.col("mean_place") * F.col("pitch")).select("record", "g0", "pitch", "points")
+    off = points.join(line, "record").groupBy("record").agg(F.max(F.abs(F.col("x") - F.col("g0") - F.col("place") * F.col("pitch"))).alias("residual"))
+    pages = heights.select("record").join(layout, "record", "left").join(line, "record", "left").join(off, "record", "left")
+    shape = (F.when(F.col("strips").isNull(), NO_BOXES).when(F.col("strips") == 0, NO_STRIP).when(F.col("partial") > 0, SHORT_STRIP)
+             .when(F.col("foreign") > 0, FOREIGN_LEAD).when(F.col("columns") < last, BARE_COLUMN)
+             .when(F.coalesce("points", F.lit(0)) < 2 * last, EDGES_LOST))
+    pages = pages.withColumn("shape", shape)
+    pages = pages.withColumn("reason", F.coalesce("shape", F.when(F.col("residual") > tolerance * F.col("pitch"), EDGES_OFF)))
+    fine = F.col("reason").isNull()
+    return pages.select(
+        "record", F.when(fine, F.col("g0")).alias("g0"), F.when(fine, F.col("pitch")).alias("pitch"),
+        F.when(F.col("shape").isNull(), F.col("residual")).alias("residual"),
+        F.coalesce("long_leads", F.array().cast("array<string>")).alias("long_leads"), "reason")
 
 
 def rescued_grid(leads: DataFrame, heights: DataFrame, page_pitch: bool = True) -> DataFrame:
@@ -103,7 +81,7 @@ def rescued_grid(leads: DataFrame, heights: DataFrame, page_pitch: bool = True)
     again = fit_column_grid(leads, heights, RESCUE_TOLERANCE, page_pitch).select(
         "record", F.col("g0").alias("_g0"), F.col("pitch").alias("_p"), F.col("residual").alias("_r"),
         F.col("reason").alias("_why"))
-    retry = F.col("reason").isin(OFF_GRID, LOST_COLUMN)
+    retry = F.col("reason").isin(EDGES_OFF, EDGES_LOST)
     saved = F.coalesce(retry & F.col("_why").isNull(), F.lit(False))
     both = first.join(again, "record")
     return both.select(

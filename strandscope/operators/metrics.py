@@ -6,6 +6,7 @@ All power sums are plain aggregates, so they are combined before any shuffle.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,8 @@ from .quantiles import exact_quantiles
 
 INF = float("inf")
 PLACEMENTS = ("start", "window")  # fixed values, in order of preference
-KERNEL_SAMPLES = 200_000  # longest signal one task aligns in memory; longer ones are joined instead
+PAGE_SAMPLES = 5_000_000  # a signal of a page is far shorter; longer ones raise
+SHIFT_CELLS = 4_000_000  # differences held at once
 
 
 def sample_pairs(ref: DataFrame, est: DataFrame, keys: Sequence[str], t: str = "t", value: str = "mv") -> DataFrame:
@@ -107,65 +109,56 @@ def signed_correlation_index(pairs: DataFrame, keys: Sequence[str], beta: float
         F.avg(F.when(F.col("err") <= F.col("limit"), 1.0).otherwise(-1.0)).alias("asci"))
 
 
-def _best_shift(ref: np.ndarray, est: np.ndarray, max_shift: int) -> tuple[float, int, float]:
-    """Best (snr, shift, offset) of two equally long arrays; the earliest shift wins a tie."""
+def _over_shifts(ref: np.ndarray, est: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """SNR (NaN where undefined) and median offset for the shifts -reach..reach, many shifts at a time."""
     n = ref.size
-    best = (-np.inf, 0, np.nan)
-    reach = min(max_shift, n - 1)
-    for shift in range(-reach, reach + 1):
-        a = ref[max(-shift, 0): n - max(shift, 0)]
-        b = est[max(shift, 0): n - max(-shift, 0)]
-        in_ref = np.isfinite(a)
-        both = in_ref & np.isfinite(b)
-        count = int(both.sum())
-        if count < 2:
-            continue
-        x, d = a[both], b[both] - a[both]
-        offset = float(np.median(d))
-        noise = float(np.mean((d - offset) ** 2))
-        power = float(np.mean(x * x))
-        if noise == 0:
-            snr = np.inf
-        elif power > 0:
-            snr = 10 * np.log10(power / noise) * count / int(in_ref.sum())
-        else:
-            continue
-        if snr > best[0]:
-            best = (snr, shift, offset)
-    return best
-
-
-def aligned_snr(pairs: DataFrame, keys: Sequence[str], t: str = "t", max_shift: int = 50,
-                kernel_samples: int = KERNEL_SAMPLES) -> DataFrame:
+    seen = np.concatenate([[0], np.cumsum(np.isfinite(ref))])
+    moved = np.lib.stride_tricks.sliding_window_view(np.pad(est, reach, constant_values=np.nan), n)
+    power = np.where(np.isfinite(ref), ref * ref, 0.0)
+    shifts = np.arange(-reach, reach + 1)
+    overlap = seen[n - np.maximum(shifts, 0)] - seen[np.maximum(-shifts, 0)]
+    scores, offsets = [], []
+    for some in np.array_split(np.arange(shifts.size), -(-shifts.size * n // SHIFT_CELLS)):
+        gap = moved[some] - ref
+        used = np.isfinite(gap)
+        gap[~used] = np.nan
+        count = used.sum(1)
+        middle = np.nanmedian(gap, axis=1)
+        noise = np.nanmean((gap - middle[:, None]) ** 2, axis=1)
+        level = used @ power / count
+        score = np.where(noise == 0, np.inf, np.where(level > 0, 10 * np.log10(level / noise) * count / overlap[some], np.nan))
+        scores.append(np.where(count >= 2, score, np.nan))
+        offsets.append(middle)
+    return np.concatenate(scores), np.concatenate(offsets)
+
+
+def aligned_snr(pairs: DataFrame, keys: Sequence[str], t: str = "t", max_shift: int = 50) -> DataFrame:
     """Best SNR over integer shifts in +-max_shift after removing the median offset.
 
-    `pairs` holds samples on a 0-based grid. A positive shift compares ref[i] with
-    est[i + shift]. Signals up to `kernel_samples` are aligned by one task each; longer
-    ones go through joins and exact medians, so no signal is too long for a task.
+    `pairs` holds samples on a 0-based grid, at most PAGE_SAMPLES per signal. A positive shift compares
+    ref[i] with est[i + shift]; of equally good shifts the smallest counts.
     """
     keys = list(keys)
-    sizes = pairs.groupBy(*keys).agg(F.greatest(F.max(t) + 1, F.count(F.lit(1))).alias("_n"))
-    longest = sizes.agg(F.max("_n")).first()[0] or 0
-    if longest <= kernel_samples:
-        return _aligned_in_tasks(pairs, keys, t, max_shift)
-    sized = pairs.join(sizes, keys)
-    short = _aligned_in_tasks(sized.filter(F.col("_n") <= kernel_samples), keys, t, max_shift)
-    return short.unionByName(_aligned_by_joins(sized.filter(F.col("_n") > kernel_samples), keys, t, max_shift))
-
-
-def _aligned_in_tasks(pairs: DataFrame, keys: list[str], t: str, max_shift: int) -> DataFrame:
     fields = ", ".join(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys)
 
+    def search(at: np.ndarray, ref: np.ndarray, est: np.ndarray) -> tuple:
+        n = int(at.max()) + 1
+        if n > PAGE_SAMPLES:
+            raise ValueError(f"a signal of {n} samples is longer than a page")
+        x, y = np.full((2, n), np.nan)
+        x[at], y[at] = ref, est
+        reach = min(max_shift, n - 1)
+        with warnings.catch_warnings(), np.errstate(all="ignore"):
+            warnings.simplefilter("ignore", RuntimeWarning)  # shifts without a common sample
+            score, offset = _over_shifts(x, y, reach)
+        if np.isnan(score).all():
+            return None, 0, None
+        best = int(np.nanargmax(score))
+        return float(score[best]), best - reach, float(offset[best])
+
     def kernel(batches):
         for batch in batches:
-            rows = []
-            for at, ref, est in zip(batch["_t"], batch["_r"], batch["_e"]):
-                n = int(at.max()) + 1
-                x, y = np.full(n, np.nan), np.full(n, np.nan)
-                x[at], y[at] = ref, est
-                snr, shift, offset = _best_shift(x, y, max_shift)
-                found = snr > -np.inf
-                rows.append((snr if found else None, shift, offset if found else None))
+            rows = [search(*signal) for signal in zip(batch["_t"], batch["_r"], batch["_e"])]
             yield batch[keys].assign(**dict(zip(("snr_aligned", "shift", "offset"), zip(*rows))))
 
     nan = F.lit(float("nan"))
@@ -175,33 +168,6 @@ def _aligned_in_tasks(pairs: DataFrame, keys: list[str], t: str, max_shift: int)
     return arrays.mapInPandas(kernel, f"{fields}, snr_aligned double, shift int, offset double")
 
 
-def _aligned_by_joins(pairs: DataFrame, keys: list[str], t: str, max_shift: int) -> DataFrame:
-    sized = pairs.join(pairs.groupBy(*keys).agg((F.max(t) + 1).alias("_len")), keys)
-    shifts = F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift)))
-    reach = F.abs("shift") <= F.col("_len") - 1
-    ref = sized.filter(F.col("ref").isNotNull()).select(
-        *keys, "_len", F.col(t).alias("_i"), "ref", shifts.alias("shift")).filter(reach)
-    other = F.col("_i") + F.col("shift")
-    ref = ref.filter((other >= 0) & (other < F.col("_len")))
-    est = sized.filter(F.col("est").isNotNull()).select(*keys, F.col(t).alias("_j"), "est")
-    moved = est.select(*keys, "_j", "est", shifts.alias("shift")).withColumn("_i", F.col("_j") - F.col("shift"))
-    both = ref.join(moved.drop("_j"), [*keys, "shift", "_i"], "left").withColumn("_d", F.col("est") - F.col("ref"))
-    offsets = exact_quantiles(both, [*keys, "shift"], {"offset": "_d"}).withColumnRenamed("offset_median", "offset")
-    rest = F.col("_d") - F.col("offset")
-    per_shift = (both.join(offsets, [*keys, "shift"]).groupBy(*keys, "shift").agg(
-        F.first("offset").alias("offset"), F.count("ref").alias("n_ref"), F.count("_d").alias("n_both"),
-        F.avg(F.when(F.col("_d").isNotNull(), F.col("ref") * F.col("ref"))).alias("ps"),
-        F.avg(rest * rest).alias("pn")))
-    scored = (per_shift.withColumn("snr", decibel("ps", "pn") * ratio("n_both", "n_ref"))
-              .filter((F.col("n_both") >= 2) & F.col("snr").isNotNull()))
-    best = scored.groupBy(*keys).agg(F.max(F.struct(
-        "snr", (-F.col("shift")).alias("early"), "shift", "offset")).alias("b"))
-    everyone = pairs.select(*keys).distinct()
-    return everyone.join(best, keys, "left").select(
-        *keys, F.col("b.snr").alias("snr_aligned"), F.coalesce("b.shift", F.lit(0)).cast("int").alias("shift"),
-        F.col("b.offset").alias("offset"))
-
-
 def evaluate_signals(ref: DataFrame, est: DataFrame, keys: Sequence[str] = ("record", "lead"),
                      placement: str = "auto", max_shift: int = 50) -> DataFrame:
     """One row of metrics per reference signal.

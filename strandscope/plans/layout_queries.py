@@ -60,17 +60,17 @@ def _grid_sql(tolerance: float, prefix: str) -> str:
                count(DISTINCT c) FILTER (WHERE NOT is_long) AS n_cols,
                string_agg(lead, ',' ORDER BY lead) FILTER (WHERE is_long) AS long_leads FROM {p}lw GROUP BY record),
 {p}out AS (SELECT hts.record, g0, pitch, residual, coalesce(long_leads, '') AS long_leads,
-               CASE WHEN {p}w.record IS NULL THEN 'no leads found' WHEN n_long = 0 THEN 'no rhythm strip found'
-                    WHEN partial THEN 'rhythm strip does not span all columns'
-                    WHEN n_cols < 4 THEN 'not every column has a short lead'
-                    WHEN coalesce(n, 0) < 8 THEN 'a column has all its edges off the grid'
-                    WHEN residual > {tolerance} * pitch THEN 'column edges are off the grid' END AS reason
+               CASE WHEN {p}w.record IS NULL THEN 'no_boxes' WHEN n_long = 0 THEN 'no_strip'
+                    WHEN partial THEN 'short_strip'
+                    WHEN n_cols < 4 THEN 'bare_column'
+                    WHEN coalesce(n, 0) < 8 THEN 'edges_lost'
+                    WHEN residual > {tolerance} * pitch THEN 'edges_off' END AS reason
         FROM hts LEFT JOIN {p}w USING (record) LEFT JOIN {p}r USING (record))"""
 
 
 @query("fit_column_grid", f"""WITH {COLUMNS_SQL}, {_grid_sql(0.02, 'a')}
 SELECT record, CASE WHEN reason IS NULL THEN round(g0, 6) END AS g0, CASE WHEN reason IS NULL THEN round(pitch, 6) END AS pitch,
-       CASE WHEN reason IS NULL OR reason = 'column edges are off the grid' THEN round(residual, 6) END AS residual,
+       CASE WHEN reason IS NULL OR reason = 'edges_off' THEN round(residual, 6) END AS residual,
        long_leads, reason FROM aout""")
 def fit_column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grid.fit_column_grid(*_boxes(spark, sf_dir))
@@ -79,11 +79,11 @@ def fit_column_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rescued_grid", f"""WITH {COLUMNS_SQL}, {_grid_sql(0.02, 'a')}, {_grid_sql(0.04, 'b')},
 j AS (SELECT a.record, a.g0, a.pitch, a.residual, a.reason, b.g0 AS g2, b.pitch AS p2, b.residual AS r2, a.long_leads,
-             coalesce(a.reason IN ('column edges are off the grid', 'a column has all its edges off the grid') AND b.reason IS NULL, false) AS rescued
+             coalesce(a.reason IN ('edges_off', 'edges_lost') AND b.reason IS NULL, false) AS rescued
       FROM aout a JOIN bout b USING (record))
 SELECT record, round(CASE WHEN rescued THEN g2 WHEN reason IS NULL THEN g0 END, 6) AS g0,
        round(CASE WHEN rescued THEN p2 WHEN reason IS NULL THEN pitch END, 6) AS pitch,
-       round(CASE WHEN rescued THEN r2 WHEN reason IS NULL OR reason = 'column edges are off the grid' THEN residual END, 6) AS residual,
+       round(CASE WHEN rescued THEN r2 WHEN reason IS NULL OR reason = 'edges_off' THEN residual END, 6) AS residual,
        long_leads, CASE WHEN NOT rescued THEN reason END AS reason, rescued FROM j""")
 def rescued_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = grid.rescued_grid(*_boxes(spark, sf_dir))

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -11,6 +12,12 @@ from strandscope.operators import agreement, labels, resampling
 NAN = float("nan")
 
 
+def md5_picks(seed, n_boot, n):
+    """Cluster of every slot of every draw, from the digest of seed, draw and slot."""
+    share = lambda d, s: int(hashlib.md5(f"{seed}:{d}:{s}".encode()).hexdigest()[:12], 16) / 2**48
+    return np.array([[int(share(d, s) * n) for s in range(n)] for d in range(n_boot)])
+
+
 def test_decisions_are_strict_and_false_on_nan(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.1, 1.0), (NAN, 1.0), (1.0, NAN), (None, 1.0)], "z double, t double")
     assert [r[0] for r in df.select(agreement.decide("z", "t")).collect()] == [False, True, False, False, False]
@@ -62,10 +69,10 @@ def test_exact_interval_known_values():
     assert math.isnan(exact_interval(0, 0)[0])
 
 
-def test_cluster_draws_are_those_of_the_seeded_generator(spark):
+def test_cluster_draws_follow_the_digest(spark):
     got = resampling.cluster_picks(spark, 7, 20, 5).toPandas().groupby("draw").apply(
         lambda g: np.repeat(g["cluster"], g["times"]).tolist(), include_groups=False)
-    want = np.random.default_rng(5).integers(0, 7, (20, 7))
+    want = md5_picks(5, 20, 7)
     assert [sorted(row) for row in want.tolist()] == [sorted(got[i]) for i in range(20)]
 
 
@@ -74,7 +81,7 @@ def test_bootstrap_median_equals_numpy(spread):
     pdf = pd.DataFrame({"record": rng.choice(list("abcdef"), 80, p=[.5, .1, .1, .1, .1, .1]), "delta": rng.normal(size=80)})
     got = resampling.bootstrap_median(spread.createDataFrame(pdf), "record", "delta", n_boot=60, seed=2).first()
     groups = [g["delta"].to_numpy() for _, g in pdf.groupby("record", sort=True)]
-    draws = np.random.default_rng(2).integers(0, len(groups), (60, len(groups)))
+    draws = md5_picks(2, 60, len(groups))
     medians = [np.median(np.concatenate([groups[j] for j in row])) for row in draws]
     assert got["median"] == pytest.approx(np.median(pdf["delta"]))
     assert (got["lo"], got["hi"]) == (pytest.approx(np.percentile(medians, 2.5)), pytest.approx(np.percentile(medians, 97.5)))
@@ -88,11 +95,11 @@ def test_salted_clusters_give_the_same_interval(spread, monkeypatch):
     assert resampling.bootstrap_median(df, "record", "delta", 30).first() == plain
 
 
-def test_blockwise_draws_pick_as_many_clusters(spark, monkeypatch):
-    monkeypatch.setattr(resampling, "STREAM_LIMIT", 0)
-    monkeypatch.setattr(resampling, "BLOCK", 10)
-    got = resampling.cluster_picks(spark, 25, 8, 1).groupBy("draw").agg(F.sum("times").alias("n"), F.max("cluster").alias("m")).collect()
-    assert len(got) == 8 and all(r["n"] == 25 and r["m"] < 25 for r in got)
+def test_draws_are_even(spark):
+    got = resampling.cluster_picks(spark, 25, 400, 1)
+    assert {r["n"] for r in got.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {25}
+    each = [r["n"] for r in got.groupBy("cluster").agg(F.sum("times").alias("n")).collect()]
+    assert len(each) == 25 and 300 < min(each) and max(each) < 500
 
 
 def test_logistic_fit_and_its_degenerate_forms(spark):
@@ -112,10 +119,9 @@ def test_logistic_fit_and_its_degenerate_forms(spark):
         assert resampling.logistic_fit(df, "x", "flip", "g").first()["fit"] == f"degenerate: {why}"
 
 
-def test_folds_are_those_of_a_seeded_shuffle(spark):
+def test_folds_follow_the_digest(spark):
     got = labels.crossval_folds(spark.range(23).withColumnRenamed("id", "k"), "k", seed=12345).toPandas().set_index("k")["fold"]
-    order = np.arange(23)
-    np.random.RandomState(12345).shuffle(order)
+    order = sorted(range(23), key=lambda k: hashlib.md5(f"12345:{k}".encode()).hexdigest())
     want = dict(zip(order, np.repeat(np.arange(5), [5, 5, 5, 4, 4])))
     assert got.to_dict() == want
 
@@ -135,7 +141,7 @@ def test_interval_of_decisions_equals_numpy(spread):
     got = resampling.decision_intervals(agreement.with_decisions(df), n_boot=100, seed=3, cluster="patient").first()
     ref = np.array([r[3] > 0 for r in rows]).reshape(n, 3)
     test = np.array([r[4] > 0 for r in rows]).reshape(n, 3)
-    picks = np.random.default_rng(3).integers(0, n // 2, (100, n // 2))
+    picks = md5_picks(3, 100, n // 2)
 
     def stats(idx):
         a, b = ref[idx], test[idx]
@@ -156,5 +162,5 @@ def test_resampled_auroc_equals_numpy(spread):
     y, s = rng.integers(0, 2, 40), np.round(rng.normal(size=40), 1)
     df = spread.createDataFrame(pd.DataFrame({"record": np.arange(40), "c": "a", "y": y, "s": s}))
     got = resampling.bootstrap_auroc(df, "record", ["c"], "s", "y", n_boot=15, seed=9).orderBy("draw").toPandas()["auroc"]
-    picks = np.random.default_rng(9).integers(0, 40, (15, 40))
+    picks = md5_picks(9, 15, 40)
     assert np.allclose(got, [brute_auroc(y[i], s[i]) for i in picks])

@@ -49,8 +49,9 @@ def brute_alignment(ref, est, reach):
     return best
 
 
-@pytest.mark.parametrize("limit", [10**6, 0], ids=["in tasks", "by joins"])
-def test_alignment_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("cells", [10**6, 100], ids=["at once", "in parts"])
+def test_alignment_equals_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(metrics, "SHIFT_CELLS", cells)
     rng = np.random.default_rng(1)
     signals, estimates, want = {}, {}, {}
     for i, s in enumerate((-3, 0, 2)):
@@ -60,7 +61,7 @@ def test_alignment_equals_brute_force(spark, limit):
         signals[f"r{i}"], estimates[f"r{i}"] = x, y
         want[f"r{i}"] = brute_alignment(x, y, 5)
     pairs = metrics.sample_pairs(long(spark, **signals), long(spark, **estimates), ["record"])
-    for r in metrics.aligned_snr(pairs, ["record"], max_shift=5, kernel_samples=limit).collect():
+    for r in metrics.aligned_snr(pairs, ["record"], max_shift=5).collect():
         snr, shift, off = want[r["record"]]
         assert (r["shift"], r["snr_aligned"], r["offset"]) == (shift, pytest.approx(snr), pytest.approx(off))
 

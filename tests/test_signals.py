@@ -130,14 +130,14 @@ def boxes(g0=100.0, pitch=500.0, change=None):
 
 
 @pytest.mark.parametrize("change, reason", [
-    ({}, None), ({"II": (100.0, 500.0)}, "no rhythm strip found"), ({"II": (100.0, 1200.0)}, "rhythm strip does not span all columns"),
-    ({"V4": None, "V5": None, "V6": None}, "not every column has a short lead"), ({"V2": (1130.0, 500.0)}, None),
-    ({"I": (160.0, 500.0), "III": (160.0, 500.0), "II": (160.0, 1940.0)}, "a column has all its edges off the grid")])
+    ({}, None), ({"II": (100.0, 500.0)}, "no_strip"), ({"II": (100.0, 1200.0)}, "short_strip"),
+    ({"V4": None, "V5": None, "V6": None}, "bare_column"), ({"V2": (1130.0, 500.0)}, None),
+    ({"I": (160.0, 500.0), "III": (160.0, 500.0), "II": (160.0, 1940.0)}, "edges_lost")])
 def test_column_grid(spark, change, reason):
     leads = spark.createDataFrame(boxes(change=change), "record string, lead string, x1 double, width double")
     heights = spark.createDataFrame([("p", 1700.0), ("q", 1700.0)], "record string, height double")
     got = {r["record"]: r for r in grid.fit_column_grid(leads, heights).collect()}
-    assert got["p"]["reason"] == reason and got["q"]["reason"] == "no leads found"
+    assert got["p"]["reason"] == reason and got["q"]["reason"] == "no_boxes"
     if reason is None:
         assert got["p"]["g0"] == pytest.approx(100) and got["p"]["pitch"] == pytest.approx(500) and got["p"]["long_leads"] == ["II"]
 
