@@ -156,5 +156,5 @@ def day_first(date: ColumnLike) -> Column:
 
 
 def id_of(record: ColumnLike) -> Column:
-    """Numeric id in the first five characters of a record name."""
-    return F.substring(col(record), 1, 5).cast("int")
+    """Number that a record name begins with; NULL for foreign names."""
+    return F.regexp_extract(col(record), r"^([0-9]+)", 1).try_cast("bigint")

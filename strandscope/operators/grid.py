@@ -183,15 +183,15 @@ def baseline_shift(samples: DataFrame, grid: DataFrame, mv_per_px: Column, first
                    t: str = "t", value: str = "mv") -> DataFrame:
     """Common vertical reading error in pixels from the medians of both rules.
 
-    The Einthoven window is the first column. Estimates that differ by more than
+    The Einthoven window is the first column, the samples before `first_column_end`. Estimates that differ by more than
     0.4 % of the pitch are not trusted, and a missing one gives no shift.
     """
-    def rule(leads, signs, name):
-        wide = _side_by_side(samples, leads, t, value)
+    def rule(leads, signs, name, used=samples):
+        wide = _side_by_side(used, leads, t, value)
         total = sum((F.lit(s) * F.col(f"_v{i}") for i, s in enumerate(signs)), F.lit(0.0))
         return exact_quantiles(wide.withColumn("_r", total), ["record"], {name: "_r"})
 
-    e = rule(*EINTHOVEN, "e")
+    e = rule(*EINTHOVEN, "e", samples.filter(F.col(t) < first_column_end))
     g = rule(*GOLDBERGER, "g")
     rows = grid.join(e, "record", "left").join(g, "record", "left").withColumn("_mv", mv_per_px)
     gap = -F.col("g_median") / (3 * F.col("_mv")) + F.col("e_median") / F.col("_mv")

@@ -13,7 +13,6 @@ from ..session import pinned
 from .ordered import numbered
 
 # Acute infarction statement numbers.
-ACUTE_STATEMENTS = (821, 822, 823, 827, 829, 902, 903, 904, 963, 964, 965, 966, 967, 968)
 TRAIN_FOLDS, VALIDATION_FOLD, TEST_FOLD = (1, 2, 3, 4, 5, 6, 7, 8), 9, 10  # fixed values
 
 
@@ -73,8 +72,8 @@ def fold_group(fold: Column) -> Column:
 
 
 def id_in_path(path: Column) -> Column:
-    """Five-digit record id in front of '_hr', which replaces a substring search per id."""
-    return F.regexp_extract(path, r"([0-9]{5})_hr", 1).try_cast("int")
+    """Record id in front of '_hr', padded to five digits or longer; it replaces a substring search per id."""
+    return F.regexp_extract(path, r"([0-9]{5,})_hr", 1).try_cast("bigint")
 
 
 def held_out_records(records: DataFrame, held_out: DataFrame, key: str, patient: str) -> DataFrame:

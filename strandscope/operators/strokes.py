@@ -43,9 +43,11 @@ def column_centres(mask: DataFrame, ink: DataFrame | None = None) -> DataFrame:
                         .otherwise(F.col("y_mask")).alias("y"))
 
 
-def trace_shift(mask: DataFrame, ink: DataFrame, width: int) -> DataFrame:
+def trace_shift(mask: DataFrame, ink: DataFrame, widths: DataFrame) -> DataFrame:
     """How far right of the mask the ink sits, per page: median over rows of steep strokes.
 
+    `widths` has (record, width) of every page.
+
     Every row run of a lead that holds a steep pixel is compared with the ink in a window
     of two more pixels on each side. Windows that leave the page, meet other mask
     pixels, or hold no dark ink are left out. Fewer than thirty rows give no shift.
@@ -59,7 +61,8 @@ def trace_shift(mask: DataFrame, ink: DataFrame, width: int) -> DataFrame:
     runs = column_runs(mask.select(*BY, "row", "col"), [*BY, "row"], "col")
     cells = runs.withColumn("col", F.explode(F.sequence(F.col("run_start"), F.col("run_end") - 1)))
     kept = cells.join(steep, [*BY, "row", "col"], "left_semi").select(*BY, "row", "run_start", "run_end").distinct()
-    kept = kept.filter((F.col("run_start") - SHIFT_PAD >= 0) & (F.col("run_end") - 1 + SHIFT_PAD < width))
+    kept = kept.join(widths.select("record", "width"), "record")
+    kept = kept.filter((F.col("run_start") - SHIFT_PAD >= 0) & (F.col("run_end") - 1 + SHIFT_PAD < F.col("width"))).drop("width")
     window = kept.withColumn("col", F.explode(F.sequence(
         F.col("run_start") - SHIFT_PAD, F.col("run_end") - 1 + SHIFT_PAD)))
     any_mask = mask.select("record", "row", "col").distinct().withColumn("_m", F.lit(1))

@@ -63,14 +63,14 @@ def input_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("training_manifest", """
-WITH f AS (SELECT 'root/' || (c_custkey % 7) || '/' || lpad(CAST(c_custkey AS VARCHAR), 5, '0') || '_hr-' || k || '.png' AS path
+WITH f AS (SELECT 'root/' || (c_custkey % 7) || '/' || CASE WHEN c_custkey < 10000 THEN lpad(CAST(c_custkey AS VARCHAR), 5, '0') ELSE CAST(c_custkey AS VARCHAR) END || '_hr-' || k || '.png' AS path
            FROM customer CROSS JOIN (SELECT unnest(range(0, 2)) AS k)),
 d AS (SELECT c_custkey AS id, c_custkey % 12 + 1 AS fold FROM customer WHERE c_custkey % 5 <> 3)
 SELECT path, id, CASE WHEN fold <= 8 THEN 'Tr' WHEN fold = 9 THEN 'Tv' ELSE 'Ts' END AS "group"
-FROM f JOIN d ON CAST(regexp_extract(path, '([0-9]{5})_hr', 1) AS BIGINT) = id WHERE fold <= 10""")
+FROM f JOIN d ON CAST(regexp_extract(path, '([0-9]{5,})_hr', 1) AS BIGINT) = id WHERE fold <= 10""")
 def training_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "customer").select("c_custkey")
-    path = F.concat(F.lit("root/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), F.lpad(F.col("c_custkey").cast("string"), 5, "0"),
+    path = F.concat(F.lit("root/"), (F.col("c_custkey") % 7).cast("string"), F.lit("/"), F.when(F.col("c_custkey") < 10_000, F.lpad(F.col("c_custkey").cast("string"), 5, "0")).otherwise(F.col("c_custkey").cast("string")),
                     F.lit("_hr-"), F.col("k").cast("string"), F.lit(".png"))
     files = ids.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(path.alias("path"))
     folds = ids.filter("c_custkey % 5 <> 3").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 12 + 1).alias("fold"))

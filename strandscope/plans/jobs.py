@@ -86,8 +86,7 @@ def read_pages_from_masks(mask: DataFrame, sizes: DataFrame, ink: DataFrame | No
     pages = fitted.join(heights, "record")
     profile = strokes.column_centres(mask, ink).join(F.broadcast(table), "label").select("record", "lead", "col", "y")
     if ink is not None:
-        width = int(sizes.agg(F.max("width")).first()[0] or 0)
-        shift = strokes.applied_shift(strokes.trace_shift(mask, ink, width)).select("record", "applied")
+        shift = strokes.applied_shift(strokes.trace_shift(mask, ink, sizes)).select("record", "applied")
         pages_shift = profile.join(shift, "record", "left").withColumn("applied", F.coalesce("applied", F.lit(0.0)))
         read = signals.vectorise(pages_shift, pages, F.col("applied"), sharpened)
     else:

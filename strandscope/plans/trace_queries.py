@@ -253,7 +253,8 @@ o AS (SELECT i.record, coalesce(n, 0) AS n_rows, m, (CASE WHEN n >= 30 THEN m EL
 SELECT record, n_rows, round(m, 6) AS median, round(dx, 6) AS dx,
        round(CASE WHEN abs(dx * 0.67) < 0.05 THEN 0.0 ELSE dx * 0.67 END, 6)::DOUBLE AS applied FROM o""")
 def trace_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = strokes.applied_shift(strokes.trace_shift(*_strokes(spark, sf_dir), 720))
+    mask, ink = _strokes(spark, sf_dir)
+    out = strokes.applied_shift(strokes.trace_shift(mask, ink, mask.select("record", F.lit(720).alias("width")).distinct()))
     return rounded(out, 6, "median", "dx", "applied")
 
 

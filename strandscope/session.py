@@ -30,11 +30,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None, *
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; a temporary one only when none is named."""
+    """Use the shared folder the session names; without one only a local session may take a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandscope-ckpt-"))
 
 

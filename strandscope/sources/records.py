@@ -60,21 +60,24 @@ def read_headers(spark: SparkSession, path: str, recursive: bool = False) -> Dat
 def read_signals(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """One row per sample: (record, lead, t, mv, fs), NaN where the sample says not printed.
 
-    All signals of a record are expected in one interleaved file of format 16.
+    All signals of a record are expected in one interleaved file of format 16, which must hold as
+    many whole frames as the header says.
     """
     heads = read_headers(spark, path, recursive).withColumn("file", F.concat("folder", F.lit("/"), F.get("files", F.lit(0))))
     ok = (F.size("files") == 1) & F.forall("formats", lambda f: f == "16")
     heads = heads.withColumn("file", F.when(ok, F.col("file")).otherwise(
         F.raise_error(F.concat(F.lit("unsupported sample format in record "), F.col("record"))).cast("string")))
     data = _files(spark, path, "*.dat", recursive).select(F.col("path").alias("file"), "content")
-    both = heads.select("record", "file", "fs", "gains", "baselines", "names").join(data, "file")
+    both = heads.select("record", "file", "fs", "gains", "baselines", "names", "n_samples").join(data, "file")
 
     def decode(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 names = list(row.names)
                 raw = np.frombuffer(row.content, dtype="<i2")
-                raw = raw[: raw.size // len(names) * len(names)].reshape(-1, len(names))
+                if len(row.content) % (2 * len(names)) or (row.n_samples or raw.size // len(names)) * len(names) != raw.size:
+                    raise ValueError(f"record {row.record} has {len(row.content)} bytes of samples, not what its header says")
+                raw = raw.reshape(-1, len(names))
                 gain, zero = np.asarray(row.gains, float), np.asarray(row.baselines, float)
                 mv = np.where(raw == dims.NAN_CODE, np.nan, (raw - zero) / np.where(gain == 0, 200.0, gain))
                 for at in range(0, raw.shape[0], 20_000):
@@ -83,7 +86,7 @@ def read_signals(spark: SparkSession, path: str, recursive: bool = False) -> Dat
                         "record": row.record, "lead": np.tile(names, part.shape[0]),
                         "t": np.repeat(np.arange(at, at + part.shape[0]), len(names)), "mv": part.ravel(), "fs": row.fs})
 
-    return both.select("record", "fs", "gains", "baselines", "names", "content").mapInPandas(decode, SAMPLE_SCHEMA)
+    return both.select("record", "fs", "gains", "baselines", "names", "n_samples", "content").mapInPandas(decode, SAMPLE_SCHEMA)
 
 
 def in_lead_order(samples: DataFrame, leads: DataFrame, allow_missing: bool = False) -> DataFrame:

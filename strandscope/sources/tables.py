@@ -34,7 +34,8 @@ def thresholds_for(rows: DataFrame, judge: str, kind: str, classes: list[str]) -
     """Thresholds of one classifier and input kind; all classes must be there."""
     mine = rows.filter((F.col("judge") == judge) & (F.col("input") == kind)).select(
         "class", F.col("threshold_logit").alias("thr"))
-    lacking = sorted(set(classes) - {r["class"] for r in mine.select("class").distinct().limit(len(classes) + 50).collect()})
+    mine = mine.filter(F.col("class").isin(classes))
+    lacking = sorted(set(classes) - {r["class"] for r in mine.select("class").distinct().collect()})
     if lacking:
         raise ValueError(f"no {kind} thresholds of {judge} for {lacking}")
     return mine

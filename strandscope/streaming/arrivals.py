@@ -16,6 +16,13 @@ def arriving_rows(spark: SparkSession, path: str, schema, max_files: int | None
     return reader.parquet(path)
 
 
+def _has_parts(spark: SparkSession, target: str) -> bool:
+    """Has a batch been written yet?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def append_once(stream: DataFrame, key: str, target: str, checkpoint: str,
                 compute: Callable[[DataFrame], DataFrame]) -> None:
     """Process what has arrived and append one result per key; keys already there are skipped.
@@ -27,12 +34,9 @@ def append_once(stream: DataFrame, key: str, target: str, checkpoint: str,
 
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = batch
-        try:
+        if _has_parts(spark, target):
             done = spark.read.parquet(target).filter(F.col("batch") != batch_id).select(key)
             fresh = batch.join(done, key, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
         result = compute(fresh).withColumn("batch", F.lit(batch_id))
         (result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target))
 
