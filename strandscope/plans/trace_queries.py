@@ -11,12 +11,13 @@ from ..functions.filters import resampling_taps
 from ..operators import grid, lines, metrics, signals, strokes
 from ..session import ensure_checkpoint_dir
 from ..streaming import arrivals
-from .fixtures import READ_SQL, daily, hour_index, reading, rounded
+from .fixtures import READ_SQL, daily, day_index, hour_index, reading, rounded
 from .registry import query, table
 
 FULL_SQL = f"""{READ_SQL},
 ids AS (SELECT DISTINCT record FROM daily),
-g AS (SELECT record, CAST(unnest(range(0, 30)) AS INTEGER) AS t FROM ids),
+days AS (SELECT max(t) + 1 AS n FROM daily),
+g AS (SELECT record, CAST(unnest(range(0, days.n)) AS INTEGER) AS t FROM ids CROSS JOIN days),
 fx AS (SELECT g.record, g.t, CASE WHEN isnan(r.mv) THEN NULL ELSE r.mv END AS mv FROM g LEFT JOIN reading r USING (record, t)),
 nb AS (SELECT *, last_value(mv IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN mv IS NOT NULL THEN t END IGNORE NULLS) OVER b AS pt,
               first_value(mv IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN mv IS NOT NULL THEN t END IGNORE NULLS) OVER a AS nt FROM fx
@@ -26,10 +27,15 @@ fill AS (SELECT record, t, mv, coalesce(CASE WHEN mv IS NOT NULL THEN mv WHEN pv
                 ELSE pv + (t - pt) * ((nv - pv) / (nt - pt)) END, 0.0)::DOUBLE AS filled, (pt IS NOT NULL AND nt IS NOT NULL) AS in_span FROM nb)"""
 
 
+def _days(spark: SparkSession, sf_dir: str) -> int:
+    last = table(spark, sf_dir, "events").agg(F.max(day_index())).first()[0]
+    return 0 if last is None else last + 1
+
+
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's reading on the whole calendar of thirty days, NULL where there is none."""
+    """Every user's reading on every day from the first of January to the last day of any event, NULL where there is none."""
     series = daily(spark, sf_dir)
-    days = series.select("record").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    days = series.select("record").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(_days(spark, sf_dir) - 1))))
     return days.join(reading(series), ["record", "t"], "left")
 
 
@@ -94,10 +100,10 @@ def fractional_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("shift_signals", f"""WITH {FULL_SQL}
-SELECT record, CAST(t + record % 7 - 3 AS BIGINT) AS t, round(filled, 6) AS filled FROM fill WHERE t + record % 7 - 3 >= 0 AND t + record % 7 - 3 < 30""")
+SELECT record, CAST(t + record % 7 - 3 AS BIGINT) AS t, round(filled, 6) AS filled FROM fill WHERE t + record % 7 - 3 >= 0 AND t + record % 7 - 3 < (SELECT n FROM days)""")
 def shift_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = signals.fill_gaps(_full(spark, sf_dir), ["record"], cell=8.0).select("record", "t", "filled")
-    return rounded(signals.shift_signals(filled, F.col("record") % 7 - 3, 30), 6, "filled")
+    return rounded(signals.shift_signals(filled, F.col("record") % 7 - 3, _days(spark, sf_dir)), 6, "filled")
 
 
 @query("drawn_lag")
