@@ -223,12 +223,12 @@ def line_fit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("parallel_line_counts", """
-WITH a AS (SELECT label, embedding[1]::DOUBLE AS theta FROM embeddings WHERE abs(embedding[1]::DOUBLE) < 0.25)
+WITH a AS (SELECT label, embedding[1]::DOUBLE AS theta FROM embeddings)
 SELECT x.label, x.theta, count(DISTINCT x.theta) * (SELECT count(*) FROM a y WHERE y.label = x.label AND y.theta > x.theta - 0.05 AND y.theta < x.theta + 0.05) AS n_parallel,
        count(*) AS n_lines FROM a x GROUP BY 1, 2""")
 def parallel_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("theta"))
-    return grid.parallel_counts(angles.filter(F.abs("theta") < 0.25), ["label"], "theta", 0.05)
+    return grid.parallel_counts(angles, ["label"], "theta", 0.05)
 
 
 @query("median_line_angle", """
@@ -330,13 +330,12 @@ def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CODES_SQL = """
 st(code, diagnostic, diagnostic_class) AS (VALUES ('1-URGENT', 1, 'MI'), ('2-HIGH', 1, 'STTC'), ('3-MEDIUM', 1, 'NORM'),
                                               ('4-NOT SPECIFIED', 1, 'MI'), ('5-LOW', 0, 'HYP')),
-cd AS (SELECT o_custkey AS ecg_id, o_orderpriority AS code, min(o_orderkey) AS ord FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0 GROUP BY 1, 2),
+cd AS (SELECT o_custkey AS ecg_id, o_orderpriority AS code, min(o_orderkey) AS ord FROM orders GROUP BY 1, 2),
 fc AS (SELECT ecg_id, diagnostic_class AS cls, min(ord) AS ord FROM cd JOIN st USING (code) WHERE diagnostic = 1 GROUP BY 1, 2)"""
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    codes = (table(spark, sf_dir, "orders").filter("o_orderstatus = 'P' AND o_orderkey % 3 = 0")
-             .groupBy(F.col("o_custkey").alias("ecg_id"), F.col("o_orderpriority").alias("code")).agg(F.min("o_orderkey").alias("ord")))
+    codes = (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ecg_id"), F.col("o_orderpriority").alias("code")).agg(F.min("o_orderkey").alias("ord")))
     statements = spark.createDataFrame(
         [("1-URGENT", 1, "MI"), ("2-HIGH", 1, "STTC"), ("3-MEDIUM", 1, "NORM"), ("4-NOT SPECIFIED", 1, "MI"), ("5-LOW", 0, "HYP")],
         "code string, diagnostic int, diagnostic_class string")

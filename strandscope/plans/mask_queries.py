@@ -76,12 +76,12 @@ def rasterise_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rasterise_wrapping", f"""WITH {POINTS_SQL},
 s AS (SELECT record, row, col, max_by(label, (lead_order, k)) AS label, min((lead_order, k)) AS turn
-      FROM px WHERE step = 0 AND row < 20 AND col < 30 GROUP BY 1, 2, 3)
+      FROM (SELECT record, lead_order, label, k, CAST(trunc(row) AS INTEGER) AS row, CAST(trunc(col) AS INTEGER) AS col FROM pts)
+      WHERE row < 20 AND col < 30 GROUP BY 1, 2, 3)
 SELECT record, CASE WHEN row < 0 THEN row + 20 ELSE row END AS row, CASE WHEN col < 0 THEN col + 30 ELSE col END AS col,
        max_by(label, turn) AS label FROM s GROUP BY 1, 2, 3""")
 def rasterise_wrapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _points(spark, sf_dir).filter("k < 31")
-    return masks.rasterise_wrapping(points, F.lit(20), F.lit(30), ["lead_order", "k"])
+    return masks.rasterise_wrapping(_points(spark, sf_dir), F.lit(20), F.lit(30), ["lead_order", "k"])
 
 
 @query("point_counts", f"""WITH {POINTS_SQL}
