@@ -26,7 +26,7 @@ BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 ORDERS = (2, 3, 4)
 WIDTH = 16
-MAX_SAMPLE = 4000
+MAX_SAMPLE = 2000
 MAX_LANGUAGES = 500
 EPOCHS = 12
 BATCH = 32
@@ -195,8 +195,13 @@ def fit_language_model(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model |
     for row in counts:
         wanted = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["count"]))).otherwise(wanted)
     sample = labelled.where((F.pmod(drawn, F.lit(1 << 30)) / (1 << 30)) < wanted).orderBy(drawn, "lang", "text").limit(max_sample)
-    rows = sample.select("text", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").collect()
-    return train([(r["lang"], np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64)) for r in rows])
+    held = sample.select("text", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").toArrow().combine_chunks()
+    if not held.num_rows:
+        return None
+    columns = [pa.chunked_array(held[c]).combine_chunks() for c in ("buckets", "counts")]
+    flat = [np.frombuffer(b"".join(c.to_pylist()), "<i4") for c in columns]
+    cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in columns[0].to_pylist()])])
+    return train([(lang, flat[0][a:b], flat[1][a:b]) for lang, a, b in zip(held["lang"].to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

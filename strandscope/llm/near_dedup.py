@@ -9,7 +9,10 @@
    on the full sets, confirmed links are contracted to components.
 4. What a single star could miss is caught by further rounds: buckets whose members are still in
    several components go on without their former hubs, until no bucket has two components or all
-   its cross pairs are checked. A round takes at most HUBS hubs per bucket, members of small components first.
+   its cross pairs are checked. Rounds take HUBS hubs per bucket, then twice as many each time up to
+   MOST_HUBS, those that share most buckets with others first; pairs in one component are never
+   looked at, nor pairs that cannot be similar: sets too different in size, or at distances from the
+   bucket's first hub that differ by more than a link allows (Jaccard distance is a metric).
 
 Bucket, hub and label steps are aggregates and joins that adaptive execution can split; no bucket is ever gathered.
 """
@@ -103,12 +106,12 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, linked) by exact intersection and union of the two sets."""
+    """(a, b, linked, distance) by exact intersection and union of the two sets."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         left, right = batch.column("blob_a").to_pylist(), batch.column("blob_b").to_pylist()
         low = 0
-        linked = []
+        linked, distance = [], []
         while low < len(left):
             high, held, texts = low, 0, []
             while high < len(left) and (high == low or held < BLOCK_BYTES // 2) and 2 * (high - low) < BLOCK_ROWS:
@@ -123,8 +126,9 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
             same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=high - low)
             union = n[0::2] + n[1::2] - same
             linked += (100 * same >= percent * union).tolist()
+            distance += (1 - same / union).tolist()
             low = high
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_()), "distance": pa.array(distance, pa.float64())})
 
 
 def contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
@@ -183,51 +187,58 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     heads = classes.where("doc_id = node").select("node")
     entries = full.select(F.col("doc_id").alias("node"), "n_shingles", "bands").join(heads, "node").select(
         "node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "bucket"))
-    shared = pinned(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket"))
-    members = pinned(entries.join(shared, "bucket").select("bucket", "node", "n", "band"))
+    shared = pinned(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size"))
+    members = pinned(entries.join(shared, "bucket").select("bucket", "node", "n", "band", "size"))
     rows = members.count()
-    state = written(members.select("node").distinct().select("node", F.col("node").alias("label")), rows // FIRST_BANDS)
-    n_nodes = state.count()
+    known = written(members.groupBy("node").agg(F.sum("size").alias("shares")), rows // FIRST_BANDS)
+    state = known.select("node", F.col("node").alias("label"))
+    n_nodes = known.count()
     packed = pinned(texts.where("doc_id is not null").mapInArrow(_shrunk, "doc_id long, blob binary").join(
         state.select(F.col("node").alias("doc_id")), "doc_id"))
 
     checked, turn = None, 0
-    members = members.withColumn("skip", F.col("band") >= FIRST_BANDS).drop("band")
+    members = members.join(known, "node").select(
+        "bucket", "node", "n", "shares", (F.col("band") >= FIRST_BANDS).alias("skip"), F.lit(None).cast("double").alias("away"))
     while True:
-        sizes = state.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")) if turn else state.select("label", F.lit(1).cast("long").alias("n_label"))
-        placed = written(members.join(state, "node").join(sizes, "label").select("bucket", "node", "n", "label", "n_label", "skip"), rows)
+        placed = written(members.join(state, "node").select("bucket", "node", "label", "n", "shares", "skip", "away"), rows)
         rows = placed.count()
         now = placed if turn else placed.where("not skip")
-        slots = min(MOST_HUBS, HUBS << turn - 1) if turn else 1
+        slots = min(MOST_HUBS, HUBS << turn - 2) if turn > 1 else 1
         hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.min(F.struct("n_label", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+            F.max(F.struct("shares", "node", "label", "n", "away")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         stars = written(hubs.groupBy("bucket").agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"), rows)
         if turn and stars.isEmpty():
             break
         around = now.join(stars, "bucket")
-        # sets whose sizes are too far apart cannot be similar
-        apart = lambda h: (h["label"] != F.col("label")) & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))
-        hub = F.explode(F.filter("hubs", apart)).alias("hub")
+        possible = lambda h: ((h["label"] != F.col("label"))
+                              & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))
+                              & F.coalesce(F.abs(h["away"] - F.col("away")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+        hub = F.explode(F.filter("hubs", possible)).alias("hub")
         pairs = around.select("node", hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
         with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
         with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"), rows)
+        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean, distance double"), rows)
         links = tested.where("linked").select("a", "b")
         if not links.isEmpty():
             state = _relabelled(state, links, n_nodes)
-        done = tested.where("not linked").select("a", "b")
+        done = tested.select("a", "b", "distance")
         checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "skip")
+            left = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
+            if turn == 1:  # how far each member is from the one hub so far, where that pair was tested in any bucket
+                first = F.element_at("hubs", 1)["node"]
+                left = left.withColumn("a", F.least("node", first)).withColumn("b", F.greatest("node", first)).drop("away").join(
+                    checked.withColumnRenamed("distance", "away"), ["a", "b"], "left")
+            members = left.select("bucket", "node", "n", "shares", "skip", "away")
         turn += 1
         released(docs.sparkSession)
 
-    known = classes.join(state, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
+    joined = classes.join(state, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     blank = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(blank).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.unionByName(blank).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 #: Brute force over all pairs that share a shingle, for the two-word query.
