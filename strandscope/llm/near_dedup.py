@@ -7,12 +7,13 @@
 2. Texts with equal sets are one class from here on; its smallest doc_id stands for it.
 3. In every bucket a hub is linked with the other members: a star, not all pairs. Links are confirmed
    on the full sets, confirmed links are contracted to components.
-4. What a single star could miss is caught by further rounds: buckets whose members are still in
-   several components go on without their former hubs, until no bucket has two components or all
-   its cross pairs are checked. Rounds take HUBS hubs per bucket, then twice as many each time up to
-   MOST_HUBS, those that share most buckets with others first; pairs in one component are never
-   looked at, nor pairs that cannot be similar: sets too different in size, or at distances from the
-   bucket's first hub that differ by more than a link allows (Jaccard distance is a metric).
+4. Nearly all links are found by now, and of the other pairs of a bucket few are similar. Members of
+   buckets that still have several components are banded once more, by FINE_BANDS of FINE_ROWS, which a
+   pair at similarity 0.8 misses with a probability of about 1e-5 and one at 0.5 nearly always.
+5. Those buckets go on in rounds without their former hubs until none has two components or all its
+   cross pairs are checked: HUBS hubs a bucket, then twice as many each time up to MOST_HUBS, those that
+   share most buckets with others first. Pairs in one component or with sets too different in size are
+   never looked at.
 
 Bucket, hub and label steps are aggregates and joins that adaptive execution can split; no bucket is ever gathered.
 """
@@ -31,7 +32,7 @@ from .tables import pinned, released, tied, work_columns, written
 from .text import BLOCK_BYTES, BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 
 BANDS, ROWS = 48, 6
-BINS = BANDS * ROWS
+FINE_BANDS, FINE_ROWS = 160, 12
 FIRST_BANDS = 8
 HUBS, MOST_HUBS = 4, 256
 ATTEMPTS = 4096
@@ -48,39 +49,37 @@ def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(HASH_BITS)).astype(np.int64), key & np.uint64((1 << HASH_BITS) - 1)
 
 
-def _donors() -> np.ndarray:
-    bins, tries = np.arange(BINS, dtype=np.uint64), np.arange(ATTEMPTS, dtype=np.uint64)[:, None]
-    return (mixed(bins * np.uint64(ATTEMPTS) + tries + np.uint64(0x5EED)) % np.uint64(BINS)).astype(np.int64)
+def _donor(bins: np.ndarray, attempt: int, n_bins: int) -> np.ndarray:
+    """The bin that an empty bin asks at its so-manieth attempt, the same for every document."""
+    return (mixed(bins.astype(np.uint64) * np.uint64(ATTEMPTS) + np.uint64(attempt + 0x5EED)) % np.uint64(n_bins)).astype(np.int64)
 
 
-DONORS = _donors()
-
-
-def signatures(docs: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """n x BINS values; rows of documents without shingles hold no values."""
+def signatures(docs: np.ndarray, hashes: np.ndarray, n: int, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """n x (bands * rows) values, one per bin; rows of documents without shingles hold no values."""
+    n_bins = bands * rows
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = np.full((n, BINS), empty, np.uint64)
+    out = np.full((n, n_bins), empty, np.uint64)
     spread = mixed(hashes + np.uint64(0x2545F491))
-    bins = ((spread >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(out.reshape(-1), docs * BINS + bins, spread & np.uint64(0xFFFFFFFF))
+    bins = ((spread >> np.uint64(32)) * np.uint64(n_bins) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out.reshape(-1), docs * n_bins + bins, spread & np.uint64(0xFFFFFFFF))
     filled = out != empty
     row, col = np.nonzero(~filled & filled.any(1)[:, None])
     for attempt in range(ATTEMPTS):
         if not len(row):
             break
-        donor = DONORS[attempt][col]
+        donor = _donor(col, attempt, n_bins)
         found = filled[row, donor]
         out[row[found], col[found]] = out[row[found], donor[found]]
         row, col = row[~found], col[~found]
     for r, c in zip(row, col, strict=True):  # practically never: the next filled bin
-        out[r, c] = out[r, (c + 1 + np.argmax(np.roll(filled[r], -c - 1))) % BINS]
+        out[r, c] = out[r, (c + 1 + np.argmax(np.roll(filled[r], -c - 1))) % n_bins]
     return out
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    weight = mixed(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-    total = (values.reshape(len(values), BANDS, ROWS) * weight).sum(2, dtype=np.uint64)
-    return mixed(total + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    weight = mixed(np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+    total = (values.reshape(len(values), bands, rows) * weight).sum(2, dtype=np.uint64)
+    return mixed(total + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -105,30 +104,45 @@ def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "blob": pa.array(blobs, pa.binary())})
 
 
+def _finer(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Band keys of the second banding, a few documents at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 128):
+            rows = batch.slice(low, 128)
+            block = _block([unpack.decompress(b) for b in rows.column("blob").to_pylist()])
+            docs, hashes = shingle_sets(block, size)
+            keys = band_keys(signatures(docs, hashes, len(block), FINE_BANDS, FINE_ROWS), FINE_BANDS, FINE_ROWS)
+            yield pa.RecordBatch.from_pydict({"node": rows.column("doc_id"), "n": pa.array(np.bincount(docs, minlength=len(block)).astype(np.int64)),
+                                              "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * FINE_BANDS), pa.array(keys.reshape(-1)))})
+
+
+def _block(texts: list[bytes]) -> Block:
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    return Block(np.arange(len(texts)), np.frombuffer(b"".join(texts), np.uint8), at, np.zeros(len(texts), bool))
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, linked, distance) by exact intersection and union of the two sets."""
+    """(a, b, linked) by exact intersection and union of the two sets."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         left, right = batch.column("blob_a").to_pylist(), batch.column("blob_b").to_pylist()
         low = 0
-        linked, distance = [], []
+        linked = []
         while low < len(left):
             high, held, texts = low, 0, []
             while high < len(left) and (high == low or held < BLOCK_BYTES // 2) and 2 * (high - low) < BLOCK_ROWS:
                 texts += [unpack.decompress(left[high]), unpack.decompress(right[high])]
                 held += len(texts[-1]) + len(texts[-2])
                 high += 1
-            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            block = Block(np.arange(len(texts)), np.frombuffer(b"".join(texts), np.uint8), at, np.zeros(len(texts), bool))
-            docs, hashes = shingle_sets(block, size)
+            docs, hashes = shingle_sets(_block(texts), size)
             n = np.bincount(docs, minlength=len(texts))
             both = np.sort((docs // 2).astype(np.uint64) << np.uint64(HASH_BITS) | hashes)
             same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64), minlength=high - low)
             union = n[0::2] + n[1::2] - same
             linked += (100 * same >= percent * union).tolist()
-            distance += (1 - same / union).tolist()
             low = high
-        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_()), "distance": pa.array(distance, pa.float64())})
+        yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
 
 def contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
@@ -198,41 +212,42 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     checked, turn = None, 0
     members = members.join(known, "node").select(
-        "bucket", "node", "n", "shares", (F.col("band") >= FIRST_BANDS).alias("skip"), F.lit(None).cast("double").alias("away"))
+        "bucket", "node", "n", "shares", (F.col("band") >= FIRST_BANDS).alias("skip"))
     while True:
-        placed = written(members.join(state, "node").select("bucket", "node", "label", "n", "shares", "skip", "away"), rows)
+        placed = written(members.join(state, "node").select("bucket", "node", "label", "n", "shares", "skip"), rows)
         rows = placed.count()
         now = placed if turn else placed.where("not skip")
         slots = min(MOST_HUBS, HUBS << turn - 2) if turn > 1 else 1
         hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.max(F.struct("shares", "node", "label", "n", "away")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+            F.max(F.struct("shares", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         stars = written(hubs.groupBy("bucket").agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"), rows)
         if turn and stars.isEmpty():
             break
         around = now.join(stars, "bucket")
         possible = lambda h: ((h["label"] != F.col("label"))
-                              & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n")))
-                              & F.coalesce(F.abs(h["away"] - F.col("away")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+                              & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))))
         hub = F.explode(F.filter("hubs", possible)).alias("hub")
         pairs = around.select("node", hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
         with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
         with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean, distance double"), rows)
+        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"), rows)
         links = tested.where("linked").select("a", "b")
         if not links.isEmpty():
             state = _relabelled(state, links, n_nodes)
-        done = tested.select("a", "b", "distance")
+        done = tested.where("not linked").select("a", "b")
         checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            left = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node")))
-            if turn == 1:  # how far each member is from the one hub so far, where that pair was tested in any bucket
-                first = F.element_at("hubs", 1)["node"]
-                left = left.withColumn("a", F.least("node", first)).withColumn("b", F.greatest("node", first)).drop("away").join(
-                    checked.withColumnRenamed("distance", "away"), ["a", "b"], "left")
-            members = left.select("bucket", "node", "n", "shares", "skip", "away")
+            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "shares", "skip")
+        if turn == 1:
+            again = written(members.select(F.col("node").alias("doc_id")).distinct(), rows)
+            fine = packed.join(again, "doc_id").mapInArrow(lambda it: _finer(it, size), "node long, n long, bands array<long>")
+            fine = fine.select("node", "n", F.explode("bands").alias("bucket"))
+            several = fine.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
+            members = written(fine.join(several, "bucket")).join(known, "node").select("bucket", "node", "n", "shares", F.lit(False).alias("skip"))
+            rows = members.count()
         turn += 1
         released(docs.sparkSession)
 
