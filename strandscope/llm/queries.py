@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_repeated_substrings": substrings.SQL,
     "op4_exact_dedup": exact_dedup.SQL.format(documents="documents"),
     "op7_near_dedup": near_dedup.SQL,
     "op9_chat_formatting": chat.SQL,

@@ -338,3 +338,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return packed.join(spans, "doc_id", "left").select("doc_id", "blob", "spans").mapInArrow(lambda it: _cut_out(it, with_text), result)
+
+
+#: Every window and every byte as a row, for the 100-byte query.
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(n - 99)) AS s, unnest(list_transform(range(n - 99), lambda s: substr(h, 2 * s + 1, 200))) AS t FROM d WHERE n >= 100),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+b AS (SELECT doc_id, unnest(range(n)) AS p, unnest(list_transform(range(n), lambda p: substr(h, 2 * p + 1, 2))) AS x FROM d),
+m AS (SELECT b.*, coalesce(max(r.s) OVER (PARTITION BY b.doc_id ORDER BY p) > p - 100, false) AS gone FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.s = p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM m),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+             string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
