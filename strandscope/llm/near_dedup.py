@@ -11,9 +11,9 @@
    buckets that still have several components are banded once more, by FINE_BANDS of FINE_ROWS, which a
    pair at similarity 0.8 misses with a probability of about 1e-5 and one at 0.5 nearly always.
 5. Those buckets go on in rounds without their former hubs until none has two components or all its
-   cross pairs are checked: HUBS hubs a bucket, then twice as many each time up to MOST_HUBS, those that
-   share most buckets with others first. Pairs in one component or with sets too different in size are
-   never looked at.
+   cross pairs are checked: HUBS hubs a bucket, then four times as many each time up to MOST_HUBS, members
+   of small components first. Pairs in one component or with sets too different in size are never
+   looked at.
 
 Bucket, hub and label steps are aggregates and joins that adaptive execution can split; no bucket is ever gathered.
 """
@@ -34,7 +34,7 @@ from .text import BLOCK_BYTES, BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 BANDS, ROWS = 48, 6
 FINE_BANDS, FINE_ROWS = 160, 12
 FIRST_BANDS = 8
-HUBS, MOST_HUBS = 4, 256
+HUBS, MOST_HUBS = 16, 1024
 ATTEMPTS = 4096
 #: A block has at most 2 ** 11 documents, which leaves so many bits of a hash beside the document's number.
 HASH_BITS = 53
@@ -204,7 +204,7 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     shared = pinned(entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("bucket", "size"))
     members = pinned(entries.join(shared, "bucket").select("bucket", "node", "n", "band", "size"))
     rows = members.count()
-    known = written(members.groupBy("node").agg(F.sum("size").alias("shares")), rows // FIRST_BANDS)
+    known = written(members.groupBy("node").agg((-F.sum("size")).alias("first")), rows // FIRST_BANDS)
     state = known.select("node", F.col("node").alias("label"))
     n_nodes = known.count()
     packed = pinned(texts.where("doc_id is not null").mapInArrow(_shrunk, "doc_id long, blob binary").join(
@@ -212,14 +212,17 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     checked, turn = None, 0
     members = members.join(known, "node").select(
-        "bucket", "node", "n", "shares", (F.col("band") >= FIRST_BANDS).alias("skip"))
+        "bucket", "node", "n", "first", (F.col("band") >= FIRST_BANDS).alias("skip"))
     while True:
-        placed = written(members.join(state, "node").select("bucket", "node", "label", "n", "shares", "skip"), rows)
+        placed = members.join(state, "node")
+        if turn > 1:  # the small components lead; before, those that share most buckets with others
+            placed = placed.drop("first").join(state.groupBy("label").agg(F.count(F.lit(1)).alias("first")), "label")
+        placed = written(placed.select("bucket", "node", "label", "n", "first", "skip"), rows)
         rows = placed.count()
         now = placed if turn else placed.where("not skip")
-        slots = min(MOST_HUBS, HUBS << turn - 2) if turn > 1 else 1
+        slots = min(MOST_HUBS, HUBS << 2 * (turn - 2)) if turn > 1 else 1
         hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.max(F.struct("shares", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
+            F.min(F.struct("first", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
         stars = written(hubs.groupBy("bucket").agg(
             F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"), rows)
         if turn and stars.isEmpty():
@@ -240,13 +243,13 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         done = tested.where("not linked").select("a", "b")
         checked = done if checked is None else checked.unionByName(done)
         if turn:  # all pairs of these hubs are settled in their buckets
-            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "shares", "skip")
+            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "first", "skip")
         if turn == 1:
             again = written(members.select(F.col("node").alias("doc_id")).distinct(), rows)
             fine = packed.join(again, "doc_id").mapInArrow(lambda it: _finer(it, size), "node long, n long, bands array<long>")
             fine = fine.select("node", "n", F.explode("bands").alias("bucket"))
-            several = fine.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-            members = written(fine.join(several, "bucket")).join(known, "node").select("bucket", "node", "n", "shares", F.lit(False).alias("skip"))
+            several = fine.join(state, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+            members = written(fine.join(several, "bucket")).join(known, "node").select("bucket", "node", "n", "first", F.lit(False).alias("skip"))
             rows = members.count()
         turn += 1
         released(docs.sparkSession)
