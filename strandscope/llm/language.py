@@ -3,7 +3,7 @@
 A text in lower case is cut into letter n-grams (a word's edge counts as a character), hashed to
 BUCKETS rows of an embedding table whose average goes through a linear softmax. The table is trained
 with stochastic gradient descent in numpy on a bounded sample, MAX_SAMPLE labelled rows, drawn evenly
-over the languages by a hash of the id; each row of it brings at most BUCKETS counts to the driver. A
+over the languages by a hash of the id, in one task; a row brings it at most BUCKETS counts. A
 quarter of the sample is set aside: a temperature that depends on the length is fitted there, and the
 confidence and the share of n-grams known from training below which a text is rejected: of the texts set
 aside about one in a thousand would be.
@@ -11,6 +11,7 @@ aside about one in a thousand would be.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -195,13 +196,17 @@ def fit_language_model(docs: DataFrame, max_sample: int = MAX_SAMPLE) -> Model |
     for row in counts:
         wanted = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, each / row["count"]))).otherwise(wanted)
     sample = labelled.where((F.pmod(drawn, F.lit(1 << 30)) / (1 << 30)) < wanted).orderBy(drawn, "lang", "text").limit(max_sample)
-    held = sample.select("text", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary").toArrow().combine_chunks()
-    if not held.num_rows:
-        return None
-    columns = [pa.chunked_array(held[c]).combine_chunks() for c in ("buckets", "counts")]
-    flat = [np.frombuffer(b"".join(c.to_pylist()), "<i4") for c in columns]
-    cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in columns[0].to_pylist()])])
-    return train([(lang, flat[0][a:b], flat[1][a:b]) for lang, a, b in zip(held["lang"].to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+    features = sample.select("text", "lang").mapInArrow(_features, "lang string, buckets binary, counts binary")
+    fitted = features.coalesce(1).mapInArrow(_fitted, "model binary").collect()  # one row at most
+    return Model(**pickle.loads(fitted[0]["model"])) if fitted else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole bounded sample is trained on by one task, which spares the driver."""
+    samples = [(r["lang"], np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["counts"], "<i4")) for batch in batches for r in batch.to_pylist()]
+    model = train(samples)
+    if model is not None:
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(vars(model))], pa.binary())})
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
