@@ -1,6 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index search, exact check.
 
-For every benchmark item of n words all windows of n words of a document are compared with it. A
+For every benchmark item of n words all windows of n words of a document are compared with it; a
+document of fewer words is one window by itself, compared with every item that shares enough of its
+shingles, without fingerprints (they are too coarse where a few shingles differ in number). Else a
 window's fingerprint has BITS bits, the signs of the sums over its word shingles. Cut into BLOCKS bytes,
 two fingerprints within RADIUS bits agree up to NEAR bits in at least one byte, so a table of the
 items near each byte value finds all of them. Candidates are confirmed by the weighted similarity of
@@ -72,6 +74,18 @@ class SizeIndex:
         values = np.arange(256, dtype=np.uint8)[:, None]
         held = self.prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
         self.near = [_ones(values ^ held[:, b]) <= NEAR for b in range(BLOCKS)]
+        names = np.concatenate([s for s, _ in self.sets])
+        order = np.argsort(names, kind="stable")
+        self.held = names[order], np.repeat(np.arange(len(self.sets)), [len(s) for s, _ in self.sets])[order]
+
+    def sharing(self, hashes: np.ndarray, threshold: float) -> list[int]:
+        """Items of which so many shingles are among `hashes`, at most `runs`, that the threshold is in reach."""
+        names, items = self.held
+        low = np.searchsorted(names, hashes, "left")
+        n = np.searchsorted(names, hashes, "right") - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, shared = np.unique(items[at], return_counts=True)
+        return item[shared / self.runs >= threshold].tolist()
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs within RADIUS."""
@@ -137,9 +151,22 @@ def block_matches(words: Words, index: dict[int, SizeIndex], filters: dict[int,
                     if value >= threshold:
                         key = (int(owner[start]), size, i)
                         best[key] = max(value, best.get(key, 0.0))
+            for doc in _shorter(hits, at, owner, first, threshold):
+                own = hashes[first[doc]:first[doc + 1] - shingle + 1]
+                for i in at.sharing(own, threshold):
+                    value = at.similarity(own, i)
+                    if value >= threshold:
+                        best[doc, size, i] = value
     return best
 
 
+def _shorter(hits: np.ndarray, at: SizeIndex, owner: np.ndarray, first: np.ndarray, threshold: float) -> list[int]:
+    """Documents with a hit and fewer words than the items, but not so few that the threshold is out of reach."""
+    docs = np.unique(owner[hits])
+    runs = first[docs + 1] - first[docs] - at.shingle + 1
+    return docs[(runs < at.runs) & (runs / at.runs >= threshold)].tolist()
+
+
 def _stretches(hits: np.ndarray, runs: int, owner: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """[low, high) of window starts that hold a hit and stay within a document, joined where they touch."""
     low_end = high_end = -1
@@ -172,6 +199,8 @@ def _matched(batches: Iterator[pa.RecordBatch], index, threshold: float) -> Iter
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity): every item that a window of the document reaches the threshold with.
 
+    The whole document is the window where it has fewer words than the item.
+
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; an item of fewer than `shingle` words is one
     shingle. Null or blank texts and items match nothing, equal items are all reported, an empty table
     on either side gives no rows. Rows without doc_id are reported under null. More columns are ignored.

@@ -199,6 +199,37 @@ def test_decontamination(spark, documents, texts):
         assert got[i] == want, i
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """Copies with words missing, as whole documents, among them ones just above and just below the threshold."""
+    items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(15).collect()}
+    items |= {1000 + n: [f"u{n}x{j}" for j in range(n)] for n in range(1, 40)}
+    benchmark = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    texts = {}
+    for k, item in items.items():
+        for cut in (1, 2, len(item) // 6, len(item) // 4):
+            texts[len(texts)] = item[:len(item) - cut]
+            texts[len(texts)] = item[cut:]
+        texts[len(texts)] = item[:len(item) // 2] + item[len(item) // 2 + 1:]
+        texts[len(texts)] = ["other"] + item[2:]
+    df = spark.createDataFrame([(i, " ".join(v)) for i, v in texts.items()], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: dict.fromkeys(r.item_ids, r.best_similarity) for r in decontaminate.decontamination_query(df, benchmark).collect()}
+    short = 0
+    for i, words in texts.items():
+        want = {}
+        for k, item in items.items():
+            n, size = len(item), min(5, len(item))
+            a = Counter(tuple(item[s:s + size]) for s in range(n - size + 1))
+            for s in range(max(0, len(words) - n) + 1):
+                b = Counter(tuple(words[s + j:s + j + size]) for j in range(min(n, len(words)) - size + 1))
+                same = sum((a & b).values())
+                if same and 5 * same >= 4 * (a.total() + b.total() - same):
+                    want[k] = max(want.get(k, 0), same / (a.total() + b.total() - same))
+                    short += len(words) < n
+        assert set(got[i]) == set(want), i
+        assert not want or set(got[i].values()) == {max(want.values())}
+    assert short > 100
+
+
 def brute_tree(strings, depth):
     """Weighted probability of every string's last byte, decision by decision, by plain recursion."""
     counts = {}
