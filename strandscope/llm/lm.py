@@ -6,9 +6,11 @@ node, this estimate with the product of its children's, so that all depths up to
 trees are filled from all training texts: the counts of all (DEPTH + 1)-byte strings are summed by Spark. A text
 is coded with an end symbol (byte 255, never part of UTF-8), which also fills the context before its start.
 
-The model that is sent to the tasks is bounded: contexts of two or more bytes seen fewer than T times
-share, per parent, one child OTHER (byte 192, never part of UTF-8 either), and T is the smallest power
-of two for which at most MAX_GRAMS strings lie under the deepest contexts. Every string is still counted.
+No part of the tree is left out. Texts are cut into blocks; the different strings of a block go to the
+bucket of their nearest NEAREST + 1 bytes of context, so each bucket holds whole subtrees, weights them by
+itself and sends the sums of their roots up. The nodes of at most NEAREST bytes, at most 2 ** 24 by the
+size of their names whatever the corpus (in UTF-8 far fewer), are weighted on the driver and sent to all
+tasks. Each bucket then values its strings, of training and of other texts, and answers every block.
 
 The word base (add one over words and one end per text) takes the counts of the most frequent words, at
 most MAX_WORDS, from a broadcast table and those of all other words by a join.
@@ -24,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import pinned
-from .text import Block, Words, blocks
+from .tables import pinned, written
+from .text import Block, Words, blocks, mixed
 
 DEPTH = 5
 END, OTHER = 0xFF, 0xC0
 MAX_GRAMS = 500_000
 MAX_WORDS = 1 << 18
+NEAREST = 2
+SCORE_BYTES = 2_500_000
+BUCKETS, BUCKET_BYTES = 64, 8_000_000
 WALK = 100_000
 END_WORD = np.array([0x0E4D], np.uint64)
 
@@ -42,46 +47,117 @@ def held_out(doc_id):
 def gram_codes(block: Block, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the `depth` before it as one number, the byte lowest; where each document's begin."""
     n, size = len(block), np.diff(block.at)
-    padded = np.full(len(block.data) + n * (depth + 1), END, np.uint64)
+    padded = np.full(len(block.data) + n * (depth + 1), END, np.uint8)
     padded[np.arange(len(block.data)) + np.repeat(np.arange(n) * (depth + 1) + depth, size)] = block.data
     starts = block.at + np.arange(n + 1)
     at = np.arange(starts[-1]) + np.repeat(np.arange(n) * depth, size + 1)
     code = np.zeros(len(at), np.uint64)
-    for j in range(depth + 1):
-        code = code << np.uint64(8) | padded[at + j]
+    for _ in range(depth + 1):
+        code <<= np.uint64(8)
+        code |= padded[at]
+        at += 1
     return code, starts
 
 
-def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
-    names, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return names, np.bincount(where, np.concatenate(counts), len(names)).astype(np.int64)
+def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per block of whole documents, compressed, so that a JVM never holds many texts at once."""
+    for block, rows in blocks(batches, size=SCORE_BYTES):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "size": pa.array([len(block.data) + len(block)], pa.int64())})
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n_train, n_all): words (0) and byte strings (1) of every batch."""
-    for batch in batches:
-        found = {(kind, train): ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]) for kind in (0, 1) for train in (False, True)}
+def _block_at(batch: pa.RecordBatch, i: int) -> tuple[Block, pa.RecordBatch]:
+    return next(blocks([pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_next_batch()], size=1 << 62))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Differences of 64-bit numbers, byte plane by byte plane."""
+    planes = np.diff(values.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
+
 
-        def add(kind, train, values, found=found):
-            names, n = np.unique(values, return_counts=True)
-            found[kind, train][0].append(names)
-            found[kind, train][1].append(n)
+def _buckets(codes: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    near = (codes >> np.uint64(8)) & np.uint64((1 << (8 * (_nearest(depth) + 1))) - 1)
+    return (mixed(near + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
-        for block, rows in blocks([batch]):
+
+def _nearest(depth: int) -> int:
+    return min(NEAREST, depth - 1)
+
+
+def _in_buckets(codes: np.ndarray, depth: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (bucket, string) of sorted strings, and where each bucket begins."""
+    bucket = _buckets(codes, depth, parts)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(parts + 1))
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n_train, n_all) of the words of every block, one end per text."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block, rows = _block_at(batch, i)
             train = np.asarray(rows.column("train"))
             words = Words(block)
             owned = np.repeat(train, np.diff(words.first))
-            for flag in (False, True):
-                add(0, flag, words.hash[owned == flag])
-                add(0, flag, np.repeat(END_WORD, int((train == flag).sum())))
+            names, where = np.unique(np.concatenate([words.hash, np.repeat(END_WORD, len(block))]), return_inverse=True)
+            n_train = np.bincount(where, np.concatenate([owned, train]), len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(names.view(np.int64)), "n_train": pa.array(n_train), "n_all": pa.array(np.bincount(where, minlength=len(names)))})
+
+
+def _asked(batches: Iterator[pa.RecordBatch], depth: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, block, names, counts): the different strings of every block and how often training texts have them."""
+    for batch in batches:
+        for i, name in enumerate(batch.column("block").to_pylist()):
+            block, rows = _block_at(batch, i)
             codes, starts = gram_codes(block, depth)
-            add(1, True, codes[np.repeat(train, np.diff(starts))])
-        for kind in (0, 1):
-            sums = {train: _summed(*found[kind, train]) for train in (False, True)}
-            for train, (names, n) in sums.items():
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.full(len(names), kind, np.int32)), "key": pa.array(names.view(np.int64)),
-                    "n_train": pa.array(n if train else np.zeros_like(n)), "n_all": pa.array(n)})
+            codes <<= np.uint64(1)
+            codes |= np.repeat(np.asarray(rows.column("train")), np.diff(starts))
+            codes.sort()
+            first = np.flatnonzero(np.diff(codes >> np.uint64(1), prepend=~np.uint64(0)))
+            names, n = codes[first] >> np.uint64(1), np.add.reduceat(codes & np.uint64(1), first)
+            order, cut = _in_buckets(names, depth, parts)
+            names, n = names[order], n[order]
+            full = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array(full), "block": pa.array(np.full(len(full), name, np.int64)),
+                "names": pa.array([_packed(names[cut[b]:cut[b + 1]]) for b in full], pa.binary()),
+                "counts": pa.array([_packed(n[cut[b]:cut[b + 1]]) for b in full], pa.binary())})
+
+
+def _met(rows: pa.Table, depth: int) -> pa.Table:
+    """One row per bucket: its strings with their counts, which block asked for which, and what its subtrees send up."""
+    each = [_unpacked(x) for x in rows["names"].to_pylist()]
+    names, where = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.bincount(where, np.concatenate([_unpacked(x) for x in rows["counts"].to_pylist()]), len(names))
+    _, up = lower_levels(names, counts, depth)
+    return pa.table({
+        "names": pa.array([_packed(names)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()), "places": pa.array([_packed(where)], pa.binary()),
+        "blocks": pa.array([rows["block"].to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in each]], pa.list_(pa.int64())),
+        "bucket": rows["bucket"].combine_chunks()[:1],
+        **{k: pa.array([v], pa.list_(t)) for k, v, t in zip(("node", "split", "zeros", "ones"), up, (pa.int64(), *[pa.float64()] * 3), strict=True)}})
+
+
+def _valued(batches: Iterator[pa.RecordBatch], depth: int, upper: list) -> Iterator[pa.RecordBatch]:
+    """(block, bucket, log10): the values of the strings that the block has in the bucket, in their order."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            names = _unpacked(row["names"])
+            p, _ = lower_levels(names, _unpacked(row["counts"]).astype(np.float64), depth)
+            value = through_upper(names, p, upper)[_unpacked(row["places"]).astype(np.int64)]
+            cut = np.concatenate([[0], np.cumsum(row["sizes"])])
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(row["blocks"], pa.int64()), "bucket": pa.array(np.full(len(row["blocks"]), row["bucket"], np.int64)),
+                "log10": pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -102,8 +178,93 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+def node_names(d: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A node's name: depth, the nearest d bytes of context, and the decision (1 to 255)."""
+    near = context & np.uint64((1 << (8 * d)) - 1)
+    return (np.uint64(d) << np.uint64(56)) | near << np.uint64(8) | node
+
+
+def decisions(names: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(decision, whether it is a one) of each of the eight bits of the strings' last bytes."""
+    symbol = names & np.uint64(255)
+    for bit in range(8):
+        yield np.uint64(1 << bit) | symbol >> np.uint64(8 - bit), (symbol >> np.uint64(7 - bit)) & np.uint64(1) == 1
+
+
+def lower_levels(names: np.ndarray, counts: np.ndarray, depth: int) -> tuple[list[np.ndarray], tuple]:
+    """Levels below NEAREST of whole subtrees: each string's mixed probability of every decision, and the parents'
+    (name, logarithm of the children's product, zeros, ones). A string with count 0 is valued but not learnt."""
+    top, context = _nearest(depth), names >> np.uint64(8)
+    out, sent = [], []
+    for node, one in decisions(names):
+        below = p = None
+        for d in range(depth, max(top, 0) - 1, -1):
+            keys, where = np.unique(node_names(d, context, node), return_inverse=True)
+            n1 = np.bincount(where, counts * one, len(keys))
+            n0 = np.bincount(where, counts, len(keys)) - n1
+            split = None
+            if below is not None:
+                parent = np.empty(len(below[1]), np.int64)
+                parent[below[0]] = where
+                split = np.bincount(parent, below[1], len(keys))
+            if d == top:
+                seen = n0 + n1 > 0
+                sent.append((keys[seen].view(np.int64), split[seen], n0[seen], n1[seen]))
+                break
+            beta, weighted = _weighed(n0, n1, split)
+            p = _mixed_in(p, beta[where], ((n1 + 0.5) / (n0 + n1 + 1))[where], one, (n0 + n1 > 0)[where])
+            below = where, weighted
+        out.append(p)
+    if not sent:
+        sent = [(np.zeros(0, np.int64), *[np.zeros(0)] * 3)]
+    return out, tuple(np.concatenate(x) for x in zip(*sent, strict=True))
+
+
+def _weighed(n0: np.ndarray, n1: np.ndarray, split: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the own estimate against the children (infinite at the deepest level), logarithm of the weighted probability."""
+    own = log_kt(n0, n1)
+    if split is None:
+        return np.full(len(own), np.inf), own
+    return np.exp(np.clip(own - split, -60, 60)), np.logaddexp(own, split) - math.log(2)
+
+
+def _mixed_in(p, beta: np.ndarray, p1: np.ndarray, one: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """One level up; a node without counts says one half."""
+    estimate = np.where(one, p1, 1 - p1)
+    return np.where(seen, estimate if p is None else (beta * estimate + p) / (beta + 1), 0.5)
+
+
+def upper_levels(keys: np.ndarray, split: np.ndarray, n0: np.ndarray, n1: np.ndarray, depth: int) -> list[tuple]:
+    """(depth, names, shares, estimates of a one) from NEAREST up to the root, from what the subtrees have sent."""
+    out = []
+    order = np.argsort(keys)
+    keys, split, n0, n1 = keys[order], split[order], n0[order], n1[order]
+    for d in range(_nearest(depth), -1, -1):
+        beta, weighted = _weighed(n0, n1, split)
+        out.append((d, keys, beta, (n1 + 0.5) / (n0 + n1 + 1)))
+        if d:
+            keys, where = np.unique(node_names(d - 1, keys >> np.uint64(8), keys & np.uint64(255)), return_inverse=True)
+            split, n0, n1 = (np.bincount(where, x, len(keys)) for x in (weighted, n0, n1))
+    return out
+
+
+def through_upper(names: np.ndarray, lower: list[np.ndarray], upper: list[tuple]) -> np.ndarray:
+    """log10 probability of the strings' last bytes."""
+    total, context = np.zeros(len(names)), names >> np.uint64(8)
+    for p, (node, one) in zip(lower, decisions(names), strict=True):
+        for d, keys, beta, p1 in upper:
+            if not len(keys):
+                p = np.full(len(names), 0.5)
+                continue
+            key = node_names(d, context, node)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            p = _mixed_in(p, beta[at], p1[at], one, keys[at] == key)
+        total += np.log10(p)
+    return total
+
+
 class ContextTrees:
-    """Weighted trees from (string, count); probabilities of strings, seen or not."""
+    """Weighted trees from (string, count) in memory; probabilities of strings, seen or not. Not used by the query."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, kept: dict[int, np.ndarray], depth: int = DEPTH):
         self.depth, self.kept = depth, kept
@@ -147,11 +308,7 @@ class ContextTrees:
         order = np.argsort(keys)
         self.keys, self.share, self.ones = keys[order], np.concatenate(share)[order], np.concatenate(ones)[order]
 
-    @staticmethod
-    def _key(d: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """A node's name: depth, the nearest d bytes of context, and the decision (1 to 255)."""
-        near = context & np.uint64((1 << (8 * d)) - 1)
-        return (np.uint64(d) << np.uint64(56)) | near << np.uint64(8) | node
+    _key = staticmethod(node_names)
 
     def canonical(self, codes: np.ndarray) -> np.ndarray:
         """Bytes of context beyond the deepest context in the model become OTHER."""
@@ -195,8 +352,8 @@ class ContextTrees:
                 beta, p1 = self.share[at].astype(np.float64), self.ones[at].astype(np.float64)
                 estimate = np.where(one, p1, 1 - p1)
                 with np.errstate(invalid="ignore"):
-                    mixed = np.where(np.isinf(beta), estimate, (beta * estimate + p) / (beta + 1))
-                p = np.where(known, mixed, 0.5)
+                    mix = np.where(np.isinf(beta), estimate, (beta * estimate + p) / (beta + 1))
+                p = np.where(known, mix, 0.5)
             total += np.log10(p)
         return total
 
@@ -231,7 +388,9 @@ def _least_power(counts: DataFrame, size: str, weight: str, most: int) -> int:
 
 
 def fit_trees(strings: DataFrame, depth: int = DEPTH, max_grams: int = MAX_GRAMS) -> ContextTrees:
-    """From (key, n): all strings of the training texts and their counts."""
+    """A small model in memory from (key, n): contexts of two or more bytes seen fewer than T times share, per
+    parent, one child OTHER; T is the smallest power of two for which at most `max_grams` strings lie under
+    the deepest contexts. Not used by the query, whose trees are whole."""
     deepest = strings.groupBy(_byte_context(depth).alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("grams"))
     power = _least_power(deepest, "n", "grams", max_grams)
     kept = {}
@@ -253,31 +412,35 @@ def _column(df: DataFrame, name: str) -> np.ndarray:
     return np.asarray(held).astype(np.int64)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], trees: ContextTrees, words_known: np.ndarray, words_count: np.ndarray, end_count: int) -> Iterator[pa.RecordBatch]:
-    for block, rows in blocks(batches):
-        n = len(block)
-        codes, starts = gram_codes(block, trees.depth)
-        names, where = np.unique(codes, return_inverse=True)
-        score = np.add.reduceat(trees.log10_of(names)[where], starts[:-1])
-        words = Words(block)
-        tokens = np.diff(words.first)
-        doc = np.repeat(np.arange(n), tokens)
-        different, where = np.unique(words.hash, return_inverse=True)
-        at = np.minimum(np.searchsorted(words_known, different), max(0, len(words_known) - 1))
-        common = words_known[at] == different if len(words_known) else np.zeros(len(different), bool)
-        count = np.where(common, words_count[at], 0) if len(words_count) else np.zeros(len(different), np.int64)
-        base = np.bincount(doc, np.log10(count + 1.0)[where], n) + math.log10(end_count + 1)
-        known = np.bincount(doc, (count > 0)[where], n).astype(np.int64) + (end_count > 0)
-        rare = ~common[where]
-        key = doc[rare] * np.int64(len(different) + 1) + where[rare]
-        pairs, times = np.unique(key, return_counts=True)
-        owner, word = pairs // (len(different) + 1), pairs % (len(different) + 1)
-        cut = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-        lists = lambda values: pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": rows.column("doc_id"), "held_out": pa.array(~np.asarray(rows.column("train"))), "n_tokens": pa.array(tokens.astype(np.int64) + 1),
-            "n_common": pa.array(known), "common": pa.array(base), "score": pa.array(score),
-            "rare": lists(different[word].view(np.int64)), "times": lists(times.astype(np.int64))})
+def _scored(texts: pa.Table, values: pa.Table, depth: int, parts: int, words_known: np.ndarray, words_count: np.ndarray, end_count: int) -> pa.Table:
+    """The documents of one block; `values` has the block's strings bucket by bucket."""
+    block, rows = _block_at(texts.combine_chunks().to_batches()[0], 0)
+    n = len(block)
+    codes, starts = gram_codes(block, depth)
+    names, where = np.unique(codes, return_inverse=True)
+    log10 = np.empty(len(names))
+    answers = sorted(zip(values["bucket"].to_pylist(), values["log10"].to_pylist(), strict=True))
+    log10[_in_buckets(names, depth, parts)[0]] = np.frombuffer(b"".join(x for _, x in answers))
+    score = np.add.reduceat(log10[where], starts[:-1])
+    words = Words(block)
+    tokens = np.diff(words.first)
+    doc = np.repeat(np.arange(n), tokens)
+    different, where = np.unique(words.hash, return_inverse=True)
+    at = np.minimum(np.searchsorted(words_known, different), max(0, len(words_known) - 1))
+    common = words_known[at] == different if len(words_known) else np.zeros(len(different), bool)
+    count = np.where(common, words_count[at], 0) if len(words_count) else np.zeros(len(different), np.int64)
+    base = np.bincount(doc, np.log10(count + 1.0)[where], n) + math.log10(end_count + 1)
+    known = np.bincount(doc, (count > 0)[where], n).astype(np.int64) + (end_count > 0)
+    rare = ~common[where]
+    key = doc[rare] * np.int64(len(different) + 1) + where[rare]
+    pairs, times = np.unique(key, return_counts=True)
+    owner, word = pairs // (len(different) + 1), pairs % (len(different) + 1)
+    cut = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(cut), pa.array(values))
+    return pa.table({
+        "doc_id": rows.column("doc_id"), "held_out": pa.array(~np.asarray(rows.column("train"))), "n_tokens": pa.array(tokens.astype(np.int64) + 1),
+        "n_common": pa.array(known), "common": pa.array(base), "score": pa.array(score),
+        "rare": lists(different[word].view(np.int64)), "times": lists(times.astype(np.int64))})
 
 
 def score_documents(docs: DataFrame, train, depth: int = DEPTH, max_words: int = MAX_WORDS) -> DataFrame:
@@ -289,9 +452,10 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH, max_words: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    counts = pinned(rows.mapInArrow(lambda it: _gathered(it, depth), "kind int, key long, n_train long, n_all long")
-                    .groupBy("kind", "key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
-    words = counts.where("kind = 0")
+    texts = written(rows.mapInArrow(_as_blocks, "rows binary, size long")
+                    .withColumn("block", F.monotonically_increasing_id()))
+    words = pinned(texts.mapInArrow(_word_counts, "key long, n_train long, n_all long")
+                   .groupBy("key").agg(F.sum("n_train").alias("n_train"), F.sum("n_all").alias("n_all")))
     totals = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.count(F.when(F.col("n_train") > 0, 1)).alias("v")).first()
     power = _least_power(words.withColumn("one", F.lit(1)), "n_all", "one", max_words)
     top = words.where(F.col("n_all") >= (1 << power)).select("key", "n_train").toArrow()
@@ -299,11 +463,19 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH, max_words: int =
     order = np.argsort(key)
     key, n = key[order], n[order]
     ends = words.where(F.col("key") == int(END_WORD.view(np.int64)[0])).agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
-    trees = fit_trees(counts.where("kind = 1").select("key", F.col("n_train").alias("n")), depth)
-    model = spark.sparkContext.broadcast((trees, key, n, int(ends)))  # bounded by MAX_GRAMS and MAX_WORDS
-
-    scored = pinned(rows.mapInArrow(
-        lambda it: _scored(it, *model.value),
+    size = texts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]
+    parts = max(BUCKETS, -(-size // BUCKET_BYTES))
+    met = written(texts.mapInArrow(lambda it: _asked(it, depth, parts), "bucket long, block long, names binary, counts binary")
+                  .groupBy("bucket").applyInArrow(lambda rows: _met(rows, depth), "names binary, counts binary, places binary, "
+                  "blocks array<long>, sizes array<long>, bucket long, node array<long>, split array<double>, zeros array<double>, ones array<double>"))
+    nodes = met.select(F.explode(F.arrays_zip("node", "split", "zeros", "ones")).alias("r")).groupBy("r.node").agg(
+        *[F.sum(f"r.{k}").alias(k) for k in ("split", "zeros", "ones")]).toArrow()
+    upper = upper_levels(np.asarray(nodes["node"]).astype(np.int64).view(np.uint64), *[np.asarray(nodes[k]).astype(np.float64) for k in ("split", "zeros", "ones")], depth)
+    model = spark.sparkContext.broadcast((upper, (key, n, int(ends))))  # bounded by the names of nodes and MAX_WORDS
+    values = met.drop("node", "split", "zeros", "ones").mapInArrow(lambda it: _valued(it, depth, model.value[0]), "block long, bucket long, log10 binary")
+
+    scored = pinned(texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
+        lambda left, right: _scored(left, right, depth, parts, *model.value[1]),
         "doc_id long, held_out boolean, n_tokens long, n_common long, common double, score double, rare array<long>, times array<long>",
     ).withColumn("row_key", F.monotonically_increasing_id()))
     rare = scored.select("row_key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row_key", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))

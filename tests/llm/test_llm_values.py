@@ -304,6 +304,27 @@ def test_bounded_trees_still_add_up(spark):
         assert (10.0 ** trees.log10_of(every)).sum() == pytest.approx(1)
 
 
+def test_lm_scores_use_every_context(spark, monkeypatch):
+    """Whatever MAX_GRAMS is, scores are those of the whole tree; small blocks and many buckets meet."""
+    monkeypatch.setattr(lm, "MAX_GRAMS", 30)
+    monkeypatch.setattr(lm.fit_trees, "__defaults__", (lm.DEPTH, 30))
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["tree", "trace", "étude", "zebra", "quilt", "日本"]) + rng.choice(["", "s", "x"]) for _ in range(rng.randrange(12))) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    for depth in (1, 5):
+        held = lambda s: b"\xff" * depth + s.encode() + b"\xff"  # noqa: B023, E731
+        strings = Counter(raw[j:j + depth + 1] for i, t in texts.items() if i % 3 for raw in [held(t)] for j in range(len(raw) - depth))
+        code = lambda s: int.from_bytes(s, "big")
+        kept = {d: np.unique(np.array([code(s[-1 - d:-1]) for s in strings], np.uint64)) for d in range(2, depth + 1)}
+        trees = lm.ContextTrees(np.array([code(s) for s in strings], np.uint64), np.array(list(strings.values())), kept, depth)
+        rows = lm.score_documents(df, F.col("doc_id") % 3 != 0, depth).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            raw = held(texts[r.doc_id])
+            want = trees.log10_of(np.array([code(raw[j:j + depth + 1]) for j in range(len(raw) - depth)], np.uint64)).sum()
+            assert r.score == pytest.approx(want, rel=1e-5), (depth, r.doc_id)
+
+
 def test_lm_scores(documents, texts):
     rows = {r.doc_id: r for r in lm.scoring_query(documents).collect()}
     train = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
