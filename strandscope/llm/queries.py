@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, language, lm, near_dedup, sharding, substrings, token_files
+from . import bpe, chat, decontaminate, exact_dedup, language, lm, merkle, near_dedup, negatives, packing, sharding, substrings, token_files
 from .tables import documents, table
 
 
@@ -24,6 +24,9 @@ QUERIES = {
     "op8_lm_scoring": lambda spark, sf: lm.scoring_query(documents(spark, sf)),
     "op9_chat_formatting": lambda spark, sf: chat.chat_digests(chat.with_probe(table(spark, sf, "conversations"))),
     "op10_token_files": lambda spark, sf: token_files.token_files_query(documents(spark, sf), tokenizer_file("word_bpe_49k.json")),
+    "op11_merkle_manifest": lambda spark, sf: merkle.manifest_query(documents(spark, sf)),
+    "op12_best_fit_packing": lambda spark, sf: packing.pack_documents(documents(spark, sf), tokenizer_file("byte_bpe_50k.json")),
+    "op13_hard_negatives": lambda spark, sf: negatives.hard_negatives(table(spark, sf, "embeddings")),
 }
 
 ORACLES = {
@@ -31,4 +34,6 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL.format(documents="documents"),
     "op7_near_dedup": near_dedup.SQL,
     "op9_chat_formatting": chat.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
