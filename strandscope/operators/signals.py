@@ -199,35 +199,43 @@ def drawn_lag(pairs: DataFrame, keys: Sequence[str], levels: int = 50, t: str =
 
 
 def vectorise(profile: DataFrame, grid: DataFrame, shift: Column | None = None, sharpened: bool = True,
-              rate: int = dims.RATE) -> DataFrame:
+              rate: int = dims.RATE, maps: DataFrame | None = None) -> DataFrame:
     """Samples in mV of each lead from its column centres on the page's column grid.
 
     `profile` has (record, lead, col, y); `grid` one row per page with g0, pitch,
-    height, long_leads. Short leads give 2.5 s, the rhythm strip 10 s. A profile has one
-    row per page column, so it is bounded by the width of the page.
+    height, long_leads. Short leads give 2.5 s, the rhythm strip 10 s. A lead that `maps`
+    (record, lead, knots array<struct<a,b>>) names is read along its map of millimetres instead of the even
+    columns. A profile has one row per page column, so it travels as one array per lead.
     """
     pages = grid.filter(F.col("reason").isNull()) if "reason" in grid.columns else grid
-    rows = profile.join(pages.select("record", "g0", "pitch", "height", "long_leads"), "record")
-    rows = rows.withColumn("long", F.array_contains("long_leads", F.col("lead"))).withColumn(
-        "dx", shift if shift is not None else F.lit(0.0))
-    rows = rows.filter(F.col("lead").isin(*dims.LEADS))
+    rows = profile.withColumn("dx", shift if shift is not None else F.lit(0.0)).filter(F.col("lead").isin(*dims.LEADS))
+    lines = rows.groupBy("record", "lead").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("col").cast("double").alias("col"), F.col("y").cast("double").alias("y")))).alias("line"), F.first("dx").alias("dx"))
+    lines = lines.join(pages.select("record", "g0", "pitch", "height", "long_leads"), "record")
+    lines = lines.join(maps, ["record", "lead"], "left") if maps is not None else lines.withColumn("knots", F.lit(None).cast("array<struct<a:double,b:double>>"))
     per = int(dims.COLUMN_SECONDS * rate)
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("col")
-        head = group.iloc[0]
-        lead, strip, pitch = head["lead"], bool(head["long"]), float(head["pitch"])
+    def sampled(lead, strip, pitch, g0, height, dx, cols, y, mm, at):
         n = dims.N_COLUMNS * per if strip else per
-        column = 0 if strip else dims.COLUMN[lead]
-        x = head["g0"] + (column + np.arange(n) / per) * pitch - 0.5 - float(head["dx"])
-        cols, y = group["col"].to_numpy(float), group["y"].to_numpy(float)
+        columns = (0 if strip else dims.COLUMN[lead]) + np.arange(n) / per
+        if mm is None or not len(mm):
+            x = g0 + columns * pitch
+        else:
+            m, period = columns * dims.MM_PER_COLUMN, pitch / dims.MM_PER_COLUMN
+            x = np.interp(m, mm, at) + np.minimum(m - mm[0], 0) * period + np.maximum(m - mm[-1], 0) * period
+        x = x - 0.5 - dx
         traced = sharpen(cols, y, x, rate) if sharpened else np.interp(x, cols, y)
-        base = (1 - dims.baseline_ratio(lead, strip)) * float(head["height"])
-        mv = (base - (traced + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)
-        return pd.DataFrame({"record": head["record"], "lead": lead, "t": np.arange(n), "mv": mv.astype(np.float32)})
+        base = (1 - dims.baseline_ratio(lead, strip)) * height
+        return ((base - (traced + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)).astype(np.float32).astype(float)
+
+    @F.pandas_udf("array<double>")
+    def samples(lead: pd.Series, strip: pd.Series, pitch: pd.Series, g0: pd.Series, height: pd.Series, dx: pd.Series,
+                cols: pd.Series, y: pd.Series, mm: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([sampled(*row) for row in zip(lead, strip, pitch, g0, height, dx, cols, y, mm, at, strict=True)], dtype=object)
 
-    return rows.select("record", "lead", "col", "y", "g0", "pitch", "height", "long", "dx").groupBy(
-        "record", "lead").applyInPandas(kernel, f"{_fields(profile, ['record', 'lead'])}, t bigint, mv double")
+    mv = samples("lead", F.array_contains("long_leads", F.col("lead")), F.col("pitch").cast("double"), F.col("g0").cast("double"),
+                 F.col("height").cast("double"), F.col("dx").cast("double"), "line.col", "line.y", "knots.a", "knots.b")
+    return lines.select("record", "lead", F.posexplode(mv).alias("t", "mv")).withColumn("t", F.col("t").cast("bigint"))
 
 
 def paper_windows(samples: DataFrame, rate: float, paper_seconds: float, columns: int = dims.N_COLUMNS,

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import agreement, grid, labels, lines, masks, metrics, pairing, resampling, signals, strokes
+from ..operators import agreement, columns, grid, labels, lines, masks, metrics, pairing, resampling, rows, signals, strokes
+from ..session import pinned
 from ..sources import pages as page_files
 from ..sources import records
 
@@ -66,35 +67,79 @@ def compare_runs(run_a: DataFrame, run_b: DataFrame, metric: str = "snr_raw", th
 
 
 def read_pages_from_masks(mask: DataFrame, sizes: DataFrame, ink: DataFrame | None = None, sharpened: bool = True,
-                          placement: str = "column", pixels: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Signals of whole pages from label masks: boxes, column grid, traces, offsets, checks.
-
-    `mask` may come from any segmentation model. Without usable printed lines
-    (`pixels`) the grid of the mask edges stands. Pages without a grid give no signal
-    and say why in `grid`.
+                          placement: str = "column", pixels: DataFrame | None = None, row_mapping: bool = True,
+                          snap_offset: float = 0.5) -> dict[str, DataFrame]:
+    """Signals of whole pages from label masks: boxes, column grid, maps, traces, baseline, offsets, checks.
+
+    `mask` may come from any segmentation model. With the page's `pixels` the grid is moved onto the printed
+    lines and, where these are uneven, samples are read along the map of the layout row, else of the page; without
+    usable lines the grid of the mask edges stands. The zero line of a page is put where the sums of the
+    limb leads vanish. Pages without a grid give no signal and say why in `grid`.
     """
     spark = mask.sparkSession
-    table = dims.lead_table(spark).select("label", "lead")
+    dims_table = dims.lead_table(spark)
+    table = dims_table.select("label", "lead")
     boxes = masks.bounding_boxes(mask, table).filter(F.col("x1").isNotNull()).join(F.broadcast(table), "label")
     heights = sizes.select("record", "height")
     leads = boxes.select("record", "lead", "x1", (F.col("x2") - F.col("x1") + 1).alias("width"))
     fitted = grid.rescued_grid(leads, heights)
+    profiles = None
     if pixels is not None:
-        moved = lines.refine_grid(lines.band_profiles(pixels), fitted.filter("reason IS NULL"))
+        profiles = pinned(lines.band_profiles(pixels))
+        moved = lines.refine_grid(profiles, fitted.filter("reason IS NULL"), snap_offset=snap_offset)
         fitted = fitted.join(moved.select("record", F.col("g0").alias("_g"), F.col("pitch").alias("_p")), "record", "left")
         fitted = fitted.withColumn("g0", F.coalesce("_g", "g0")).withColumn("pitch", F.coalesce("_p", "pitch")).drop("_g", "_p")
+    fitted = pinned(fitted)
     pages = fitted.join(heights, "record")
+    good = pages.filter("reason IS NULL")
+    out, maps = {"grid": fitted}, None
+    if pixels is not None:
+        verdict, knots = columns.column_map(profiles, good.select("record", "g0", "pitch"), mask_edges(leads, good, dims_table), snap_offset)
+        verdict = pinned(verdict)
+        knots = pinned(knots.join(verdict.filter("reason IS NULL AND NOT dead_band").select("record"), "record", "left_semi"))
+        by_row = pinned(rows.row_maps(pixels, profiles, mask, good, knots, dims_table, snap_offset)) if row_mapping else None
+        maps = rows.reading_maps(good, dims_table, knots, by_row)
+        out |= {"page_maps": verdict, "row_maps": by_row}
     profile = strokes.column_centres(mask, ink).join(F.broadcast(table), "label").select("record", "lead", "col", "y")
+    applied = None
     if ink is not None:
         shift = strokes.applied_shift(strokes.trace_shift(mask, ink, sizes)).select("record", "applied")
-        pages_shift = profile.join(shift, "record", "left").withColumn("applied", F.coalesce("applied", F.lit(0.0)))
-        read = signals.vectorise(pages_shift, pages, F.col("applied"), sharpened)
-    else:
-        read = signals.vectorise(profile, pages, None, sharpened)
-    offsets = grid.grid_offsets(boxes.select("record", "lead", "x1"), pages.filter("reason IS NULL"))
-    whole = grid.assemble(read, offsets, int(dims.PAGE_SECONDS * dims.RATE), placement)
+        profile = profile.join(shift, "record", "left").withColumn("applied", F.coalesce("applied", F.lit(0.0)))
+        applied = F.col("applied")
+    read = pinned(signals.vectorise(profile, pages, applied, sharpened, maps=maps))
+    levelled, moved = on_zero_line(read, good)
+    offsets = grid.grid_offsets(boxes.select("record", "lead", "x1"), good)
+    whole = grid.assemble(levelled, offsets, int(dims.PAGE_SECONDS * dims.RATE), placement)
     checks = grid.consistency_warning(grid.consistency(whole))
-    return {"signals": grid.rescaled(whole), "grid": fitted, "offsets": offsets, "checks": checks}
+    return out | {"signals": grid.rescaled(whole), "offsets": offsets, "checks": checks, "baseline": moved}
+
+
+def mask_edges(leads: DataFrame, pages: DataFrame, dims_table: DataFrame) -> DataFrame:
+    """(record, x, mm): both edges of every lead's mask and the millimetres that the layout gives them.
+
+    A short lead reaches over its own column, a rhythm strip over all of them.
+    """
+    at = leads.join(pages.select("record", "long_leads"), "record").join(F.broadcast(dims_table.select("lead", "layout_column")), "lead")
+    strip = F.array_contains("long_leads", F.col("lead"))
+    first, last = F.when(strip, 0).otherwise(F.col("layout_column")), F.when(strip, dims.N_COLUMNS).otherwise(F.col("layout_column") + 1)
+    edge = F.array(F.struct(F.col("x1").cast("double").alias("x"), (first * dims.MM_PER_COLUMN).alias("mm")),
+                   F.struct((F.col("x1") + F.col("width")).cast("double").alias("x"), (last * dims.MM_PER_COLUMN).alias("mm")))
+    return at.select("record", F.inline(edge))
+
+
+def on_zero_line(read: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Samples moved by the reading error that the sums of the limb leads show, and that error per page.
+
+    Leads are compared where the layout prints them: each keeps the time of its column.
+    """
+    mv_per_px = 25 * dims.COLUMN_SECONDS / F.col("pitch") / 10
+    start = F.create_map(*[F.lit(x) for k, c in dims.COLUMN.items() for x in (k, int(c * dims.COLUMN_SECONDS * dims.RATE))])
+    strips = pages.select("record", "long_leads")
+    timed = read.join(strips, "record").withColumn("t", F.col("t") + F.when(F.array_contains("long_leads", F.col("lead")), 0).otherwise(start[F.col("lead")]))
+    error = pinned(grid.baseline_shift(timed.select("record", "lead", "t", "mv"), pages.select("record", "pitch"), mv_per_px,
+                                       int(dims.COLUMN_SECONDS * dims.RATE)))
+    by = error.join(pages.select("record", "pitch"), "record").select("record", (F.col("shift") * mv_per_px).alias("_up"))
+    return read.join(by, "record", "left").withColumn("mv", F.col("mv") + F.coalesce("_up", F.lit(0.0))).drop("_up"), error
 
 
 def fidelity_table(logits: DataFrame, snr: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import resampling_taps
 from ..operators import grid, lines, metrics, signals, strokes
+from ..operators.ordered import beside
 from ..session import ensure_checkpoint_dir
 from ..streaming import arrivals
 from .fixtures import READ_SQL, daily, day_index, hour_index, reading, rounded
@@ -153,18 +154,24 @@ def sharpened_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages with a line every eight columns, every fifth one bold, and some noise from the events.
 PIXEL_SQL = """
 us AS (SELECT DISTINCT user_id % 10 AS record, user_id // 10 AS row, user_id FROM events),
-cl AS (SELECT CAST(unnest(range(0, 720)) AS INTEGER) AS col),
 ev AS (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) - 473352 AS col, round(sum(value), 4) AS v FROM events GROUP BY 1, 2),
+wd AS (SELECT max(col) + 1 AS width FROM ev),
+cl AS (SELECT CAST(unnest(range(0, width)) AS INTEGER) AS col FROM wd),
 px AS (SELECT record, row, cl.col, (CASE WHEN cl.col % 40 = 0 THEN 160.0 WHEN cl.col % 8 = 0 THEN 100.0 ELSE 0.0 END)::DOUBLE + least(coalesce(v, 0.0), 60.0) AS darkness
        FROM us CROSS JOIN cl LEFT JOIN ev ON ev.user_id = us.user_id AND ev.col = cl.col),
 h AS (SELECT record, max(row) + 1 AS h FROM px GROUP BY record),
 bp AS (SELECT record, CAST(row // 3 AS INTEGER) AS band, col, median(darkness) AS v FROM px JOIN h USING (record) WHERE (row // 3 + 1) * 3 <= h GROUP BY 1, 2, 3)"""
 
 
+def _width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the columns of every page, one per hour up to the last event."""
+    return table(spark, sf_dir, "events").agg((F.max(hour_index()) + 1).cast("int").alias("width"))
+
+
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").groupBy("user_id", hour_index().cast("int").alias("col")).agg(
         F.round(F.sum("value"), 4).alias("v"))
-    users = ev.select("user_id").distinct().withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(719))))
+    users = beside(ev.select("user_id").distinct(), ev.agg(F.max("col").alias("last"))).select("user_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("col"))
     dark = F.when(F.col("col") % 40 == 0, 160.0).when(F.col("col") % 8 == 0, 100.0).otherwise(0.0) + F.least(F.coalesce("v", F.lit(0.0)), F.lit(60.0))
     return users.join(ev, ["user_id", "col"], "left").select(
         (F.col("user_id") % 10).alias("record"), F.floor(F.col("user_id") / 10).alias("row"), "col", dark.alias("darkness"))
@@ -194,17 +201,17 @@ def grid_line_tilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_scale", f"""WITH {PIXEL_SQL},
 b AS (SELECT record, band, avg(v) AS m FROM bp GROUP BY 1, 2),
-x AS (SELECT record, band, col, (v - m) * (0.5 - 0.5 * cos(2 * pi() * col / 719)) AS x FROM bp JOIN b USING (record, band)),
-bn AS (SELECT CAST(unnest(range(336, 1649)) AS INTEGER) AS bin),
-f AS (SELECT record, band, bin, sum(x * cos(2 * pi() * bin * col / 5760)) AS re, sum(x * sin(2 * pi() * bin * col / 5760)) AS im
+x AS (SELECT record, band, col, (v - m) * (0.5 - 0.5 * cos(2 * pi() * col / (width - 1))) AS x FROM bp JOIN b USING (record, band) CROSS JOIN wd),
+bn AS (SELECT CAST(unnest(range(8 * width // 17 - 2, CAST(floor(8 * width / 3.5) AS BIGINT) + 4)) AS INTEGER) AS bin, 8 * width AS n FROM wd),
+f AS (SELECT record, band, bin, sum(x * cos(2 * pi() * bin * col / n)) AS re, sum(x * sin(2 * pi() * bin * col / n)) AS im
       FROM x CROSS JOIN bn GROUP BY 1, 2, 3),
-p AS (SELECT record, bin, sum(re * re + im * im) AS power FROM f GROUP BY 1, 2),
+p AS (SELECT record, bin, 8 * width AS n, sum(re * re + im * im) AS power FROM f CROSS JOIN wd GROUP BY 1, 2, 3),
 q AS (SELECT *, lag(power) OVER w AS l, lead(power) OVER w AS r FROM p WINDOW w AS (PARTITION BY record ORDER BY bin)),
-t AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY power DESC, bin) AS rn FROM q WHERE bin / 5760 >= 1 / 17.0::DOUBLE AND bin / 5760 <= 1 / 3.5::DOUBLE),
-u AS (SELECT record, 5760 / (bin + CASE WHEN l - 2 * power + r < 0 THEN 0.5 * (l - r) / (l - 2 * power + r) ELSE 0 END) AS period FROM t WHERE rn = 1),
+t AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY power DESC, bin) AS rn FROM q WHERE bin / n >= 1 / 17.0::DOUBLE AND bin / n <= 1 / 3.5::DOUBLE),
+u AS (SELECT record, n / (bin + CASE WHEN l - 2 * power + r < 0 THEN 0.5 * (l - r) / (l - 2 * power + r) ELSE 0 END) AS period FROM t WHERE rn = 1),
 s AS (SELECT *, (200 / 25.4::DOUBLE) / period AS s FROM u)
 SELECT record, round(period, 6) AS period, round(CASE WHEN s >= 0.2 AND s <= 3 AND abs(s - 1) > 0.12 THEN s ELSE 1.0 END, 6)::DOUBLE AS scale,
-       CASE WHEN NOT (s >= 0.2 AND s <= 3) THEN 'implausible scale' END AS reason FROM s""")
+       CASE WHEN NOT (s >= 0.2 AND s <= 3) THEN 'implausible_scale' END AS reason FROM s""")
 def page_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lines.page_scale(lines.grid_period(lines.band_profiles(_pixels(spark, sf_dir), 3))), 6, "period", "scale")
 
@@ -246,12 +253,12 @@ cs AS (SELECT record, label, col, count(*) AS n, min(row) AS top, max(row) AS bo
 mr AS (SELECT mk.*, n >= 6 AND row >= top + 2 AND row <= bot - 2 AS steep,
               mk.col - row_number() OVER (PARTITION BY record, label, row ORDER BY mk.col) AS isl FROM mk JOIN cs USING (record, label, col)),
 rn AS (SELECT record, label, row, min(col) AS s, max(col) AS e, bool_or(steep) AS st FROM mr GROUP BY record, label, row, isl),
-wd AS (SELECT record, label, row, s, e, unnest(range(s - 2, e + 3)) AS col FROM rn WHERE st AND s - 2 >= 0 AND e + 2 < 720),
+wi AS (SELECT record, label, row, s, e, unnest(range(s - 2, e + 3)) AS col FROM rn CROSS JOIN (SELECT width FROM wd) WHERE st AND s - 2 >= 0 AND e + 2 < width),
 am AS (SELECT DISTINCT record, row, col, 1 AS one FROM mk),
-sm AS (SELECT wd.record, wd.label, wd.row, s, e, count(one) AS masked, max(coalesce(ink, 0.0)) AS pk, any_value(p95) AS p95,
-              sum(pow(coalesce(ink, 0.0) / p95, 2)) AS w, sum(pow(coalesce(ink, 0.0) / p95, 2) * wd.col) AS wc
-       FROM wd JOIN p95 USING (record, label) LEFT JOIN am ON am.record = wd.record AND am.row = wd.row AND am.col = wd.col
-       LEFT JOIN ik ON ik.record = wd.record AND ik.row = wd.row AND ik.col = wd.col GROUP BY 1, 2, 3, 4, 5),
+sm AS (SELECT wi.record, wi.label, wi.row, s, e, count(one) AS masked, max(coalesce(ink, 0.0)) AS pk, any_value(p95) AS p95,
+              sum(pow(coalesce(ink, 0.0) / p95, 2)) AS w, sum(pow(coalesce(ink, 0.0) / p95, 2) * wi.col) AS wc
+       FROM wi JOIN p95 USING (record, label) LEFT JOIN am ON am.record = wi.record AND am.row = wi.row AND am.col = wi.col
+       LEFT JOIN ik ON ik.record = wi.record AND ik.row = wi.row AND ik.col = wi.col GROUP BY 1, 2, 3, 4, 5),
 d AS (SELECT record, wc / w - 0.5 * (s + e) AS d FROM sm WHERE masked = e - s + 1 AND p95 > 0 AND pk >= 0.5 * p95 AND w > 0),
 a AS (SELECT record, count(*) AS n, median(d) AS m FROM d GROUP BY record),
 o AS (SELECT i.record, coalesce(n, 0) AS n_rows, m, (CASE WHEN n >= 30 THEN m ELSE 0.0 END)::DOUBLE AS dx
@@ -260,7 +267,7 @@ SELECT record, n_rows, round(m, 6) AS median, round(dx, 6) AS dx,
        round(CASE WHEN abs(dx * 0.67) < 0.05 THEN 0.0 ELSE dx * 0.67 END, 6)::DOUBLE AS applied FROM o""")
 def trace_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask, ink = _strokes(spark, sf_dir)
-    out = strokes.applied_shift(strokes.trace_shift(mask, ink, mask.select("record", F.lit(720).alias("width")).distinct()))
+    out = strokes.applied_shift(strokes.trace_shift(mask, ink, beside(mask.select("record").distinct(), _width(spark, sf_dir))))
     return rounded(out, 6, "median", "dx", "applied")
 
 

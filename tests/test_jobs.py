@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandscope import dims
-from strandscope.operators import metrics
+from strandscope.operators import lines, metrics, rows, signals, strokes
 from strandscope.plans import jobs
 from strandscope.sources import pages, records, tables
 from strandscope.streaming import arrivals
@@ -159,3 +159,83 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     arrivals.running_summary(stream, "ts", "k", "v", "10 minutes", "5 minutes", str(tmp_path / "out"), str(tmp_path / "state"))
     got = {(str(r["start"])[11:16], r["k"], r["n"], r["total"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert {("00:00", "a", 2, 3.0), ("00:20", "a", 1, 4.0)} <= got
+
+
+def drawn_page(moves, height=1700, width=2200, g0=100.25, per_mm=7.875):
+    """A page whose printed lines, and traces with them, lie `moves[line]` pixels to the right in each layout row."""
+    pitch = per_mm * 62.5
+    truth, mask = [], set()
+    dark = np.zeros((height, width))
+    centres = [(1 - dims.baseline_ratio(lead)) * height for lead in ("I", "II", "III")] + [(1 - dims.baseline_ratio("II", True)) * height]
+    cuts = [0, *[int((a + b) / 2) for a, b in zip(centres, centres[1:])], height]
+    for line in range(4):
+        k = np.arange(-40, 320)
+        at = np.floor(g0 + moves[line] + k * per_mm).astype(int)
+        inside = (at >= 0) & (at < width)
+        dark[cuts[line]:cuts[line + 1], at[inside]] = np.where(k[inside] % 5 == 0, 160.0, 100.0)
+    for i, lead in enumerate(dims.LEADS):
+        strip = lead == "II"
+        t = np.arange(5000 if strip else 1250)
+        mv = 0.5 * np.sin(2 * np.pi * (2 + 0.3 * i) * t / 500)
+        truth += [("p", lead, int(k), float(v)) for k, v in zip(t, mv)]
+        x = g0 + moves[3 if strip else dims.ROW[lead]] + ((0 if strip else dims.COLUMN[lead]) + t / 1250) * pitch
+        y = (1 - dims.baseline_ratio(lead, strip)) * height - mv * 10 * per_mm
+        cols = np.floor(x).astype(int)
+        for c in np.unique(cols):
+            rows = y[cols == c]
+            mask |= {("p", int(r), int(c), i + 1) for r in range(int(np.floor(rows.min())), int(np.floor(rows.max())) + 1)}
+    row, col = np.nonzero(dark)
+    return truth, sorted(mask), pd.DataFrame({"record": "p", "row": row, "col": col, "darkness": dark[row, col]}), (height, width)
+
+
+def test_rows_are_read_along_their_own_lines(spark):
+    """Two rows stand two pixels off the page's mean map: reading along the row's own map is nearer to the truth."""
+    moves = (1.2, -1.2, 1.2, -1.2)
+    truth, mask, ink, (height, width) = drawn_page(moves)
+    ref = spark.createDataFrame(truth, "record string, lead string, t int, mv double")
+    labels = spark.createDataFrame(mask, "record string, row int, col int, label int")
+    sparse = spark.createDataFrame(ink)
+    every = spark.range(height).select(F.lit("p").alias("record"), F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    pixels = every.join(sparse, ["record", "row", "col"], "left").fillna(0.0, ["darkness"])
+    pages = spark.createDataFrame([("p", 100.25, 7.875 * 62.5, height, ["II"])], "record string, g0 double, pitch double, height int, long_leads array<string>")
+    profiles = lines.band_profiles(pixels)
+    knots = spark.createDataFrame([("p", float(m), 100.25 + 7.875 * m) for m in range(-10, 261, 2)], "record string, m double, x double")
+    got = {r.line: r for r in rows.row_maps(pixels, profiles, labels, pages, knots, dims.lead_table(spark), snap_offset=0.0).collect()}
+    assert [got[i].reason for i in range(4)] == [None] * 4
+    for i in range(4):
+        at = np.array([k.b - 100.25 - 7.875 * k.a for k in got[i].knots])
+        assert np.median(at) == pytest.approx(moves[i], abs=0.3) and got[i].shift == pytest.approx(1.2, abs=0.5) and got[i].coverage > 0.9
+    centres = strokes.column_centres(labels, None).join(dims.lead_table(spark).select("label", "lead"), "label").select("record", "lead", "col", "y")
+    by_row = spark.createDataFrame([(r.record, r.line, [(k.a, k.b) for k in r.knots]) for r in got.values()], "record string, line int, knots array<struct<a:double,b:double>>")
+    maps = rows.reading_maps(pages, dims.lead_table(spark), knots, by_row)
+
+    def quality(m):
+        read = signals.vectorise(centres, pages, None, False, maps=m)
+        return {r.lead: r.snr for r in metrics.signal_snr(metrics.sample_pairs(ref, read, ["record", "lead"]), ["record", "lead"]).collect()}
+
+    even, own = quality(rows.reading_maps(pages, dims.lead_table(spark), knots)), quality(maps)
+    assert len(own) == 12 and np.median(list(own.values())) > np.median(list(even.values())) + 3
+
+
+def test_rows_without_lines_keep_the_page_map(spark):
+    pages = spark.createDataFrame([("p", 0.5, 178.0, 40, ["II"])], "record string, g0 double, pitch double, height int, long_leads array<string>")
+    mask = spark.createDataFrame([("p", r, c, n) for r, n in ((5, 1), (15, 5), (25, 3), (35, 2)) for c in range(0, 700, 9)], "record string, row int, col int, label int")
+    pixels = spark.range(40).select(F.lit("p").alias("record"), F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(719))).alias("col"), F.lit(0.0).alias("darkness"))
+    knots = spark.createDataFrame([("p", 0.0, 0.5), ("p", 89.0, 712.5)], "record string, m double, x double")
+    run = lambda m, height=4, least=2: sorted((r.line, r.reason) for r in rows.row_maps(
+        pixels, lines.band_profiles(pixels, height), m, pages, knots, dims.lead_table(spark), lines=22.25, band_height=height, min_rows=least).collect())
+    assert run(mask, least=30) == [(i, rows.LOW_BAND) for i in range(4)]
+    assert run(mask.where("label != 3")) == [(i, rows.ROW_MISSING) for i in range(4)]
+    assert [x for _, x in run(mask)] == [rows.BLANK_ROW] * 4
+    assert rows.reading_maps(pages, dims.lead_table(spark), knots).count() == 12
+
+
+def test_the_zero_line_follows_the_limb_leads(spark):
+    wave = np.sin(np.arange(1250) / 40)
+    values = {"I": wave, "III": -wave / 2, "aVR": -0.75 * wave, "aVL": 0.75 * wave, "aVF": 0 * wave}
+    strip = np.r_[wave / 2, np.zeros(3750)]
+    read = spark.createDataFrame([("p", k, t, float(v) - 0.05) for k, x in [*values.items(), ("II", strip)] for t, v in enumerate(x)], "record string, lead string, t bigint, mv double")
+    pages = spark.createDataFrame([("p", 500.0, ["II"])], "record string, pitch double, long_leads array<string>")
+    moved, error = jobs.on_zero_line(read, pages)
+    assert error.first().shift * 25 * 2.5 / 500 / 10 == pytest.approx(0.05, abs=1e-6)
+    assert moved.where("lead = 'aVF'").agg(F.max(F.abs("mv"))).first()[0] == pytest.approx(0, abs=1e-6)
