@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import lines, rows
+from ..operators import lines, perspective, rows
 from ..operators.ordered import for_each
 from ..session import pinned
 from . import jobs
@@ -159,3 +159,29 @@ def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = out["grid"].select("record", F.round("g0", 3).alias("g0"), F.round("pitch", 3).alias("pitch")).join(
         out["baseline"].select("record", F.round("shift", 4).alias("baseline_px")), "record").join(out["checks"].select("record", "warning"), "record")
     return told.join(page, "record")
+
+
+PERSPECTIVE_SQL = """
+SELECT DISTINCT user_id AS record, NULL::VARCHAR AS reason, user_id % 3 > 0 AS applied, user_id % 3 > 0 AS again, CAST(user_id % 3 AS DOUBLE) AS steps,
+       user_id % 3 = 0 AS kept FROM events"""
+
+
+@query("page_perspective", PERSPECTIVE_SQL)
+def page_perspective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per user, its lines sheared by none, one or two steps of 1.5 pixels at the edge, with the events as ink."""
+    height, width, period, step = 120, 144, 4.0, 1.5
+    ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("record"), (F.dayofmonth("ts") * 3).alias("row"), (F.hour("ts") * 6).alias("col"), F.least("value", F.lit(40.0)).alias("ink"))
+    ink = ev.groupBy("record", "row", "col").agg(F.max("ink").alias("ink"))
+    grid = ink.select("record").distinct().select("record", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("row")).select(
+        "record", "row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    u = F.col("col") + 0.5 + (F.col("record") % 3) * step / (height / 2) * (F.col("row") + 0.5 - height / 2)
+
+    def comb(at):
+        return 100 * F.greatest(F.cos(2 * 3.141592653589793 * at / period), F.lit(0.0))
+
+    px = grid.join(ink, ["record", "row", "col"], "left").select(
+        "record", "row", "col", F.greatest(comb(u), comb(F.col("row") + 0.5), F.coalesce("ink", F.lit(0.0))).alias("darkness"))
+    periods = px.select("record").distinct().select("record", F.lit(period).alias("period"))
+    out = perspective.page_perspective(px, periods, band_height=12, window_lines=12)
+    identity = F.forall(F.arrays_zip(F.col("homography").alias("a"), F.array(*[F.lit(float(i % 4 == 0)) for i in range(9)]).alias("b")), lambda p: p["a"] == p["b"])
+    return out.select("record", "reason", "applied", "again", F.round(F.col("shift") / step).alias("steps"), identity.alias("kept"))
