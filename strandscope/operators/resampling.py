@@ -202,6 +202,74 @@ def logistic_fit(df: DataFrame, x: str, flip: str, group: str, probs: Sequence[f
         f"x_at_p{p:g}".replace(".", "_"): inverse_logistic_at(p, "intercept", "slope") for p in probs})
 
 
+def logistic_draws(df: DataFrame, x: str, flip: str, group: str, n_boot: int = 1000, seed: int = 0, weighting: str = "rows",
+                   max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """(draw, fit, intercept, slope, steps, score_0, score_1): the curve of `logistic_fit` in every draw of whole groups.
+
+    All draws take their Newton steps together: one aggregate per step with the draw as its key, over drawn values
+    that are joined anew instead of kept; a draw that has converged leaves. `fit` says ok, stuck (no end within
+    max_iter) or why a draw has no curve: one_outcome, constant, separated. The scores are the equations at the solution.
+    """
+    if weighting not in ("rows", "group"):
+        raise ValueError(f"weighting must be rows or group, got {weighting!r}")
+    spark = df.sparkSession
+    rows = df.select(F.col(x).cast("double").alias("v"), F.col(flip).cast("int").alias("y"), F.col(group).alias("_group")).filter(finite("v"))
+    rows = equal_weights(rows, "_group") if weighting == "group" else rows.withColumn("weight", F.lit(1.0))
+    cells, n_groups = _indexed(rows.groupBy("_group", "v", "y").agg(F.sum("weight").alias("w")), "_group")
+    cells = pinned(cells.drop("_group"))
+    picks = pinned(cluster_picks(spark, n_groups, n_boot, seed))
+    drawn = _draw_rows(cells, picks).select("draw", "v", "y", (F.col("w") * F.col("times")).alias("w"))
+    yes = F.col("y") == 1
+    span = [f(F.when(k, F.col("v"))).alias(n) for k, t in ((yes, "1"), (~yes, "0")) for f, n in ((F.min, f"lo{t}"), (F.max, f"hi{t}"))]
+    shape = drawn.groupBy("draw").agg(*span)
+    flat = F.greatest("hi1", "hi0") == F.least("lo1", "lo0")
+    fit = (F.when(F.col("lo1").isNull() | F.col("lo0").isNull(), "one_outcome").when(flat, "constant")
+           .when((F.col("hi1") <= F.col("lo0")) | (F.col("lo1") >= F.col("hi0")), "separated"))
+    scale = cells.agg(F.avg("v"), F.stddev_pop("v")).first()
+    mu, sd = float(scale[0] or 0.0), float(scale[1] or 1.0) or 1.0
+    state = pinned(shape.select("draw", fit.alias("fit"), F.lit(0.0).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0).alias("steps")))
+    z = (F.col("v") - mu) / sd
+    p = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * z)))
+    r, h = F.col("w") * (F.col("y") - p), F.col("w") * p * (1 - p)
+    sums = [F.sum(e).alias(n) for n, e in (("g0", r), ("g1", r * z), ("h0", h), ("h1", h * z), ("h2", h * z * z))]
+    for _ in range(max_iter):
+        active = state.where("fit IS NULL").select("draw", "b0", "b1")
+        step = drawn.join(F.broadcast(active), "draw").groupBy("draw").agg(*sums)  # one row per draw
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        step = step.select("draw", F.when(det > 0, (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).alias("d0"),
+                           F.when(det > 0, (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).alias("d1"))
+        met = F.greatest(F.abs("d0"), F.abs("d1")) < tol
+        mine = F.col("fit").isNull()
+        state = pinned(state.join(step, "draw", "left").select(
+            "draw", F.when(mine & F.col("d0").isNull(), "stuck").when(mine & met, "ok").otherwise(F.col("fit")).alias("fit"),
+            (F.col("b0") + F.coalesce("d0", F.lit(0.0))).alias("b0"), (F.col("b1") + F.coalesce("d1", F.lit(0.0))).alias("b1"),
+            (F.col("steps") + F.when(mine, 1).otherwise(0)).alias("steps")))
+        if state.where("fit IS NULL").isEmpty():
+            break
+    state = state.withColumn("fit", F.coalesce("fit", F.lit("stuck")))
+    score = drawn.join(F.broadcast(state.where("fit = 'ok'").select("draw", "b0", "b1")), "draw").groupBy("draw").agg(
+        (F.sum(r) / F.sum("w")).alias("score_0"), (F.sum(r * z) / F.sum("w")).alias("score_1"))
+    good = F.col("fit") == "ok"
+    return state.join(score, "draw", "left").select(
+        "draw", "fit", F.when(good, F.col("b0") - F.col("b1") * mu / sd).alias("intercept"), F.when(good, F.col("b1") / sd).alias("slope"),
+        "steps", "score_0", "score_1")
+
+
+def logistic_intervals(draws: DataFrame, probs: Sequence[float] = (0.05, 0.1), level: float = 0.95) -> DataFrame:
+    """One row: percentile intervals of the slope and of x at each probability, over the draws that have all of them."""
+    at = {"slope": F.col("slope")} | {f"x_at_p{p:g}".replace(".", "_"): inverse_logistic_at(p, "intercept", "slope") for p in probs}
+    rows = draws.withColumns(at)
+    usable = F.col("fit") == "ok"
+    for name in at:
+        usable = usable & F.coalesce(finite(name), F.lit(False))
+    tail = (1 - level) / 2
+    ends = rows.groupBy().agg(
+        F.count(F.lit(1)).alias("n_boot"), F.count_if(usable).alias("n_valid"),
+        *[F.percentile(F.when(usable, F.col(n)), F.array(F.lit(tail), F.lit(1 - tail))).alias(f"_{n}") for n in at])
+    return ends.select("n_boot", "n_valid", (F.col("n_boot") - F.col("n_valid")).alias("n_degenerate"),
+                       *[F.get(f"_{n}", F.lit(i)).alias(f"{n}_{e}") for n in at for i, e in enumerate(("lo", "hi"))])
+
+
 def _newton(cells: DataFrame, mu: float, sd: float, max_iter: int, tol: float) -> tuple[float, float, bool]:
     b0 = b1 = 0.0
     z = (F.col("x") - mu) / sd
