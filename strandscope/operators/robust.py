@@ -89,17 +89,17 @@ def best_split(profiles: DataFrame, keys: Sequence[str], at: str, features: Sequ
     """
     keys = list(keys)
     rows = profiles.select(*keys, at, *features, low.alias("_low"), high.alias("_high"))
-    sums = {f"s{i}": F.col(f).cast("double") for i, f in enumerate(features)}
+    sums = {f"_s{i}": F.col(f).cast("double") for i, f in enumerate(features)}
     square = sum((F.col(f).cast("double") * F.col(f) for f in features[1:]), F.col(features[0]).cast("double") * F.col(features[0]))
-    ladder = running_totals(rows, keys, [at], {**sums, "q": square, "k": F.lit(1).cast("bigint")})
-    n, total = F.col("k"), F.col("k_total")
+    ladder = running_totals(rows, keys, [at], {**sums, "_q": square, "_c": F.lit(1).cast("bigint")})
+    n, total = F.col("_c"), F.col("_c_total")
 
     def apart(square_sum: Column, parts: list[Column], count: Column) -> Column:
         return square_sum - sum((p * p / count for p in parts[1:]), parts[0] * parts[0] / count)
 
-    left = apart(F.col("q"), [F.col(f"s{i}") for i in range(len(features))], n)
-    right = apart(F.col("q_total") - F.col("q"), [F.col(f"s{i}_total") - F.col(f"s{i}") for i in range(len(features))], total - n)
-    whole = apart(F.col("q_total"), [F.col(f"s{i}_total") for i in range(len(features))], total)
+    left = apart(F.col("_q"), [F.col(f"_s{i}") for i in range(len(features))], n)
+    right = apart(F.col("_q_total") - F.col("_q"), [F.col(f"_s{i}_total") - F.col(f"_s{i}") for i in range(len(features))], total - n)
+    whole = apart(F.col("_q_total"), [F.col(f"_s{i}_total") for i in range(len(features))], total)
     tries = ladder.where((n < total) & (n >= F.col("_low")) & (n <= F.col("_high")))
     best = F.min(F.struct((left + right).alias("sse"), n.alias("split"), whole.alias("whole")))
     return tries.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.split").alias("split"), F.col("b.sse").alias("sse"), F.col("b.whole").alias("sse_whole"))
