@@ -9,11 +9,13 @@
    on the full sets, confirmed links are contracted to components.
 4. Nearly all links are found by now, and of the other pairs of a bucket few are similar. Members of
    buckets that still have several components are banded once more, by FINE_BANDS of FINE_ROWS, which a
-   pair at similarity 0.8 misses with a probability of about 1e-5 and one at 0.5 nearly always.
-5. Those buckets go on in rounds without their former hubs until none has two components or all its
-   cross pairs are checked: HUBS hubs a bucket, then four times as many each time up to MOST_HUBS, members
-   of small components first. Pairs in one component or with sets too different in size are never
-   looked at.
+   pair at similarity 0.8 misses with a probability of about 5e-7 and one at 0.5 nearly always.
+5. Texts then meet components, not each other: the largest components of a bucket are its hubs, and every
+   other text of the bucket is compared with a hub component once, wherever it meets it. The component comes in
+   slices of about SLICE texts, the texts in chunks; a task holds one of each and compares all of their sets
+   exactly. So a text that shares buckets with thousands of linked copies is a row per slice, not per copy.
+   A hub has met all others of its bucket and leaves it; one hub a bucket, then four, and so on until no bucket has
+   two components.
 
 Bucket, hub and label steps are aggregates and joins that adaptive execution can split; no bucket is ever gathered.
 """
@@ -25,16 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import pinned, released, tied, work_columns, written
 from .text import BLOCK_BYTES, BLOCK_ROWS, Block, Words, blocks, mixed, shingles
 
 BANDS, ROWS = 48, 6
-FINE_BANDS, FINE_ROWS = 160, 12
+FINE_BANDS, FINE_ROWS = 205, 12
 FIRST_BANDS = 8
-HUBS, MOST_HUBS = 16, 1024
+SLICE, CHUNK, MOST_HUBS = 64, 512, 256
 ATTEMPTS = 4096
 #: A block has at most 2 ** 11 documents, which leaves so many bits of a hash beside the document's number.
 HASH_BITS = 53
@@ -145,6 +147,57 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
         yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
 
+def _met(left: pa.Table, right: pa.Table, size: int, percent: int) -> pa.Table:
+    """(a, b) for every text of `right` that is linked with a text of `left`, a slice of one component: one link each."""
+    unpack = zstandard.ZstdDecompressor()
+    out_a, out_b = [], []
+    nodes, blobs = left.column("node").to_numpy(), left.column("blob").to_pylist()
+    texts, others = right.column("text").to_numpy(), right.column("data").to_pylist()
+    for low in range(0, len(nodes), SLICE):
+        docs, hashes = shingle_sets(_block([unpack.decompress(b) for b in blobs[low:low + SLICE]]), size)
+        many = np.bincount(docs, minlength=SLICE)
+        order = np.argsort(hashes, kind="stable")
+        held, owner = hashes[order], docs[order]
+        for at in range(0, len(texts), SLICE):
+            which, mine = shingle_sets(_block([unpack.decompress(b) for b in others[at:at + SLICE]]), size)
+            own = np.bincount(which, minlength=SLICE)
+            first = np.searchsorted(held, mine, "left")
+            found = np.searchsorted(held, mine, "right") - first
+            # a text most of whose shingles are in none of these texts cannot be linked with one of them
+            enough = 100 * np.bincount(which[found > 0], minlength=SLICE) >= percent * own
+            kept = enough[which] & (found > 0)
+            found, first, which = found[kept], first[kept], which[kept]
+            ends = np.cumsum(found)
+            spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - found), found)
+            same = np.bincount(np.repeat(which, found) * SLICE + owner[spots], minlength=SLICE * SLICE).reshape(SLICE, SLICE)
+            linked = (same > 0) & (100 * same >= percent * (own[:, None] + many - same))
+            row = np.flatnonzero(linked.any(1))
+            out_a.append(texts[at + row])
+            out_b.append(nodes[low + linked[row].argmax(1)])
+    empty = [np.zeros(0, np.int64)]
+    return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+
+
+def _links_with(wanted: DataFrame, state: DataFrame, packed: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the texts and the components of wanted (node, label)."""
+    asked = wanted.groupBy("label").agg(F.count(F.lit(1)).alias("asked"))
+    shape = state.join(asked.select("label"), "label").groupBy("label").agg(F.count(F.lit(1)).alias("held")).join(asked, "label").select(
+        "label", F.ceil(F.col("held") / SLICE).cast("int").alias("slices"), F.ceil(F.col("asked") / CHUNK).cast("int").alias("chunks"))
+
+    def part(kind: str):
+        return F.pmod(F.xxhash64("node"), F.col(kind)).cast("int")
+
+    def every(kind: str):
+        return F.explode(F.sequence(F.lit(0), F.col(kind) - 1))
+
+    blobs = packed.select(F.col("doc_id").alias("node"), "blob")
+    key = ["label", "slice", "chunk"]
+    left = state.join(shape, "label").join(blobs, "node").withColumn("slice", part("slices")).withColumn("chunk", every("chunks")).select(*key, "node", "blob")
+    right = wanted.join(shape, "label").join(blobs, "node").withColumn("chunk", part("chunks")).withColumn("slice", every("slices")).select(
+        *[F.col(c).alias(c) for c in key], F.col("node").alias("text"), F.col("blob").alias("data"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: _met(a, b, size, percent), "a long, b long")
+
+
 def contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, label) for links (a, b): label is the smallest node that can be reached.
 
@@ -183,6 +236,20 @@ def _relabelled(state: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     return written(state.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), rows)
 
 
+def _starred(members: DataFrame, state: DataFrame, packed: DataFrame, size: int, percent: int, rows: int, n_nodes: int) -> DataFrame:
+    """state after one star per bucket: every member is compared with the member that shares most buckets with others."""
+    placed = members.join(state, "node")
+    hub = placed.groupBy("bucket").agg(F.min(F.struct("first", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    possible = (F.col("hub.label") != F.col("label")) & (100 * F.least("hub.n", "n") >= percent * F.greatest("hub.n", "n"))
+    pairs = placed.join(hub, "bucket").where(possible).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
+    with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
+    links = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean").where("linked").select("a", "b"), rows)
+    state = state if links.isEmpty() else _relabelled(state, links, n_nodes)
+    released(members.sparkSession)
+    return state
+
+
 def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row; doc_id must be unique.
 
@@ -210,48 +277,38 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     packed = pinned(texts.where("doc_id is not null").mapInArrow(_shrunk, "doc_id long, blob binary").join(
         state.select(F.col("node").alias("doc_id")), "doc_id"))
 
-    checked, turn = None, 0
-    members = members.join(known, "node").select(
-        "bucket", "node", "n", "first", (F.col("band") >= FIRST_BANDS).alias("skip"))
+    members = members.join(known, "node").select("bucket", "node", "n", "first", (F.col("band") >= FIRST_BANDS).alias("skip"))
+    for now in (members.where("not skip"), members):
+        state = _starred(now, state, packed, size, percent, rows, n_nodes)
+    several = members.join(state, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    again = written(members.join(several, "bucket").select(F.col("node").alias("doc_id")).distinct(), n_nodes)
+    fine = packed.join(again, "doc_id").mapInArrow(lambda it: _finer(it, size), "node long, n long, bands array<long>")
+    fine = fine.select("node", F.explode("bands").alias("bucket"))
+    members, hubs, met = fine, 1, None
     while True:
-        placed = members.join(state, "node")
-        if turn > 1:  # the small components lead; before, those that share most buckets with others
-            placed = placed.drop("first").join(state.groupBy("label").agg(F.count(F.lit(1)).alias("first")), "label")
-        placed = written(placed.select("bucket", "node", "label", "n", "first", "skip"), rows)
-        rows = placed.count()
-        now = placed if turn else placed.where("not skip")
-        slots = min(MOST_HUBS, HUBS << 2 * (turn - 2)) if turn > 1 else 1
-        hubs = now.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(
-            F.min(F.struct("first", "node", "label", "n")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-        stars = written(hubs.groupBy("bucket").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("hub").alias("hubs")).where("low <> high").select("bucket", "hubs"), rows)
-        if turn and stars.isEmpty():
+        placed = members.join(state, "node").select("bucket", "node", "label")
+        groups = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("held"))
+        # partly ranked: a bucket keeps its largest components only, however many it has
+        order = Window.partitionBy("bucket").orderBy(F.col("held").desc(), "label")
+        heads = groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs + 1)
+        heads = heads.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("heads")).where(F.size("heads") > 1)
+        heads = heads.select("bucket", F.slice("heads.label", 1, hubs).alias("hubs"))
+        # the largest component of a bucket waits for the others to come; of two hubs the smaller one comes
+        around = written(placed.join(heads, "bucket").where(F.col("label") != F.get("hubs", F.lit(0))))
+        if around.isEmpty():
             break
-        around = now.join(stars, "bucket")
-        possible = lambda h: ((h["label"] != F.col("label"))
-                              & (100 * F.least(h["n"], F.col("n")) >= percent * F.greatest(h["n"], F.col("n"))))
-        hub = F.explode(F.filter("hubs", possible)).alias("hub")
-        pairs = around.select("node", hub).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        with_a = pairs.join(packed.select(F.col("doc_id").alias("a"), F.col("blob").alias("blob_a")), "a")
-        with_b = with_a.join(packed.select(F.col("doc_id").alias("b"), F.col("blob").alias("blob_b")), "b")
-        tested = written(with_b.mapInArrow(lambda it: _confirmed(it, size, percent), "a long, b long, linked boolean"), rows)
-        links = tested.where("linked").select("a", "b")
+        place = F.array_position("hubs", F.col("label")).cast("int")
+        greater = F.when(place > 0, F.slice("hubs", 1, F.greatest(place - 1, F.lit(0)))).otherwise(F.col("hubs"))
+        wanted = around.select("node", F.explode(greater).alias("label")).distinct()
+        if met is not None:
+            wanted = wanted.join(met, ["node", "label"], "left_anti")
+        wanted = written(wanted, n_nodes)
+        links = written(_links_with(wanted, state, packed, size, percent))
+        met = wanted if met is None else met.unionByName(wanted)
+        members = around.where(~F.array_contains("hubs", F.col("label"))).select("bucket", "node")
         if not links.isEmpty():
             state = _relabelled(state, links, n_nodes)
-        done = tested.where("not linked").select("a", "b")
-        checked = done if checked is None else checked.unionByName(done)
-        if turn:  # all pairs of these hubs are settled in their buckets
-            members = around.where(~F.exists("hubs", lambda h: h["node"] == F.col("node"))).select("bucket", "node", "n", "first", "skip")
-        if turn == 1:
-            again = written(members.select(F.col("node").alias("doc_id")).distinct(), rows)
-            fine = packed.join(again, "doc_id").mapInArrow(lambda it: _finer(it, size), "node long, n long, bands array<long>")
-            fine = fine.select("node", "n", F.explode("bands").alias("bucket"))
-            several = fine.join(state, "node").groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            members = written(fine.join(several, "bucket")).join(known, "node").select("bucket", "node", "n", "first", F.lit(False).alias("skip"))
-            rows = members.count()
-        turn += 1
+        hubs = min(4 * hubs, MOST_HUBS)
         released(docs.sparkSession)
 
     joined = classes.join(state, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))
