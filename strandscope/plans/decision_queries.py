@@ -250,11 +250,25 @@ def flips_per_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_bins(spark, sf_dir), 6, "record_flip_rate").withColumn("mean_abs_dp", F.round("mean_abs_dp", 4))
 
 
-@query("exact_binomial_interval")
+def _exact_sql(k: str, n: str) -> tuple[str, str]:
+    """SQL for both ends of the exact 95 % interval of k out of n: halving an interval until the tail sum is 0.025."""
+    def end(first: str, last: str, up: str, edge: str, side: int) -> str:
+        mid = "((s[1] + s[2]) / 2)"
+        term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({mid}) + ({n} - i) * ln(1 - {mid}))"
+        tail = f"list_sum(list_transform(range({first}, {last} + 1), lambda i: {term}))"
+        halves = (f"list_reduce(list_concat([[0.0, 1.0]::DOUBLE[]], list_transform(range(50), lambda q: [0.0, 0.0]::DOUBLE[])), "
+                  f"lambda s, x: CASE WHEN {tail} {up} 0.025 THEN [{mid}, s[2]] ELSE [s[1], {mid}] END)")
+        return f"round(CASE WHEN {n} = 0 THEN NULL WHEN {k} = {edge} THEN {side}.0 ELSE {halves}[1] END, 7)"
+
+    return end(k, n, "<", "0", 0), end("0", k, ">", n, 1)
+
+
+@query("exact_binomial_interval", f"""WITH {BINS_SQL}
+SELECT bin_lo, bin_hi, n_rows, n_flips, {_exact_sql("n_flips", "n_rows")[0]} AS rflip_exact_lo, {_exact_sql("n_flips", "n_rows")[1]} AS rflip_exact_hi FROM b""")
 def exact_binomial_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _bins(spark, sf_dir).withColumn("ci", exact_interval_column(F.col("n_flips"), F.col("n_rows")))
     return out.select("bin_lo", "bin_hi", "n_rows", "n_flips",
-                      F.round("ci.lo", 9).alias("rflip_exact_lo"), F.round("ci.hi", 9).alias("rflip_exact_hi"))
+                      F.round("ci.lo", 7).alias("rflip_exact_lo"), F.round("ci.hi", 7).alias("rflip_exact_hi"))
 
 
 @query("equal_group_weights", """
@@ -337,12 +351,13 @@ pt AS (SELECT *, CASE WHEN pe >= 1 - 1e-12 THEN 1.0 ELSE (po - pe) / (1 - pe) EN
     SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(flips) AS flips, sum(dp) AS dp, sum(anyf) AS anyf, sum(one) AS one FROM each)))
 SELECT pt.one::BIGINT AS n_records, pt.flips::BIGINT AS n_flips, NOT pt.flips > 0 AS degenerate, round(pt.kappa, 6) AS kappa,
        {", ".join(f"CASE WHEN pt.flips > 0 OR '{c}' = 'mean_abs_dp' THEN round(q.{c}_{e}, 6) END AS {c}_{e}" for c in ("kappa", "flip_rate", "record_flip_rate", "mean_abs_dp") for e in ("lo", "hi"))},
-       round(pt.flips / pt.n, 6) AS flip_rate, round(pt.anyf / pt.one, 6) AS record_flip_rate, round(pt.dp / pt.n, 6) AS mean_abs_dp
+       round(pt.flips / pt.n, 6) AS flip_rate, round(pt.anyf / pt.one, 6) AS record_flip_rate, round(pt.dp / pt.n, 6) AS mean_abs_dp,
+       {_exact_sql("pt.anyf::BIGINT", "pt.one::BIGINT")[0]} AS record_flip_exact_lo, {_exact_sql("pt.anyf::BIGINT", "pt.one::BIGINT")[1]} AS record_flip_exact_hi
 FROM pt, (SELECT {", ".join(f"quantile_cont({x}, {p}) AS {c}_{e}" for c, x in (("kappa", "kappa"), ("flip_rate", "flips / n"), ("record_flip_rate", "anyf / one"), ("mean_abs_dp", "dp / n")) for e, p in (("lo", 0.025), ("hi", 0.975)))} FROM stat) q""")
 def decision_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.decision_intervals(decided(spark, sf_dir), n_boot=500, seed=0, cluster="label")
-    out = out.drop("record_flip_exact_lo", "record_flip_exact_hi")  # query exact_binomial_interval has these
-    return rounded(out, 6, *[c for c in out.columns if c not in ("n_records", "n_flips", "degenerate")])
+    exact = ("record_flip_exact_lo", "record_flip_exact_hi")
+    return rounded(rounded(out, 7, *exact), 6, *[c for c in out.columns if c not in ("n_records", "n_flips", "degenerate", *exact)])
 
 
 @query("bootstrap_auroc_interval", f"""WITH sc AS (
