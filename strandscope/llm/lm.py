@@ -37,6 +37,7 @@ NEAREST = 2
 SCORE_BYTES = 2_500_000
 BUCKETS, BUCKET_BYTES = 64, 8_000_000
 WALK = 100_000
+FRACTION = 2.0 ** 32
 END_WORD = np.array([0x0E4D], np.uint64)
 
 
@@ -72,16 +73,34 @@ def _block_at(batch: pa.RecordBatch, i: int) -> tuple[Block, pa.RecordBatch]:
     return next(blocks([pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_next_batch()], size=1 << 62))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Differences of 64-bit numbers, byte plane by byte plane."""
-    planes = np.diff(values.astype(np.uint64), prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers, byte plane by byte plane."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
     return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
+def _from_planes(raw: bytes) -> np.ndarray:
     n = int.from_bytes(raw[:8], "little")
     planes = np.frombuffer(pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(-1), dtype=np.uint64)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(-1)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return _planes(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw), dtype=np.uint64)
+
+
+def _fixed(log10: np.ndarray) -> bytes:
+    """Logarithms of probabilities, rounded to multiples of 1 / FRACTION: a text of n bytes is off by n / (2 * FRACTION) at most."""
+    return _planes(np.rint(np.maximum(-log10, 0) * FRACTION).astype(np.uint64))
+
+
+def _from_fixed(raw: bytes) -> np.ndarray:
+    return _from_planes(raw).astype(np.float64) / -FRACTION
 
 
 def _buckets(codes: np.ndarray, depth: int, parts: int) -> np.ndarray:
@@ -131,17 +150,17 @@ def _asked(batches: Iterator[pa.RecordBatch], depth: int, parts: int) -> Iterato
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array(full), "block": pa.array(np.full(len(full), name, np.int64)),
                 "names": pa.array([_packed(names[cut[b]:cut[b + 1]]) for b in full], pa.binary()),
-                "counts": pa.array([_packed(n[cut[b]:cut[b + 1]]) for b in full], pa.binary())})
+                "counts": pa.array([_planes(n[cut[b]:cut[b + 1]]) for b in full], pa.binary())})
 
 
 def _met(rows: pa.Table, depth: int) -> pa.Table:
     """One row per bucket: its strings with their counts, which block asked for which, and what its subtrees send up."""
     each = [_unpacked(x) for x in rows["names"].to_pylist()]
     names, where = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([_unpacked(x) for x in rows["counts"].to_pylist()]), len(names))
+    counts = np.bincount(where, np.concatenate([_from_planes(x) for x in rows["counts"].to_pylist()]), len(names))
     _, up = lower_levels(names, counts, depth)
     return pa.table({
-        "names": pa.array([_packed(names)], pa.binary()), "counts": pa.array([_packed(counts)], pa.binary()), "places": pa.array([_packed(where)], pa.binary()),
+        "names": pa.array([_packed(names)], pa.binary()), "counts": pa.array([_planes(counts.astype(np.uint64))], pa.binary()), "places": pa.array([_packed(where)], pa.binary()),
         "blocks": pa.array([rows["block"].to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(x) for x in each]], pa.list_(pa.int64())),
         "bucket": rows["bucket"].combine_chunks()[:1],
         **{k: pa.array([v], pa.list_(t)) for k, v, t in zip(("node", "split", "zeros", "ones"), up, (pa.int64(), *[pa.float64()] * 3), strict=True)}})
@@ -152,12 +171,12 @@ def _valued(batches: Iterator[pa.RecordBatch], depth: int, upper: list) -> Itera
     for batch in batches:
         for row in batch.to_pylist():
             names = _unpacked(row["names"])
-            p, _ = lower_levels(names, _unpacked(row["counts"]).astype(np.float64), depth)
+            p, _ = lower_levels(names, _from_planes(row["counts"]).astype(np.float64), depth)
             value = through_upper(names, p, upper)[_unpacked(row["places"]).astype(np.int64)]
             cut = np.concatenate([[0], np.cumsum(row["sizes"])])
             yield pa.RecordBatch.from_pydict({
                 "block": pa.array(row["blocks"], pa.int64()), "bucket": pa.array(np.full(len(row["blocks"]), row["bucket"], np.int64)),
-                "log10": pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+                "log10": pa.array([_fixed(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -420,7 +439,7 @@ def _scored(texts: pa.Table, values: pa.Table, depth: int, parts: int, words_kno
     names, where = np.unique(codes, return_inverse=True)
     log10 = np.empty(len(names))
     answers = sorted(zip(values["bucket"].to_pylist(), values["log10"].to_pylist(), strict=True))
-    log10[_in_buckets(names, depth, parts)[0]] = np.frombuffer(b"".join(x for _, x in answers))
+    log10[_in_buckets(names, depth, parts)[0]] = np.concatenate([_from_fixed(x) for _, x in answers])
     score = np.add.reduceat(log10[where], starts[:-1])
     words = Words(block)
     tokens = np.diff(words.first)
@@ -448,7 +467,8 @@ def score_documents(docs: DataFrame, train, depth: int = DEPTH, max_words: int =
 
     `train` is a condition on `docs`: the model learns from those rows. A null text counts as empty: one
     end. Without training rows every decision has probability one half and the base knows no token.
-    Repeated rows and ids repeat; no rows give no rows; more columns are ignored.
+    Repeated rows and ids repeat; no rows give no rows; more columns are ignored. The logarithm of every byte
+    is rounded to a multiple of 1 / FRACTION before a text's are summed.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
