@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import agreement, columns, grid, labels, lines, masks, metrics, pairing, resampling, rows, signals, strokes
+from ..operators import agreement, columns, conditions, fidelity, grid, labels, lines, masks, metrics, pairing, resampling, rows, signals, strokes
 from ..session import pinned
 from ..sources import pages as page_files
 from ..sources import records
@@ -155,6 +157,37 @@ def fidelity_table(logits: DataFrame, snr: DataFrame | None = None) -> dict[str,
             "macro": agreement.macro_retention(ranking)}
 
 
+def condition_job(name: str, truth: DataFrame, original: DataFrame, reading: DataFrame, score: Callable[[DataFrame], DataFrame], thresholds: DataFrame,
+                  classes: Sequence[str], labels: DataFrame | None = None, evaluation: DataFrame | None = None, fs: float = 500.0,
+                  fs_out: float = 100, n_out: int = 1000) -> dict[str, DataFrame]:
+    """Fidelity of one condition from its three sets of samples (record, lead, t, mv): checks, scores, SNR, one row of figures.
+
+    `score` maps prepared signals (record, lead, kind, t, y, in_span) to (record, kind, class, z); kinds are the original
+    inside the printed windows (`masked`) and the reading there (`read`). `thresholds` has (class, thr, thr_full),
+    `labels` (record, class, y), `evaluation` (record, snr_raw, missing). Records that cannot be used are in `checked`
+    with their reason and nowhere else; a record without a reading is scored as zeros.
+    """
+    keys = ["record", "lead", "t"]
+    checked = pinned(conditions.reconciled(truth, original, reading))
+    usable = checked.filter("reason IS NULL").select("record")
+    grid_rows = original.select(*keys).join(usable, "record", "left_semi")
+    inputs = conditions.masked_inputs(truth, original, reading, checked, ("masked", "read"))
+    whole = grid_rows.withColumn("kind", F.explode(F.array(F.lit("masked"), F.lit("read")))).join(inputs, [*keys, "kind"], "left")
+    prepared = pinned(signals.prepare(whole, ["record", "lead", "kind"], fs, fs_out, n_out))
+    z = score(prepared).groupBy("record", "class").agg(
+        *[F.max(F.when(F.col("kind") == kind, F.col("z"))).alias(f"z_{system}") for kind, system in (("masked", "ref"), ("read", "test"))])
+    logits = z.join(thresholds.select("class", "thr", "thr_full"), "class").withColumn("condition", F.lit(name))
+    if labels is None:
+        logits = pinned(logits.withColumn("y", F.lit(None).cast("int")))
+    else:
+        logits = pinned(logits.join(labels.select("record", "class", "y"), ["record", "class"], "left"))
+    losses = fidelity.window_losses(truth.join(usable, "record", "left_semi"), reading, ["record", "lead"])
+    if evaluation is not None:
+        evaluation = evaluation.join(usable, "record", "left_semi").withColumn("condition", F.lit(name))
+    row = fidelity.condition_table(logits, classes, losses.withColumn("condition", F.lit(name)), evaluation)
+    return {"checked": checked, "logits": logits, "losses": losses, "snr": fidelity.snr_of_prepared(prepared), "table": row}
+
+
 def cached_scores(inputs: DataFrame, cache: DataFrame, score, key: str = "key", digest: str = "sha1") -> tuple[DataFrame, DataFrame]:
     """Scores of prepared inputs, computed only where the input is new or has changed.
 
