@@ -134,11 +134,11 @@ def running_median(df: DataFrame, keys: Sequence[str], m: str, value: str, width
 
 
 def sliding_max(df: DataFrame, keys: Sequence[str], t: str, value: str, length: int, stride: int,
-                total: int) -> DataFrame:
-    """Largest value of each window [start, start + length) with starts every `stride` samples."""
-    last = total - length
+                total: int | Column) -> DataFrame:
+    """Largest value of each window [start, start + length) inside [0, total), with starts every `stride` samples."""
+    last = F.lit(total) - length
     first = F.greatest(F.lit(0), F.ceil((F.col(t) - length + 1) / F.lit(stride)) * stride)
-    final = F.least(F.lit(last - last % stride), F.floor(F.col(t) / F.lit(stride)) * stride)
+    final = F.least(last - last % stride, F.floor(F.col(t) / F.lit(stride)) * stride)
     starts = F.when(first <= final, F.sequence(first, final, F.lit(stride).cast("bigint")))
     return (df.filter((F.col(t) >= 0) & (F.col(t) < total)).withColumn("window_start", F.explode(starts))
             .groupBy(*keys, "window_start").agg(F.max(value).alias("window_max"), F.count(value).alias("n")))

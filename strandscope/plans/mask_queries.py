@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masks
+from ..operators.ordered import beside
 from .fixtures import hour_index, rounded
 from .registry import query, table
 
@@ -154,7 +155,7 @@ def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONF_SQL = f"""{RASTER_SQL},
 ref AS (SELECT * FROM gt WHERE label <> 5), pr AS (SELECT pred.* FROM pred LEFT JOIN gt ON gt.record = pred.record
         AND gt.row = pred.row AND gt.col = pred.col AND gt.label = 5 WHERE gt.label IS NULL),
-sz AS (SELECT record, (max(row) + 1) * 800 - count(*) FILTER (WHERE label = 5) AS n_pixels FROM gt GROUP BY record),
+sz AS (SELECT record, (max(row) + 1) * (SELECT max(col) + 1 FROM (SELECT col FROM gt UNION ALL SELECT col FROM pred)) - count(*) FILTER (WHERE label = 5) AS n_pixels FROM gt GROUP BY record),
 rg(region, label) AS (VALUES (1, 1), (2, 2), (7, 1), (7, 2), (7, 3), (8, 4)),
 ra AS (SELECT DISTINCT record, region, row, col FROM ref JOIN rg USING (label)),
 rb AS (SELECT DISTINCT record, region, row, col FROM pr JOIN rg USING (label)),
@@ -173,7 +174,9 @@ conf AS (SELECT record, label, tp, fp, fn, n_pixels - tp - fp - fn AS tn,
 def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt, pred = _rasters(spark, sf_dir)
     ignored = gt.filter("label = 5")
-    sizes = gt.groupBy("record").agg(((F.max("row") + 1) * 800).alias("n_pixels"))
+    width = gt.select("col").unionByName(pred.select("col")).agg((F.max("col") + 1).alias("width"))
+    heights = gt.groupBy("record").agg((F.max("row") + 1).alias("height"))
+    sizes = beside(heights, width).select("record", (F.col("height") * F.col("width")).alias("n_pixels"))
     regions = spark.createDataFrame([(1, 1), (2, 2), (7, 1), (7, 2), (7, 3), (8, 4)], "region int, label int")
     names = regions.select(F.col("region").alias("label")).distinct()
     return masks.confusion_per_label(masks.regions_of(gt, regions), masks.regions_of(pred, regions), sizes, names, ignored)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, windows
+from ..operators.ordered import beside
 from .fixtures import DAILY_SQL, READ_SQL, daily, reading, rounded
 from .registry import query, table
 
@@ -245,11 +246,13 @@ def running_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sliding_window_max", f"""WITH {DAILY_SQL},
-s AS (SELECT CAST(unnest(range(0, 21, 5)) AS BIGINT) AS window_start)
+s AS (SELECT CAST(unnest(range(0, n - 9, 5)) AS BIGINT) AS window_start FROM (SELECT max(t) + 1 AS n FROM daily))
 SELECT record, window_start, max(mv) AS window_max, count(mv) AS n
-FROM daily JOIN s ON t >= window_start AND t < window_start + 10 AND t < 30 GROUP BY ALL""")
+FROM daily JOIN s ON t >= window_start AND t < window_start + 10 GROUP BY ALL""")
 def sliding_window_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sliding_max(daily(spark, sf_dir), ["record"], "t", "mv", 10, 5, 30)
+    series = daily(spark, sf_dir)
+    whole = beside(series, series.agg((F.max("t") + 1).alias("total")))
+    return windows.sliding_max(whole, ["record"], "t", "mv", 10, 5, F.col("total"))
 
 
 @query("zone_statistics", f"""WITH {READ_SQL},

@@ -1,10 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandscope import dims
 from strandscope.functions import filters
-from strandscope.operators import grid, lines, metrics, signals
+from strandscope.operators import grid, lines, metrics, signals, windows
 
 
 def test_low_pass_response():
@@ -209,3 +210,17 @@ def test_column_map_follows_uneven_lines(spark):
     got = knots.toPandas().sort_values("m")
     inside = got[(got.m > 10) & (got.m < 240)]
     assert len(inside) > 400 and np.abs(inside["x"] - x_of(inside["m"])).max() < 0.4
+
+
+def test_sliding_max_up_to_a_column(spark):
+    rows = [(k, t, float((t * 7) % 11)) for k, n in (("a", 12), ("b", 3)) for t in range(-1, n)]
+    df = spark.createDataFrame(rows, "key string, t int, v double").withColumn("total", F.lit(12))
+    got = {(r.key, r.window_start): (r.window_max, r.n) for r in windows.sliding_max(df, ["key"], "t", "v", 4, 3, F.col("total")).collect()}
+    want = {}
+    for key in "ab":
+        for start in range(0, 12 - 4 + 1, 3):
+            inside = [v for k, t, v in rows if k == key and start <= t < start + 4]
+            if inside:
+                want[key, start] = (max(inside), len(inside))
+    assert got == want
+    assert got == {(r.key, r.window_start): (r.window_max, r.n) for r in windows.sliding_max(df, ["key"], "t", "v", 4, 3, 12).collect()}
