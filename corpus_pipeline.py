@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandscope.llm import bpe, decontaminate, exact_dedup, language, near_dedup
 from strandscope.llm.queries import tokenizer_file
-from strandscope.llm.tables import dropped, shared_folder, table
+from strandscope.llm.tables import filtered, shared_folder, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model, learnt from the labelled ones, does not reject."""
     model = language.fit_language_model(docs)
-    return dropped(docs, language.identify(docs, model).where("rejected"))
+    return filtered(docs, lambda texts: language.identify(texts, model).where("rejected"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by similarity 0.8 of five-word shingles."""
-    return dropped(docs, near_dedup.near_components(docs, size=5, percent=80).where("not kept"))
+    return filtered(docs, lambda texts: near_dedup.near_components(texts, size=5, percent=80).where("not kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ document of fewer words is one window by itself, compared with every item that s
 shingles, without fingerprints (they are too coarse where a few shingles differ in number). Else a
 window's fingerprint has BITS bits, the signs of the sums over its word shingles. Cut into BLOCKS bytes,
 two fingerprints within RADIUS bits agree up to NEAR bits in at least one byte, so a table of the
-items near each byte value finds all of them. Candidates are confirmed by the weighted similarity of
+items near each byte value finds all of them. Only items are looked up that share so many shingles with the
+stretch of text that the threshold is in reach, for a bounded number of windows at a time. Candidates are confirmed by the weighted similarity of
 the two shingle multisets (sum of smaller counts over sum of larger counts).
 
 Windows without a shingle of any item of their size have similarity 0 and are passed over. Items come in
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import dropped, work_columns
+from .tables import filtered, work_columns
 from .text import Block, Words, blocks, mixed
 
 BITS, BLOCKS = 64, 8
@@ -31,6 +32,8 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 BLOCK_ITEMS = 20_000
 BLOCK_ITEM_BYTES = 32_000_000
 FILTER_BITS = 22
+#: How many pairs of a window and an item are looked up at once.
+CELLS = 1 << 20
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -76,26 +79,33 @@ class SizeIndex:
         self.near = [_ones(values ^ held[:, b]) <= NEAR for b in range(BLOCKS)]
         names = np.concatenate([s for s, _ in self.sets])
         order = np.argsort(names, kind="stable")
-        self.held = names[order], np.repeat(np.arange(len(self.sets)), [len(s) for s, _ in self.sets])[order]
-
-    def sharing(self, hashes: np.ndarray, threshold: float) -> list[int]:
-        """Items of which so many shingles are among `hashes`, at most `runs`, that the threshold is in reach."""
-        names, items = self.held
-        low = np.searchsorted(names, hashes, "left")
-        n = np.searchsorted(names, hashes, "right") - low
+        self.held = (names[order], np.repeat(np.arange(len(self.sets)), [len(s) for s, _ in self.sets])[order],
+                     np.concatenate([n for _, n in self.sets])[order])
+
+    def sharing(self, hashes: np.ndarray, threshold: float) -> np.ndarray:
+        """Items (ascending) that have so many shingles in common with `hashes`, repeated ones as often as
+        both have them, that a part of it can reach the threshold. Bounded by the shingles of all items."""
+        names, items, counts = self.held
+        have, times = np.unique(hashes, return_counts=True)
+        low = np.searchsorted(names, have, "left")
+        n = np.searchsorted(names, have, "right") - low
         at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, shared = np.unique(items[at], return_counts=True)
-        return item[shared / self.runs >= threshold].tolist()
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all pairs within RADIUS."""
-        cut = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
-        found = np.zeros((len(prints), len(self.ids)), bool)
-        for b in range(BLOCKS):
-            found |= self.near[b][cut[:, b]]
-        window, item = np.nonzero(found)
-        close = _ones(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[close], item[close]
+        shared = np.bincount(items[at], np.minimum(np.repeat(times, n), counts[at]), len(self.ids))
+        return np.flatnonzero(shared / self.runs >= threshold)
+
+    def candidates(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, items) of all pairs within RADIUS of the given items, CELLS pairs looked up at a time."""
+        step = max(1, CELLS // max(1, len(items)))
+        near = [table[:, items] for table in self.near]
+        for low in range(0, len(prints), step):
+            some = prints[low:low + step]
+            cut = some.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+            found = np.zeros((len(some), len(items)), bool)
+            for b in range(BLOCKS):
+                found |= near[b][cut[:, b]]
+            window, at = np.nonzero(found)
+            close = _ones(some[window] ^ self.prints[items[at]]) <= RADIUS
+            yield low + window[close], items[at[close]]
 
     def similarity(self, hashes: np.ndarray, item: int) -> float:
         names, counts = self.sets[item]
@@ -143,17 +153,19 @@ def block_matches(words: Words, index: dict[int, SizeIndex], filters: dict[int,
             place = np.minimum(np.searchsorted(at.known, hashes[maybe]), len(at.known) - 1)
             hits = maybe[at.known[place] == hashes[maybe]]
             for low, high in _stretches(hits, at.runs, owner, first, size):
-                prints = fingerprints(hashes[low:high + at.runs - 1], at.runs)
-                window, item = at.candidates(prints)
-                for w, i in zip(window.tolist(), item.tolist(), strict=True):
-                    start = low + w
-                    value = at.similarity(hashes[start:start + at.runs], i)
-                    if value >= threshold:
-                        key = (int(owner[start]), size, i)
-                        best[key] = max(value, best.get(key, 0.0))
+                stretch = hashes[low:high + at.runs - 1]
+                items = at.sharing(stretch, threshold)
+                if not len(items):
+                    continue
+                for window, item in at.candidates(fingerprints(stretch, at.runs), items):
+                    for w, i in zip(window.tolist(), item.tolist(), strict=True):
+                        value = at.similarity(stretch[w:w + at.runs], i)
+                        if value >= threshold:
+                            key = (int(owner[low]), size, i)
+                            best[key] = max(value, best.get(key, 0.0))
             for doc in _shorter(hits, at, owner, first, threshold):
                 own = hashes[first[doc]:first[doc + 1] - shingle + 1]
-                for i in at.sharing(own, threshold):
+                for i in at.sharing(own, threshold).tolist():
                     value = at.similarity(own, i)
                     if value >= threshold:
                         best[doc, size, i] = value
@@ -229,5 +241,5 @@ def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` without a leaked item, with all their columns."""
-    return dropped(docs, leaks(docs, benchmark).select("doc_id").distinct())
+    """The rows of `docs` without a leaked item, with all their columns; each row is judged by its own text."""
+    return filtered(docs, lambda texts: leaks(texts, benchmark).select("doc_id").distinct())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import dropped, pinned, work_columns
+from .tables import filtered, pinned, work_columns
 
 #: How many slices the copies of one text are dealt to.
 SLICES = 256
@@ -54,8 +54,8 @@ def exact_groups(docs: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, slices: int = SLICES) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; rows that repeat a doc_id that stays all do."""
-    return dropped(docs, exact_groups(docs, slices).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays"))
+    """One row of each group of equal texts, with all its columns, rows with a null or repeated doc_id among them."""
+    return filtered(docs, lambda texts: exact_groups(texts, slices).where("not kept"))
 
 
 SQL = """

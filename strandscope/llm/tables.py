@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, pinned
 
-__all__ = ["documents", "dropped", "pinned", "released", "shared_folder", "table", "tied", "work_columns", "written"]
+__all__ = ["documents", "filtered", "pinned", "released", "shared_folder", "table", "tied", "work_columns", "written"]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -21,10 +22,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 20_000
 
 
-def dropped(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose doc_id is not among the ids of `gone`."""
-    ids = gone.select(F.col("doc_id").alias("gone_id"))
-    return docs.join(ids, docs["doc_id"] == ids["gone_id"], "left_anti")
+def filtered(docs: DataFrame, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs`, with all their columns, that `gone` does not name.
+
+    `gone` gets (doc_id, text) and returns a table whose doc_id column names rows that leave. Each row is
+    decided by itself: where ids are null or repeat, the rows are sorted by doc_id and written to the shared
+    folder with ids of their own, in the same order. Rows without id come last, so they never stand for
+    a row that has one.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("doc_id is null or n > 1").isEmpty():
+        named, own = docs, docs["doc_id"].cast("long")
+        texts = work_columns(docs)
+    else:
+        placed = written(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("place")))
+        order = [F.col("row.doc_id").cast("long").asc_nulls_last(), F.col("place")]
+        named = written(placed.orderBy(*order).select("row", F.monotonically_increasing_id().alias("own")))
+        own, texts = named["own"], named.select(F.col("own").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+    lost = gone(texts).select(F.col("doc_id").alias("gone_id"))
+    left = named.join(lost, own == lost["gone_id"], "left_anti")
+    return left if named is docs else left.select("row.*")
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -152,7 +152,7 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     weight = [mixed(np.array([7919 * (j + 1)], U64))[0] | U64(1) for j in range(size)]
     total = np.zeros(n, U64)
     for j in range(size):
-        total[:n - j if j else n] += words.hash[j:] * weight[j]
+        total[:max(0, n - j)] += words.hash[j:] * weight[j]
     place = np.arange(n) - first[:-1][doc] if n else np.zeros(0, np.int64)
     full = place + size <= count[doc] if n else np.zeros(0, bool)
     hashes, docs = mixed(total[full]), doc[full]
