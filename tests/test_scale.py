@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandscope.operators import grid
+from strandscope.operators import grid, lines, signals
 
 
 def plan_of(df):
@@ -38,3 +38,45 @@ def test_parallel_lines_are_counted_without_frames_of_values(spark):
         mine = theta[r["label"]::2]
         assert r["n_parallel"] == int(((mine > r["theta"] - 0.05) & (mine < r["theta"] + 0.05)).sum())
         assert r["n_lines"] == int((mine == r["theta"]).sum())
+
+
+def bands(spark, n_bands, width=160):
+    """Bands of one page with a line every eight pixels."""
+    rows = spark.range(n_bands).select(F.lit(1).alias("record"), F.col("id").cast("int").alias("band"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
+    return rows.withColumn("v", F.when(F.col("col") % 8 == 0, 100.0).otherwise(0.0) + F.col("band") % 3)
+
+
+def test_spectra_of_a_page_are_added_before_they_leave_a_task(spark):
+    sums = lines._summed_power(bands(spark, 300), lambda p: np.abs(np.fft.rfft(p - p.mean(), n=32)) ** 2)
+    p = np.array([100.0 if c % 8 == 0 else 0.0 for c in range(160)])
+    want = 300 * np.abs(np.fft.rfft(p - p.mean(), n=32)) ** 2
+    got = {r["bin"]: r["power"] for r in sums.collect()}
+    assert len(got) == 17 and np.allclose([got[b] for b in range(17)], want, rtol=1e-6, atol=1e-6)
+    assert "ArrowEvalPython" not in plan_of(lines.grid_period(bands(spark, 300)))
+    waves = bands(spark, 300).withColumn("v", F.cos(2 * np.pi * F.col("col") / 8))
+    assert abs(lines.grid_period(waves).first()["period"] - 8.0) < 0.05
+
+
+def test_bands_have_medians_without_an_order_over_all_pixels(spark, monkeypatch):
+    px = bands(spark, 6).select("record", F.col("band").alias("row"), "col", F.col("v").alias("darkness"))
+    monkeypatch.setattr(lines, "exact_quantiles", None)
+    got = lines.band_profiles(px, 3).collect()
+    assert len(got) == 2 * 160 and all(r["v"] == (101.0 if r["col"] % 8 == 0 else 1.0) for r in got)
+
+
+def test_periods_are_tried_on_the_sum_of_the_bands(spark):
+    profiles = bands(spark, 5)
+    tries = spark.createDataFrame([(1, 7.9), (1, 8.0)], "record int, period double")
+    whole = {r["period"]: r for r in lines._page_comb(profiles, tries).collect()}
+    for r in lines.comb(profiles, tries).groupBy("period").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).collect():
+        assert abs(whole[r["period"]]["re"] - r["re"]) < 1e-6 and abs(whole[r["period"]]["im"] - r["im"]) < 1e-6
+
+
+def test_noise_of_a_signal_shorter_than_the_filter(spark):
+    rows = [(3, 0, t, 1.0 + t) for t in range(5)] + [(4, 0, 0, 2.0)]
+    df = spark.createDataFrame(rows, "record long, lead_index int, t int, mv double")
+    noisy = signals.add_band_noise(df, "record", "lead_index", [12.0], seed=7, fs=100.0).toPandas()
+    for record in (3, 4):
+        x = np.array([r[3] for r in rows if r[0] == record])
+        y = noisy[noisy.record == record].sort_values("t")["mv"].to_numpy()
+        assert y.size == x.size and abs(10 * np.log10((x ** 2).sum() / ((y - x) ** 2).sum()) - 12.0) < 1e-9
