@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.filters import butterworth, fractional_delay, quantised_lag, rate_ratio, resampling_taps, sharpen, zero_phase
+from ..functions.filters import butterworth, fractional_delay, pad_length, quantised_lag, rate_ratio, resampling_taps, sharpen, zero_phase
 from ..functions.numbers import finite
 from .grid import interpolate
 
@@ -143,7 +143,8 @@ def add_band_noise(samples: DataFrame, record: str, lead_index: str, levels: Seq
 
     The noise depends on (seed, record, level, lead) alone, so any task can draw it. The
     stream is that of a whole record (samples x leads), of which a lead takes its column.
-    An infinite level is the signal itself. Level numbers follow the order given.
+    An infinite level is the signal itself. Level numbers follow the order given. A signal shorter than the filter
+    takes the start of a stream that is just long enough.
     """
     levels = [float(v) for v in dict.fromkeys(float(v) for v in levels)]
     if any(np.isnan(v) or v == -np.inf for v in levels):
@@ -151,15 +152,16 @@ def add_band_noise(samples: DataFrame, record: str, lead_index: str, levels: Seq
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(v).alias("snr_db")) for i, v in enumerate(levels)]))
     long = samples.withColumn("_l", table).select("*", "_l.level", "_l.snr_db").drop("_l")
     sos = butterworth(order, band[0], band[1], fs)
+    shortest = pad_length(sos) + 1
 
     def noisy(x, head):
         level = float(head["snr_db"])
         t = np.arange(x.size)
         if level == np.inf:
             return {"t": t, "mv": x}
-        rng = np.random.default_rng([seed, int(head[record]), int(head["level"])])
-        white = rng.standard_normal((x.size, n_leads))[:, int(head[lead_index])]
-        noise = zero_phase(sos, white)
+        rng = np.random.default_rng([seed, int(head[record]) % 2 ** 64, int(head["level"])])
+        white = rng.standard_normal((max(x.size, shortest), n_leads))[:, int(head[lead_index])]
+        noise = zero_phase(sos, white)[:x.size]
         here = np.isfinite(x)
         power, loud = np.sum(x[here] ** 2), np.sum(noise[here] ** 2)
         scale = np.sqrt(power / (loud * 10 ** (level / 10))) if loud > 0 else 0.0
