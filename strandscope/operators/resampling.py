@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, inverse_logistic_at, ratio
@@ -29,12 +31,16 @@ def cluster_picks(spark: SparkSession, n_clusters: int, n_boot: int, seed: int)
 
     Slot s of draw d has the cluster that MD5 of (seed, d, s) points at, whatever the number of either.
     """
+    return _slots(spark, n_clusters, n_boot, seed).groupBy("draw", "cluster").agg(F.count(F.lit(1)).cast("int").alias("times"))
+
+
+def _slots(spark: SparkSession, n_clusters: int, n_boot: int, seed: int) -> DataFrame:
+    """(draw, cluster): one row per slot of every draw."""
     picks = n_clusters * n_boot
     tasks = max(1, min(spark.sparkContext.defaultParallelism, picks // 10_000), -(-picks // PICKS_PER_TASK))
     slots = spark.range(0, picks, 1, tasks).select(
         F.floor(F.col("id") / F.lit(max(n_clusters, 1))).cast("int").alias("draw"), (F.col("id") % max(n_clusters, 1)).alias("slot"))
-    return slots.groupBy("draw", seeded_pick(F.lit(float(n_clusters)), seed, "draw", "slot").alias("cluster")).agg(
-        F.count(F.lit(1)).cast("int").alias("times"))
+    return slots.select("draw", seeded_pick(F.lit(float(n_clusters)), seed, "draw", "slot").alias("cluster"))
 
 
 def _indexed(df: DataFrame, cluster: str) -> tuple[DataFrame, int]:
@@ -49,24 +55,63 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, n_boot: int = 2000
                      level: float = 0.95) -> DataFrame:
     """Median of `value` with a percentile interval from resampling whole clusters.
 
-    Equal values of a cluster are counted before the join with the draws, and large
-    clusters are split over salts, so a dominant cluster is not joined by one task.
+    Equal values of a cluster are counted once; the drawn rows are only ever added up where they arise (`_drawn_medians`).
     """
-    point = exact_quantiles(df, [], {"v": value}).withColumnRenamed("v_median", "median")
-    sizes = df.agg(F.countDistinct(cluster).alias("n_clusters"), F.count(value).alias("n_rows"))
-    rows, n_clusters = _indexed(df.select(cluster, F.col(value).alias("v")), cluster)
+    counts = pinned(df.groupBy(cluster, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    sizes = counts.agg(F.countDistinct(cluster).alias("n_clusters"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n_rows"))
+    rows, n_clusters = _indexed(counts, cluster)
     if n_clusters == 0 or n_boot <= 0:
         empty = F.lit(None).cast("double")
+        point = exact_quantiles(counts, [], {"v": "v"}, weight="c").withColumnRenamed("v_median", "median")
         return beside(sizes, point).withColumns({"lo": empty, "hi": empty})
-    counts = rows.groupBy("cluster", "v").agg(F.count(F.lit(1)).alias("c"))
-    draws = _draw_rows(counts, cluster_picks(df.sparkSession, n_clusters, n_boot, seed))
-    medians = exact_quantiles(draws.withColumn("w", F.col("c") * F.col("times")), ["draw"], {"v": "v"}, weight="w")
+    medians = pinned(_drawn_medians(counts.select("v", "c"), rows.select("cluster", "v", "c"), _slots(df.sparkSession, n_clusters, n_boot, seed)))
     tail = (1 - level) / 2
-    ends = medians.agg(F.percentile("v_median", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    point = medians.agg(F.max(F.when(F.col("draw") == WHOLE, F.col("median"))).alias("median"))
+    ends = medians.where(F.col("draw") != WHOLE).agg(F.percentile("median", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     ends = ends.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return beside(beside(sizes, point), ends)
 
 
+WHOLE = -1  # number of the draw that is the data itself
+BINS = 128
+
+
+def _drawn_medians(counts: DataFrame, rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """(draw, median) of every draw and of the data itself, which is draw WHOLE.
+
+    `counts` has (v, c), `rows` (cluster, v, c), `slots` (draw, cluster). Drawn rows are the product of both and are not
+    shuffled: they are added up by bins of the value first, then only those in the bins that hold a middle rank are
+    put in order. The bins cover all values, so any bounds give exact medians; even ones keep the second step short.
+    """
+    counts, rows = counts.filter(finite("v")), rows.filter(finite("v"))
+    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    bounds = np.unique(np.array(counts.agg(F.percentile_approx(F.col("v").cast("double"), shares)).first()[0] or [], dtype=float))
+
+    @F.pandas_udf("int")
+    def bin_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, v.to_numpy(dtype=float)).astype(np.int32))
+
+    counts, rows = (d.withColumn("v", F.col("v").cast("double")).withColumn("bin", bin_of("v")) for d in (counts, rows))
+    whole = F.lit(WHOLE).alias("draw")
+
+    def drawn(few: Callable[[DataFrame], DataFrame], by: Sequence[str]) -> DataFrame:
+        parts = few(counts).select(whole, *by, "c").unionByName(few(rows).join(slots, "cluster").select("draw", *by, "c"))
+        return parts.groupBy("draw", *by).agg(F.sum("c").alias("c"))
+
+    one = Window.partitionBy("draw")
+    levels = drawn(lambda d: d, ["bin"]).withColumns({
+        "upto": F.sum("c").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("c").over(one)})
+    low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
+    first = F.col("upto") - F.col("c")
+    held = [(first <= r) & (r < F.col("upto")) for r in (low, high)]
+    wanted = pinned(levels.where(held[0] | held[1]).select("draw", "bin", first.alias("before"), "total"))
+    bins = F.broadcast(wanted.select("bin").distinct())  # BINS at most
+    values = drawn(lambda d: d.join(bins, "bin", "left_semi"), ["bin", "v"]).join(F.broadcast(wanted), ["draw", "bin"])  # two rows a draw at most
+    ranked = running_totals(values, ["draw", "bin"], ["v"], {"upto": "c"}).withColumn("upto", F.col("upto") + F.col("before"))
+    ends = ranked.groupBy("draw", "total").agg(*[F.max(F.when(h, F.col("v"))).alias(n) for h, n in zip(held, ("low", "high"), strict=True)])
+    return ends.select("draw", (F.col("low") + (F.col("high") - F.col("low")) * ((F.col("total") - 1) / 2 - low)).alias("median"))
+
+
 def _draw_rows(counts: DataFrame, picks: DataFrame) -> DataFrame:
     """Join value counts with the draws of their cluster, large clusters over several salts."""
     salts = counts.groupBy("cluster").agg(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandscope.operators import grid, lines, signals
+from strandscope.operators import grid, lines, resampling, signals
 
 
 def plan_of(df):
@@ -80,3 +80,15 @@ def test_noise_of_a_signal_shorter_than_the_filter(spark):
         x = np.array([r[3] for r in rows if r[0] == record])
         y = noisy[noisy.record == record].sort_values("t")["mv"].to_numpy()
         assert y.size == x.size and abs(10 * np.log10((x ** 2).sum() / ((y - x) ** 2).sum()) - 12.0) < 1e-9
+
+
+def test_drawn_rows_are_added_up_where_they_arise(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "_draw_rows", None)
+    rng = np.random.default_rng(2)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 9, 400), np.round(rng.normal(size=400) * 100, 1), strict=True)] + [(0, None), (1, float("nan"))]
+    got = resampling.bootstrap_median(spark.createDataFrame(rows, "record int, delta double"), "record", "delta", n_boot=8, seed=1).first()
+    of = {k: [v for r, v in rows if r == k and v is not None and v == v] for k in range(9)}
+    picks = resampling.cluster_picks(spark, 9, 8, 1).toPandas()
+    medians = [np.median(np.concatenate([np.repeat(of[p.cluster], p.times) for p in mine.itertuples()])) for _, mine in picks.groupby("draw")]
+    assert np.isclose(got["median"], np.median(np.concatenate(list(of.values())))) and got["n_clusters"] == 9 and got["n_rows"] == 401
+    assert np.allclose([got["lo"], got["hi"]], np.quantile(medians, [0.025, 0.975]))
