@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,25 +62,40 @@ def consensus_line(points: DataFrame, keys: Sequence[str], point: str, x: str, y
     keys = list(keys)
     each = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         F.col(point).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p"))
-    p = F.col("p")
-
-    def candidates(a: Column, i: Column) -> Column:
-        others = F.filter(F.slice(p, i + 2, F.size(p)), lambda b: F.abs(b["x"] - a["x"]) >= 1e-9)
-
-        def line(b: Column, j: Column) -> Column:
-            m = (b["y"] - a["y"]) / (b["x"] - a["x"])
-            c = a["y"] - m * a["x"]
-            far = F.transform(p, lambda q: F.abs(q["y"] - (m * q["x"] + c)) / F.sqrt(1 + m * m))
-            near = F.filter(far, lambda d: d <= tolerance)
-            return F.struct(F.size(near).alias("n"), (-F.aggregate(near, F.lit(0.0), lambda s, d: s + d)).alias("d"), (-i).alias("i"), (-j).alias("j"), m.alias("m"), c.alias("c"))
-
-        return F.transform(others, line)
-
-    best = each.withColumn("best", F.array_max(F.flatten(F.transform(p, candidates)))).where("best IS NOT NULL")
-    m, c = F.col("best.m"), F.col("best.c")
-    agree = F.filter(p, lambda q: F.abs(q["y"] - (m * q["x"] + c)) / F.sqrt(1 + m * m) <= tolerance)
-    rows = best.select(*keys, F.size("p").alias("n"), F.inline(agree))
-    return rows.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.count(F.lit(1)).alias("n_agree"), F.first("n").alias("n"))
+    each = each.select(*keys, F.col("p.x").alias("_x"), F.col("p.y").alias("_y"))
+
+    def kernel(batches):
+        for batch in batches:
+            found = [_consensus(np.array(px, dtype=float), np.array(py, dtype=float), tolerance) for px, py in zip(batch["_x"], batch["_y"], strict=True)]
+            kept = np.array([f is not None for f in found], dtype=bool)
+            told = pd.DataFrame([f for f in found if f is not None], columns=["slope", "intercept", "n_agree", "n"])
+            yield pd.concat([batch.loc[kept, keys].reset_index(drop=True), told], axis=1)
+
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    return each.mapInPandas(kernel, f"{kinds}, slope double, intercept double, n_agree bigint, n int")
+
+
+def _consensus(x: np.ndarray, y: np.ndarray, tolerance: float) -> tuple | None:
+    """(slope, intercept, n_agree, n) of one key, pairs of one first point at a time; sums of distances are compared to nine digits."""
+    best = None
+    for i in range(x.size - 1):
+        others = i + 1 + np.flatnonzero(np.abs(x[i + 1:] - x[i]) >= 1e-9)
+        if not others.size:
+            continue
+        m = (y[others] - y[i]) / (x[others] - x[i])
+        c = y[i] - m * x[i]
+        far = np.abs(y[None, :] - (m[:, None] * x[None, :] + c[:, None])) / np.sqrt(1 + m * m)[:, None]
+        near = far <= tolerance
+        agree, off = near.sum(axis=1), np.round(np.where(near, far, 0.0).sum(axis=1), 9)
+        k = np.lexsort((off, -agree))[0]  # stable: the first of equals
+        if best is None or (agree[k], -off[k]) > best[:2]:
+            best = agree[k], -off[k], near[k]
+    if best is None or not best[0]:
+        return None
+    px, py = x[best[2]], y[best[2]]
+    spread = ((px - px.mean()) ** 2).sum()
+    slope = ((px - px.mean()) * (py - py.mean())).sum() / spread if spread > 0 else None
+    return slope, None if slope is None else py.mean() - slope * px.mean(), int(best[0]), x.size
 
 
 def best_split(profiles: DataFrame, keys: Sequence[str], at: str, features: Sequence[str], low: Column, high: Column) -> DataFrame:

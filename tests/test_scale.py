@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandscope.operators import grid, lines, resampling, signals
+from strandscope.operators import grid, lines, resampling, robust, signals
 
 
 def plan_of(df):
@@ -92,3 +92,12 @@ def test_drawn_rows_are_added_up_where_they_arise(spark, monkeypatch):
     medians = [np.median(np.concatenate([np.repeat(of[p.cluster], p.times) for p in mine.itertuples()])) for _, mine in picks.groupby("draw")]
     assert np.isclose(got["median"], np.median(np.concatenate(list(of.values())))) and got["n_clusters"] == 9 and got["n_rows"] == 401
     assert np.allclose([got["lo"], got["hi"]], np.quantile(medians, [0.025, 0.975]))
+
+
+def test_pairs_of_points_are_tried_in_arrays(spark):
+    rows = [(1, k, float(k), 2.0 * k + (9.0 if k in (3, 7) else 0.01 * (k % 2))) for k in range(12)] + [(2, 0, 1.0, 1.0), (2, 1, 1.0, 5.0), (3, 0, 0.0, 1.0), (3, 1, 1.0, 3.0)]
+    out = robust.consensus_line(spark.createDataFrame(rows, "record int, t int, x double, y double"), ["record"], "t", "x", "y", 0.5)
+    assert "flatten" not in plan_of(out)
+    got = {r["record"]: r for r in out.collect()}
+    assert sorted(got) == [1, 3] and (got[1]["n_agree"], got[1]["n"]) == (10, 12) and abs(got[1]["slope"] - 2) < 0.01
+    assert np.isclose(got[3]["slope"], 2.0) and np.isclose(got[3]["intercept"], 1.0)
