@@ -7,9 +7,9 @@ histogram of lengths (one row per length) and is a short list of runs: so many d
 this rank on, go into as many sequences that follow each other, at this offset. Ranks are given out
 without gathering anything: in the task that encodes, plus the counts of the tasks before it.
 
-A step places `unit` documents of one length alike, where unit is the number of documents over STEPS,
-rounded up. Hence the list is bounded whatever the size of the corpus, and each step is one document up
-to STEPS documents.
+The placing takes the documents one by one, whatever their number, but only counts them: so many of a length
+went to sequences that held so much. The sequences themselves follow when a length is done, in stretches of numbers, so
+the list grows with the lengths and levels that occur, not with the documents.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from .tables import pinned, work_columns
 from .text import SPACE, Block, blocks
 
 CAPACITY = 1024
-STEPS = 131_072
 #: A longer stretch of spaces or of other bytes goes to the tokenizers library with its whole text.
 STRETCH = 400
 
@@ -91,42 +90,58 @@ def cut(n_ids: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, n_ids))
 
 
-def plan(counts: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def plan(counts: np.ndarray, steps: int | None = None) -> np.ndarray:
     """Runs (length, first rank, documents, first sequence, offset), a column each, by length and rank.
 
     `counts[n]` documents have n tokens; the last entry is the capacity, whose documents fill a sequence
-    each. Ties between gaps go to the fullest sequences.
+    each. Ties between gaps go to the fullest sequences. A caller who wants a coarser plan may name a number of `steps`:
+    then the documents of a step, of one length, are placed alike.
     """
     capacity = len(counts) - 1
-    unit = max(1, -(-int(counts[:capacity].sum()) // steps))
-    opened = np.zeros(capacity + 1, np.int64)  # by tokens held; full sequences are not counted
+    unit = 1 if steps is None else max(1, -(-int(counts[:capacity].sum()) // steps))
+    never = np.iinfo(np.int64).max
+    opened = [0] * (capacity + 1)  # by tokens held; full sequences are not counted
     bundles: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
     runs, fresh = [], int(counts[capacity])
     if fresh:
         runs.append((capacity, 0, fresh, 0, 0))
-    for size in range(capacity - 1, 0, -1):
-        rank, total = 0, int(counts[size])
-        while rank < total:
-            before, after = opened[capacity - size:0:-1], opened[capacity:size:-1]
-            taken = min(unit, total - rank)
-            if before.any():
-                change = 2 * (after - before) + 2
-                change[0] -= 1
-                change[before == 0] = np.iinfo(np.int64).max
-                held = capacity - size - int(change.argmin())
-                first, there = bundles[held].pop()
-                taken = min(taken, there)
-                if there > taken:
-                    bundles[held].append((first + taken, there - taken))
+    for size in np.flatnonzero(counts[:capacity])[::-1].tolist():
+        if not size:
+            continue
+        top, left, placed = capacity - size, int(counts[size]), {}
+
+        def squares(level, size=size, top=top):
+            return 2 * (opened[level + size] - opened[level]) + (1 if level == top else 2) if opened[level] else never
+
+        change = np.array([squares(level) for level in range(top, 0, -1)], np.int64)  # from the fullest on
+        while left:
+            best = int(change.argmin())
+            held = top - best if change[best] != never else 0
+            taken = min(unit, left, opened[held]) if held else min(unit, left)
+            left -= taken
+            placed[held] = placed.get(held, 0) + taken
+            if held:
                 opened[held] -= taken
-            else:
-                held, first = 0, fresh
-                fresh += taken
-            runs.append((size, rank, taken, first, held))
-            if held + size < capacity:
+            if held < top:
                 opened[held + size] += taken
-                bundles[held + size].append((first, taken))
-            rank += taken
+            for level in (held - size, held, held + size):
+                if 0 < level <= top:
+                    change[top - level] = squares(level)
+        rank = 0
+        for held in sorted(placed):  # a sequence may rise from level to level within a length
+            wanted, source = placed[held], bundles[held]
+            if not held:
+                source.append((fresh, wanted))
+                fresh += wanted
+            while wanted:
+                first, there = source.pop()
+                taken = min(wanted, there)
+                if there > taken:
+                    source.append((first + taken, there - taken))
+                runs.append((size, rank, taken, first, held))
+                wanted, rank = wanted - taken, rank + taken
+                if held < top:
+                    bundles[held + size].append((first, taken))
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
@@ -162,14 +177,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
     return work_columns(docs).mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2, steps: int = STEPS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids binary]), one row per piece.
 
     A null or empty text is the end id alone. A document longer than a sequence is cut from its end into
     full pieces; its first piece takes what is left over. Rows are treated one by one, so repeated rows are packed
     repeatedly; documents of equal length are interchangeable to the rule. No rows give no rows; more
     columns are ignored. What reaches the driver is one count per length, what is sent to every task the
-    runs of `plan`: at most three for each step and length.
+    runs of `plan`.
     """
     rows = pinned(pieces(docs, path, capacity, end_id, with_ids))
     counted = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +193,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     counts = np.zeros(capacity + 1, np.int64)
     for row in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row["length"]] = row["n"]
-    runs = docs.sparkSession.sparkContext.broadcast(plan(counts, steps))
+    runs = docs.sparkSession.sparkContext.broadcast(plan(counts))
     ranked = rows.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place")).drop("part", "place", "base")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

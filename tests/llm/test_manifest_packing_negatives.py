@@ -147,6 +147,28 @@ def test_plan_is_the_sum_of_squares_rule(seed):
             assert dict(sorted(opened.items())) == {int(k): int(v) for k, v in zip(*np.unique([sum(s for _, s in p) for p in held.values() if sum(s for _, s in p) < 64], return_counts=True), strict=True)}
 
 
+def test_plan_goes_one_by_one_whatever_the_number():
+    counts = np.bincount(np.random.default_rng(1).integers(1, 65, 140_000), minlength=65)
+    want, opened = counts[64], np.zeros(65, np.int64)
+    for size in range(63, 0, -1):
+        for _ in range(counts[size]):
+            before, after = opened[64 - size:0:-1], opened[64:size:-1]
+            change = np.where(before > 0, 2 * (after - before) + 2, 10**9)
+            change[0] -= before[0] > 0
+            held = 64 - size - int(change.argmin()) if before.any() else 0
+            opened[held] -= held > 0
+            want += held == 0
+            opened[held + size] += held + size < 64
+    runs = packing.plan(counts)
+    at = np.argsort(runs[:, 3], kind="stable")
+    fill = np.zeros(int((runs[:, 3] + runs[:, 2]).max()), np.int64)
+    for size, _, taken, first, offset in runs[at[np.argsort(runs[at, 4], kind="stable")]].tolist():
+        assert (fill[first:first + taken] == offset).all()
+        fill[first:first + taken] += size
+    assert len(fill) == want and (np.bincount(fill, minlength=65)[:64] == opened[:64]).all()
+    assert np.bincount(runs[:, 0], weights=runs[:, 2], minlength=65).tolist() == counts.tolist() and len(runs) < 10_000
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
