@@ -9,47 +9,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pinned
 from .ordered import running_totals
-from .quantiles import exact_quantiles
 
 # Passes of trimming, its width in robust sigmas, and the least sigma in pixels.
 PASSES, TRIM, LEAST_SIGMA = 3, 3.0, 0.5
 
 
-def _total_least_squares(points: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys, nx, ny, off): unit normal and offset of the line with the least squared distances; nx * x + ny * y + off = 0."""
-    s = points.groupBy(*keys).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("vxy"))
-    # the normal is the direction of least variance: a quarter turn from the main axis
-    turn = 0.5 * F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy"))
-    nx, ny = -F.sin(turn), F.cos(turn)
-    return s.select(*keys, nx.alias("nx"), ny.alias("ny"), (-(nx * F.col("mx") + ny * F.col("my"))).alias("off"))
-
-
 def trimmed_line(points: DataFrame, keys: Sequence[str], x: str, y: str, passes: int = PASSES) -> DataFrame:
     """(keys, nx, ny, off, rms, n, n_kept): total least squares line, trimmed at three robust sigmas in each pass.
 
     Every pass starts from all points with the line of those kept before. The normal has ny > 0, or nx < 0 where
-    the line is vertical. A key with fewer than two different points has no line.
+    the line is vertical. A key with fewer than two different points has no line. The points of a key are held as one array,
+    so they meet in one shuffle and every pass stays within it.
     """
     keys = list(keys)
-    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("NOT isnan(_x) AND NOT isnan(_y)").dropna(subset=["_x", "_y"])
-    rows = pinned(rows)
-    spread = rows.groupBy(*keys).agg((F.var_pop("_x") + F.var_pop("_y")).alias("_v")).where("_v > 0").drop("_v")
-    rows = rows.join(spread, keys, "left_semi")
-    kept = rows
+    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("NOT isnan(_x) AND NOT isnan(_y)")
+    rows = rows.dropna(subset=["_x", "_y", *keys])
+    each = rows.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y")).alias("p")).select(*keys, F.col("p._x").alias("_x"), F.col("p._y").alias("_y"))
+
+    def kernel(batches):
+        for batch in batches:
+            found = [_trimmed(np.asarray(px, dtype=float), np.asarray(py, dtype=float), passes) for px, py in zip(batch["_x"], batch["_y"], strict=True)]
+            kept = np.array([f is not None for f in found], dtype=bool)
+            told = pd.DataFrame([f for f in found if f is not None], columns=["nx", "ny", "off", "rms", "n_kept", "n"])
+            yield pd.concat([batch.loc[kept, keys].reset_index(drop=True), told], axis=1)
+
+    kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
+    return each.mapInPandas(kernel, f"{kinds}, nx double, ny double, off double, rms double, n_kept bigint, n bigint")
+
+
+def _total_least_squares(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Unit normal and offset of the line with the least squared distances; nx * x + ny * y + off = 0."""
+    dx, dy = x - x.mean(), y - y.mean()
+    # the normal is the direction of least variance: a quarter turn from the main axis
+    turn = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+    nx, ny = -np.sin(turn), np.cos(turn)
+    return nx, ny, -(nx * x.mean() + ny * y.mean())
+
+
+def _trimmed(x: np.ndarray, y: np.ndarray, passes: int) -> tuple | None:
+    """(nx, ny, off, rms, n_kept, n) of one key; infinite distances have no part in the medians."""
+    if not (x != x[0]).any() and not (y != y[0]).any():
+        return None
+    kept = np.ones(x.size, dtype=bool)
     for _ in range(passes):
-        line = _total_least_squares(kept, keys, "_x", "_y")
-        off = rows.join(line, keys).withColumn("_r", F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("off")).select(*keys, "_x", "_y", "_r")
-        before = off if kept is rows else off.join(kept.select(*keys, "_x", "_y").distinct(), [*keys, "_x", "_y"], "left_semi")
-        middle = exact_quantiles(before, keys, {"_r": "_r"})
-        wide = exact_quantiles(before.join(middle, keys).withColumn("_d", F.abs(F.col("_r") - F.col("_r_median"))), keys, {"_d": "_d"})
-        limit = TRIM * F.greatest(1.4826 * F.col("_d_median"), F.lit(LEAST_SIGMA))
-        kept = pinned(off.join(middle, keys).join(wide, keys).where(F.abs(F.col("_r") - F.col("_r_median")) <= limit).select(*keys, "_x", "_y"))
-    line = _total_least_squares(kept, keys, "_x", "_y")
-    rest = F.col("nx") * F.col("_x") + F.col("ny") * F.col("_y") + F.col("off")
-    told = kept.join(line, keys).groupBy(*keys).agg(F.sqrt(F.avg(rest * rest)).alias("rms"), F.count(F.lit(1)).alias("n_kept"))
-    return line.join(told, keys).join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
+        nx, ny, off = _total_least_squares(x[kept], y[kept])
+        r = nx * x + ny * y + off
+        before = r[kept & np.isfinite(r)]
+        if not before.size:
+            return None
+        middle = np.median(before)
+        kept = np.abs(r - middle) <= TRIM * max(1.4826 * np.median(np.abs(before - middle)), LEAST_SIGMA)
+    nx, ny, off = _total_least_squares(x[kept], y[kept])
+    rest = nx * x[kept] + ny * y[kept] + off
+    return nx, ny, off, np.sqrt(np.mean(rest * rest)), int(kept.sum()), x.size
 
 
 def consensus_line(points: DataFrame, keys: Sequence[str], point: str, x: str, y: str, tolerance: float) -> DataFrame:

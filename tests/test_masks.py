@@ -75,6 +75,13 @@ def test_a_long_snake_is_one_component(spark):
     assert masks.largest_component(px(spark, cells)).count() == 118
 
 
+def test_rounds_are_compared_by_sums(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "exceptAll", None)  # whole sets of edges against each other, twice a round
+    cells = {(0, c) for c in range(9)} | {(r, 2 * r % 7) for r in range(3, 12)}
+    got = sorted((r["row"], r["col"]) for r in masks.largest_component(px(spark, cells)).collect())
+    assert got == flood(cells)
+
+
 def test_ensemble_takes_the_highest_mean(spark):
     rows = [(1, 0, 0.6), (1, 1, 0.4), (1, 0, 0.1), (1, 1, 0.9), (2, 0, 0.5), (2, 1, 0.5)]
     out = masks.ensemble(spark.createDataFrame(rows, "p int, label int, prob double"), ["p"], "label", "prob")

@@ -159,6 +159,14 @@ def test_trimmed_line_leaves_outliers_out(spark):
     assert abs(got["upright"].nx) == pytest.approx(1, abs=1e-3) and -got["upright"].off / got["upright"].nx == pytest.approx(7, abs=0.05)
 
 
+def test_points_of_a_trimmed_line_meet_once(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, float(x), float(x + rng.normal(0, 1) + (40 if i % 9 == 0 else 0))) for k in range(5) for i, x in enumerate(range(30))], "k int, x double, y double")
+    out = robust.trimmed_line(df, ["k"], "x", "y")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r.n for r in out.collect()] == [30] * 5 and all(20 < r.n_kept < 28 for r in out.collect())
+
+
 def test_consensus_and_steps(spark):
     pts = [("a", i, float(i), 2.0 * i + 1 + (50 if i in (2, 5) else 0.01 * (i % 2))) for i in range(12)] + [("b", 0, 1.0, 1.0), ("b", 1, 1.0, 2.0), ("c", 0, 0.0, 0.0)]
     got = {r.k: r for r in robust.consensus_line(spark.createDataFrame(pts, "k string, i int, x double, y double"), ["k"], "i", "x", "y", 0.1).collect()}
