@@ -200,6 +200,23 @@ def drawn_lag(pairs: DataFrame, keys: Sequence[str], levels: int = 50, t: str =
         kernel, f"{_fields(pairs, keys)}, lag int, offset double")
 
 
+def sampled(lead: str, strip: bool, pitch: float, g0: float, height: float, dx: float, cols, y, mm=None, at=None,
+            sharpened: bool = True, rate: int = dims.RATE) -> np.ndarray:
+    """Samples in mV of one lead from its column centres, read along the knots (mm, at) or the even columns."""
+    per = int(dims.COLUMN_SECONDS * rate)
+    n = dims.N_COLUMNS * per if strip else per
+    columns = (0 if strip else dims.COLUMN[lead]) + np.arange(n) / per
+    if mm is None or not len(mm):
+        x = g0 + columns * pitch
+    else:
+        m, period = columns * dims.MM_PER_COLUMN, pitch / dims.MM_PER_COLUMN
+        x = np.interp(m, mm, at) + np.minimum(m - mm[0], 0) * period + np.maximum(m - mm[-1], 0) * period
+    x = x - 0.5 - dx
+    traced = sharpen(cols, y, x, rate) if sharpened else np.interp(x, cols, y)
+    base = (1 - dims.baseline_ratio(lead, strip)) * height
+    return ((base - (traced + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)).astype(np.float32).astype(float)
+
+
 def vectorise(profile: DataFrame, grid: DataFrame, shift: Column | None = None, sharpened: bool = True,
               rate: int = dims.RATE, maps: DataFrame | None = None) -> DataFrame:
     """Samples in mV of each lead from its column centres on the page's column grid.
@@ -215,25 +232,11 @@ def vectorise(profile: DataFrame, grid: DataFrame, shift: Column | None = None,
         F.array_sort(F.collect_list(F.struct(F.col("col").cast("double").alias("col"), F.col("y").cast("double").alias("y")))).alias("line"), F.first("dx").alias("dx"))
     lines = lines.join(pages.select("record", "g0", "pitch", "height", "long_leads"), "record")
     lines = lines.join(maps, ["record", "lead"], "left") if maps is not None else lines.withColumn("knots", F.lit(None).cast("array<struct<a:double,b:double>>"))
-    per = int(dims.COLUMN_SECONDS * rate)
-
-    def sampled(lead, strip, pitch, g0, height, dx, cols, y, mm, at):
-        n = dims.N_COLUMNS * per if strip else per
-        columns = (0 if strip else dims.COLUMN[lead]) + np.arange(n) / per
-        if mm is None or not len(mm):
-            x = g0 + columns * pitch
-        else:
-            m, period = columns * dims.MM_PER_COLUMN, pitch / dims.MM_PER_COLUMN
-            x = np.interp(m, mm, at) + np.minimum(m - mm[0], 0) * period + np.maximum(m - mm[-1], 0) * period
-        x = x - 0.5 - dx
-        traced = sharpen(cols, y, x, rate) if sharpened else np.interp(x, cols, y)
-        base = (1 - dims.baseline_ratio(lead, strip)) * height
-        return ((base - (traced + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)).astype(np.float32).astype(float)
 
     @F.pandas_udf("array<double>")
     def samples(lead: pd.Series, strip: pd.Series, pitch: pd.Series, g0: pd.Series, height: pd.Series, dx: pd.Series,
                 cols: pd.Series, y: pd.Series, mm: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([sampled(*row) for row in zip(lead, strip, pitch, g0, height, dx, cols, y, mm, at, strict=True)], dtype=object)
+        return pd.Series([sampled(*row, sharpened, rate) for row in zip(lead, strip, pitch, g0, height, dx, cols, y, mm, at, strict=True)], dtype=object)
 
     mv = samples("lead", F.array_contains("long_leads", F.col("lead")), F.col("pitch").cast("double"), F.col("g0").cast("double"),
                  F.col("height").cast("double"), F.col("dx").cast("double"), "line.col", "line.y", "knots.a", "knots.b")

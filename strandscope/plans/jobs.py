@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..operators import agreement, columns, conditions, fidelity, grid, labels, lines, masks, metrics, pairing, resampling, rows, signals, strokes
+from ..operators import agreement, columns, conditions, fidelity, grid, labels, lines, masks, metrics, page_rows, pairing, resampling, rows, signals, strokes
 from ..session import pinned
 from ..sources import pages as page_files
 from ..sources import records
@@ -77,43 +77,50 @@ def read_pages_from_masks(mask: DataFrame, sizes: DataFrame, ink: DataFrame | No
     lines and, where these are uneven, samples are read along the map of the layout row, else of the page; without
     usable lines the grid of the mask edges stands. The zero line of a page is put where the sums of the
     limb leads vanish. Pages without a grid give no signal and say why in `grid`.
+    Each page is read in one row (`pages`), from which the other results are taken when they are asked for. Samples are
+    not stored on the way, so of many pages take what is wanted from `pages` in one pass.
     """
     spark = mask.sparkSession
+    facts = sizes.select("record", F.col("height").cast("double").alias("height"))
+    if ink is None and pixels is None:
+        return page_results(page_rows.packed(mask.withColumn("y", F.col("row")), facts), sharpened, placement)
     dims_table = dims.lead_table(spark)
     table = dims_table.select("label", "lead")
-    boxes = masks.bounding_boxes(mask, table).filter(F.col("x1").isNotNull()).join(F.broadcast(table), "label")
-    heights = sizes.select("record", "height")
-    leads = boxes.select("record", "lead", "x1", (F.col("x2") - F.col("x1") + 1).alias("width"))
-    fitted = grid.rescued_grid(leads, heights)
-    profiles = None
+    out, maps = {}, None
     if pixels is not None:
+        boxes = masks.bounding_boxes(mask, table).filter(F.col("x1").isNotNull()).join(F.broadcast(table), "label")
+        heights = sizes.select("record", "height")
+        leads = boxes.select("record", "lead", "x1", (F.col("x2") - F.col("x1") + 1).alias("width"))
+        fitted = grid.rescued_grid(leads, heights)
         profiles = pinned(lines.band_profiles(pixels))
         moved = lines.refine_grid(profiles, fitted.filter("reason IS NULL"), snap_offset=snap_offset)
         fitted = fitted.join(moved.select("record", F.col("g0").alias("_g"), F.col("pitch").alias("_p")), "record", "left")
-        fitted = fitted.withColumn("g0", F.coalesce("_g", "g0")).withColumn("pitch", F.coalesce("_p", "pitch")).drop("_g", "_p")
-    fitted = pinned(fitted)
-    pages = fitted.join(heights, "record")
-    good = pages.filter("reason IS NULL")
-    out, maps = {"grid": fitted}, None
-    if pixels is not None:
+        fitted = pinned(fitted.withColumn("g0", F.coalesce("_g", "g0")).withColumn("pitch", F.coalesce("_p", "pitch")).drop("_g", "_p"))
+        good = fitted.join(heights, "record").filter("reason IS NULL")
         verdict, knots = columns.column_map(profiles, good.select("record", "g0", "pitch"), mask_edges(leads, good, dims_table), snap_offset)
         verdict = pinned(verdict)
         knots = pinned(knots.join(verdict.filter("reason IS NULL AND NOT dead_band").select("record"), "record", "left_semi"))
         by_row = pinned(rows.row_maps(pixels, profiles, mask, good, knots, dims_table, snap_offset)) if row_mapping else None
-        maps = rows.reading_maps(good, dims_table, knots, by_row)
+        maps = rows.reading_maps(good, dims_table, knots, by_row).groupBy("record").agg(F.collect_list(F.struct("lead", "knots")).alias("maps"))
         out |= {"page_maps": verdict, "row_maps": by_row}
-    profile = strokes.column_centres(mask, ink).join(F.broadcast(table), "label").select("record", "lead", "col", "y")
-    applied = None
+        facts = facts.join(fitted, "record").join(maps, "record", "left")
     if ink is not None:
-        shift = strokes.applied_shift(strokes.trace_shift(mask, ink, sizes)).select("record", "applied")
-        profile = profile.join(shift, "record", "left").withColumn("applied", F.coalesce("applied", F.lit(0.0)))
-        applied = F.col("applied")
-    read = pinned(signals.vectorise(profile, pages, applied, sharpened, maps=maps))
-    levelled, moved = on_zero_line(read, good)
-    offsets = grid.grid_offsets(boxes.select("record", "lead", "x1"), good)
-    whole = grid.assemble(levelled, offsets, int(dims.PAGE_SECONDS * dims.RATE), placement)
-    checks = grid.consistency_warning(grid.consistency(whole))
-    return out | {"signals": grid.rescaled(whole), "offsets": offsets, "checks": checks, "baseline": moved}
+        facts = facts.join(strokes.applied_shift(strokes.trace_shift(mask, ink, sizes)).select("record", "applied"), "record", "left")
+    pages = pinned(page_rows.packed(strokes.column_centres(mask, ink), facts))
+    return out | page_results(pages, sharpened, placement)
+
+
+def page_results(pages: DataFrame, sharpened: bool = True, placement: str = "column") -> dict[str, DataFrame]:
+    """Results of pages that hold their cells in one row each (`page_rows.packed`); `pages` has them all, a page a row."""
+    read = page_rows.page_readings(pages, sharpened, placement)
+    read = grid.consistency_warning(read.withColumn("warning", F.lit(None).cast("string")))
+    sampled = F.exists("mv", lambda v: F.size(v) > 0)
+    measures = [f"{name}_{m}" for name in page_rows.RULES for m in page_rows.MEASURES]
+    return {"pages": read, "grid": read.select("record", *page_rows.FITTED),
+            "signals": page_rows.sample_rows(read, "rescaled").select("record", "lead", "t", "mv", "rescaled"),
+            "offsets": page_rows.lead_rows(read).select("record", "lead", "raw", "snapped"),
+            "checks": read.where(sampled).select("record", *measures, "warning"),
+            "baseline": read.where("reason IS NULL").select("record", "shift", "disagreement")}
 
 
 def mask_edges(leads: DataFrame, pages: DataFrame, dims_table: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandscope import dims
-from strandscope.operators import lines, metrics, rows, signals, strokes
+from strandscope.operators import grid, lines, masks, metrics, rows, signals, strokes
 from strandscope.plans import jobs
 from strandscope.sources import pages, records, tables
 from strandscope.streaming import arrivals
@@ -239,3 +239,44 @@ def test_the_zero_line_follows_the_limb_leads(spark):
     moved, error = jobs.on_zero_line(read, pages)
     assert error.first().shift * 25 * 2.5 / 500 / 10 == pytest.approx(0.05, abs=1e-6)
     assert moved.where("lead = 'aVF'").agg(F.max(F.abs("mv"))).first()[0] == pytest.approx(0, abs=1e-6)
+
+
+def test_pages_are_read_without_rows_of_samples(spark, monkeypatch):
+    """Samples and checks of a page's one row equal those of the operators on rows, with no pixel or sample stored on the way."""
+    height, pitch, rng = 1700, 1700 * 62.5 / 215.9, np.random.default_rng(3)
+    cells = []
+    for page in (1, 2, 3):
+        for i, lead in enumerate(dims.LEADS):
+            if page == 2 and lead == "aVL" or page == 3 and lead == "II":
+                continue
+            strip = lead == "II"
+            low = int(100.25 + (0 if strip else dims.COLUMN[lead]) * pitch)
+            high = int(100.25 + (4 if strip else dims.COLUMN[lead] + 1) * pitch)
+            base = (1 - dims.baseline_ratio(lead, strip)) * height
+            cells += [(page, int(base + 3 + 9 * np.sin(c / 7 + i) + d), c, i + 1) for c in range(low, high) for d in range(int(rng.integers(1, 3)))]
+    mask = spark.createDataFrame(cells, "record long, row int, col int, label int")
+    sizes = spark.createDataFrame([(p, height, 2200) for p in (1, 2, 3, 4)], "record long, height int, width int")
+    table = dims.lead_table(spark).select("label", "lead")
+    boxes = masks.bounding_boxes(mask, table).where("x1 IS NOT NULL").join(table, "label")
+    fitted = grid.rescued_grid(boxes.select("record", "lead", "x1", (F.col("x2") - F.col("x1") + 1).alias("width")), sizes.select("record", "height"))
+    good = fitted.join(sizes.select("record", "height"), "record").where("reason IS NULL")
+    centres = strokes.column_centres(mask, None).join(table, "label").select("record", "lead", "col", "y")
+    levelled, moved = jobs.on_zero_line(signals.vectorise(centres, good), good)
+    want = {"grid": fitted, "baseline": moved, "offsets": grid.grid_offsets(boxes.select("record", "lead", "x1"), good)}
+    want["signals"] = grid.assemble(levelled, want["offsets"], 5000)
+    want["checks"] = grid.consistency_warning(grid.consistency(want["signals"]))
+    want["signals"] = grid.rescaled(want["signals"])
+    want = {name: df.toPandas() for name, df in want.items()}
+    monkeypatch.setattr(jobs, "pinned", None)
+    monkeypatch.setattr(signals, "vectorise", None)
+    monkeypatch.setattr(strokes, "column_centres", None)
+    out = jobs.read_pages_from_masks(mask, sizes)
+    for name, old in want.items():
+        keys = [c for c in ("record", "lead", "t") if c in old.columns]
+        a, b = (x.sort_values(keys).reset_index(drop=True) for x in (old, out[name].toPandas()))
+        assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b) > 0
+        for c in a.columns:
+            if a[c].dtype.kind == "f":
+                assert np.allclose(a[c].astype(float), b[c].astype(float), rtol=0, atol=1e-7, equal_nan=True), (name, c)
+            elif c != "long_leads":
+                assert [None if v is None or v != v else v for v in a[c]] == [None if v is None or v != v else v for v in b[c]], (name, c)
