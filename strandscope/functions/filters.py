@@ -123,15 +123,14 @@ def spline_second_derivatives(y: np.ndarray) -> np.ndarray:
         right = curve[1:-1].copy()
         right[0] -= bend[1]
         right[-1] -= bend[n - 2]
-        factor = np.empty(inner)
-        factor[0] = 0.25
+        right = right.tolist()  # plain numbers: these loops run over single values
+        factor, value = [0.25], 0.0
         for i in range(1, inner):
-            factor[i] = 1 / (4 - factor[i - 1])
+            factor.append(1 / (4 - factor[-1]))
             right[i] -= right[i - 1] * factor[i - 1]
-        value = 0.0
         for i in range(inner - 1, -1, -1):
-            value = (right[i] - value) * factor[i]
-            bend[2 + i] = value
+            right[i] = value = (right[i] - value) * factor[i]
+        bend[2:2 + inner] = right
     bend[0] = 2 * bend[1] - bend[2]
     bend[n - 1] = 2 * bend[n - 2] - bend[n - 3]
     return bend

@@ -6,8 +6,10 @@ operator is a join or an aggregate on pixel coordinates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .ordered import attach, beside, for_each, neighbourhood
 from .quantiles import exact_quantiles
 
 PIXEL = ("row", "col")
+TILE = 128  # side of the squares in which pixels are joined up at once
 
 
 def densify(points: DataFrame, keys: Sequence[str], k: str, factor: int) -> DataFrame:
@@ -215,27 +218,64 @@ def label_problems(mask: DataFrame, expected: DataFrame) -> DataFrame:
             .groupBy("record", "label").agg(F.count(F.lit(1)).alias("n_pixels")))
 
 
-def _row_runs(mask: DataFrame, by: Sequence[str]) -> DataFrame:
-    from .windows import column_runs
-
-    runs = column_runs(mask.select(*by, *PIXEL), [*by, "row"], "col")
-    return runs.withColumn("node", F.struct("row", "run_start"))
-
-
-def components(mask: DataFrame, by: Sequence[str] = ("record", "label"), max_rounds: int = 60) -> DataFrame:
-    """Connected components (neighbours in all eight directions) of each mask.
-
-    Pixels become horizontal runs, touching runs of neighbouring rows become edges, and
-    the smallest node name spreads by alternating star contractions, which needs a
-    number of rounds that grows with the logarithm of the component size. Each round is
-    written out, so the plan stays short and survives lost executors.
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes is linked with."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _tile_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of each tile by itself: its cells (row * TILE + col) in order and the first cell of the part of each."""
+    wide = TILE + 2  # a free column on either side and a free row below keep rows and tiles apart
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
+            sizes = np.diff(batch.column("cells").offsets.to_numpy())
+            cell = batch.column("cells").flatten().to_numpy()
+            key = (np.repeat(np.arange(sizes.size), sizes) * (TILE + 1) + cell // TILE) * wide + cell % TILE + 1
+            order = np.argsort(key)
+            key, cell = key[order], cell[order]
+            links = []
+            for step in (1, wide - 1, wide, wide + 1):
+                to = np.minimum(np.searchsorted(key, key + step), key.size - 1)
+                links.append((np.flatnonzero(key[to] == key + step), to[key[to] == key + step]))
+            root = _joined(key.size, *(np.concatenate(x) for x in zip(*links, strict=True)))
+            ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+            lists = {"cells": cell, "roots": cell[root]}
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names if c != "cells"} | {
+                c: pa.ListArray.from_arrays(ends, pa.array(v, pa.int32())) for c, v in lists.items()})
+
+
+def _parts(mask: DataFrame, by: list[str], max_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Pixels with the first pixel (`node`) of the part that holds them within their tile, and (by, node, root):
+    the first pixel of the component for the parts that touch others.
     """
-    by = list(by)
-    runs = pinned(_row_runs(mask, by))
-    up = runs.select(*by, (F.col("row") + 1).alias("row"), F.col("run_start").alias("_s"),
-                     F.col("run_end").alias("_e"), F.col("node").alias("other"))
-    touch = (F.col("run_start") <= F.col("_e")) & (F.col("_s") <= F.col("run_end"))
-    edges = runs.join(up, [*by, "row"]).filter(touch).select(*by, F.col("node").alias("u"), F.col("other").alias("v"))
+    cell = (F.pmod("row", F.lit(TILE)) * TILE + F.pmod("col", F.lit(TILE))).cast("int")
+    kinds = {c: mask.schema[c].dataType for c in (*by, *PIXEL)}
+    tiles = mask.dropna(subset=[*by, *PIXEL]).groupBy(
+        *by, F.floor(F.col("row") / TILE).alias("_tr"), F.floor(F.col("col") / TILE).alias("_tc")).agg(F.collect_set(cell).alias("cells"))
+    fields = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in by)
+    tiles = pinned(tiles.mapInArrow(_tile_parts, f"{fields}, _tr bigint, _tc bigint, cells array<int>, roots array<int>"))
+
+    def spot(x: str) -> list[Column]:
+        return [(F.col("_tr") * TILE + F.floor(F.col(x) / TILE)).cast(kinds["row"]).alias("row"), (F.col("_tc") * TILE + F.col(x) % TILE).cast(kinds["col"]).alias("col")]
+
+    px = tiles.select(*by, "_tr", "_tc", F.inline(F.arrays_zip("cells", "roots")))
+    px = px.select(*by, "_tr", "_tc", "cells", *spot("cells"), F.struct(*spot("roots")).alias("node"))
+    edge = [F.lit(0), F.lit(TILE - 1)]
+    rim = px.where(F.floor(F.col("cells") / TILE).isin(*edge) | (F.col("cells") % TILE).isin(*edge))
+    near = F.array(*[F.struct((F.col("row") + r).cast(kinds["row"]).alias("row"), (F.col("col") + c).cast(kinds["col"]).alias("col")) for r, c in ((-1, -1), (-1, 0), (-1, 1), (0, -1))])
+    away = F.filter(near, lambda p: (F.floor(p["row"] / TILE) != F.col("_tr")) | (F.floor(p["col"] / TILE) != F.col("_tc")))
+    asked = rim.select(*by, F.col("node").alias("u"), F.explode(away).alias("p")).select(*by, "u", "p.row", "p.col")
+    edges = asked.join(rim.select(*by, *PIXEL, F.col("node").alias("v")), [*by, *PIXEL]).select(*by, "u", "v")
     edges = pinned(_forward(edges, by))
     seen = _digest(edges)
     for _ in range(max_rounds):
@@ -245,9 +285,21 @@ def components(mask: DataFrame, by: Sequence[str] = ("record", "label"), max_rou
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    named = runs.join(roots, [*by, "node"], "left").withColumn("component", F.coalesce("root", "node"))
-    return named.select(*by, "row", "run_start", "run_end", "component")
+    return px.select(*by, *PIXEL, "node"), edges.groupBy(*by, F.col("u").alias("node")).agg(F.min("v").alias("root"))
+
+
+def components(mask: DataFrame, by: Sequence[str] = ("record", "label"), max_rounds: int = 60) -> DataFrame:
+    """Pixels with their connected component (neighbours in all eight directions) in each mask, named by its first pixel.
+
+    A mask is cut into square tiles, each joined up by itself in arrays; what touches across the
+    tiles' rims becomes an edge between parts, and the smallest name spreads by alternating star contractions, which
+    needs a number of rounds that grows with the logarithm of the parts of a component. Each round is
+    written out, so the plan stays short and survives lost executors.
+    """
+    by = list(by)
+    px, roots = _parts(mask, by, max_rounds)
+    named = px.join(roots, [*by, "node"], "left")
+    return named.select(*by, *PIXEL, F.coalesce("root", "node").alias("component"))
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -278,13 +330,13 @@ def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
 def largest_component(mask: DataFrame, by: Sequence[str] = ("record", "label")) -> DataFrame:
     """Pixels of the largest component of each mask; the first component wins a tie."""
     by = list(by)
-    parts = pinned(components(mask, by))
-    sizes = parts.groupBy(*by, "component").agg(F.sum(F.col("run_end") - F.col("run_start")).alias("n"))
-    best = sizes.groupBy(*by).agg(F.max("n").alias("n")).join(sizes, [*by, "n"]).groupBy(*by).agg(
-        F.min("component").alias("component"), F.max("n").alias("n_pixels"))
-    kept = parts.join(best, [*by, "component"])
-    return kept.withColumn("col", F.explode(F.sequence(F.col("run_start"), F.col("run_end") - 1))).select(
-        *by, *PIXEL)
+    px, roots = _parts(mask, by, 60)
+    parts = px.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n")).join(roots, [*by, "node"], "left")
+    parts = pinned(parts.select(*by, "node", "n", F.coalesce("root", "node").alias("component")))
+    sizes = parts.groupBy(*by, "component").agg(F.sum("n").alias("n"))
+    best = sizes.groupBy(*by).agg(F.max("n").alias("n")).join(sizes, [*by, "n"]).groupBy(*by).agg(F.min("component").alias("component"))
+    kept = parts.join(best, [*by, "component"]).select(*by, "node")
+    return px.join(kept, [*by, "node"]).select(*by, *PIXEL)
 
 
 def intensity_fingerprint(values: DataFrame, channel: str, value: str) -> DataFrame:

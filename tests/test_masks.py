@@ -86,3 +86,26 @@ def test_ensemble_takes_the_highest_mean(spark):
     rows = [(1, 0, 0.6), (1, 1, 0.4), (1, 0, 0.1), (1, 1, 0.9), (2, 0, 0.5), (2, 1, 0.5)]
     out = masks.ensemble(spark.createDataFrame(rows, "p int, label int, prob double"), ["p"], "label", "prob")
     assert {(r["p"], r["label"]) for r in out.collect()} == {(1, 1), (2, 0)}
+
+
+def test_parts_are_joined_within_tiles_first(spark, monkeypatch):
+    """Only what touches across the rims of tiles takes part in the rounds; the rest is settled where it lies."""
+    rng = np.random.default_rng(11)
+    cells = {(int(r) - 40, int(c) - 3) for r, c in zip(*np.nonzero(rng.random((90, 40)) < 0.38))}
+    for tile in (8, 128):
+        monkeypatch.setattr(masks, "TILE", tile)
+        seen = []
+        digest = masks._digest
+        monkeypatch.setattr(masks, "_digest", lambda edges: seen.append(edges.count()) or digest(edges))
+        mask = px(spark, cells).unionByName(px(spark, {(r + 7, c) for r, c in cells}, 2)).unionByName(px(spark, {(0, 5)}, 1, "q"))
+        got = {}
+        for r in masks.components(mask).collect():
+            got.setdefault((r["record"], r["label"], tuple(r["component"])), []).append((r["row"], r["col"]))
+        assert sorted(got[("q", 1, (0, 5))]) == [(0, 5)]
+        best = max((v for k, v in got.items() if k[:2] == ("r", 1)), key=lambda v: (len(v), [-x for x in min(v)]))
+        assert sorted(best) == flood(cells) and all(min(v) == k[2] for k, v in got.items())
+        assert sum(map(len, got.values())) == 2 * len(cells) + 1
+        assert seen[0] < len(cells) / 2
+        out = masks.largest_component(mask).where("label = 1 AND record = 'r'").collect()
+        assert sorted((r["row"], r["col"]) for r in out) == flood(cells)
+        monkeypatch.undo()
