@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from .ordered import running_totals
 
 # Passes of trimming, its width in robust sigmas, and the least sigma in pixels.
 PASSES, TRIM, LEAST_SIGMA = 3, 3.0, 0.5
+PIECE = 2048  # keys whose lines are fitted at once
 
 
 def trimmed_line(points: DataFrame, keys: Sequence[str], x: str, y: str, passes: int = PASSES) -> DataFrame:
@@ -20,49 +22,73 @@ def trimmed_line(points: DataFrame, keys: Sequence[str], x: str, y: str, passes:
 
     Every pass starts from all points with the line of those kept before. The normal has ny > 0, or nx < 0 where
     the line is vertical. A key with fewer than two different points has no line. The points of a key are held as one array,
-    so they meet in one shuffle and every pass stays within it.
+    so they meet in one shuffle; the keys of a batch go through the passes together.
     """
     keys = list(keys)
     rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("NOT isnan(_x) AND NOT isnan(_y)")
     rows = rows.dropna(subset=["_x", "_y", *keys])
     each = rows.groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y")).alias("p")).select(*keys, F.col("p._x").alias("_x"), F.col("p._y").alias("_y"))
 
-    def kernel(batches):
-        for batch in batches:
-            found = [_trimmed(np.asarray(px, dtype=float), np.asarray(py, dtype=float), passes) for px, py in zip(batch["_x"], batch["_y"], strict=True)]
-            kept = np.array([f is not None for f in found], dtype=bool)
-            told = pd.DataFrame([f for f in found if f is not None], columns=["nx", "ny", "off", "rms", "n_kept", "n"])
-            yield pd.concat([batch.loc[kept, keys].reset_index(drop=True), told], axis=1)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(at, PIECE)
+                size = np.diff(batch.column("_x").offsets.to_numpy())
+                with np.errstate(all="ignore"):  # infinite distances
+                    told = _trimmed(*(batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_x", "_y")), size, passes)
+                kept = pa.array(np.flatnonzero(told.pop("found")))
+                yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in keys} | {k: pa.array(v) for k, v in told.items()}).take(kept)
 
     kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
-    return each.mapInPandas(kernel, f"{kinds}, nx double, ny double, off double, rms double, n_kept bigint, n bigint")
+    return each.mapInArrow(kernel, f"{kinds}, nx double, ny double, off double, rms double, n_kept bigint, n bigint")
+
 
+def _total_least_squares(x: np.ndarray, y: np.ndarray, kept: np.ndarray, first: np.ndarray, key: np.ndarray) -> tuple:
+    """Unit normal and offset per key of the line with the least squared distances; nx * x + ny * y + off = 0."""
+    n = np.add.reduceat(kept.astype(float), first)
 
-def _total_least_squares(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Unit normal and offset of the line with the least squared distances; nx * x + ny * y + off = 0."""
-    dx, dy = x - x.mean(), y - y.mean()
+    def mean(v: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(kept, v, 0.0), first) / n
+
+    mx, my = mean(x), mean(y)
+    dx, dy = x - mx[key], y - my[key]
     # the normal is the direction of least variance: a quarter turn from the main axis
-    turn = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+    turn = 0.5 * np.arctan2(2 * mean(dx * dy), mean(dx * dx) - mean(dy * dy))
     nx, ny = -np.sin(turn), np.cos(turn)
-    return nx, ny, -(nx * x.mean() + ny * y.mean())
+    return nx, ny, -(nx * mx + ny * my)
 
 
-def _trimmed(x: np.ndarray, y: np.ndarray, passes: int) -> tuple | None:
-    """(nx, ny, off, rms, n_kept, n) of one key; infinite distances have no part in the medians."""
-    if not (x != x[0]).any() and not (y != y[0]).any():
-        return None
+def _medians(v: np.ndarray, used: np.ndarray, key: np.ndarray, n_keys: int) -> np.ndarray:
+    """Median of the used values of each key, NaN where there is none."""
+    v, key = v[used], key[used]
+    v = v[np.lexsort((v, key))]
+    n = np.bincount(key, minlength=n_keys)
+    start, out = np.cumsum(n) - n, np.full(n_keys, np.nan)
+    some = n > 0
+    out[some] = (v[(start + (n - 1) // 2)[some]] + v[(start + n // 2)[some]]) / 2
+    return out
+
+
+def _trimmed(x: np.ndarray, y: np.ndarray, size: np.ndarray, passes: int) -> dict[str, np.ndarray]:
+    """Lines of many keys at once, whose points lie one key after the other, `size` of them each; infinite distances have
+    no part in the medians. `found` says which keys have a line.
+    """
+    first, key = np.cumsum(size) - size, np.repeat(np.arange(size.size), size)
+    found = np.logical_or.reduceat((x != x[first][key]) | (y != y[first][key]), first)
     kept = np.ones(x.size, dtype=bool)
     for _ in range(passes):
-        nx, ny, off = _total_least_squares(x[kept], y[kept])
-        r = nx * x + ny * y + off
-        before = r[kept & np.isfinite(r)]
-        if not before.size:
-            return None
-        middle = np.median(before)
-        kept = np.abs(r - middle) <= TRIM * max(1.4826 * np.median(np.abs(before - middle)), LEAST_SIGMA)
-    nx, ny, off = _total_least_squares(x[kept], y[kept])
-    rest = nx * x[kept] + ny * y[kept] + off
-    return nx, ny, off, np.sqrt(np.mean(rest * rest)), int(kept.sum()), x.size
+        nx, ny, off = _total_least_squares(x, y, kept, first, key)
+        r = nx[key] * x + ny[key] * y + off[key]
+        before = kept & np.isfinite(r)
+        middle = _medians(r, before, key, size.size)
+        found &= ~np.isnan(middle)
+        away = np.abs(r - middle[key])
+        limit = TRIM * np.maximum(1.4826 * _medians(away, before, key, size.size), LEAST_SIGMA)
+        kept = away <= limit[key]
+    nx, ny, off = _total_least_squares(x, y, kept, first, key)
+    n = np.add.reduceat(kept.astype(np.int64), first)
+    rest = np.where(kept, nx[key] * x + ny[key] * y + off[key], 0.0)
+    return {"nx": nx, "ny": ny, "off": off, "rms": np.sqrt(np.add.reduceat(rest * rest, first) / n), "n_kept": n, "n": size.astype(np.int64), "found": found}
 
 
 def consensus_line(points: DataFrame, keys: Sequence[str], point: str, x: str, y: str, tolerance: float) -> DataFrame:

@@ -101,3 +101,43 @@ def test_pairs_of_points_are_tried_in_arrays(spark):
     got = {r["record"]: r for r in out.collect()}
     assert sorted(got) == [1, 3] and (got[1]["n_agree"], got[1]["n"]) == (10, 12) and abs(got[1]["slope"] - 2) < 0.01
     assert np.isclose(got[3]["slope"], 2.0) and np.isclose(got[3]["intercept"], 1.0)
+
+
+def test_lines_of_many_keys_are_trimmed_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 40, 300)
+    x = np.concatenate([np.round(rng.normal(size=n) * 9, 2) for n in size])
+    y = 2 * x + np.round(rng.normal(size=x.size), 2) + np.where(rng.random(x.size) < 0.1, 60, 0)
+    y[5], x[:size[0]], y[:size[0]] = np.inf, 1.0, 2.0
+
+    def alone(px, py):
+        if (px == px[0]).all() and (py == py[0]).all():
+            return None
+        kept = np.ones(px.size, dtype=bool)
+        for step in range(4):
+            dx, dy = px[kept] - px[kept].mean(), py[kept] - py[kept].mean()
+            turn = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+            nx, ny = -np.sin(turn), np.cos(turn)
+            r = nx * px + ny * py - (nx * px[kept].mean() + ny * py[kept].mean())
+            before = r[kept & np.isfinite(r)]
+            if not before.size:
+                return None
+            if step == 3:
+                return nx, ny, np.sqrt((before ** 2).mean()), int(kept.sum()), px.size
+            middle = np.median(before)
+            kept = np.abs(r - middle) <= 3 * max(1.4826 * np.median(np.abs(before - middle)), 0.5)
+
+    calls, fit = [], robust._total_least_squares
+    monkeypatch.setattr(robust, "_total_least_squares", lambda *a: calls.append(1) or fit(*a))
+    ends = np.cumsum(size)
+    with np.errstate(all="ignore"):
+        want = {k: alone(x[e - n:e], y[e - n:e]) for k, (e, n) in enumerate(zip(ends, size, strict=True))}
+        told = robust._trimmed(x, y, size, 3)
+    want = {k: v for k, v in want.items() if v is not None}
+    assert len(calls) == 4 and sorted(want) == np.flatnonzero(told["found"]).tolist() and 0 < len(want) < 300
+    points = [(int(k), float(a), float(b)) for k, a, b in zip(np.repeat(np.arange(300), size), x, y, strict=True)] + [(7, float("nan"), 1.0), (None, 1.0, 1.0), (8, None, 2.0)]
+    monkeypatch.undo()
+    got = robust.trimmed_line(spark.createDataFrame(points, "k int, x double, y double"), ["k"], "x", "y").collect()
+    assert sorted(r["k"] for r in got) == sorted(want)
+    for r in got:
+        assert np.allclose([r[c] for c in ("nx", "ny", "rms", "n_kept", "n")], want[r["k"]], atol=1e-9, equal_nan=True)
