@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.digests import md5_heads
 from ..functions.numbers import finite, inverse_logistic_at, ratio
 from ..functions.statistics import exact_interval_column
 from ..session import pinned
@@ -55,7 +58,9 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, n_boot: int = 2000
                      level: float = 0.95) -> DataFrame:
     """Median of `value` with a percentile interval from resampling whole clusters.
 
-    Equal values of a cluster are counted once; the drawn rows are only ever added up where they arise (`_drawn_medians`).
+    Equal values of a cluster are counted once. The middle of nearly every draw lies in a narrow band of values, so a draw
+    needs the numbers of rows of its clusters and the values of that band only (`_band_medians`); the others are added
+    up in full (`_drawn_medians`).
     """
     counts = pinned(df.groupBy(cluster, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")))
     sizes = counts.agg(F.countDistinct(cluster).alias("n_clusters"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("n_rows"))
@@ -64,49 +69,139 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, n_boot: int = 2000
         empty = F.lit(None).cast("double")
         point = exact_quantiles(counts, [], {"v": "v"}, weight="c").withColumnRenamed("v_median", "median")
         return beside(sizes, point).withColumns({"lo": empty, "hi": empty})
-    medians = pinned(_drawn_medians(counts.select("v", "c"), rows.select("cluster", "v", "c"), _slots(df.sparkSession, n_clusters, n_boot, seed)))
+    told = counts.where(finite("v")).select(cluster, F.col("v").cast("double").alias("v"), "c")
+    n, squares = told.groupBy(cluster).agg(F.sum("c").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    reach = (BAND_SIGMAS * np.sqrt(squares) / 2 + 1) / n if n else 0.5  # half the clusters' sizes bound what a draw moves the middle by
+    point = pinned(exact_quantiles(told, [], {"v": "v"}, {"median": 0.5, "low": max(0.5 - reach, 0.0), "high": min(0.5 + reach, 1.0)}, "c"))
+    band = point.select("v_low", "v_high").first()
+    rows = rows.where(finite("v")).select("cluster", F.col("v").cast("double").alias("v"), "c")
+    slots = _slots(df.sparkSession, n_clusters, n_boot, seed)
+    medians = _band_medians(rows, n_clusters, n_boot, seed, *band) if band and band[0] is not None else None
+    if medians is None:
+        medians = pinned(_drawn_medians(rows, slots))
+    else:
+        beyond = [r["draw"] for r in medians.where("NOT found").select("draw").collect()]  # n_boot at most
+        if beyond:
+            medians = pinned(medians.where("found").select("draw", "median").unionByName(_drawn_medians(rows, slots.where(F.col("draw").isin(beyond)))))
     tail = (1 - level) / 2
-    point = medians.agg(F.max(F.when(F.col("draw") == WHOLE, F.col("median"))).alias("median"))
-    ends = medians.where(F.col("draw") != WHOLE).agg(F.percentile("median", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    ends = medians.agg(F.percentile("median", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
     ends = ends.select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    return beside(beside(sizes, point), ends)
+    return beside(beside(sizes, point.select(F.col("v_median").alias("median"))), ends)
 
 
-WHOLE = -1  # number of the draw that is the data itself
 BINS = 128
+BAND_SIGMAS = 6
+BAND_CELLS = 1 << 19  # of the band, sent to every task
+BLOCK = 1 << 16  # clusters whose numbers travel in one row
+HELD = 1 << 26  # clusters whose numbers a task holds at once
+GROUPS_PER_CORE = 4
+PICKS_PER_GROUP = 1_000_000  # at least
 
 
-def _drawn_medians(counts: DataFrame, rows: DataFrame, slots: DataFrame) -> DataFrame:
-    """(draw, median) of every draw and of the data itself, which is draw WHOLE.
+def _band_medians(rows: DataFrame, n_clusters: int, n_boot: int, seed: int, low: float, high: float) -> DataFrame | None:
+    """(draw, median, found) of every draw; `found` is false where a middle rank is not in the band from `low` to `high`.
 
-    `counts` has (v, c), `rows` (cluster, v, c), `slots` (draw, cluster). Drawn rows are the product of both and are not
+    None if the band has too many cells. `rows` has (cluster, v, c). A task makes the picks of some draws itself and adds
+    up two numbers of every cluster drawn, its rows and those below the band, besides the cells of the band. It gets these
+    numbers in blocks of a byte or a few per cluster and holds HELD clusters at once: with more, the picks are made once
+    for each such part.
+    """
+    cells = rows.where((F.col("v") >= low) & (F.col("v") <= high)).limit(BAND_CELLS + 1).toPandas().sort_values("v")  # bounded
+    if len(cells) > BAND_CELLS:
+        return None
+    value, times = cells["v"].to_numpy(dtype=float), cells["c"].to_numpy(dtype=np.int64)
+    inside, place = np.unique(cells["cluster"].to_numpy(dtype=np.int64), return_inverse=True)
+    spark, block, held = rows.sparkSession, BLOCK, HELD // BLOCK * BLOCK
+
+    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at, out = table["cluster"].to_numpy() % block, {}
+        for name in ("n", "below"):
+            v = np.zeros(block, dtype=np.int64)
+            v[at] = table[name].to_numpy()
+            out[name] = [v.astype(np.min_scalar_type(v.max())).tobytes()]
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), **out})
+
+    sums = rows.groupBy("cluster").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v") < low, F.col("c")).otherwise(0)).alias("below"))
+    blocks = pinned(sums.withColumn("block", F.floor(F.col("cluster") / F.lit(block))).groupBy("block").applyInArrow(packed, "block bigint, n binary, below binary"))
+
+    def medians(n: int, below: int, drawn: np.ndarray) -> tuple[float | None, bool]:
+        if n == 0:
+            return None, True
+        upto = np.cumsum(drawn[place] * times)
+        first, last = (n - 1) // 2 - below, n // 2 - below
+        if first < 0 or not upto.size or last >= upto[-1]:
+            return None, False
+        a, b = value[np.searchsorted(upto, [first, last], "right")]
+        return float(a + (b - a) * ((n - 1) / 2 - (n - 1) // 2)), True
+
+    def added(draws: range, start: int, n: np.ndarray, below: np.ndarray, sums: np.ndarray, drawn: np.ndarray) -> None:
+        """The picks that fall into the clusters from `start` on, of which `n` and `below` tell."""
+        a, b = np.searchsorted(inside, [start, start + n.size])
+        mine = np.zeros(n.size, dtype=bool)
+        mine[inside[a:b] - start] = True
+        for i, draw in enumerate(draws):
+            hits = []
+            for heads in md5_heads(f"{seed}:{draw}:", 0, n_clusters):
+                at = (heads / float(1 << 48) * float(n_clusters)).astype(np.int64)
+                if n.size < n_clusters:
+                    at = at[(at >= start) & (at < start + n.size)] - start
+                sums[i] += n[at].sum(dtype=np.int64), below[at].sum(dtype=np.int64)
+                hits.append(at[mine[at]])
+            drawn[i, a:b] += np.bincount(np.searchsorted(inside[a:b], np.concatenate(hits) + start), minlength=b - a).astype(np.int32)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = ((r["group"], r["block"], r["n"], r["below"]) for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        for group, mine in groupby(given, key=lambda r: r[0]):
+            draws = range(group, n_boot, n_groups)
+            sums, drawn = np.zeros((len(draws), 2), dtype=np.int64), np.zeros((len(draws), inside.size), dtype=np.int32)
+            for part, some in groupby(mine, key=lambda r: r[1] * block // held):
+                start = part * held
+                held_here = [np.zeros(min(held, n_clusters - start), dtype=np.uint8) for _ in range(2)]
+                for _, at, *sent in some:
+                    for k, raw in enumerate(sent):
+                        v, first = np.frombuffer(raw, dtype=f"u{len(raw) // block}"), at * block - start
+                        if v.itemsize > held_here[k].itemsize:
+                            held_here[k] = held_here[k].astype(v.dtype)
+                        held_here[k][first:first + block] = v[:held_here[k].size - first]
+                added(draws, start, *held_here, sums, drawn)
+            found = [medians(int(n), int(below), d) for (n, below), d in zip(sums, drawn, strict=True)]
+            yield pa.RecordBatch.from_pydict({"draw": pa.array(draws, pa.int32()), "median": pa.array([m for m, _ in found], pa.float64()),
+                                              "found": pa.array([f for _, f in found], pa.bool_())})
+
+    n_groups = max(1, min(n_boot, GROUPS_PER_CORE * spark.sparkContext.defaultParallelism, n_boot * n_clusters // PICKS_PER_GROUP))
+    copies = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).select("group", "block", "n", "below")
+    dealt = copies.repartitionById(n_groups, "group").sortWithinPartitions("group", "block")
+    return pinned(dealt.mapInArrow(kernel, "draw int, median double, found boolean"))
+
+
+def _drawn_medians(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """(draw, median) of every draw that has a value.
+
+    `rows` has (cluster, v, c), `slots` (draw, cluster). Drawn rows are the product of both and are not
     shuffled: they are added up by bins of the value first, then only those in the bins that hold a middle rank are
     put in order. The bins cover all values, so any bounds give exact medians; even ones keep the second step short.
     """
-    counts, rows = counts.filter(finite("v")), rows.filter(finite("v"))
     shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    bounds = np.unique(np.array(counts.agg(F.percentile_approx(F.col("v").cast("double"), shares)).first()[0] or [], dtype=float))
+    bounds = np.unique(np.array(rows.agg(F.percentile_approx("v", shares)).first()[0] or [], dtype=float))
 
     @F.pandas_udf("int")
     def bin_of(v: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, v.to_numpy(dtype=float)).astype(np.int32))
 
-    counts, rows = (d.withColumn("v", F.col("v").cast("double")).withColumn("bin", bin_of("v")) for d in (counts, rows))
-    whole = F.lit(WHOLE).alias("draw")
+    rows = rows.withColumn("bin", bin_of("v"))
 
-    def drawn(few: Callable[[DataFrame], DataFrame], by: Sequence[str]) -> DataFrame:
-        parts = few(counts).select(whole, *by, "c").unionByName(few(rows).join(slots, "cluster").select("draw", *by, "c"))
-        return parts.groupBy("draw", *by).agg(F.sum("c").alias("c"))
+    def drawn(few: DataFrame, by: Sequence[str]) -> DataFrame:
+        return few.join(slots, "cluster").groupBy("draw", *by).agg(F.sum("c").alias("c"))
 
     one = Window.partitionBy("draw")
-    levels = drawn(lambda d: d, ["bin"]).withColumns({
+    levels = drawn(rows, ["bin"]).withColumns({
         "upto": F.sum("c").over(one.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("c").over(one)})
     low, high = F.floor((F.col("total") - 1) / 2), F.ceil((F.col("total") - 1) / 2)
     first = F.col("upto") - F.col("c")
     held = [(first <= r) & (r < F.col("upto")) for r in (low, high)]
     wanted = pinned(levels.where(held[0] | held[1]).select("draw", "bin", first.alias("before"), "total"))
     bins = F.broadcast(wanted.select("bin").distinct())  # BINS at most
-    values = drawn(lambda d: d.join(bins, "bin", "left_semi"), ["bin", "v"]).join(F.broadcast(wanted), ["draw", "bin"])  # two rows a draw at most
+    values = drawn(rows.join(bins, "bin", "left_semi"), ["bin", "v"]).join(F.broadcast(wanted), ["draw", "bin"])  # two rows a draw at most
     ranked = running_totals(values, ["draw", "bin"], ["v"], {"upto": "c"}).withColumn("upto", F.col("upto") + F.col("before"))
     ends = ranked.groupBy("draw", "total").agg(*[F.max(F.when(h, F.col("v"))).alias(n) for h, n in zip(held, ("low", "high"), strict=True)])
     return ends.select("draw", (F.col("low") + (F.col("high") - F.col("low")) * ((F.col("total") - 1) / 2 - low)).alias("median"))

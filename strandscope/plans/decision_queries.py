@@ -387,8 +387,8 @@ def flip_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "x_min", "x_max", "intercept", "slope", "x_at_p0_05", "x_at_p0_1")
 
 
-@query("bootstrap_price_delta", f"""WITH {RUNS_SQL}, v AS (SELECT record, delta FROM p), {_median_sql(20, 4)}""")
+@query("bootstrap_price_delta", f"""WITH {RUNS_SQL}, v AS (SELECT record, delta FROM p), {_median_sql(2000, 4)}""")
 def bootstrap_price_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster bootstrap of the price deltas with the order as the cluster."""
     paired = pairing.pair_runs(*_runs(spark, sf_dir))
-    return rounded(resampling.bootstrap_median(paired, "record", "delta", n_boot=20, seed=0), 4, "median", "lo", "hi")
+    return rounded(resampling.bootstrap_median(paired, "record", "delta", n_boot=2000, seed=0), 4, "median", "lo", "hi")

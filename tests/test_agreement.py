@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strandscope.functions import digests
 from strandscope.functions.statistics import exact_interval
 from strandscope.operators import agreement, labels, resampling
 
@@ -164,3 +165,39 @@ def test_resampled_auroc_equals_numpy(spread):
     got = resampling.bootstrap_auroc(df, "record", ["c"], "s", "y", n_boot=15, seed=9).orderBy("draw").toPandas()["auroc"]
     picks = md5_picks(9, 15, 40)
     assert np.allclose(got, [brute_auroc(y[i], s[i]) for i in picks])
+
+
+def test_price_delta_draws_as_often_as_the_operator_does(monkeypatch):
+    from inspect import signature
+
+    from strandscope.plans import catalogue, decision_queries
+
+    seen = {}
+    monkeypatch.setattr(decision_queries, "_runs", lambda *a: (None, None))
+    monkeypatch.setattr(decision_queries.pairing, "pair_runs", lambda *a: None)
+    monkeypatch.setattr(decision_queries, "rounded", lambda df, *a: df)
+    usual = signature(resampling.bootstrap_median).parameters["n_boot"].default
+    monkeypatch.setattr(resampling, "bootstrap_median", lambda *a, n_boot=usual, **k: seen.update(n_boot=n_boot))
+    catalogue.QUERIES["bootstrap_price_delta"](None, "")
+    assert seen["n_boot"] == usual == 2000 and "range(2000)" in catalogue.ORACLES["bootstrap_price_delta"]
+
+
+def test_many_digests_are_those_of_one():
+    for prefix in ("0:7:", "-12:1999:", "x" * 51, "x" * 70):
+        for start, stop in ((0, 1200), (9_995, 10_004), (99_998, 100_003), (24_999_998, 25_000_003)):
+            want = [float(int(hashlib.md5(f"{prefix}{i}".encode()).hexdigest()[:12], 16)) for i in range(start, stop)]
+            assert np.concatenate(list(digests.md5_heads(prefix, start, stop))).tolist() == want
+
+
+@pytest.mark.parametrize("change", [{}, {"BAND_SIGMAS": 0.01}, {"BAND_CELLS": 1}, {"BLOCK": 4, "HELD": 8}, {"PICKS_PER_GROUP": 40}])
+def test_middles_of_draws_in_and_beyond_the_band(spark, monkeypatch, change):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 30, 500), rng.normal(size=500).round(1), strict=True)]
+    rows += [(0, 5.0)] * 300 + [(3, None), (40, None), (41, float("nan"))]  # a cluster with a value that comes often, two without any
+    for name, value in change.items():
+        monkeypatch.setattr(resampling, name, value)
+    got = resampling.bootstrap_median(spark.createDataFrame(rows, "record int, delta double"), "record", "delta", n_boot=25, seed=4).first()
+    of = [[v for r, v in rows if r == k and v is not None and v == v] for k in sorted({r for r, _ in rows})]
+    medians = [np.median(np.concatenate([of[j] for j in row])) for row in md5_picks(4, 25, len(of))]
+    assert got["median"] == np.median(np.concatenate(of)) and got["n_clusters"] == 32 and got["n_rows"] == 801
+    assert np.allclose([got["lo"], got["hi"]], np.quantile(medians, [0.025, 0.975]))
