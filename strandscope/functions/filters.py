@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
 from math import gcd
 
 import numpy as np
@@ -112,25 +114,31 @@ def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return back[p:-p].reshape(x.shape)
 
 
+SPLINE_ROOT = 3 ** 0.5 - 2  # of 1 + 4 z + z ** 2: how the solution of the equations dies away
+SPLINE_REACH = 32  # beyond which it is less than a double holds
+SPLINE_WEIGHTS = SPLINE_ROOT ** np.abs(np.arange(-SPLINE_REACH, SPLINE_REACH + 1)) / 12 ** 0.5
+SPLINE_FALL = SPLINE_ROOT ** np.arange(1, 2 * SPLINE_REACH)  # of what an end adds
+
+
 def spline_second_derivatives(y: np.ndarray) -> np.ndarray:
-    """Of the cubic spline through equally spaced points whose end pieces join without a knot."""
+    """Of the cubic spline through equally spaced points whose end pieces join without a knot.
+
+    Inside, M[i - 1] + 4 M[i] + M[i + 1] is the given curve: a sum over near points, and what both ends add to it.
+    """
     n = y.size
     bend = np.zeros(n)
     curve = 6 * (y[2:] - 2 * y[1:-1] + y[:-2])
     bend[1], bend[n - 2] = curve[0] / 6, curve[-1] / 6
     inner = n - 4
-    if inner > 0:
-        right = curve[1:-1].copy()
-        right[0] -= bend[1]
-        right[-1] -= bend[n - 2]
-        right = right.tolist()  # plain numbers: these loops run over single values
-        factor, value = [0.25], 0.0
-        for i in range(1, inner):
-            factor.append(1 / (4 - factor[-1]))
-            right[i] -= right[i - 1] * factor[i - 1]
-        for i in range(inner - 1, -1, -1):
-            right[i] = value = (right[i] - value) * factor[i]
-        bend[2:2 + inner] = right
+    if inner > 0 and not np.isfinite(curve).all():
+        bend[2:-2] = np.nan  # every point counts everywhere
+    elif inner > 0:
+        near = np.convolve(curve[1:-1], SPLINE_WEIGHTS)[SPLINE_REACH - 1:SPLINE_REACH + inner + 1]
+        first, last, far = bend[1] - near[0], bend[n - 2] - near[-1], SPLINE_ROOT ** (inner + 1)
+        fall, square = SPLINE_FALL[:inner], 1 - far * far
+        bend[2:-2] = near[1:-1]
+        bend[2:2 + fall.size] += (first - far * last) / square * fall
+        bend[n - 2 - fall.size:n - 2] += (last - far * first) / square * fall[::-1]
     bend[0] = 2 * bend[1] - bend[2]
     bend[n - 1] = 2 * bend[n - 2] - bend[n - 3]
     return bend
@@ -142,7 +150,7 @@ def spline_values(start: float, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     i = np.clip(np.floor(x - start).astype(int), 0, y.size - 2)
     u = x - start - i
     v = 1 - u
-    return (v * y[i] + u * y[i + 1] + ((v**3 - v) * bend[i] + (u**3 - u) * bend[i + 1]) / 6)
+    return v * y[i] + u * y[i + 1] + ((v * v * v - v) * bend[i] + (u * u * u - u) * bend[i + 1]) / 6
 
 
 def sharpen(columns: np.ndarray, profile: np.ndarray, x: np.ndarray, fs: float, aperture: float = 0.125,
@@ -153,24 +161,48 @@ def sharpen(columns: np.ndarray, profile: np.ndarray, x: np.ndarray, fs: float,
     on, sampled by a spline; the difference to the linear samples is low-passed without
     phase shift and added back. Traces too short for the filter stay linear.
     """
-    linear = np.interp(x, columns, profile)
-    sos = butterworth(order, None, cutoff, fs)
-    if x.size <= pad_length(sos):
-        return linear
-    corrected = profile.astype(float).copy()
+    return sharpen_all([(columns, profile, x)], fs, aperture, cutoff, order, min_run)[0]
+
+
+def sharpen_all(traces: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], fs: float, aperture: float = 0.125,
+                cutoff: float = 35.0, order: int = 4, min_run: int = 4) -> list[np.ndarray]:
+    """`sharpen` of many traces (columns, profile, x): those with equally many samples run through the filter side by side."""
+    sos = _low_pass(order, cutoff, fs)
+    out = [np.interp(x, columns, profile) for columns, profile, x in traces]
+    sizes: dict[int, list[int]] = {}
+    for i, (_, _, x) in enumerate(traces):
+        if x.size > pad_length(sos):
+            sizes.setdefault(x.size, []).append(i)
+    for size, mine in sizes.items():
+        added = np.empty((size, len(mine)))
+        for k, i in enumerate(mine):
+            added[:, k] = _restored(*traces[i], aperture, min_run) - out[i]
+        for k, low in enumerate(np.ascontiguousarray(zero_phase(sos, added).T)):
+            out[mine[k]] = out[mine[k]] + low
+    return out
+
+
+@lru_cache(maxsize=64)
+def _low_pass(order: int, cutoff: float, fs: float) -> np.ndarray:
+    return butterworth(order, None, cutoff, fs)
+
+
+def _restored(columns: np.ndarray, profile: np.ndarray, x: np.ndarray, aperture: float, min_run: int) -> np.ndarray:
+    """Samples of the aperture corrected profile, of its longer runs by splines."""
+    corrected = profile.astype(float)
     cuts = np.flatnonzero(np.diff(columns) != 1) + 1
-    runs = list(zip(np.r_[0, cuts], np.r_[cuts, columns.size]))
+    runs = list(zip([0, *cuts.tolist()], [*cuts.tolist(), columns.size]))
     for a, b in runs:
-        p = profile[a:b]
-        if p.size >= 2:
-            corrected[a:b] = p - aperture * (np.r_[p[0], p[:-1]] - 2 * p + np.r_[p[1:], p[-1]])
+        if b - a >= 2:
+            p = profile[a:b]
+            corrected[a:b] -= aperture * (np.concatenate([p[:1], p[:-1]]) - 2 * p + np.concatenate([p[1:], p[-1:]]))
     better = np.interp(x, columns, corrected)
     for a, b in runs:
         if b - a >= max(min_run, 4):
             inside = (x >= columns[a]) & (x <= columns[b - 1])
             if inside.any():
                 better[inside] = spline_values(float(columns[a]), corrected[a:b], x[inside])
-    return linear + zero_phase(sos, better - linear)
+    return better
 
 
 def fractional_delay(x: np.ndarray, delay: float, pad: int = 100) -> np.ndarray:

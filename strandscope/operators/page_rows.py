@@ -103,13 +103,18 @@ def _baseline(timed: dict, pitch: float, mv_per_px: float) -> tuple[float, float
     return -(3 * g + e) / (10 * mv_per_px) if abs(gap) <= grid.BASELINE_TOLERANCE * pitch else 0.0, gap
 
 
-def _read(lines: dict, fitted: tuple, height: float | None, dx: float, maps: dict, sharpened: bool, placement: str, limit: float = 10.0) -> dict:
-    """Samples of one page on its zero line, at their place on the page, and its checks."""
+def _asked(lines: dict, fitted: tuple, height: float | None, dx: float, maps: dict) -> list[tuple]:
+    """The leads of one page as `signals.sampled` takes them."""
     g0, pitch, _, strips, _, _ = fitted
     tall = np.nan if height is None else height
+    return [(n, n in strips, pitch, g0, tall, dx, c, y, *maps.get(n, (None, None))) for n, (c, y) in lines.items()]
+
+
+def _read(lines: dict, fitted: tuple, read: dict[str, np.ndarray], placement: str, limit: float = 10.0) -> dict:
+    """Samples of one page on its zero line, at their place on the page, and its checks."""
+    g0, pitch, _, strips, _, _ = fitted
     start = {n: 0.0 if n in strips else dims.COLUMN[n] * dims.COLUMN_SECONDS for n in lines}
     raw = {n: 0.0 if n in strips else (c[0] - g0) * dims.COLUMN_SECONDS / pitch for n, (c, _) in lines.items()}
-    read = {n: signals.sampled(n, n in strips, pitch, g0, tall, dx, c, y, *maps.get(n, (None, None)), sharpened) for n, (c, y) in lines.items()}
     mv_per_px = 25 * dims.COLUMN_SECONDS / pitch / 10
     shift, gap = _baseline({n: (int(start[n] * dims.RATE), v) for n, v in read.items()}, pitch, mv_per_px)
     whole, end = {}, int(dims.PAGE_SECONDS * dims.RATE)
@@ -158,17 +163,20 @@ def page_readings(pages: DataFrame, sharpened: bool = True, placement: str = "co
             for at in range(0, whole.num_rows, PIECE):
                 batch = whole.slice(at, PIECE)
                 column = {c: batch.column(c).to_pylist() for c in has & {"height", "applied", "maps", *FITTED}}
-                out = []
+                out, found, asked = [], [], []
                 for i in range(batch.num_rows):
                     label, col, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("label", "col", "y"))
                     lines, height = _centres(label, col, y), column["height"][i]
                     fitted = tuple(column[c][i] for c in FITTED) if given else _fit(lines, height)
-                    page = dict(zip(FITTED, fitted, strict=True)) | NOTHING
-                    if page["reason"] is None and page["g0"] is not None:
+                    out.append(dict(zip(FITTED, fitted, strict=True)) | NOTHING)
+                    if out[-1]["reason"] is None and out[-1]["g0"] is not None:
                         maps = {m["lead"]: tuple(np.array([k[x] for k in m["knots"]], dtype=float) for x in "ab") for m in (column["maps"][i] if "maps" in has else None) or []}
                         dx = (column["applied"][i] if "applied" in has else None) or 0.0
-                        page |= _read(lines, fitted, height, dx, maps, sharpened, placement)
-                    out.append(page)
+                        found.append((out[-1], lines, fitted))
+                        asked += _asked(lines, fitted, height, dx, maps)
+                samples = iter(signals.sampled(asked, sharpened))  # the leads of all pages side by side
+                for page, lines, fitted in found:
+                    page |= _read(lines, fitted, {n: next(samples) for n in lines}, placement)
                 yield pa.RecordBatch.from_pydict({"record": batch.column("record")} | {c: pa.array([p[c] for p in out], t) for c, t in types.items()} | {
                     "mv": _nested([p["mv"] for p in out])})
 

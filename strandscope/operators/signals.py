@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.filters import butterworth, fractional_delay, pad_length, quantised_lag, rate_ratio, resampling_taps, sharpen, zero_phase
+from ..functions.filters import butterworth, fractional_delay, pad_length, quantised_lag, rate_ratio, resampling_taps, sharpen_all, zero_phase
 from ..functions.numbers import finite
 from .grid import interpolate
 
 CHUNK = 65536
+SIDE_BY_SIDE = 384  # leads that are sampled at once
 
 
 def _fields(df: DataFrame, keys: Sequence[str]) -> str:
@@ -200,21 +201,28 @@ def drawn_lag(pairs: DataFrame, keys: Sequence[str], levels: int = 50, t: str =
         kernel, f"{_fields(pairs, keys)}, lag int, offset double")
 
 
-def sampled(lead: str, strip: bool, pitch: float, g0: float, height: float, dx: float, cols, y, mm=None, at=None,
-            sharpened: bool = True, rate: int = dims.RATE) -> np.ndarray:
-    """Samples in mV of one lead from its column centres, read along the knots (mm, at) or the even columns."""
-    per = int(dims.COLUMN_SECONDS * rate)
-    n = dims.N_COLUMNS * per if strip else per
-    columns = (0 if strip else dims.COLUMN[lead]) + np.arange(n) / per
-    if mm is None or not len(mm):
-        x = g0 + columns * pitch
-    else:
-        m, period = columns * dims.MM_PER_COLUMN, pitch / dims.MM_PER_COLUMN
-        x = np.interp(m, mm, at) + np.minimum(m - mm[0], 0) * period + np.maximum(m - mm[-1], 0) * period
-    x = x - 0.5 - dx
-    traced = sharpen(cols, y, x, rate) if sharpened else np.interp(x, cols, y)
-    base = (1 - dims.baseline_ratio(lead, strip)) * height
-    return ((base - (traced + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)).astype(np.float32).astype(float)
+def sampled(lines: Sequence[tuple], sharpened: bool = True, rate: int = dims.RATE) -> list[np.ndarray]:
+    """Samples in mV of leads from their column centres: of each (lead, strip, pitch, g0, height, dx, cols, y, mm, at).
+
+    They are read along the knots (mm, at), or along even columns where a lead has none.
+    """
+    per, spots = int(dims.COLUMN_SECONDS * rate), []
+    for lead, strip, pitch, g0, _, dx, _, _, mm, at in lines:
+        n = dims.N_COLUMNS * per if strip else per
+        columns = (0 if strip else dims.COLUMN[lead]) + np.arange(n) / per
+        if mm is None or not len(mm):
+            x = g0 + columns * pitch
+        else:
+            m, period = columns * dims.MM_PER_COLUMN, pitch / dims.MM_PER_COLUMN
+            x = np.interp(m, mm, at) + np.minimum(m - mm[0], 0) * period + np.maximum(m - mm[-1], 0) * period
+        spots.append(x - 0.5 - dx)
+    traces = [(line[6], line[7], x) for line, x in zip(lines, spots, strict=True)]
+    traced = sharpen_all(traces, rate) if sharpened else [np.interp(x, cols, y) for cols, y, x in traces]
+    out = []
+    for (lead, strip, pitch, _, height, *_), v in zip(lines, traced, strict=True):
+        base = (1 - dims.baseline_ratio(lead, strip)) * height
+        out.append(((base - (v + 0.5)) * (25 * dims.COLUMN_SECONDS / pitch / 10)).astype(np.float32).astype(float))
+    return out
 
 
 def vectorise(profile: DataFrame, grid: DataFrame, shift: Column | None = None, sharpened: bool = True,
@@ -236,7 +244,8 @@ def vectorise(profile: DataFrame, grid: DataFrame, shift: Column | None = None,
     @F.pandas_udf("array<double>")
     def samples(lead: pd.Series, strip: pd.Series, pitch: pd.Series, g0: pd.Series, height: pd.Series, dx: pd.Series,
                 cols: pd.Series, y: pd.Series, mm: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series([sampled(*row, sharpened, rate) for row in zip(lead, strip, pitch, g0, height, dx, cols, y, mm, at, strict=True)], dtype=object)
+        rows = list(zip(lead, strip, pitch, g0, height, dx, cols, y, mm, at, strict=True))
+        return pd.Series([v for i in range(0, len(rows), SIDE_BY_SIDE) for v in sampled(rows[i:i + SIDE_BY_SIDE], sharpened, rate)], dtype=object)
 
     mv = samples("lead", F.array_contains("long_leads", F.col("lead")), F.col("pitch").cast("double"), F.col("g0").cast("double"),
                  F.col("height").cast("double"), F.col("dx").cast("double"), "line.col", "line.y", "knots.a", "knots.b")

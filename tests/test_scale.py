@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandscope import dims
 from strandscope.operators import grid, lines, resampling, robust, signals
 
 
@@ -141,3 +142,17 @@ def test_lines_of_many_keys_are_trimmed_at_once(spark, monkeypatch):
     assert sorted(r["k"] for r in got) == sorted(want)
     for r in got:
         assert np.allclose([r[c] for c in ("nx", "ny", "rms", "n_kept", "n")], want[r["k"]], atol=1e-9, equal_nan=True)
+
+
+def test_samples_of_a_page_are_not_sorted(spark, tmp_path):
+    from strandscope.plans import page_queries
+
+    rows = [(3 * h + u, u, 24 * u % 7 + h, 1.5 * h) for u in range(3) for h in range(8)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, h int, value double")
+    stamp = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, h)")
+    events.select("event_id", "user_id", stamp.alias("ts"), "value").write.parquet(str(tmp_path / "events.parquet"))
+    out = page_queries.page_signals(spark, str(tmp_path))
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {(r["record"], r["lead"]): r["n"] for r in got} == {(u, n): 5000 if n == "II" else 1250 for u in range(3) for n in dims.LEADS} and len(got) == 36
+    assert len({(r["record"], r["g0"], r["pitch"], r["baseline_px"], r["warning"]) for r in got}) == 3

@@ -224,3 +224,41 @@ def test_sliding_max_up_to_a_column(spark):
                 want[key, start] = (max(inside), len(inside))
     assert got == want
     assert got == {(r.key, r.window_start): (r.window_max, r.n) for r in windows.sliding_max(df, ["key"], "t", "v", 4, 3, 12).collect()}
+
+
+def test_spline_solves_its_equations():
+    rng = np.random.default_rng(1)
+    for n in (4, 5, 6, 7, 40, 66, 500):
+        y = rng.normal(size=n)
+        rows = np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)
+        given = np.r_[0.0, 6 * (y[2:] - 2 * y[1:-1] + y[:-2]), 0.0]
+        rows[0, :3], rows[-1, -3:] = (1.0, -2.0, 1.0), (1.0, -2.0, 1.0)  # the end pieces join without a knot
+        assert np.allclose(filters.spline_second_derivatives(y), np.linalg.solve(rows, given), rtol=1e-10, atol=1e-12)
+    holed = np.r_[rng.normal(size=20), np.nan, rng.normal(size=200)]
+    assert np.isnan(filters.spline_second_derivatives(holed)[2:-2]).all()
+
+
+def test_traces_are_sharpened_side_by_side(monkeypatch):
+    rng = np.random.default_rng(2)
+    traces = []
+    for i, n in enumerate([300, 300, 280, 300, 300, 8]):
+        cols = np.delete(np.arange(200.0), slice(90, 90 + 3 * i))
+        traces.append((cols, np.cumsum(rng.normal(size=cols.size)), np.linspace(-1, 205, n)))
+    traces[1][1][7] = np.nan  # spoils its own trace only
+    alone = [filters.sharpen(*t, 500.0) for t in traces]
+    calls, one = [], filters.zero_phase
+    monkeypatch.setattr(filters, "zero_phase", lambda sos, x: calls.append(x.shape) or one(sos, x))
+    for a, b in zip(alone, filters.sharpen_all(traces, 500.0), strict=True):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-12, equal_nan=True)
+    assert sorted(calls) == [(280, 1), (300, 4)]
+    assert np.isnan(alone[1]).all() and not any(np.isnan(a).any() for i, a in enumerate(alone) if i != 1)
+
+
+def test_leads_of_a_page_are_sampled_together(monkeypatch):
+    calls, one = [], filters.zero_phase
+    monkeypatch.setattr(filters, "zero_phase", lambda sos, x: calls.append(x.shape) or one(sos, x))
+    cols, y = np.arange(100.0, 700.0), 800 + 5 * np.sin(np.arange(600) / 9)
+    leads = [(n, n == "II", 150.0, 100.0, 1700.0, 0.25, cols, y, None, None) for n in dims.LEADS]
+    got = signals.sampled(leads)
+    assert [v.size for v in got] == [5000 if n == "II" else 1250 for n in dims.LEADS] and sorted(calls) == [(1250, 11), (5000, 1)]
+    assert all(np.array_equal(v, signals.sampled([lead])[0]) for v, lead in zip(got, leads, strict=True))
