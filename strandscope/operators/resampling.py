@@ -70,13 +70,13 @@ def bootstrap_median(df: DataFrame, cluster: str, value: str, n_boot: int = 2000
         point = exact_quantiles(counts, [], {"v": "v"}, weight="c").withColumnRenamed("v_median", "median")
         return beside(sizes, point).withColumns({"lo": empty, "hi": empty})
     told = counts.where(finite("v")).select(cluster, F.col("v").cast("double").alias("v"), "c")
-    n, squares = told.groupBy(cluster).agg(F.sum("c").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    n, squares, largest = told.groupBy(cluster).agg(F.sum("c").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.max("n")).first()
     reach = (BAND_SIGMAS * np.sqrt(squares) / 2 + 1) / n if n else 0.5  # half the clusters' sizes bound what a draw moves the middle by
     point = pinned(exact_quantiles(told, [], {"v": "v"}, {"median": 0.5, "low": max(0.5 - reach, 0.0), "high": min(0.5 + reach, 1.0)}, "c"))
     band = point.select("v_low", "v_high").first()
     rows = rows.where(finite("v")).select("cluster", F.col("v").cast("double").alias("v"), "c")
     slots = _slots(df.sparkSession, n_clusters, n_boot, seed)
-    medians = _band_medians(rows, n_clusters, n_boot, seed, *band) if band and band[0] is not None else None
+    medians = _band_medians(rows, n_clusters, n_boot, seed, *band, int(largest)) if n else None
     if medians is None:
         medians = pinned(_drawn_medians(rows, slots))
     else:
@@ -98,14 +98,18 @@ GROUPS_PER_CORE = 4
 PICKS_PER_GROUP = 1_000_000  # at least
 
 
-def _band_medians(rows: DataFrame, n_clusters: int, n_boot: int, seed: int, low: float, high: float) -> DataFrame | None:
+def _band_medians(rows: DataFrame, n_clusters: int, n_boot: int, seed: int, low: float, high: float, largest: int) -> DataFrame | None:
     """(draw, median, found) of every draw; `found` is false where a middle rank is not in the band from `low` to `high`.
 
-    None if the band has too many cells. `rows` has (cluster, v, c). A task makes the picks of some draws itself and adds
-    up two numbers of every cluster drawn, its rows and those below the band, besides the cells of the band. It gets these
-    numbers in blocks of a byte or a few per cluster and holds HELD clusters at once: with more, the picks are made once
-    for each such part.
+    None if the band has too many cells, or the largest cluster more rows than its code can tell. `rows` has (cluster, v, c).
+    A task makes the picks of some draws itself and adds up two numbers of every cluster drawn, its rows and those below
+    the band, besides the cells of the band. Both numbers of a cluster and whether it has such cells are one code of two
+    bytes or a few. A task holds the codes of HELD clusters at once: with more, the picks are made once for each such part.
     """
+    bits = largest.bit_length()
+    if bits > 31:
+        return None
+    mask, marked, kind = (1 << bits) - 1, 1 << 2 * bits, f"u{2 if bits < 8 else 4 if bits < 16 else 8}"
     cells = rows.where((F.col("v") >= low) & (F.col("v") <= high)).limit(BAND_CELLS + 1).toPandas().sort_values("v")  # bounded
     if len(cells) > BAND_CELLS:
         return None
@@ -114,15 +118,12 @@ def _band_medians(rows: DataFrame, n_clusters: int, n_boot: int, seed: int, low:
     spark, block, held = rows.sparkSession, BLOCK, HELD // BLOCK * BLOCK
 
     def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        at, out = table["cluster"].to_numpy() % block, {}
-        for name in ("n", "below"):
-            v = np.zeros(block, dtype=np.int64)
-            v[at] = table[name].to_numpy()
-            out[name] = [v.astype(np.min_scalar_type(v.max())).tobytes()]
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), **out})
+        codes = np.zeros(block, dtype=kind)
+        codes[table["cluster"].to_numpy() % block] = table["n"].to_numpy() | table["below"].to_numpy() << bits
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "codes": [codes.tobytes()]})
 
     sums = rows.groupBy("cluster").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v") < low, F.col("c")).otherwise(0)).alias("below"))
-    blocks = pinned(sums.withColumn("block", F.floor(F.col("cluster") / F.lit(block))).groupBy("block").applyInArrow(packed, "block bigint, n binary, below binary"))
+    blocks = pinned(sums.withColumn("block", F.floor(F.col("cluster") / F.lit(block))).groupBy("block").applyInArrow(packed, "block bigint, codes binary"))
 
     def medians(n: int, below: int, drawn: np.ndarray) -> tuple[float | None, bool]:
         if n == 0:
@@ -134,42 +135,39 @@ def _band_medians(rows: DataFrame, n_clusters: int, n_boot: int, seed: int, low:
         a, b = value[np.searchsorted(upto, [first, last], "right")]
         return float(a + (b - a) * ((n - 1) / 2 - (n - 1) // 2)), True
 
-    def added(draws: range, start: int, n: np.ndarray, below: np.ndarray, sums: np.ndarray, drawn: np.ndarray) -> None:
-        """The picks that fall into the clusters from `start` on, of which `n` and `below` tell."""
-        a, b = np.searchsorted(inside, [start, start + n.size])
-        mine = np.zeros(n.size, dtype=bool)
-        mine[inside[a:b] - start] = True
+    def added(draws: range, start: int, codes: np.ndarray, sums: np.ndarray, drawn: np.ndarray) -> None:
+        """The picks that fall into the clusters from `start` on, whose codes are given."""
+        a, b = np.searchsorted(inside, [start, start + codes.size])
+        codes[inside[a:b] - start] |= marked
         for i, draw in enumerate(draws):
             hits = []
             for heads in md5_heads(f"{seed}:{draw}:", 0, n_clusters):
-                at = (heads / float(1 << 48) * float(n_clusters)).astype(np.int64)
-                if n.size < n_clusters:
-                    at = at[(at >= start) & (at < start + n.size)] - start
-                sums[i] += n[at].sum(dtype=np.int64), below[at].sum(dtype=np.int64)
-                hits.append(at[mine[at]])
+                at = (heads * 2.0**-48 * float(n_clusters)).astype(np.int64)
+                if codes.size < n_clusters:
+                    at = at[(at >= start) & (at < start + codes.size)] - start
+                told = codes.take(at, mode="clip")  # all are inside; this mode is the quickest
+                sums[i] += (told & mask).sum(dtype=np.int64), (told >> bits & mask).sum(dtype=np.int64)
+                hits.append(at[np.flatnonzero(told >= marked)])
             drawn[i, a:b] += np.bincount(np.searchsorted(inside[a:b], np.concatenate(hits) + start), minlength=b - a).astype(np.int32)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = ((r["group"], r["block"], r["n"], r["below"]) for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
+        given = ((r["group"], r["block"], r["codes"]) for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist())
         for group, mine in groupby(given, key=lambda r: r[0]):
             draws = range(group, n_boot, n_groups)
             sums, drawn = np.zeros((len(draws), 2), dtype=np.int64), np.zeros((len(draws), inside.size), dtype=np.int32)
             for part, some in groupby(mine, key=lambda r: r[1] * block // held):
                 start = part * held
-                held_here = [np.zeros(min(held, n_clusters - start), dtype=np.uint8) for _ in range(2)]
-                for _, at, *sent in some:
-                    for k, raw in enumerate(sent):
-                        v, first = np.frombuffer(raw, dtype=f"u{len(raw) // block}"), at * block - start
-                        if v.itemsize > held_here[k].itemsize:
-                            held_here[k] = held_here[k].astype(v.dtype)
-                        held_here[k][first:first + block] = v[:held_here[k].size - first]
-                added(draws, start, *held_here, sums, drawn)
+                codes = np.zeros(min(held, n_clusters - start), dtype=kind)
+                for _, at, sent in some:
+                    mine_here = codes[at * block - start:][:block]
+                    mine_here[:] = np.frombuffer(sent, dtype=kind)[:mine_here.size]
+                added(draws, start, codes, sums, drawn)
             found = [medians(int(n), int(below), d) for (n, below), d in zip(sums, drawn, strict=True)]
             yield pa.RecordBatch.from_pydict({"draw": pa.array(draws, pa.int32()), "median": pa.array([m for m, _ in found], pa.float64()),
                                               "found": pa.array([f for _, f in found], pa.bool_())})
 
     n_groups = max(1, min(n_boot, GROUPS_PER_CORE * spark.sparkContext.defaultParallelism, n_boot * n_clusters // PICKS_PER_GROUP))
-    copies = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).select("group", "block", "n", "below")
+    copies = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).select("group", "block", "codes")
     dealt = copies.repartitionById(n_groups, "group").sortWithinPartitions("group", "block")
     return pinned(dealt.mapInArrow(kernel, "draw int, median double, found boolean"))
 
