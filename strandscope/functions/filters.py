@@ -9,7 +9,7 @@ from math import gcd
 import numpy as np
 
 BLOCK = 64
-_FORMS: dict = {}  # block matrices of the sections met by this worker
+_FORMS: dict = {}  # block matrices of the filters met by this worker
 
 
 def rate_ratio(fs_in: float, fs_out: float) -> tuple[int, int]:
@@ -60,40 +60,38 @@ def butterworth(order: int, low: float | None, high: float, fs: float) -> np.nda
     return sos
 
 
-def _block_form(b0: float, b1: float, b2: float, a1: float, a2: float):
-    step = np.array([[-a1, 1.0], [-a2, 0.0]])
-    drive = np.array([b1 - a1 * b0, b2 - a2 * b0])
-    powers = [np.eye(2)]
+def _block_form(sos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sections in a row as two matrices, what a block of inputs and the states before it give (the block of outputs, then
+    the states after it), and the states that a constant input of one comes to."""
+    step, drive, observe, direct = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for b0, b1, b2, a1, a2 in sos:
+        into, n = np.array([b1 - a1 * b0, b2 - a2 * b0]), drive.size
+        step = np.block([[step, np.zeros((n, 2))], [np.outer(into, observe), np.array([[-a1, 1.0], [-a2, 0.0]])]])
+        drive, observe, direct = np.append(drive, into * direct), np.append(b0 * observe, [1.0, 0.0]), b0 * direct
+    powers = [np.eye(drive.size)]
     for _ in range(BLOCK):
         powers.append(powers[-1] @ step)
-    observe = np.array([p[0] for p in powers[:BLOCK]])
-    impulse = np.r_[b0, [p[0] @ drive for p in powers[:BLOCK - 1]]]
+    impulse = np.array([direct, *(observe @ p @ drive for p in powers[:BLOCK - 1])])
     lag = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
     spread = np.where(lag >= 0, impulse[np.clip(lag, 0, None)], 0.0)
     carry = np.array([powers[BLOCK - 1 - j] @ drive for j in range(BLOCK)]).T
-    rest = np.linalg.solve(np.eye(2) - step, drive)
-    return observe, spread, powers[BLOCK], carry, rest
+    by_states = np.vstack([[observe @ p for p in powers[:BLOCK]], powers[BLOCK]])
+    return np.vstack([spread, carry]), by_states, np.linalg.solve(np.eye(drive.size) - step, drive)
 
 
 def _run_sections(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """All sections in turn along axis 0, started in the steady state of the first sample."""
     n = x.shape[0]
-    pad = -n % BLOCK
-    level = x[0].copy()
-    y = np.concatenate([x, np.repeat(x[-1:], pad, axis=0)])
-    for s in sos:
-        key = tuple(s)
-        if key not in _FORMS:
-            _FORMS[key] = _block_form(*s)
-        observe, spread, jump, carry, rest = _FORMS[key]
-        state = rest[:, None] * level[None, :]
-        out = np.empty_like(y)
-        for at in range(0, y.shape[0], BLOCK):
-            part = y[at:at + BLOCK]
-            out[at:at + BLOCK] = observe @ state + spread @ part
-            state = jump @ state + carry @ part
-        level = level * s[:3].sum() / (1 + s[3] + s[4])
-        y = out
+    key = sos.tobytes()
+    if key not in _FORMS:
+        _FORMS[key] = _block_form(sos)
+    by_inputs, by_states, rest = _FORMS[key]
+    y = np.concatenate([x, np.repeat(x[-1:], -n % BLOCK, axis=0)])
+    state = rest[:, None] * x[0][None, :]
+    for at in range(0, y.shape[0], BLOCK):
+        both = by_inputs @ y[at:at + BLOCK]
+        both += by_states @ state
+        y[at:at + BLOCK], state = both[:BLOCK], both[BLOCK:]
     return y[:n]
 
 
@@ -147,10 +145,15 @@ def spline_second_derivatives(y: np.ndarray) -> np.ndarray:
 def spline_values(start: float, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """That spline through (start + i, y_i), four points or more, at x inside the range."""
     bend = spline_second_derivatives(y)
-    i = np.clip(np.floor(x - start).astype(int), 0, y.size - 2)
-    u = x - start - i
-    v = 1 - u
-    return v * y[i] + u * y[i + 1] + ((v * v * v - v) * bend[i] + (u * u * u - u) * bend[i + 1]) / 6
+    u = x - start
+    i = np.minimum(u.astype(np.intp), y.size - 2)
+    u -= i
+    step, third = np.diff(y), np.diff(bend) / 6
+    out = third.take(i)
+    for of in (bend / 2, step - (2 * bend[:-1] + bend[1:]) / 6, y):  # the cubic of each piece, highest power first
+        out *= u
+        out += of.take(i)
+    return out
 
 
 def sharpen(columns: np.ndarray, profile: np.ndarray, x: np.ndarray, fs: float, aperture: float = 0.125,
@@ -196,12 +199,14 @@ def _restored(columns: np.ndarray, profile: np.ndarray, x: np.ndarray, aperture:
         if b - a >= 2:
             p = profile[a:b]
             corrected[a:b] -= aperture * (np.concatenate([p[:1], p[:-1]]) - 2 * p + np.concatenate([p[1:], p[-1:]]))
-    better = np.interp(x, columns, corrected)
+    better, rest = np.empty(x.size), np.ones(x.size, dtype=bool)
     for a, b in runs:
         if b - a >= max(min_run, 4):
             inside = (x >= columns[a]) & (x <= columns[b - 1])
             if inside.any():
                 better[inside] = spline_values(float(columns[a]), corrected[a:b], x[inside])
+                rest &= ~inside
+    better[rest] = np.interp(x[rest], columns, corrected)
     return better
 
 
